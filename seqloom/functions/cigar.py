@@ -44,7 +44,7 @@ def compare(a: Column, b: Column) -> Column:
 
 def run_lengths(ops: Column) -> Column:
     """array<struct<op, len>> of the runs of equal operations."""
-    runs = F.regexp_extract_all(ops, F.lit(r"((.)\2*)"), F.lit(1))
+    runs = F.regexp_extract_all(ops, F.lit(r"(M+|X+|I+|D+)"), F.lit(1))
     return F.transform(
         runs, lambda run: F.struct(F.left(run, F.lit(1)).alias("op"), F.length(run).alias("len"))
     )
