@@ -57,15 +57,32 @@ def combine(counters: DataFrame, *keys: str, how: str = "sum") -> DataFrame:
     )
 
 
-def scaled(value: Column, pattern: str = "%.2f", after: str = "") -> Column:
-    """value with G, M or K, e.g. 12.35K; ``after`` follows the number before the prefix."""
-    text = F.format_string(pattern + after, value.cast("double"))
+def hundredths(value: Column, factor: int, width: int = 0) -> Column:
+    """value / factor with two decimals, ties upwards, in whole-number arithmetic."""
+    scaled_up = F.floor((value.cast("decimal(38,0)") * 100 + factor // 2) / F.lit(factor)).cast("long")
+    text = F.concat(
+        F.floor(scaled_up / 100).cast("string"), F.lit("."), F.lpad((scaled_up % 100).cast("string"), 2, "0")
+    )
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" ")) if width else text
+
+
+def scaled_whole(value: Column, width: int = 0, after: str = "") -> Column:
+    """A whole number with G, M or K, e.g. 12.35K; ``after`` precedes the prefix."""
+    text = F.concat(hundredths(value, 1, width), F.lit(after))
     for factor, prefix in reversed(PREFIXES):
-        part = F.format_string(pattern + after + prefix, value.cast("double") / factor)
+        part = F.concat(hundredths(value, factor, width), F.lit(after + prefix))
         text = F.when(value >= factor, part).otherwise(text)
     return text
 
 
+def scaled(value: Column) -> Column:
+    """A fractional number with G, M or K."""
+    text = F.format_string("%.2f", value)
+    for factor, prefix in reversed(PREFIXES):
+        text = F.when(value >= factor, F.format_string("%.2f" + prefix, value / factor)).otherwise(text)
+    return text
+
+
 def scaled_count(value: Column) -> Column:
     """Whole number with its prefix, rounded down."""
     text = value.cast("long").cast("string")
@@ -87,7 +104,7 @@ def share_text(total: Column, reference: Column) -> Column:
 def counter_text(units: str, reference: Column | None = None) -> Column:
     """One printed line for a row of ``counter``."""
     total = F.col("total")
-    amount = scaled(total, "%7.2f", " ")
+    amount = scaled_whole(total, 7, " ")
     padded = F.when(total >= PREFIXES[-1][0], F.concat(amount, F.lit(units))).otherwise(
         F.concat(amount, F.lit(units + " "))
     )
@@ -100,8 +117,8 @@ def sampler_text() -> Column:
     parts = [F.lit(" (samples="), scaled_count(F.col("samples"))]
     named = (("{mean", "mean"), (",min", "min"), (",Max", "max"), (",Var", "variance"), (",StdDev", "stddev"))
     for name, column in named:
-        value = F.floor(column) if column in ("variance", "stddev") else F.col(column)
-        parts += [F.lit(name), scaled(value)]
+        value = F.col(column)
+        parts += [F.lit(name), scaled(value) if column == "mean" else scaled_whole(F.floor(value))]
     return F.when(F.col("samples") == 0, F.lit(" (samples=0,--n/a--)}")).otherwise(
         F.concat(*parts, F.lit(")}"))
     )
@@ -127,6 +144,6 @@ DURATIONS = ((60_000_000_000, "m"), (1_000_000_000, "s"), (1_000_000, "ms"), (1_
 def duration_text(nanoseconds: Column) -> Column:
     text = F.concat(nanoseconds.cast("long").cast("string"), F.lit(" ns"))
     for factor, unit in reversed(DURATIONS):
-        part = F.format_string(f"%.2f {unit}", nanoseconds.cast("double") / factor)
+        part = F.concat(hundredths(nanoseconds, factor), F.lit(f" {unit}"))
         text = F.when(nanoseconds >= factor, part).otherwise(text)
     return text

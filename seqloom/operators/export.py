@@ -164,7 +164,9 @@ def dot_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, ids: boo
     return lines.unionByName(counts.select(*_line(3, 0, 0, "}")))
 
 
-def dump_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame) -> DataFrame:
+def dump_lines(
+    nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, starts: DataFrame
+) -> DataFrame:
     """Plain listing: counts, nodes with their edges and labels, and the rank table.
 
     An edge and its labels are one multi-line row under its node.
@@ -175,10 +177,10 @@ def dump_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame) -> Data
         F.concat(F.col("rank").cast("string"), F.lit(" ("), F.col("symbol"), F.lit(")")).alias(f"{side}_text"),
         F.col("rank").alias(f"{side}_rank"),
     )
-    sequences = edge_rows.groupBy("graph_id").agg((F.max("label") + 1).alias("q"))
-    totals = drawn.groupBy("graph_id").agg(F.count("*").alias("n")).join(sequences, "graph_id", "left")
+    sequences = starts.groupBy("graph_id").agg(F.count("*").alias("q"))
+    totals = drawn.groupBy("graph_id").agg(F.count("*").alias("n")).join(sequences, "graph_id")
     header = F.array(
-        F.concat(F.lit("num_sequences: "), F.coalesce("q", F.lit(1)).cast("string")),
+        F.concat(F.lit("num_sequences: "), F.col("q").cast("string")),
         F.concat(F.lit("num_nodes: "), F.col("n").cast("string")),
     )
     lines = totals.select("graph_id", F.posexplode(header).alias("at", "text")).select(

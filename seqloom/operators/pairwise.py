@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from seqloom.kernels import pairs
+from seqloom.functions.text import distance, unit_length
+from seqloom.kernels import bits, pairs
 
 ALIGNMENT = T.StructType(
     [T.StructField("score", T.LongType()), T.StructField("ops", T.StringType())]
@@ -30,6 +31,33 @@ def _column(kernel: Callable, unit: str) -> Callable[[Column, Column], Column]:
     return aligned
 
 
+# table cells from which the bit-parallel distance beats the built-in one
+LONG_PAIR = 1 << 14
+
+
+def edit_distance(a: Column, b: Column, unit: str = "byte") -> Column:
+    """Global edit distance of strings of any length.
+
+    Short pairs stay in the built-in; only the strings of long pairs travel to Python,
+    where a column of the table is one integer.
+    """
+
+    @F.pandas_udf("long")
+    def by_bits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series(
+                [
+                    None if p is None else bits.bit_distance(pairs.symbols(p, unit), pairs.symbols(t, unit))
+                    for p, t in zip(left, right)
+                ],
+                dtype="Int64",
+            )
+
+    long_ = (a != b) & (unit_length(a, unit).cast("long") * unit_length(b, unit) >= LONG_PAIR)
+    short = F.when(~long_, distance(a, b, unit))
+    return F.coalesce(short, by_bits(F.when(long_, a), F.when(long_, b)))
+
+
 def align(
     pattern: Column,
     text: Column,
@@ -68,16 +96,16 @@ def score_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
 
 
 def wavefront_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
-    """Every reached wavefront cell as array<struct<distance, k, reach>>."""
+    """Furthest offset per distance and diagonal: array<struct<distance, k, reach>>."""
     cell = T.StructType([T.StructField(c, T.IntegerType()) for c in ("distance", "k", "reach")])
 
     def cells_of(p: str, t: str) -> list[tuple[int, int, int]]:
         (pattern_, n), (text_, m) = (pairs.padded([pairs.symbols(s, unit)], -1) for s in (p, t))
-        history, _ = pairs.wavefront_history(pattern_, n, text_, m, pairs.equal_symbols)
+        history, _ = pairs.wavefront_history(pattern_, n, text_, m, pairs.equal_symbols, True)
         return [
-            (s, k - s, int(offset))
+            (s, k, int(offset))
             for s, offsets in enumerate(history)
-            for k, offset in enumerate(offsets[0])
+            for k, offset in enumerate(offsets[0], -s)
             if offset >= 0
         ]
 

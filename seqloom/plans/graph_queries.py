@@ -99,7 +99,7 @@ def link_count(spark, folder):
     return seg.link_counts(graph_of(spark, folder).edges())
 
 
-@query(f"WITH {GRAPH} SELECT graph_id, rank - 1 AS rank, node_id FROM nodes")
+@query(f"WITH {GRAPH} SELECT graph_id, rank AS rank, node_id FROM nodes")
 def topological_rank(spark, folder):
     return long_ids(ranks_of(spark, folder), "rank")
 
@@ -270,8 +270,8 @@ sizes AS (SELECT graph_id, (SELECT count(*) FROM nodes n WHERE n.graph_id = g.gr
   FROM (SELECT DISTINCT graph_id FROM nodes) g)
 SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'NS:i:' || s
   || chr(9) || 'NL:i:' || l || chr(9) || 'NP:i:' || p AS line FROM sizes
-UNION ALL SELECT graph_id, 1, rank - 1, -1, 'S' || chr(9) || node_id || chr(9) || symbol FROM nodes
-UNION ALL SELECT graph_id, 1, dst_rank - 1, ord,
+UNION ALL SELECT graph_id, 1, rank, -1, 'S' || chr(9) || node_id || chr(9) || symbol FROM nodes
+UNION ALL SELECT graph_id, 1, dst_rank, ord,
   'L' || chr(9) || src || chr(9) || '+' || chr(9) || dst || chr(9) || '+' || chr(9) || '0M' FROM edges
 UNION ALL SELECT graph_id, 2, seq_rank, 0, 'P' || chr(9) || seq_rank || chr(9)
   || string_agg(node_id || '+', ',' ORDER BY pos) || chr(9) || '*' FROM paths GROUP BY graph_id, seq_rank""")
@@ -291,12 +291,12 @@ def gfa_lines_with_consensus(spark, folder):
 
 
 DOT = f"""WITH {GRAPH},
-drawn AS (SELECT *, '"' || symbol || ' (' || node_id || ')\\nr: ' || (rank - 1) || '"' AS label,
+drawn AS (SELECT *, '"' || symbol || ' (' || node_id || ')\\nr: ' || (rank) || '"' AS label,
   count(*) OVER (PARTITION BY graph_id, pos) AS members,
   min(rank) OVER (PARTITION BY graph_id, pos) AS lead_rank FROM nodes),
 peers AS (SELECT a.graph_id, a.node_id, a.label, a.rank, a.lead_rank, b.label AS p,
   CASE WHEN a.rank = a.lead_rank THEN b.rank WHEN b.rank < a.rank AND b.rank <> b.lead_rank THEN b.rank
-       WHEN b.rank = b.lead_rank THEN a.rank ELSE b.rank END AS at
+       WHEN b.rank = b.lead_rank THEN a.rank ELSE b.rank END AS place
   FROM drawn a JOIN drawn b ON a.graph_id = b.graph_id AND a.pos = b.pos AND a.node_id <> b.node_id),
 counts AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1)
 SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, '// partial-order graph' AS line FROM counts
@@ -304,17 +304,17 @@ UNION ALL SELECT graph_id, 0, 1, 0, '// ' || n || ' nodes' FROM counts
 UNION ALL SELECT graph_id, 0, 2, 0, 'digraph po_graph {{' FROM counts
 UNION ALL SELECT graph_id, 0, 3, 0, chr(9) || 'graph [rankdir="LR"];' FROM counts
 UNION ALL SELECT graph_id, 0, 4, 0, chr(9) || 'node [width=1.2, style=filled, fixedsize=true, shape=circle];' FROM counts
-UNION ALL SELECT graph_id, 1, rank - 1, 0, label || ' [color=' || CASE symbol WHEN 'A' THEN 'lightskyblue'
+UNION ALL SELECT graph_id, 1, rank, 0, label || ' [color=' || CASE symbol WHEN 'A' THEN 'lightskyblue'
   WHEN 'C' THEN 'salmon' WHEN 'G' THEN 'lightgoldenrod' WHEN 'T' THEN 'limegreen' WHEN 'S' THEN 'thistle'
   WHEN 'E' THEN 'thistle' ELSE 'gray' END || ', fontsize=22]' FROM drawn
-UNION ALL SELECT e.graph_id, 2, a.rank - 1, e.ord, chr(9) || a.label || ' -> ' || b.label || ' [label="' || e.n
+UNION ALL SELECT e.graph_id, 2, a.rank, e.ord, chr(9) || a.label || ' -> ' || b.label || ' [label="' || e.n
   || '", penwidth=' || (e.n + 1) || ']' FROM edges e
   JOIN drawn a ON a.graph_id = e.graph_id AND a.node_id = e.src
   JOIN drawn b ON b.graph_id = e.graph_id AND b.node_id = e.dst
-UNION ALL SELECT graph_id, 2, rank - 1, 4611686018427387903, chr(9) || '{{rank=same; ' || label || ' '
-  || string_agg(p, ' ' ORDER BY at) || ' }};' FROM peers GROUP BY graph_id, node_id, label, rank
-UNION ALL SELECT graph_id, 2, rank - 1, 4611686018427387904, chr(9) || '{{ edge [style=dashed, arrowhead=none]; '
-  || label || ' -> ' || string_agg(p, ' -> ' ORDER BY at) || ' }}' FROM peers WHERE rank = lead_rank
+UNION ALL SELECT graph_id, 2, rank, 4611686018427387903, chr(9) || '{{rank=same; ' || label || ' '
+  || string_agg(p, ' ' ORDER BY place) || ' }};' FROM peers GROUP BY graph_id, node_id, label, rank
+UNION ALL SELECT graph_id, 2, rank, 4611686018427387904, chr(9) || '{{ edge [style=dashed, arrowhead=none]; '
+  || label || ' -> ' || string_agg(p, ' -> ' ORDER BY place) || ' }}' FROM peers WHERE rank = lead_rank
   GROUP BY graph_id, node_id, label, rank
 UNION ALL SELECT graph_id, 3, 0, 0, '}}' FROM counts"""
 
@@ -330,18 +330,18 @@ counts AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
 seqs AS (SELECT graph_id, count(*) AS q FROM reads GROUP BY 1),
 marked AS (SELECT graph_id, src, dst, string_agg(chr(10) || chr(9) || chr(9) || chr(9) || 'sequence_label: ' || label,
   '' ORDER BY label) AS labels FROM steps GROUP BY 1, 2, 3),
-drawn AS (SELECT e.*, m.labels, (src_rank - 1) || ' (' || src_symbol || ')' AS s, (dst_rank - 1) || ' (' || dst_symbol || ')' AS d
+drawn AS (SELECT e.*, m.labels, (src_rank) || ' (' || src_symbol || ')' AS s, (dst_rank) || ' (' || dst_symbol || ')' AS d
   FROM edges e JOIN marked m USING (graph_id, src, dst))
 SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 'num_sequences: ' || q AS line FROM seqs
 UNION ALL SELECT graph_id, 0, 1, 0, 'num_nodes: ' || n FROM counts
-UNION ALL SELECT graph_id, 1, rank - 1, -1, chr(9) || node_id || ': ' || symbol FROM nodes
-UNION ALL SELECT graph_id, 1, dst_rank - 1, ord, chr(9) || chr(9) || d || ' <--- ' || s || ' - W: ' || weight || labels FROM drawn
-UNION ALL SELECT graph_id, 1, src_rank - 1, ord + 1099511627776, chr(9) || chr(9) || s || ' ---> ' || d || ' - W: ' || weight || labels FROM drawn
+UNION ALL SELECT graph_id, 1, rank, -1, chr(9) || node_id || ': ' || symbol FROM nodes
+UNION ALL SELECT graph_id, 1, dst_rank, ord, chr(9) || chr(9) || d || ' <--- ' || s || ' - W: ' || weight || labels FROM drawn
+UNION ALL SELECT graph_id, 1, src_rank, ord + 1099511627776, chr(9) || chr(9) || s || ' ---> ' || d || ' - W: ' || weight || labels FROM drawn
 UNION ALL SELECT graph_id, 2, -1, 0, 'Rank' || chr(9) || 'NodeId' FROM counts
-UNION ALL SELECT graph_id, 2, rank - 1, 0, chr(9) || (rank - 1) || chr(9) || node_id || ' (' || symbol || ')' FROM nodes""")
+UNION ALL SELECT graph_id, 2, rank, 0, chr(9) || (rank) || chr(9) || node_id || ' (' || symbol || ')' FROM nodes""")
 def dump_lines(spark, folder):
     graph = graph_of(spark, folder)
-    return export.dump_lines(graph.nodes, graph.edge_rows(), ranks_of(spark, folder))
+    return export.dump_lines(graph.nodes, graph.edge_rows(), ranks_of(spark, folder), graph.starts())
 
 
 @query(f"""WITH RECURSIVE {GRAPH},
@@ -435,8 +435,19 @@ def ladder_segments(spark, folder):
     return segments.groupBy("graph_id").agg(F.array_join(ordered["line"], "\n").alias("segments"))
 
 
-# a graph spells each of its own sequences
+# position-wise graphs spell each of their own sequences from a source on
 @query(f"WITH {READS} SELECT graph_id, seq_rank, 0::BIGINT AS score FROM reads")
+def po_graph_distance_to_query_end(spark, folder):
+    graph = graph_of(spark, folder)
+    asked = reads(written_bundles(spark, folder)).select(
+        "graph_id", F.col("seq_rank").alias("query_id"), F.col("seq").alias("pattern")
+    )
+    nodes = graph_align.node_graph(graph.nodes)
+    found = graph_align.align_graphs(asked, nodes, graph.edges(), end="query")
+    return found.select("graph_id", F.col("query_id").alias("seq_rank"), "score")
+
+
+@query()
 def po_graph_distance(spark, folder):
     graph = written_graph(spark, folder, "star")
     asked = reads(written_bundles(spark, folder)).select(

@@ -70,12 +70,27 @@ scripts AS (
   FROM documents)"""
 
 
-def scaled_sql(value: str, pattern: str = "%.2f", after: str = "") -> str:
+def hundredths_sql(value: str, factor: int, width: int = 0) -> str:
+    """Two decimals in whole-number arithmetic, ties upwards."""
+    up = f"(({value})::HUGEINT * 100 + {factor // 2}) // {factor}"
+    text = f"(({up}) // 100)::VARCHAR || '.' || lpad((({up}) % 100)::VARCHAR, 2, '0')"
+    return f"lpad({text}, greatest({width}, len({text}))::INT, ' ')" if width else text
+
+
+def scaled_whole_sql(value: str, width: int = 0, after: str = "") -> str:
+    cases = " ".join(
+        f"WHEN {value} >= {factor} THEN {hundredths_sql(value, factor, width)} || '{after}{prefix}'"
+        for factor, prefix in ((1_000_000_000, "G"), (1_000_000, "M"), (1_000, "K"))
+    )
+    return f"CASE {cases} ELSE {hundredths_sql(value, 1, width)} || '{after}' END"
+
+
+def scaled_sql(value: str) -> str:
     cases = " ".join(
-        f"WHEN {value} >= {factor} THEN printf('{pattern}{after}{prefix}', ({value})::DOUBLE / {factor})"
+        f"WHEN {value} >= {factor} THEN printf('%.2f{prefix}', {value} / {factor})"
         for factor, prefix in ((1_000_000_000, "G"), (1_000_000, "M"), (1_000, "K"))
     )
-    return f"CASE {cases} ELSE printf('{pattern}{after}', ({value})::DOUBLE) END"
+    return f"CASE {cases} ELSE printf('%.2f', {value}) END"
 
 
 def scaled_count_sql(value: str) -> str:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
 from seqloom.functions.text import distance, distance_by_fold, distance_within
-from seqloom.operators.pairwise import align, align_wavefront, score_cells, wavefront_cells
+from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, wavefront_cells
 from seqloom.plans.oracle import LINES, READS, SCRIPTS
 from seqloom.plans.registry import query
+from seqloom.session import spread
 from seqloom.sources.reads import event_bundles, read_pairs, reads, written_bundles
 from seqloom.sources.tables import table
 
@@ -25,7 +26,7 @@ def pairs_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, line_no, a, b: every line with the next one; row-local, whole texts."""
-    lines = table(spark, folder, "documents", "doc_id", "text").withColumn("lines", F.split("text", "\n"))
+    lines = spread(table(spark, folder, "documents", "doc_id", "text")).withColumn("lines", F.split("text", "\n"))
     following = F.expr(
         "zip_with(slice(lines, 1, size(lines) - 1), slice(lines, 2, size(lines)), (a, b) -> struct(a, b))"
     )
@@ -66,7 +67,16 @@ def distance_linear_space_fold(spark, folder):
 
 @query(f"""WITH {LINES} SELECT doc_id, line_no, levenshtein(a, b) AS distance FROM line_pairs""")
 def document_byte_distance(spark, folder):
-    return document_lines(spark, folder).select("doc_id", "line_no", distance(*ab()).alias("distance"))
+    return document_lines(spark, folder).select("doc_id", "line_no", edit_distance(*ab()).alias("distance"))
+
+
+@query("""SELECT a.doc_id, levenshtein(a.text, b.text) AS distance
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def whole_document_distance(spark, folder):
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    following = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    pairs = spread(documents.join(following.hint("shuffle_hash"), "doc_id"))
+    return pairs.select("doc_id", edit_distance(F.col("text"), F.col("b")).alias("distance"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, line_no, levenshtein(a, b) AS distance FROM line_pairs
@@ -83,7 +93,7 @@ def conversation_turn_distance(spark, folder):
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     # (conv_id, turn) is unique, so the join has no heavy key
     return turns.join(following, ["conv_id", "turn"]).select(
-        "conv_id", "turn", distance(F.col("text"), F.col("b")).alias("distance")
+        "conv_id", "turn", edit_distance(F.col("text"), F.col("b")).alias("distance")
     )
 
 

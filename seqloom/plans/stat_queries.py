@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import maths, stats, symbols
-from seqloom.plans.oracle import scaled_count_sql, scaled_sql
+from seqloom.plans.oracle import hundredths_sql, scaled_count_sql, scaled_sql, scaled_whole_sql
 from seqloom.plans.registry import query
 from seqloom.sources.tables import table
 
@@ -76,8 +76,8 @@ def counter_combined_mean(spark, folder):
 def sampler_sql() -> str:
     parts = ["' (samples='", scaled_count_sql("samples")]
     for name, column in (("{mean", "mean"), (",min", "min"), (",Max", "max"),
-                         (",Var", "floor(variance)"), (",StdDev", "floor(stddev)")):
-        parts += [f"'{name}'", scaled_sql(column)]
+                         (",Var", "floor(variance)::BIGINT"), (",StdDev", "floor(stddev)::BIGINT")):
+        parts += [f"'{name}'", scaled_sql(column) if column == "mean" else scaled_whole_sql(column)]
     return " || ".join(f"({p})" for p in parts) + " || ')}'"
 
 
@@ -85,7 +85,7 @@ REPORT = f"""WITH counters AS (SELECT {FLAGS}, {COUNTER_SQL} FROM {AMOUNTS} GROU
 whole AS (SELECT sum(amount)::BIGINT AS whole FROM {AMOUNTS})"""
 
 
-@query(f"""{REPORT} SELECT {FLAGS}, ({scaled_sql("total", "%7.2f", " ")}) || CASE WHEN total >= 1000 THEN 'u' ELSE 'u ' END
+@query(f"""{REPORT} SELECT {FLAGS}, ({scaled_whole_sql("total", 7, " ")}) || CASE WHEN total >= 1000 THEN 'u' ELSE 'u ' END
 || '           ' || {sampler_sql()} AS line FROM counters""")
 def counter_report(spark, folder):
     counted = stats.counter(quantities(spark, folder), "amount", "l_returnflag", "l_linestatus")
@@ -140,10 +140,10 @@ def bounded_math(spark, folder):
 
 
 @query(f"""SELECT o_orderkey, {scaled_count_sql("cents")} AS amount,
-CASE WHEN ns >= 60000000000 THEN printf('%.2f m', ns::DOUBLE / 60000000000)
-WHEN ns >= 1000000000 THEN printf('%.2f s', ns::DOUBLE / 1000000000)
-WHEN ns >= 1000000 THEN printf('%.2f ms', ns::DOUBLE / 1000000)
-WHEN ns >= 1000 THEN printf('%.2f us', ns::DOUBLE / 1000) ELSE ns || ' ns' END AS duration
+CASE WHEN ns >= 60000000000 THEN {hundredths_sql("ns", 60000000000)} || ' m'
+WHEN ns >= 1000000000 THEN {hundredths_sql("ns", 1000000000)} || ' s'
+WHEN ns >= 1000000 THEN {hundredths_sql("ns", 1000000)} || ' ms'
+WHEN ns >= 1000 THEN {hundredths_sql("ns", 1000)} || ' us' ELSE ns || ' ns' END AS duration
 FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey * o_orderkey * 7 AS ns FROM orders)""")
 def humanized_units(spark, folder):
     key = F.col("o_orderkey")
