@@ -8,7 +8,7 @@ from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.pograph import PoGraph
-from seqloom.plans.oracle import GRAPH, LADDER_SCORE, LADDERS, READS
+from seqloom.plans.oracle import BUNDLE, GRAPH, LADDER_SCORE, LADDERS, NEWEST, READS
 from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
     ladder_graph, ladders, positional_graph, star_aligned_graph, written_graph,
@@ -104,9 +104,9 @@ def topological_rank(spark, folder):
     return long_ids(ranks_of(spark, folder), "rank")
 
 
-@query()
+@query(f"{NEWEST} SELECT graph_id, rank, stack[-1] AS node_id FROM walk WHERE len(stack) > 0")
 def topological_rank_newest_first(spark, folder):
-    return ranks_of(spark, folder, "newest")
+    return long_ids(ranks_of(spark, folder, "newest"), "rank")
 
 
 @query()
@@ -179,13 +179,13 @@ def heaviest_bundle_scores(spark, folder):
     return ranking.consensus_scores(graph.nodes, graph.edges())
 
 
-@query()
+@query(f"{BUNDLE} SELECT graph_id, step AS pos, node_id FROM bundle")
 def heaviest_bundle(spark, folder):
     graph = graph_of(spark, folder)
-    return ranking.consensus(graph.nodes, graph.edges())
+    return long_ids(ranking.consensus(graph.nodes, graph.edges()), "pos")
 
 
-@query()
+@query(f"{BUNDLE} SELECT graph_id, string_agg(symbol, '' ORDER BY step) AS consensus FROM bundle GROUP BY 1")
 def consensus_text(spark, folder):
     graph = graph_of(spark, folder)
     path = ranking.consensus(graph.nodes, graph.edges())
@@ -263,25 +263,31 @@ def read_paths(spark, folder):
     )
 
 
-@query(f"""WITH {GRAPH},
+def gfa_sql(start: str, consensus: int) -> str:
+    return f"""{start},
 sizes AS (SELECT graph_id, (SELECT count(*) FROM nodes n WHERE n.graph_id = g.graph_id) AS s,
   (SELECT count(*) FROM edges e WHERE e.graph_id = g.graph_id) AS l,
   (SELECT count(*) FROM reads r WHERE r.graph_id = g.graph_id) AS p
   FROM (SELECT DISTINCT graph_id FROM nodes) g)
 SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'NS:i:' || s
-  || chr(9) || 'NL:i:' || l || chr(9) || 'NP:i:' || p AS line FROM sizes
+  || chr(9) || 'NL:i:' || l || chr(9) || 'NP:i:' || (p + {consensus}) AS line FROM sizes
 UNION ALL SELECT graph_id, 1, rank, -1, 'S' || chr(9) || node_id || chr(9) || symbol FROM nodes
 UNION ALL SELECT graph_id, 1, dst_rank, ord,
   'L' || chr(9) || src || chr(9) || '+' || chr(9) || dst || chr(9) || '+' || chr(9) || '0M' FROM edges
 UNION ALL SELECT graph_id, 2, seq_rank, 0, 'P' || chr(9) || seq_rank || chr(9)
-  || string_agg(node_id || '+', ',' ORDER BY pos) || chr(9) || '*' FROM paths GROUP BY graph_id, seq_rank""")
+  || string_agg(node_id || '+', ',' ORDER BY pos) || chr(9) || '*' FROM paths GROUP BY graph_id, seq_rank"""
+
+
+@query(gfa_sql(f"WITH {GRAPH}", 0))
 def gfa_lines(spark, folder):
     graph = graph_of(spark, folder)
     nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
     return export.gfa_lines(nodes, graph.edges(), graph.paths, ranks_of(spark, folder))
 
 
-@query()
+@query(gfa_sql(BUNDLE, 1) + """
+UNION ALL SELECT graph_id, 3, 0, 0, 'P' || chr(9) || 'Consensus_sequence' || chr(9)
+  || string_agg(node_id || '+', ',' ORDER BY step) || chr(9) || '*' FROM bundle GROUP BY graph_id""")
 def gfa_lines_with_consensus(spark, folder):
     graph = graph_of(spark, folder)
     edges = graph.edges()

@@ -99,3 +99,74 @@ def scaled_count_sql(value: str) -> str:
         for factor, prefix in ((1_000_000_000, "G"), (1_000_000, "M"), (1_000, "K"))
     )
     return f"CASE {cases} ELSE ({value})::VARCHAR END"
+
+
+# The heaviest bundle as a walk over the ranks of every graph: score node by node, take the
+# first best node, and while it is no sink set its rivals aside and score what follows again.
+BUNDLE = "WITH RECURSIVE " + GRAPH + """,
+ins AS (SELECT graph_id, dst_rank AS rank, list({w: weight, o: ord, s: src_rank}) AS e FROM edges GROUP BY 1, 2),
+rivals AS (
+  SELECT x.graph_id, x.src_rank AS rank, list(DISTINCT y.src_rank) AS v
+  FROM edges x JOIN edges y ON x.graph_id = y.graph_id AND x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2),
+inner_ AS (SELECT DISTINCT graph_id, src_rank AS rank FROM edges),
+packed AS (
+  SELECT n.graph_id, count(*) AS n, list(coalesce(i.e, []) ORDER BY n.rank) AS ins,
+         list(coalesce(v.v, []) ORDER BY n.rank) AS rivals, list(o.rank IS NULL ORDER BY n.rank) AS sink
+  FROM nodes n LEFT JOIN ins i USING (graph_id, rank) LEFT JOIN rivals v USING (graph_id, rank)
+               LEFT JOIN inner_ o USING (graph_id, rank) GROUP BY 1),
+walk AS (
+  SELECT graph_id, 0::BIGINT AS r, 0::BIGINT AS low, false AS again, -1::BIGINT AS tip,
+         list_transform(range(n), lambda x: -1::BIGINT) AS scores,
+         list_transform(range(n), lambda x: NULL::BIGINT) AS preds FROM packed
+  UNION ALL (
+  SELECT graph_id, r + 1, low, again, -1,
+         list_transform(scores, lambda x, i: CASE WHEN i = r + 1 THEN coalesce(best.w + best.c, -1) ELSE x END),
+         list_transform(preds, lambda x, i: CASE WHEN i = r + 1 THEN best.s ELSE x END)
+  FROM (SELECT w.*, list_max(list_transform(
+            list_filter(p.ins[r + 1], lambda e: NOT again OR scores[e.s + 1] <> -1),
+            lambda e: {w: e.w, c: scores[e.s + 1], o: e.o, s: e.s})) AS best
+        FROM walk w JOIN packed p USING (graph_id) WHERE tip < 0 AND r < n)
+  UNION ALL
+  SELECT graph_id, CASE WHEN sink[top] THEN r ELSE top END, CASE WHEN sink[top] THEN low ELSE top END, true,
+         CASE WHEN sink[top] THEN top - 1 ELSE -1 END,
+         CASE WHEN sink[top] THEN scores ELSE list_transform(scores,
+              lambda x, i: CASE WHEN list_contains(rivals[top], i - 1) THEN -1 ELSE x END) END, preds
+  FROM (SELECT w.*, p.sink, p.rivals, low + list_position(scores[low + 1 :], list_max(scores[low + 1 :])) AS top
+        FROM walk w JOIN packed p USING (graph_id) WHERE tip < 0 AND r = n))),
+back AS (
+  SELECT graph_id, tip AS rank, preds, 0 AS steps FROM walk WHERE tip >= 0
+  UNION ALL
+  SELECT graph_id, preds[rank + 1], preds, steps + 1 FROM back WHERE preds[rank + 1] IS NOT NULL),
+bundle AS (
+  SELECT b.graph_id, max(steps) OVER (PARTITION BY b.graph_id) - steps AS step, n.node_id, n.symbol
+  FROM back b JOIN nodes n USING (graph_id, rank))"""
+
+# last released first: pop the newest node, push those of its successors it sets free
+NEWEST = "WITH RECURSIVE " + GRAPH + """,
+outs AS (SELECT graph_id, src AS node_id, list(dst ORDER BY ord, dst) AS v FROM edges GROUP BY 1, 2),
+ins AS (SELECT graph_id, dst AS node_id, count(*) AS d FROM edges GROUP BY 1, 2),
+packed AS (
+  SELECT n.graph_id, list(coalesce(o.v, []) ORDER BY n.node_id) AS outs,
+         list(coalesce(i.d, 0) ORDER BY n.node_id) AS degree,
+         list(n.node_id ORDER BY n.node_id) FILTER (i.d IS NULL) AS sources
+  FROM nodes n LEFT JOIN outs o USING (graph_id, node_id) LEFT JOIN ins i USING (graph_id, node_id) GROUP BY 1),
+walk AS (
+  SELECT graph_id, 0::BIGINT AS rank, sources AS stack, degree FROM packed
+  UNION ALL
+  SELECT graph_id, rank + 1, stack[: -2] || list_filter(next, lambda x: degree[x + 1] = 1),
+         list_transform(degree, lambda d, i: d - CASE WHEN list_contains(next, i - 1) THEN 1 ELSE 0 END)
+  FROM (SELECT w.*, p.outs[w.stack[-1] + 1] AS next FROM walk w JOIN packed p USING (graph_id) WHERE len(w.stack) > 0))"""
+
+# backward over the table: D before I before M before X, then what is left at the border
+SCRIPT = "WITH RECURSIVE " + READS + """,
+walk AS (
+  SELECT graph_id, seq_rank, a, b, len(a) AS v, len(b) AS h, '' AS ops FROM pairs
+  UNION ALL
+  SELECT graph_id, seq_rank, a, b, v - CASE WHEN op = 'I' THEN 0 ELSE 1 END,
+         h - CASE WHEN op = 'D' THEN 0 ELSE 1 END, op || ops
+  FROM (SELECT *, CASE WHEN h = 0 THEN 'D' WHEN v = 0 THEN 'I'
+    WHEN levenshtein(left(a, v), left(b, h)) = levenshtein(left(a, v - 1), left(b, h)) + 1 THEN 'D'
+    WHEN levenshtein(left(a, v), left(b, h)) = levenshtein(left(a, v), left(b, h - 1)) + 1 THEN 'I'
+    WHEN a[v] = b[h] THEN 'M' ELSE 'X' END AS op
+    FROM walk WHERE v > 0 OR h > 0)),
+scripts AS (SELECT graph_id, seq_rank, a, b, ops FROM walk WHERE v = 0 AND h = 0)"""

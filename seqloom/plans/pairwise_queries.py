@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seqloom.functions import cigar
 from seqloom.functions.text import distance, distance_by_fold, distance_within
 from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, wavefront_cells
-from seqloom.plans.oracle import LINES, READS, SCRIPTS
+from seqloom.plans.oracle import LINES, READS, SCRIPT, SCRIPTS
 from seqloom.plans.registry import query
 from seqloom.session import spread
 from seqloom.sources.reads import event_bundles, read_pairs, reads, written_bundles
@@ -169,7 +169,8 @@ def wfa_cigar_check(spark, folder):
     )
 
 
-@query()
+@query(f"""{SCRIPT} SELECT graph_id, seq_rank, array_to_string(list_transform(
+regexp_extract_all(ops, 'M+|X+|I+|D+'), lambda r: len(r)::VARCHAR || left(r, 1)), '') AS cigar FROM scripts""")
 def cigar_text(spark, folder):
     return aligned_pairs(spark, folder).select(
         "graph_id", "seq_rank", cigar.compact(F.col("ops")).alias("cigar")
