@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Character classes as regular expressions over one symbol.
+DIGITS = "0123456789"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+# The symbols of each class.
 CLASSES = {
-    "digit": "[0-9]",
-    "letter": "[A-Za-z]",
-    "alphanumeric": "[0-9A-Za-z]",
-    "hex_digit": "[0-9A-Fa-f]",
-    "eol": "[\\n]",
-    "any_eol": "[\\n\\r]",
-    "end_of_record": "[\\n\\x00]",
-    "end_of_field": "[\\n\\x00 \\t]",
+    "digit": DIGITS,
+    "letter": LOWER + LOWER.upper(),
+    "alphanumeric": DIGITS + LOWER + LOWER.upper(),
+    "hex_digit": DIGITS + "abcdefABCDEF",
+    "eol": "\n",
+    "any_eol": "\n\r",
+    "end_of_record": "\n\0",
+    "end_of_field": "\n\0 \t",
 }
 
 # Base codes; every other symbol is 4.
@@ -22,13 +25,12 @@ OTHER_BASE = 4
 
 
 def is_class(symbol: Column, name: str) -> Column:
-    return symbol.rlike(f"^{CLASSES[name]}$") & (F.length(symbol) == 1)
+    return (F.length(symbol) == 1) & F.contains(F.lit(CLASSES[name]), symbol)
 
 
 def count_class(text: Column, name: str) -> Column:
     """How many symbols of a text are in the class."""
-    kept = F.regexp_replace(text, CLASSES[name].replace("[", "[^", 1), "")
-    return F.length(kept).cast("long")
+    return (F.length(text) - F.length(F.translate(text, CLASSES[name], ""))).cast("long")
 
 
 def base_index(symbol: Column) -> Column:

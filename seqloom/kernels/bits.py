@@ -21,67 +21,70 @@ def positions(pattern: np.ndarray) -> dict[int, int]:
     }
 
 
-def advance(up: int, down: int, equal: int, full: int) -> tuple[int, int, int, int]:
-    """The next column, and where it lies above (``rise``) or below (``fall``) this one."""
-    diagonal = (((equal & up) + up) ^ up) | equal
-    rise = down | (full & ~(diagonal | up))
-    fall = up & diagonal
-    # row 0 rises by one from column to column
-    entering, leaving = (rise << 1) | 1, fall << 1
-    vertical = equal | down
-    return (leaving | ~(vertical | entering)) & full, entering & vertical & full, rise, fall
+def columns(where: dict[int, int], size: int, text: list[int], border: tuple[int, int]):
+    """From the column ``border`` on, yield per symbol: up, down, rise, fall.
+
+    rise and fall tell where the new column lies above and below the one before it.
+    """
+    full = (1 << size) - 1
+    up, down = border
+    for symbol in text:
+        equal = where.get(symbol, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal
+        rise = down | (full & ~(diagonal | up))
+        fall = up & diagonal
+        # row 0 rises by one from column to column
+        entering = (rise << 1) | 1
+        vertical = equal | down
+        up = ((fall << 1) | ~(vertical | entering)) & full
+        down = entering & vertical & full
+        yield up, down, rise, fall
 
 
-def bit_distance(pattern: np.ndarray, text: np.ndarray) -> int:
-    if len(pattern) == 0:
-        return len(text)
-    where, full = positions(pattern), (1 << len(pattern)) - 1
-    last = 1 << (len(pattern) - 1)
-    up, down, score = full, 0, len(pattern)
-    for symbol in text.tolist():
-        up, down, rise, fall = advance(up, down, where.get(symbol, 0), full)
-        score += bool(rise & last) - bool(fall & last)
+def bit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    rows, text = (a, b) if len(a) >= len(b) else (b, a)
+    if len(text) == 0:
+        return len(rows)
+    last, score = len(rows) - 1, len(rows)
+    start = ((1 << len(rows)) - 1, 0)
+    for _, _, rise, fall in columns(positions(rows), len(rows), text.tolist(), start):
+        score += (rise >> last) - (fall >> last)
     return score
 
 
 def bit_align(pattern: np.ndarray, text: np.ndarray) -> tuple[int, str]:
     """(distance, operations), ties by D, I, M, X.
 
-    Only the columns at block borders are kept; a block's columns are made again when the
-    backward pass enters it.
+    The longer string lies along the bits. Columns are kept for one block at a time; the
+    columns at block borders are remembered, so a block is made when the walk enters it.
     """
-    n, m = len(pattern), len(text)
-    where, full = positions(pattern), (1 << n) - 1
-    masks = [where.get(symbol, 0) for symbol in text.tolist()]
-    stride = max(1, BLOCK_BITS // (2 * max(n, 1)))
-    up, down, borders = full, 0, [(full, 0)]
-
-    def columns(border: tuple[int, int], part: list[int]) -> list[tuple[int, int]]:
-        ups, (u, d) = [], border
-        for mask in part:
-            u, d, rise, _ = advance(u, d, mask, full)
-            ups.append((u, rise))
-        return ups
-
-    for low in range(0, max(m - stride, 0), stride):
-        for mask in masks[low : low + stride]:
-            up, down, _, _ = advance(up, down, mask, full)
+    upright = len(pattern) >= len(text)
+    rows, cols = (pattern, text) if upright else (text, pattern)
+    where, symbols, size = positions(rows), cols.tolist(), len(rows)
+    stride = max(1, BLOCK_BITS // (2 * max(size, 1)))
+    borders = [((1 << size) - 1, 0)]
+    for low in range(0, len(symbols) - stride, stride):
+        for up, down, _, _ in columns(where, size, symbols[low : low + stride], borders[-1]):
+            pass
         borders.append((up, down))
-    v, h, ops = n, m, []
-    while v > 0 and h > 0:
-        low = (h - 1) // stride * stride
-        block = columns(borders[low // stride], masks[low:h])
-        while v > 0 and h > low:
-            rises_down, rises_right = block[h - low - 1]
-            bit = v - 1
-            if (rises_down >> bit) & 1:
+    r, c, ops = size, len(symbols), []
+    while r > 0 and c > 0:
+        low = (c - 1) // stride * stride
+        block = [(up, rise) for up, _, rise, _ in columns(where, size, symbols[low:c], borders[low // stride])]
+        while r > 0 and c > low:
+            up, rise = block[c - low - 1]
+            bit = r - 1
+            first, second = (up, rise) if upright else (rise, up)
+            if (first >> bit) & 1:
                 ops.append("D")
-                v -= 1
-            elif (rises_right >> bit) & 1:
+                r, c = (bit, c) if upright else (r, c - 1)
+            elif (second >> bit) & 1:
                 ops.append("I")
-                h -= 1
+                r, c = (r, c - 1) if upright else (bit, c)
             else:
-                ops.append("M" if (masks[h - 1] >> bit) & 1 else "X")
-                v, h = v - 1, h - 1
-    script = "I" * h + "D" * v + "".join(reversed(ops))
+                c -= 1
+                ops.append("M" if (where.get(symbols[c], 0) >> bit) & 1 else "X")
+                r = bit
+    left = "D" * r + "I" * c if upright else "I" * r + "D" * c
+    script = left + "".join(reversed(ops))
     return len(script) - script.count("M"), script

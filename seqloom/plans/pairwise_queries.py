@@ -89,7 +89,7 @@ def document_lines_within_threshold(spark, folder):
 @query("""SELECT a.conv_id, a.turn, levenshtein(a.text, b.text) AS distance
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def conversation_turn_distance(spark, folder):
-    turns = table(spark, folder, "conversations", "conv_id", "turn", "text")
+    turns = spread(table(spark, folder, "conversations", "conv_id", "turn", "text"))
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     # (conv_id, turn) is unique, so the join has no heavy key
     return turns.join(following, ["conv_id", "turn"]).select(
@@ -180,7 +180,7 @@ def cigar_text(spark, folder):
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ops: the letters of every whole document read as edit operations."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return spread(table(spark, folder, "documents", "doc_id", "text")).select(
         "doc_id",
         F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "MXMDMIMMMXMMMDXMXMMIDXMMIM").alias("ops"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import maths, stats, symbols
 from seqloom.plans.oracle import hundredths_sql, scaled_count_sql, scaled_sql, scaled_whole_sql
 from seqloom.plans.registry import query
+from seqloom.session import spread
 from seqloom.sources.tables import table
 
 FLAGS = "l_returnflag, l_linestatus"
@@ -166,16 +167,26 @@ def base_index(spark, folder):
     )
 
 
+# The same classes as regular expressions of what is not in them.
+OUTSIDE = {
+    "digit": "[^0-9]",
+    "letter": "[^A-Za-z]",
+    "alphanumeric": "[^0-9A-Za-z]",
+    "hex_digit": "[^0-9A-Fa-f]",
+    "eol": "[^\\n]",
+    "any_eol": "[^\\n\\r]",
+    "end_of_record": "[^\\n\\x00]",
+    "end_of_field": "[^\\n\\x00 \\t]",
+}
 CLASS_SQL = ", ".join(
-    f"len(regexp_replace(text, '{pattern.replace('[', '[^', 1)}', '', 'g')) AS {name}"
-    for name, pattern in symbols.CLASSES.items()
+    f"len(regexp_replace(text, '{pattern}', '', 'g')) AS {name}" for name, pattern in OUTSIDE.items()
 )
 
 
 @query(f"SELECT doc_id, {CLASS_SQL} FROM documents")
 def char_classes(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents", "doc_id", "text").select(
+    return spread(table(spark, folder, "documents", "doc_id", "text")).select(
         "doc_id", *[symbols.count_class(text, name).alias(name) for name in symbols.CLASSES]
     )
 
