@@ -58,6 +58,36 @@ def align_graphs(
     return found.withColumn("cigar", compact_path(F.col("path")))
 
 
+def ordered_graphs(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, ids, texts, preds: packed graphs with segments in topological order.
+
+    The order is found once per graph, not once per query.
+    """
+    graphs = pack(segments.withColumnRenamed("segment_id", "node_id"), edges, "sequence")
+    shape = T.StructType(
+        [
+            T.StructField("ids", T.ArrayType(T.LongType())),
+            T.StructField("texts", T.ArrayType(T.StringType())),
+            T.StructField("preds", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        ]
+    )
+
+    def arranged(ids, sequences, src, dst):
+        place = {int(v): i for i, v in enumerate(ids)}
+        links = [(place[int(a)], place[int(b)], 1) for a, b in zip(src, dst)]
+        preds, succs, _ = orders.neighbours(len(ids), links)
+        order = orders.newest_first(preds, succs)
+        at = {v: r for r, v in enumerate(order)}
+        return [int(ids[v]) for v in order], [sequences[v] for v in order], [[at[u] for u in preds[v]] for v in order]
+
+    @F.pandas_udf(shape)
+    def arrange(ids: pd.Series, sequences: pd.Series, src: pd.Series, dst: pd.Series) -> pd.DataFrame:
+        rows = [arranged(*row) for row in zip(ids, sequences, src, dst)]
+        return pd.DataFrame(rows, columns=["ids", "texts", "preds"])
+
+    return graphs.select("graph_id", arrange("ids", "sequence", "src", "dst").alias("g")).select("graph_id", "g.*")
+
+
 def align_packed(
     queries: DataFrame,
     segments: DataFrame,
@@ -66,31 +96,25 @@ def align_packed(
     end: str = "global",
     match: Callable = equal_symbols,
 ) -> DataFrame:
-    graphs = pack(segments.withColumnRenamed("segment_id", "node_id"), edges, "sequence")
-
-    def best(pattern, ids, sequences, src, dst):
-        place = {int(v): i for i, v in enumerate(ids)}
-        links = [(place[int(a)], place[int(b)], 1) for a, b in zip(src, dst)]
-        preds, succs, _ = orders.neighbours(len(ids), links)
-        order = orders.newest_first(preds, succs)
-        at = {v: r for r, v in enumerate(order)}
-        texts = [symbols(sequences[v]) for v in order]
-        before = [[at[u] for u in preds[v]] for v in order]
+    def best(pattern, ids, texts, preds):
+        texts, preds = [symbols(t) for t in texts], [list(p) for p in preds]
         if method == "wavefront":
-            score, path = dags.wavefront_align(symbols(pattern), texts, before, match)
+            score, path = dags.wavefront_align(symbols(pattern), texts, preds, match)
         else:
-            score, path = dags.table_align(symbols(pattern), texts, before, match, end)
-        return score, [{"segment": int(ids[order[i]]), "ops": ops} for i, ops in path]
+            score, path = dags.table_align(symbols(pattern), texts, preds, match, end)
+        return score, [{"segment": int(ids[i]), "ops": ops} for i, ops in path]
 
     @F.pandas_udf(FOUND)
-    def aligned(pattern: pd.Series, ids: pd.Series, sequences: pd.Series, src: pd.Series,
-                dst: pd.Series) -> pd.DataFrame:
-        rows = [best(*row) for row in zip(pattern, ids, sequences, src, dst)]
+    def aligned(pattern: pd.Series, ids: pd.Series, texts: pd.Series, preds: pd.Series) -> pd.DataFrame:
+        rows = [best(*row) for row in zip(pattern, ids, texts, preds)]
         return pd.DataFrame(rows, columns=["score", "path"])
 
-    met = spread_join(queries.select("graph_id", "query_id", "pattern"), graphs, "graph_id", "query_id")
+    met = spread_join(
+        queries.select("graph_id", "query_id", "pattern"),
+        ordered_graphs(segments, edges), "graph_id", "query_id",
+    )
     return met.select(
-        "graph_id", "query_id", aligned("pattern", "ids", "sequence", "src", "dst").alias("found")
+        "graph_id", "query_id", aligned("pattern", "ids", "texts", "preds").alias("found")
     ).select("graph_id", "query_id", "found.score", "found.path")
 
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seqloom.kernels import orders
-from seqloom.operators.packing import pack
+from seqloom.operators.by_level import heaviest_by_level, set_ranks
+from seqloom.operators.packing import PACK_LIMIT, by_size, pack
 
 IDS = T.ArrayType(T.LongType())
 
@@ -46,22 +47,28 @@ def _packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pack(nodes, edges, "aligned")
 
 
-def ranks(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
+def ranks(
+    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
+) -> DataFrame:
     """graph_id, rank, node_id.
 
     newest  : continue with the node released last
     grouped : the same, releasing aligned nodes together
     depth   : ancestors first, aligned nodes next to each other
-    These orders are sequential within a graph; for graphs beyond ``packing.PACK_LIMIT``
-    use ``segments.levels`` and ``segments.level_order``, which give an order of any size.
+    These exact orders are sequential within a graph. Graphs with more than ``limit`` rows
+    are ordered by level instead, also with aligned nodes next to each other.
     """
 
     def walk(ids, src, dst, weight, aligned):
         preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)
         return [int(ids[v]) for v in _ordered(order, preds, succs, peers)]
 
+    sized = by_size(nodes, edges, limit=limit)
     ordered = _per_graph(IDS, walk)("ids", "src", "dst", "weight", "aligned")
-    return _packed(nodes, edges).select("graph_id", F.posexplode(ordered).alias("rank", "node_id"))
+    ranked = _packed(*sized.small).select(
+        "graph_id", F.posexplode(ordered).alias("rank", "node_id")
+    )
+    return ranked if sized.large is None else ranked.unionByName(set_ranks(*sized.large))
 
 
 def released_columns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,14 +104,22 @@ def heaviest(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFr
     )
 
 
-def consensus(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
-    """graph_id, pos, node_id along the heaviest bundle."""
-    return heaviest(nodes, edges, order).select(
+def consensus(
+    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
+) -> DataFrame:
+    """graph_id, pos, node_id along the heaviest bundle, for graphs of any size."""
+    sized = by_size(nodes, edges, limit=limit)
+    path = heaviest(*sized.small, order).select(
         "graph_id", F.posexplode("path").alias("pos", "node_id")
     )
+    return path if sized.large is None else path.unionByName(heaviest_by_level(*sized.large)[1])
 
 
-def consensus_scores(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
+def consensus_scores(
+    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
+) -> DataFrame:
     """graph_id, node_id, score: path weight of each node before any branch completion."""
+    sized = by_size(nodes, edges, limit=limit)
     both = F.explode(F.arrays_zip(F.col("ids").alias("node_id"), F.col("scores").alias("score")))
-    return heaviest(nodes, edges, order).select("graph_id", both.alias("n")).select("graph_id", "n.*")
+    scores = heaviest(*sized.small, order).select("graph_id", both.alias("n")).select("graph_id", "n.*")
+    return scores if sized.large is None else scores.unionByName(heaviest_by_level(*sized.large)[0])
