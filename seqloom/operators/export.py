@@ -1,6 +1,6 @@
 """Graphs as text lines (GFA, DOT, plain dump), ordered by key columns.
 
-Every function returns graph_id, section, major, minor, line. Sorting by these keys gives
+Every function returns graph_id, section, major, minor, detail, line. Sorting by these keys gives
 the file; ``write_lines`` does so with one range-sorted text output per call.
 """
 
@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-KEYS = ["graph_id", "section", "major", "minor"]
+from seqloom.operators.segments import merge_edges
+
+KEYS = ["graph_id", "section", "major", "minor", "detail"]
 
 # Node colours by base; any other symbol is gray.
 COLOURS = {
@@ -22,13 +24,14 @@ COLOURS = {
 }
 
 
-def _line(section: int, major, minor, *parts) -> list[Column]:
+def _line(section: int, major, minor, *parts, detail=0) -> list[Column]:
     as_long = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("long")
     return [
         F.col("graph_id"),
         F.lit(section).alias("section"),
         as_long(major).alias("major"),
         as_long(minor).alias("minor"),
+        as_long(detail).alias("detail"),
         F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("line"),
     ]
 
@@ -167,10 +170,7 @@ def dot_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, ids: boo
 def dump_lines(
     nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, starts: DataFrame
 ) -> DataFrame:
-    """Plain listing: counts, nodes with their edges and labels, and the rank table.
-
-    An edge and its labels are one multi-line row under its node.
-    """
+    """Plain listing: counts, nodes with their edges and labels, and the rank table."""
     drawn = nodes.join(ranks, ["graph_id", "node_id"]).select("graph_id", "node_id", "symbol", "rank")
     end = lambda side: drawn.select(
         "graph_id", F.col("node_id").alias(side),
@@ -187,21 +187,21 @@ def dump_lines(
         *_line(0, F.col("at"), 0, F.col("text")))
     lines = lines.unionByName(
         drawn.select(*_line(1, F.col("rank"), -1, "\t", F.col("node_id"), ": ", F.col("symbol"))))
-    edges = (
-        edge_rows.groupBy("graph_id", "src", "dst")
-        .agg(F.sum("weight").alias("weight"), F.min("ord").alias("ord"),
-             F.array_sort(F.collect_list("label")).alias("labels"))
-        .join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"])
-    )
-    labels = F.array_join(
-        F.transform("labels", lambda x: F.concat(F.lit("\n\t\t\tsequence_label: "), x.cast("string"))), "")
+    merged = merge_edges(edge_rows)
+    edges = merged.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"])
+    weight = [" - W: ", F.col("weight")]
     far = 1 << 40  # outgoing edges come after incoming ones
-    lines = lines.unionByName(edges.select(*_line(
-        1, F.col("dst_rank"), F.col("ord"), "\t\t", F.col("dst_text"), " <--- ", F.col("src_text"), " - W: ",
-        F.col("weight"), labels)))
-    lines = lines.unionByName(edges.select(*_line(
-        1, F.col("src_rank"), F.col("ord") + far, "\t\t", F.col("src_text"), " ---> ", F.col("dst_text"), " - W: ",
-        F.col("weight"), labels)))
+    incoming, outgoing = (F.col("dst_rank"), F.col("ord")), (F.col("src_rank"), F.col("ord") + far)
+    lines = lines.unionByName(
+        edges.select(*_line(1, *incoming, "\t\t", F.col("dst_text"), " <--- ", F.col("src_text"), *weight)))
+    lines = lines.unionByName(
+        edges.select(*_line(1, *outgoing, "\t\t", F.col("src_text"), " ---> ", F.col("dst_text"), *weight)))
+    # labels are rows of their own: an edge may carry any number of them
+    labelled = edges.drop("weight").join(
+        edge_rows.select("graph_id", "src", "dst", "label"), ["graph_id", "src", "dst"])
+    for side in (incoming, outgoing):
+        lines = lines.unionByName(labelled.select(
+            *_line(1, *side, "\t\t\tsequence_label: ", F.col("label"), detail=F.col("label") + 1)))
     lines = lines.unionByName(totals.select(*_line(2, -1, 0, "Rank\tNodeId")))
     return lines.unionByName(drawn.select(*_line(
         2, F.col("rank"), 0, "\t", F.col("rank"), "\t", F.col("node_id"), " (", F.col("symbol"), ")")))

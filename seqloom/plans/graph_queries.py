@@ -269,12 +269,12 @@ sizes AS (SELECT graph_id, (SELECT count(*) FROM nodes n WHERE n.graph_id = g.gr
   (SELECT count(*) FROM edges e WHERE e.graph_id = g.graph_id) AS l,
   (SELECT count(*) FROM reads r WHERE r.graph_id = g.graph_id) AS p
   FROM (SELECT DISTINCT graph_id FROM nodes) g)
-SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'NS:i:' || s
+SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 0 AS detail, 'H' || chr(9) || 'VN:Z:1.0' || chr(9) || 'NS:i:' || s
   || chr(9) || 'NL:i:' || l || chr(9) || 'NP:i:' || (p + {consensus}) AS line FROM sizes
-UNION ALL SELECT graph_id, 1, rank, -1, 'S' || chr(9) || node_id || chr(9) || symbol FROM nodes
-UNION ALL SELECT graph_id, 1, dst_rank, ord,
+UNION ALL SELECT graph_id, 1, rank, -1, 0, 'S' || chr(9) || node_id || chr(9) || symbol FROM nodes
+UNION ALL SELECT graph_id, 1, dst_rank, ord, 0,
   'L' || chr(9) || src || chr(9) || '+' || chr(9) || dst || chr(9) || '+' || chr(9) || '0M' FROM edges
-UNION ALL SELECT graph_id, 2, seq_rank, 0, 'P' || chr(9) || seq_rank || chr(9)
+UNION ALL SELECT graph_id, 2, seq_rank, 0, 0, 'P' || chr(9) || seq_rank || chr(9)
   || string_agg(node_id || '+', ',' ORDER BY pos) || chr(9) || '*' FROM paths GROUP BY graph_id, seq_rank"""
 
 
@@ -286,7 +286,7 @@ def gfa_lines(spark, folder):
 
 
 @query(gfa_sql(BUNDLE, 1) + """
-UNION ALL SELECT graph_id, 3, 0, 0, 'P' || chr(9) || 'Consensus_sequence' || chr(9)
+UNION ALL SELECT graph_id, 3, 0, 0, 0, 'P' || chr(9) || 'Consensus_sequence' || chr(9)
   || string_agg(node_id || '+', ',' ORDER BY step) || chr(9) || '*' FROM bundle GROUP BY graph_id""")
 def gfa_lines_with_consensus(spark, folder):
     graph = graph_of(spark, folder)
@@ -305,24 +305,24 @@ peers AS (SELECT a.graph_id, a.node_id, a.label, a.rank, a.lead_rank, b.label AS
        WHEN b.rank = b.lead_rank THEN a.rank ELSE b.rank END AS place
   FROM drawn a JOIN drawn b ON a.graph_id = b.graph_id AND a.pos = b.pos AND a.node_id <> b.node_id),
 counts AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1)
-SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, '// partial-order graph' AS line FROM counts
-UNION ALL SELECT graph_id, 0, 1, 0, '// ' || n || ' nodes' FROM counts
-UNION ALL SELECT graph_id, 0, 2, 0, 'digraph po_graph {{' FROM counts
-UNION ALL SELECT graph_id, 0, 3, 0, chr(9) || 'graph [rankdir="LR"];' FROM counts
-UNION ALL SELECT graph_id, 0, 4, 0, chr(9) || 'node [width=1.2, style=filled, fixedsize=true, shape=circle];' FROM counts
-UNION ALL SELECT graph_id, 1, rank, 0, label || ' [color=' || CASE symbol WHEN 'A' THEN 'lightskyblue'
+SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 0 AS detail, '// partial-order graph' AS line FROM counts
+UNION ALL SELECT graph_id, 0, 1, 0, 0, '// ' || n || ' nodes' FROM counts
+UNION ALL SELECT graph_id, 0, 2, 0, 0, 'digraph po_graph {{' FROM counts
+UNION ALL SELECT graph_id, 0, 3, 0, 0, chr(9) || 'graph [rankdir="LR"];' FROM counts
+UNION ALL SELECT graph_id, 0, 4, 0, 0, chr(9) || 'node [width=1.2, style=filled, fixedsize=true, shape=circle];' FROM counts
+UNION ALL SELECT graph_id, 1, rank, 0, 0, label || ' [color=' || CASE symbol WHEN 'A' THEN 'lightskyblue'
   WHEN 'C' THEN 'salmon' WHEN 'G' THEN 'lightgoldenrod' WHEN 'T' THEN 'limegreen' WHEN 'S' THEN 'thistle'
   WHEN 'E' THEN 'thistle' ELSE 'gray' END || ', fontsize=22]' FROM drawn
-UNION ALL SELECT e.graph_id, 2, a.rank, e.ord, chr(9) || a.label || ' -> ' || b.label || ' [label="' || e.n
+UNION ALL SELECT e.graph_id, 2, a.rank, e.ord, 0, chr(9) || a.label || ' -> ' || b.label || ' [label="' || e.n
   || '", penwidth=' || (e.n + 1) || ']' FROM edges e
   JOIN drawn a ON a.graph_id = e.graph_id AND a.node_id = e.src
   JOIN drawn b ON b.graph_id = e.graph_id AND b.node_id = e.dst
-UNION ALL SELECT graph_id, 2, rank, 4611686018427387903, chr(9) || '{{rank=same; ' || label || ' '
+UNION ALL SELECT graph_id, 2, rank, 4611686018427387903, 0, chr(9) || '{{rank=same; ' || label || ' '
   || string_agg(p, ' ' ORDER BY place) || ' }};' FROM peers GROUP BY graph_id, node_id, label, rank
-UNION ALL SELECT graph_id, 2, rank, 4611686018427387904, chr(9) || '{{ edge [style=dashed, arrowhead=none]; '
+UNION ALL SELECT graph_id, 2, rank, 4611686018427387904, 0, chr(9) || '{{ edge [style=dashed, arrowhead=none]; '
   || label || ' -> ' || string_agg(p, ' -> ' ORDER BY place) || ' }}' FROM peers WHERE rank = lead_rank
   GROUP BY graph_id, node_id, label, rank
-UNION ALL SELECT graph_id, 3, 0, 0, '}}' FROM counts"""
+UNION ALL SELECT graph_id, 3, 0, 0, 0, '}}' FROM counts"""
 
 
 @query(DOT)
@@ -334,17 +334,17 @@ def dot_lines(spark, folder):
 @query(f"""WITH {GRAPH},
 counts AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
 seqs AS (SELECT graph_id, count(*) AS q FROM reads GROUP BY 1),
-marked AS (SELECT graph_id, src, dst, string_agg(chr(10) || chr(9) || chr(9) || chr(9) || 'sequence_label: ' || label,
-  '' ORDER BY label) AS labels FROM steps GROUP BY 1, 2, 3),
-drawn AS (SELECT e.*, m.labels, (src_rank) || ' (' || src_symbol || ')' AS s, (dst_rank) || ' (' || dst_symbol || ')' AS d
-  FROM edges e JOIN marked m USING (graph_id, src, dst))
-SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 'num_sequences: ' || q AS line FROM seqs
-UNION ALL SELECT graph_id, 0, 1, 0, 'num_nodes: ' || n FROM counts
-UNION ALL SELECT graph_id, 1, rank, -1, chr(9) || node_id || ': ' || symbol FROM nodes
-UNION ALL SELECT graph_id, 1, dst_rank, ord, chr(9) || chr(9) || d || ' <--- ' || s || ' - W: ' || weight || labels FROM drawn
-UNION ALL SELECT graph_id, 1, src_rank, ord + 1099511627776, chr(9) || chr(9) || s || ' ---> ' || d || ' - W: ' || weight || labels FROM drawn
-UNION ALL SELECT graph_id, 2, -1, 0, 'Rank' || chr(9) || 'NodeId' FROM counts
-UNION ALL SELECT graph_id, 2, rank, 0, chr(9) || (rank) || chr(9) || node_id || ' (' || symbol || ')' FROM nodes""")
+drawn AS (SELECT *, src_rank || ' (' || src_symbol || ')' AS s, dst_rank || ' (' || dst_symbol || ')' AS d FROM edges),
+marked AS (SELECT e.*, l.label FROM edges e JOIN steps l USING (graph_id, src, dst))
+SELECT graph_id, 0 AS section, 0 AS major, 0 AS minor, 0 AS detail, 'num_sequences: ' || q AS line FROM seqs
+UNION ALL SELECT graph_id, 0, 1, 0, 0, 'num_nodes: ' || n FROM counts
+UNION ALL SELECT graph_id, 1, rank, -1, 0, chr(9) || node_id || ': ' || symbol FROM nodes
+UNION ALL SELECT graph_id, 1, dst_rank, ord, 0, chr(9) || chr(9) || d || ' <--- ' || s || ' - W: ' || weight FROM drawn
+UNION ALL SELECT graph_id, 1, src_rank, ord + 1099511627776, 0, chr(9) || chr(9) || s || ' ---> ' || d || ' - W: ' || weight FROM drawn
+UNION ALL SELECT graph_id, 1, dst_rank, ord, label + 1, chr(9) || chr(9) || chr(9) || 'sequence_label: ' || label FROM marked
+UNION ALL SELECT graph_id, 1, src_rank, ord + 1099511627776, label + 1, chr(9) || chr(9) || chr(9) || 'sequence_label: ' || label FROM marked
+UNION ALL SELECT graph_id, 2, -1, 0, 0, 'Rank' || chr(9) || 'NodeId' FROM counts
+UNION ALL SELECT graph_id, 2, rank, 0, 0, chr(9) || rank || chr(9) || node_id || ' (' || symbol || ')' FROM nodes""")
 def dump_lines(spark, folder):
     graph = graph_of(spark, folder)
     return export.dump_lines(graph.nodes, graph.edge_rows(), ranks_of(spark, folder), graph.starts())

@@ -73,10 +73,9 @@ def document_byte_distance(spark, folder):
 @query("""SELECT a.doc_id, levenshtein(a.text, b.text) AS distance
 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
 def whole_document_distance(spark, folder):
-    documents = table(spark, folder, "documents", "doc_id", "text")
+    documents = spread(table(spark, folder, "documents", "doc_id", "text"))
     following = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
-    pairs = spread(documents.join(following.hint("shuffle_hash"), "doc_id"))
-    return pairs.select("doc_id", edit_distance(F.col("text"), F.col("b")).alias("distance"))
+    return documents.join(following, "doc_id").select("doc_id", edit_distance(F.col("text"), F.col("b")).alias("distance"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, line_no, levenshtein(a, b) AS distance FROM line_pairs

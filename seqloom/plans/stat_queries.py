@@ -96,10 +96,9 @@ def counter_report(spark, folder):
 @query(f"""{REPORT} SELECT {FLAGS}, printf('(%6.2f %%)', total * 100.0::DOUBLE / whole) AS share FROM counters, whole""")
 def counter_share(spark, folder):
     counted = stats.counter(quantities(spark, folder), "amount", "l_returnflag", "l_linestatus")
-    # one row, so the cross join only appends a constant
-    whole = counted.agg(F.sum("total").alias("whole"))
-    return counted.crossJoin(F.broadcast(whole)).select(
-        "l_returnflag", "l_linestatus", stats.share_text(F.col("total"), F.col("whole")).alias("share")
+    whole = counted.agg(F.sum("total")).scalar()
+    return counted.select(
+        "l_returnflag", "l_linestatus", stats.share_text(F.col("total"), whole).alias("share")
     )
 
 
