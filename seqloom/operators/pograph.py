@@ -135,9 +135,8 @@ def star_graph(sequences: DataFrame) -> PoGraph:
         .select(*key, "made.*"),
         "nodes",
     )
-    numbered = materialise(
-        ordinal(made, "graph_id", ["seq_rank", "region", "pos"], "node_id").select(*key, "node_id"),
-        "nodes",
+    numbered = ordinal(made, "graph_id", ["seq_rank", "region", "pos"], "node_id").select(
+        *key, "node_id"
     )
     paths = grouped.join(numbered, key).select("graph_id", "seq_rank", "pos", "node_id", "weight")
     # a set has one member per distinct symbol; the first is the node of sequence 0

@@ -18,6 +18,8 @@ def build_session(app: str = "seqloom", cores: str | int = "*") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", parallelism)
         .config("spark.sql.adaptive.enabled", "true")
+        # rows here are small but costly: keep small shuffle partitions apart
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
