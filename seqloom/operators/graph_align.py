@@ -22,7 +22,7 @@ from seqloom.kernels import dags, orders
 from seqloom.kernels.pairs import equal_symbols, symbols
 from seqloom.operators.packing import PACK_LIMIT, by_size, pack
 from seqloom.operators.segments import levels, sinks
-from seqloom.operators.skew import spread_join
+from seqloom.operators.skew import spread_join, spread_sides
 from seqloom.session import materialise
 
 STEP = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ops", T.StringType())])
@@ -159,11 +159,14 @@ def align_by_level(
     level = materialise(levels(nodes, edges), "levels")
     placed = materialise(nodes.join(level, ["graph_id", "node_id"]), "placed")
     depth = level.agg(F.max("level")).first()[0]
-    asked = queries.select("graph_id", "query_id", "pattern")
+    asked, copies = (
+        materialise(side, "met")
+        for side in spread_sides(queries.select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id")
+    )
     key = ["graph_id", "query_id", "node_id"]
     done = None
     for depth_now in range((-1 if depth is None else depth) + 1):
-        here = placed.filter(F.col("level") == depth_now).join(asked, "graph_id")
+        here = copies.filter(F.col("level") == depth_now).join(asked, ["graph_id", "salt"]).drop("salt")
         if depth_now == 0:
             size = F.octet_length("pattern")
             ready = here.withColumn("entry", F.sequence(F.lit(0), size))

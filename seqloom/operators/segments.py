@@ -133,48 +133,51 @@ def unitigs(nodes: DataFrame, edges: DataFrame, text: str = "symbol") -> tuple[D
     Returns (members: graph_id, node_id, unitig_id, offset; segments: graph_id, unitig_id,
     length, sequence). A node joins its predecessor's chain when the edge between them is
     the only way out of one and into the other. Chain heads are found by pointer doubling:
-    the number of rounds is the logarithm of the longest chain.
+    the number of rounds is the logarithm of the longest chain, and each round only moves
+    the nodes whose head is still open.
     """
     degree = degrees(edges)
     one_out = degree.filter("out_degree = 1").select("graph_id", F.col("node_id").alias("src"))
     one_in = degree.filter("in_degree = 1").select("graph_id", F.col("node_id").alias("dst"))
-    inner = (
+    inner = materialise(
         edges.select("graph_id", "src", "dst")
         .join(one_out, ["graph_id", "src"], "left_semi")
         .join(one_in, ["graph_id", "dst"], "left_semi")
-        .select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("head"))
+        .select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("head")),
+        "inner",
     )
-    chain = materialise(
-        nodes.join(inner, ["graph_id", "node_id"], "left").select(
-            "graph_id",
-            "node_id",
-            text,
-            F.coalesce("head", "node_id").alias("head"),
-            F.when(F.col("head").isNull(), 0).otherwise(1).cast("long").alias("offset"),
+    # a chain is settled for a node once its head is a node no inner edge enters
+    entered = inner.select("graph_id", F.col("node_id").alias("head"), F.lit(False).alias("settled"))
+    linked = materialise(
+        inner.join(entered, ["graph_id", "head"], "left").select(
+            "graph_id", "node_id", "head", F.lit(1).cast("long").alias("offset"),
+            F.coalesce("settled", F.lit(True)).alias("settled"),
         ),
         "chain",
     )
-    while True:
-        jump = chain.filter("offset > 0").select(
+    done, active = linked.filter("settled"), linked.filter("not settled")
+    while not active.isEmpty():
+        # unsettled nodes of a chain have different heads, so this join has no heavy key
+        jump = done.unionByName(active).select(
             "graph_id",
             F.col("node_id").alias("head"),
             F.col("head").alias("far"),
             F.col("offset").alias("more"),
+            "settled",
         )
         longer = materialise(
-            chain.join(jump, ["graph_id", "head"], "left").select(
-                "graph_id",
-                "node_id",
-                text,
-                F.coalesce("far", "head").alias("head"),
-                (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"),
-                F.col("far").isNotNull().alias("moved"),
+            active.drop("settled").join(jump, ["graph_id", "head"]).select(
+                "graph_id", "node_id", F.col("far").alias("head"),
+                (F.col("offset") + F.col("more")).alias("offset"), "settled",
             ),
             "chain",
         )
-        chain = longer.drop("moved")
-        if longer.filter("moved").isEmpty():
-            break
+        done, active = done.unionByName(longer.filter("settled")), longer.filter("not settled")
+    chain = nodes.select("graph_id", "node_id", text).join(done, ["graph_id", "node_id"], "left").select(
+        "graph_id", "node_id", text,
+        F.coalesce("head", "node_id").alias("head"),
+        F.coalesce("offset", F.lit(0)).alias("offset"),
+    )
     members = chain.withColumnRenamed("head", "unitig_id")
     parts = F.array_sort(F.collect_list(F.struct("offset", text)))
     segments = members.groupBy("graph_id", "unitig_id").agg(

@@ -8,10 +8,11 @@ HOT_ROWS = 1_000_000  # left rows of one key from which the key is spread
 SPREAD = 32
 
 
-def spread_join(
+def spread_sides(
     left: DataFrame, right: DataFrame, key: str, scatter: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Inner join on ``key`` with hot left keys split over SPREAD copies of their right rows.
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt`` column: hot left keys are split over SPREAD salts, and
+    their right rows repeated once per salt. Join on [key, "salt"].
 
     Keys are counted with map-side aggregation. Fewer than rows/hot_rows keys can be hot,
     so the list of hot keys is small by construction and is broadcast. ``scatter`` is a
@@ -23,11 +24,19 @@ def spread_join(
         .filter(F.col("count") >= hot_rows)
         .select(key, F.lit(True).alias("__hot"))
     )
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(scatter), F.lit(SPREAD))).otherwise(0).cast("int")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
         F.array(F.lit(0))
     )
-    salted_left = left.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(scatter), F.lit(SPREAD))).otherwise(0).cast("int")
+    return (
+        left.join(hot, key, "left").withColumn("salt", salt).drop("__hot"),
+        right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("__hot"),
     )
-    salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(copies))
-    return salted_left.drop("__hot").join(salted_right.drop("__hot"), [key, "__salt"]).drop("__salt")
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, scatter: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join on ``key`` that keeps hot left keys out of single tasks."""
+    one, other = spread_sides(left, right, key, scatter, hot_rows)
+    return one.join(other, [key, "salt"]).drop("salt")

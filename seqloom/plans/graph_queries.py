@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import export, graph_align, msa, ranking, segments as seg
-from seqloom.operators.pograph import PoGraph
-from seqloom.plans.oracle import BUNDLE, GRAPH, LADDER_SCORE, LADDERS, NEWEST, READS
+from seqloom.operators.pograph import PoGraph, grown_graph
+from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR
 from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
-    ladder_graph, ladders, positional_graph, star_aligned_graph, written_graph,
+    ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, written_graph,
 )
 from seqloom.sources.reads import reads, written_bundles
 
@@ -109,9 +109,9 @@ def topological_rank_newest_first(spark, folder):
     return long_ids(ranks_of(spark, folder, "newest"), "rank")
 
 
-@query()
+@query(f"{GROUPED} SELECT graph_id, rank, stack[-1] AS node_id FROM walk WHERE len(stack) > 0")
 def topological_rank_grouped(spark, folder):
-    return ranks_of(spark, folder, "grouped")
+    return long_ids(ranks_of(spark, folder, "grouped"), "rank")
 
 
 def violations(spark: SparkSession, folder: str, order: str) -> DataFrame:
@@ -234,6 +234,23 @@ def star_msa_without_gaps(spark, folder):
     )
 
 
+@query(f"{STAR} SELECT graph_id, node_id, symbol FROM nodes")
+def star_po_nodes(spark, folder):
+    return star_aligned_graph(spark, folder).nodes.select("graph_id", "node_id", "symbol")
+
+
+@query(f"{STAR} SELECT graph_id, src, dst, weight, ord FROM edges")
+def star_po_edges(spark, folder):
+    return long_ids(star_aligned_graph(spark, folder).edges(), "ord")
+
+
+# the same alignments, but grown one sequence at a time
+@query(f"{STAR} SELECT graph_id, src, dst, weight, ord FROM edges")
+def round_grown_po_edges(spark, folder):
+    graph = grown_graph(star_sequences(written_bundles(spark, folder)))
+    return long_ids(graph.edges(), "ord")
+
+
 # every aligned base either reuses a node or makes one; the weights count every step twice
 @query(f"""WITH {READS} SELECT graph_id, sum(2 * (len(seq) - 1))::BIGINT AS weight, count(*) AS sequences
 FROM reads GROUP BY 1""")

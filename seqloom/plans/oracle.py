@@ -170,3 +170,77 @@ walk AS (
     WHEN a[v] = b[h] THEN 'M' ELSE 'X' END AS op
     FROM walk WHERE v > 0 OR h > 0)),
 scripts AS (SELECT graph_id, seq_rank, a, b, ops FROM walk WHERE v = 0 AND h = 0)"""
+
+# the same walk releasing an aligned set when the last of its nodes becomes free
+GROUPED = "WITH RECURSIVE " + GRAPH + """,
+led AS (SELECT *, min(made) OVER (PARTITION BY graph_id, pos) AS first_made,
+               min(node_id) OVER (PARTITION BY graph_id, pos) AS root FROM nodes),
+peers AS (
+  SELECT a.graph_id, a.node_id, list(b.node_id ORDER BY CASE WHEN b.node_id = b.root THEN a.node_id ELSE b.node_id END) AS v
+  FROM led a JOIN led b ON a.graph_id = b.graph_id AND a.pos = b.pos AND a.node_id <> b.node_id GROUP BY 1, 2),
+outs AS (SELECT graph_id, src AS node_id, list(dst ORDER BY ord, dst) AS v FROM edges GROUP BY 1, 2),
+ins AS (SELECT graph_id, dst AS node_id, count(*) AS d FROM edges GROUP BY 1, 2),
+packed AS (
+  SELECT n.graph_id, list(coalesce(o.v, []) ORDER BY n.node_id) AS outs,
+         list(coalesce(p.v, []) ORDER BY n.node_id) AS peers,
+         list(coalesce(i.d, 0) ORDER BY n.node_id) AS degree
+  FROM nodes n LEFT JOIN outs o USING (graph_id, node_id) LEFT JOIN ins i USING (graph_id, node_id)
+               LEFT JOIN peers p USING (graph_id, node_id) GROUP BY 1),
+walk AS (
+  SELECT graph_id, 0::BIGINT AS rank, [0::BIGINT] || peers[1] AS stack, degree FROM packed
+  UNION ALL
+  SELECT graph_id, rank + 1, stack[: -2] || flatten(list_transform(
+           list_filter(next, lambda x, i: fresh[x + 1] = 0
+             AND len(list_filter(peers[x + 1], lambda y: fresh[y + 1] <> 0)) = 0
+             AND len(list_filter(peers[x + 1], lambda y: list_contains(next[i + 1 :], y))) = 0),
+           lambda x: [x] || peers[x + 1])), fresh
+  FROM (SELECT graph_id, rank, stack, p.peers, p.outs[stack[-1] + 1] AS next,
+               list_transform(w.degree, lambda d, i: d - CASE WHEN list_contains(p.outs[stack[-1] + 1], i - 1) THEN 1 ELSE 0 END) AS fresh
+        FROM walk w JOIN packed p USING (graph_id) WHERE len(stack) > 0))"""
+
+# two columns per text symbol: best cost, and cost ending in a gap along the text
+AFFINE = "WITH RECURSIVE " + READS + """,
+walk AS (
+  SELECT graph_id, seq_rank, a, b, 0 AS h,
+         [0::BIGINT] || list_transform(range(1, len(a) + 1), lambda v: 6 + 2 * v) AS best,
+         list_transform(range(0, len(a) + 1), lambda v: 1000000000::BIGINT) AS gap FROM pairs
+  UNION ALL
+  SELECT graph_id, seq_rank, a, b, h,
+         list_transform(fresh, lambda f, i: least(f, coalesce(list_min(list_transform(fresh[: i - 1],
+             lambda y, j: y + 6 + 2 * (i - j))), f))), gap
+  FROM (SELECT graph_id, seq_rank, a, b, h, gap,
+               list_transform(gap, lambda g, i: CASE WHEN i = 1 THEN g ELSE
+                 least(g, best[i - 1] + CASE WHEN a[i - 1] = b[h] THEN 0 ELSE 4 END) END) AS fresh
+        FROM (SELECT graph_id, seq_rank, a, b, h + 1 AS h, best,
+                     list_transform(best, lambda x, i: least(x + 6, gap[i]) + 2) AS gap
+              FROM walk WHERE h < len(b))))"""
+
+# reads aligned to the first read of their bundle, and the graph those alignments build
+STAR = "WITH RECURSIVE " + READS + """,
+walk AS (
+  SELECT r.graph_id, r.seq_rank, f.seq AS a, r.seq AS b, len(f.seq) AS v, len(r.seq) AS h,
+         NULL::BIGINT AS ref, NULL::BIGINT AS pos
+  FROM reads r JOIN reads f ON f.graph_id = r.graph_id AND f.seq_rank = 0 WHERE r.seq_rank > 0
+  UNION ALL
+  SELECT graph_id, seq_rank, a, b, v - CASE WHEN op = 'I' THEN 0 ELSE 1 END, h - CASE WHEN op = 'D' THEN 0 ELSE 1 END,
+         CASE WHEN op IN ('M', 'X') THEN v - 1 END, CASE WHEN op <> 'D' THEN h - 1 END
+  FROM (SELECT *, CASE WHEN h = 0 THEN 'D' WHEN v = 0 THEN 'I'
+    WHEN levenshtein(left(a, v), left(b, h)) = levenshtein(left(a, v - 1), left(b, h)) + 1 THEN 'D'
+    WHEN levenshtein(left(a, v), left(b, h)) = levenshtein(left(a, v), left(b, h - 1)) + 1 THEN 'I'
+    WHEN a[v] = b[h] THEN 'M' ELSE 'X' END AS op
+    FROM walk WHERE v > 0 OR h > 0)),
+bases AS (
+  SELECT graph_id, seq_rank, pos, seq[pos + 1] AS symbol, pos AS place
+  FROM (SELECT *, unnest(range(len(seq))) AS pos FROM reads WHERE seq_rank = 0)
+  UNION ALL
+  SELECT graph_id, seq_rank, pos, b[pos + 1], coalesce(ref, -1 - seq_rank * 1000 - pos)
+  FROM walk WHERE pos IS NOT NULL),
+nodes AS (
+  SELECT graph_id, place, symbol,
+         row_number() OVER (PARTITION BY graph_id ORDER BY min(seq_rank * 1000 + pos)) - 1 AS node_id
+  FROM bases GROUP BY graph_id, place, symbol),
+paths AS (SELECT b.graph_id, b.seq_rank, b.pos, n.node_id FROM bases b JOIN nodes n USING (graph_id, place, symbol)),
+edges AS (
+  SELECT p.graph_id, p.node_id AS src, q.node_id AS dst, 2 * count(*) AS weight, min(p.seq_rank) AS ord
+  FROM paths p JOIN paths q ON p.graph_id = q.graph_id AND p.seq_rank = q.seq_rank AND q.pos = p.pos + 1
+  GROUP BY 1, 2, 3)"""
