@@ -23,7 +23,7 @@ from seqloom.kernels.pairs import equal_symbols, symbols
 from seqloom.operators.packing import PACK_LIMIT, by_size, pack
 from seqloom.operators.segments import levels, sinks
 from seqloom.operators.skew import spread_join, spread_sides
-from seqloom.session import materialise
+from seqloom.session import kernel, materialise
 
 STEP = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ops", T.StringType())])
 FOUND = T.StructType(
@@ -80,7 +80,7 @@ def ordered_graphs(segments: DataFrame, edges: DataFrame) -> DataFrame:
         at = {v: r for r, v in enumerate(order)}
         return [int(ids[v]) for v in order], [sequences[v] for v in order], [[at[u] for u in preds[v]] for v in order]
 
-    @F.pandas_udf(shape)
+    @kernel(shape)
     def arrange(ids: pd.Series, sequences: pd.Series, src: pd.Series, dst: pd.Series) -> pd.DataFrame:
         rows = [arranged(*row) for row in zip(ids, sequences, src, dst)]
         return pd.DataFrame(rows, columns=["ids", "texts", "preds"])
@@ -104,7 +104,7 @@ def align_packed(
             score, path = dags.table_align(symbols(pattern), texts, preds, match, end)
         return score, [{"segment": int(ids[i]), "ops": ops} for i, ops in path]
 
-    @F.pandas_udf(FOUND)
+    @kernel(FOUND)
     def aligned(pattern: pd.Series, ids: pd.Series, texts: pd.Series, preds: pd.Series) -> pd.DataFrame:
         rows = [best(*row) for row in zip(pattern, ids, texts, preds)]
         return pd.DataFrame(rows, columns=["score", "path"])
@@ -119,7 +119,7 @@ def align_packed(
 
 
 def _last_column(match: Callable):
-    @F.pandas_udf(COLUMN)
+    @kernel(COLUMN)
     def last(entry: pd.Series, pattern: pd.Series, text: pd.Series) -> pd.Series:
         out = []
         for column, p, t in zip(entry, pattern, text):
@@ -133,7 +133,7 @@ def _last_column(match: Callable):
 def _back(match: Callable):
     walked = T.StructType([T.StructField("ops", T.StringType()), T.StructField("left", T.IntegerType())])
 
-    @F.pandas_udf(walked)
+    @kernel(walked)
     def back(entry: pd.Series, pattern: pd.Series, text: pd.Series, v: pd.Series) -> pd.DataFrame:
         rows = []
         for column, p, t, at in zip(entry, pattern, text, v):

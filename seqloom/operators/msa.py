@@ -14,7 +14,10 @@ def columns(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     ``ranks`` must keep aligned nodes next to each other (order 'depth').
     """
     leader = F.least("node_id", F.coalesce(F.array_min("aligned"), F.col("node_id")))
-    ranked = nodes.withColumn("leader", leader).join(ranks, ["graph_id", "node_id"])
+    ranked = materialise(
+        nodes.select("graph_id", "node_id", leader.alias("leader")).join(ranks, ["graph_id", "node_id"]),
+        "ranked",
+    )
     sets = materialise(
         ranked.groupBy("graph_id", "leader").agg(F.min("rank").alias("first_rank")), "sets"
     )

@@ -13,17 +13,18 @@ from pyspark.sql import Column, functions as F, types as T
 
 from seqloom.functions.text import distance, unit_length
 from seqloom.kernels import bits, pairs
+from seqloom.session import kernel
 
 ALIGNMENT = T.StructType(
     [T.StructField("score", T.LongType()), T.StructField("ops", T.StringType())]
 )
 
 
-def _column(kernel: Callable, unit: str) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf(ALIGNMENT)
+def _column(aligner: Callable, unit: str) -> Callable[[Column, Column], Column]:
+    @kernel(ALIGNMENT)
     def aligned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pattern, text in batches:
-            scores, ops = kernel(
+            scores, ops = aligner(
                 [pairs.symbols(p, unit) for p in pattern], [pairs.symbols(t, unit) for t in text]
             )
             yield pd.DataFrame({"score": scores, "ops": ops})
@@ -42,7 +43,7 @@ def edit_distance(a: Column, b: Column, unit: str = "byte") -> Column:
     where a column of the table is one integer.
     """
 
-    @F.pandas_udf("long")
+    @kernel("long")
     def by_bits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             yield pd.Series(
@@ -66,8 +67,8 @@ def align(
     unit: str = "byte",
 ) -> Column:
     """struct<score, ops> of the optimal global alignment; ties by D, I, M, X."""
-    kernel = lambda p, t: pairs.align_pairs(p, t, match, bandwidth)
-    return _column(kernel, unit)(pattern, text)
+    aligner = lambda p, t: pairs.align_pairs(p, t, match, bandwidth)
+    return _column(aligner, unit)(pattern, text)
 
 
 def align_wavefront(
@@ -84,7 +85,7 @@ def align_wavefront(
 def score_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
     """The score table as an array (h) of arrays (v), for inspection of short pairs."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    @kernel(T.ArrayType(T.ArrayType(T.IntegerType())))
     def table(patterns: pd.Series, texts: pd.Series) -> pd.Series:
         rows = [
             pairs.score_table(pairs.symbols(p, unit), pairs.symbols(t, unit)).tolist()
@@ -109,7 +110,7 @@ def wavefront_cells(pattern: Column, text: Column, unit: str = "byte") -> Column
             if offset >= 0
         ]
 
-    @F.pandas_udf(T.ArrayType(cell))
+    @kernel(T.ArrayType(cell))
     def trace(patterns: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([cells_of(p, t) for p, t in zip(patterns, texts)])
 

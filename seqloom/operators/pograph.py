@@ -26,6 +26,13 @@ PREFIX, SUFFIX, ALIGNED = 0, 1, 2
 class PoGraph:
     nodes: DataFrame  # graph_id, node_id, symbol, aligned ARRAY<BIGINT>
     paths: DataFrame  # graph_id, seq_rank, pos, node_id, weight
+    steps: DataFrame | None = None  # edge_rows() as a written table
+
+    def written(self) -> PoGraph:
+        """The same graphs as written tables, for callers that use them more than once."""
+        paths = materialise(self.paths, "paths")
+        steps = materialise(PoGraph(self.nodes, paths).edge_rows(), "steps")
+        return PoGraph(materialise(self.nodes, "nodes"), paths, steps)
 
     def starts(self) -> DataFrame:
         """graph_id, seq_rank, node_id of the first base of every sequence."""
@@ -37,10 +44,12 @@ class PoGraph:
         The label is the sequence; both bases contribute to the weight. A node is entered
         at most once per sequence, so the label also orders the edges of a node.
         """
-        steps = Window.partitionBy("graph_id", "seq_rank").orderBy("pos")
+        if self.steps is not None:
+            return self.steps
+        along = Window.partitionBy("graph_id", "seq_rank").orderBy("pos")
         return (
-            self.paths.withColumn("src", F.lag("node_id").over(steps))
-            .withColumn("weight", F.col("weight") + F.lag("weight").over(steps))
+            self.paths.withColumn("src", F.lag("node_id").over(along))
+            .withColumn("weight", F.col("weight") + F.lag("weight").over(along))
             .filter("src is not null")
             .select(
                 "graph_id",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from seqloom.kernels import orders
 from seqloom.operators.by_level import heaviest_by_level, set_ranks
 from seqloom.operators.packing import PACK_LIMIT, by_size, pack
+from seqloom.session import kernel
 
 IDS = T.ArrayType(T.LongType())
 
@@ -33,7 +34,7 @@ def _ordered(order: str, preds, succs, peers) -> list[int]:
 
 
 def _per_graph(result: T.DataType, walk: Callable) -> Callable[..., Column]:
-    @F.pandas_udf(result)
+    @kernel(result)
     def column(ids: pd.Series, src: pd.Series, dst: pd.Series, weight: pd.Series,
                aligned: pd.Series) -> pd.Series:
         return pd.Series([walk(*row) for row in zip(ids, src, dst, weight, aligned)])
@@ -87,7 +88,7 @@ def heaviest(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFr
     """graph_id, ids, scores (before completion, by id) and path: the heaviest bundle."""
     found = T.StructType([T.StructField("scores", IDS), T.StructField("path", IDS)])
 
-    @F.pandas_udf(found)
+    @kernel(found)
     def bundle(ids: pd.Series, src: pd.Series, dst: pd.Series, weight: pd.Series,
                aligned: pd.Series) -> pd.DataFrame:
         rows = []

@@ -31,7 +31,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
         "zip_with(slice(lines, 1, size(lines) - 1), slice(lines, 2, size(lines)), (a, b) -> struct(a, b))"
     )
     return (
-        lines.filter(F.size("lines") > 1)
+        lines.filter(F.contains("text", F.lit("\n")))
         .select("doc_id", F.posexplode(following).alias("line_no", "pair"))
         .select("doc_id", "line_no", "pair.a", "pair.b")
     )

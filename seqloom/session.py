@@ -6,8 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 
 def build_session(app: str = "seqloom", cores: str | int = "*") -> SparkSession:
@@ -52,6 +54,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kernel(result: DataType | str) -> Callable:
+    """A pandas UDF that is evaluated once per row.
+
+    Catalyst copies deterministic expressions into filters it infers (for example below an
+    explode), which would run an expensive kernel twice.
+    """
+    return lambda function: F.pandas_udf(result)(function).asNondeterministic()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give an expensive row-local step work for every core.
 

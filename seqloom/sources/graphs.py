@@ -43,8 +43,7 @@ def written_graph(spark: SparkSession, folder: str, kind: str = "positional") ->
     key = (spark.sparkContext.applicationId, folder, kind)
     if key not in _written:
         build = positional_graph if kind == "positional" else star_aligned_graph
-        graph = build(spark, folder)
-        _written[key] = PoGraph(materialise(graph.nodes, "nodes"), materialise(graph.paths, "paths"))
+        _written[key] = build(spark, folder).written()
     return _written[key]
 
 
