@@ -118,6 +118,60 @@ def align_packed(
     ).select("graph_id", "query_id", "found.score", "found.path")
 
 
+CELL = T.StructType(
+    [T.StructField("segment", T.LongType())]
+    + [T.StructField(c, T.IntegerType()) for c in ("h", "v", "score")]
+)
+FRONT = T.StructType(
+    [T.StructField("distance", T.IntegerType()), T.StructField("segment", T.LongType())]
+    + [T.StructField(c, T.IntegerType()) for c in ("k", "reach")]
+)
+
+
+def _cells(queries: DataFrame, segments: DataFrame, edges: DataFrame, cell: T.StructType, listed: Callable) -> DataFrame:
+    @kernel(T.ArrayType(cell))
+    def cells(pattern: pd.Series, ids: pd.Series, texts: pd.Series, preds: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                listed(symbols(p), i, [symbols(t) for t in ts], [list(b) for b in before])
+                for p, i, ts, before in zip(pattern, ids, texts, preds)
+            ]
+        )
+
+    met = spread_join(queries, ordered_graphs(segments, edges), "graph_id", "query_id")
+    found = cells("pattern", "ids", "texts", "preds")
+    return met.select("graph_id", "query_id", F.explode(found).alias("c")).select("graph_id", "query_id", "c.*")
+
+
+def table_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, query_id, segment, h, v, score: the whole table over a graph, to look at."""
+
+    def listed(pattern, ids, texts, preds):
+        return [
+            (int(i), h, v, int(score))
+            for i, table in zip(ids, dags.segment_tables(pattern, texts, preds))
+            for h, column in enumerate(table)
+            for v, score in enumerate(column)
+        ]
+
+    return _cells(queries, segments, edges, CELL, listed)
+
+
+def front_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, query_id, distance, segment, k, reach: the wavefronts over a graph."""
+
+    def listed(pattern, ids, texts, preds):
+        fronts, _, _ = dags.grow_fronts(pattern, texts, preds)
+        return [
+            (s, int(ids[i]), k, int(cell[0]))
+            for s, front in enumerate(fronts)
+            for i, row in enumerate(front)
+            for k, cell in row.items()
+        ]
+
+    return _cells(queries, segments, edges, FRONT, listed)
+
+
 def _last_column(match: Callable):
     @kernel(COLUMN)
     def last(entry: pd.Series, pattern: pd.Series, text: pd.Series) -> pd.Series:

@@ -96,6 +96,29 @@ def score_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
     return table(pattern, text)
 
 
+def score_lines(pattern: Column, text: Column, cells: Column) -> Column:
+    """A score table drawn as lines: text symbols, column numbers, then one line per row.
+
+    Cells are five wide; scores of 10000 and more are starred.
+    """
+    drawn = lambda score: F.when(
+        score.between(0, 9999), F.concat(F.lit(" "), F.lpad(score.cast("string"), 3, " "), F.lit(" "))
+    ).otherwise("  *  ")
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    head = F.concat(
+        F.lit(" " * 7), F.array_join(F.transform(letters, lambda c: F.concat(F.lit("  "), c, F.lit("  "))), "")
+    )
+    numbers = F.concat(F.lit(" "), F.array_join(F.transform(cells, lambda column, h: drawn(h)), ""))
+    body = F.transform(
+        F.sequence(F.lit(0), F.length(pattern)),
+        lambda v: F.concat(
+            F.when(v == 0, F.lit(" ")).otherwise(F.substr(pattern, v, F.lit(1))),
+            F.array_join(F.transform(cells, lambda column: drawn(F.get(column, v))), ""),
+        ),
+    )
+    return F.concat(F.array(head, numbers), body)
+
+
 def wavefront_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
     """Furthest offset per distance and diagonal: array<struct<distance, k, reach>>."""
     cell = T.StructType([T.StructField(c, T.IntegerType()) for c in ("distance", "k", "reach")])

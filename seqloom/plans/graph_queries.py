@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
 from seqloom.functions.text import distance
-from seqloom.operators import export, graph_align, msa, ranking, segments as seg
+from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.pograph import PoGraph, grown_graph
 from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR
 from seqloom.plans.registry import query
@@ -458,6 +458,48 @@ def ladder_segments(spark, folder):
     return segments.groupBy("graph_id").agg(F.array_join(ordered["line"], "\n").alias("segments"))
 
 
+def min_over(texts: list[str]) -> str:
+    return "least(" + ", ".join(f"levenshtein({t}, left(pattern, v))" for t in texts) + ")"
+
+
+# a cell is the best over all ways to spell what lies before it in the ladder
+LADDER_CELLS = f"WITH {LADDERS}, sized AS (SELECT *, unnest(range(0, len(pattern) + 1)) AS v FROM thirds)" + " UNION ALL ".join(
+    f"""
+SELECT graph_id, {segment}::BIGINT AS segment, h, v, {min_over([before + f"left({text}, h)" for before in ways])} AS score
+FROM (SELECT *, unnest(range(0, len({text}) + 1)) AS h FROM sized)"""
+    for column, ways in enumerate([
+        [""],
+        ["a1 || ", "b1 || "],
+        [f"{x}1 || {y}2 || " for x in "ab" for y in "ab"],
+    ])
+    for segment, text in ((column + 1, f"a{column + 1}"), (column + 4, f"b{column + 1}"))
+)
+
+
+@query(LADDER_CELLS)
+def dag_score_cells(spark, folder):
+    segments, edges, queries = ladder_graph(ladders(written_bundles(spark, folder)))
+    return graph_align.table_cells(queries, segments, edges).drop("query_id")
+
+
+@query()
+def dag_wavefront_cells(spark, folder):
+    segments, edges, queries = ladder_graph(ladders(written_bundles(spark, folder)))
+    return graph_align.front_cells(queries, segments, edges).drop("query_id")
+
+
+@query("SELECT 0::BIGINT AS problems")
+def alignment_check(spark, folder):
+    problems = checks.alignment_problems(star_sequences(written_bundles(spark, folder)))
+    return problems.agg(F.count("*").alias("problems"))
+
+
+@query("SELECT 0::BIGINT AS dangling")
+def edge_check(spark, folder):
+    graph = written_graph(spark, folder, "star")
+    return checks.dangling_edges(graph.nodes, graph.edges()).agg(F.count("*").alias("dangling"))
+
+
 # position-wise graphs spell each of their own sequences from a source on
 @query(f"WITH {READS} SELECT graph_id, seq_rank, 0::BIGINT AS score FROM reads")
 def po_graph_distance_to_query_end(spark, folder):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
 from seqloom.functions.text import distance, distance_by_fold, distance_within
-from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, wavefront_cells
+from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, score_lines, wavefront_cells
 from seqloom.plans.oracle import LINES, READS, SCRIPT, SCRIPTS
 from seqloom.plans.registry import query
 from seqloom.session import spread
@@ -257,6 +257,21 @@ def score_matrix_cells(spark, folder):
     )
 
 
+@query(f"""WITH {CELLS}
+SELECT graph_id, seq_rank, -2 AS line_no, repeat(' ', 7) || array_to_string(list_transform(
+  range(1, len(b) + 1), lambda i: '  ' || b[i] || '  '), '') AS line FROM pairs
+UNION ALL SELECT graph_id, seq_rank, -1, ' ' || string_agg(printf(' %3d ', h), '' ORDER BY h) FROM cells WHERE v = 0
+GROUP BY 1, 2
+UNION ALL SELECT c.graph_id, c.seq_rank, v, CASE WHEN v = 0 THEN ' ' ELSE any_value(p.a)[v] END
+  || string_agg(printf(' %3d ', score), '' ORDER BY h) FROM cells c JOIN pairs p USING (graph_id, seq_rank)
+GROUP BY 1, 2, 3""")
+def score_matrix_text(spark, folder):
+    tables = pairs_of(spark, folder).withColumn("cells", score_cells(*ab()))
+    return tables.select(
+        "graph_id", "seq_rank", F.posexplode(score_lines(*ab(), F.col("cells"))).alias("at", "line")
+    ).select("graph_id", "seq_rank", (F.col("at") - 2).cast("long").alias("line_no"), "line")
+
+
 @query(f"""WITH {CELLS},
 final AS (SELECT graph_id, seq_rank, levenshtein(a, b) AS last FROM pairs)
 SELECT c.graph_id, c.seq_rank, d.distance, c.h - c.v AS k, max(c.h) AS reach

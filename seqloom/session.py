@@ -14,7 +14,7 @@ from pyspark.sql.types import DataType
 
 def build_session(app: str = "seqloom", cores: str | int = "*") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own settings."""
-    parallelism = str(os.cpu_count() if cores == "*" else cores)
+    parallelism = str(2 * int(os.cpu_count() if cores == "*" else cores))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -70,7 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     splits than cores (a small table in one file) is redistributed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()

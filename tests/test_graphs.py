@@ -5,7 +5,7 @@ from brute import levenshtein
 from pyspark.sql import functions as F
 
 from seqloom.kernels import orders
-from seqloom.operators import by_level, export, graph_align, msa, ranking, segments as seg
+from seqloom.operators import by_level, checks, export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.pograph import grown_graph, po_graph, star_graph
 from seqloom.sources.fixtures import example_graph, po_sequences
 
@@ -202,6 +202,25 @@ def test_levels_refuse_cycles(spark):
         seg.levels(nodes, edges)
 
 
+def test_alignment_problems_are_named(spark):
+    sequences = spark.createDataFrame(
+        [
+            (1, 0, "ACGT", None, None), (1, 1, "ACG", [(0, None)], None), (1, 2, "ACG", [(0, 3)], None),
+            (1, 3, "ACG", [(0, 0), (1, 2)], None), (1, 4, "ACG", [(0, 0), (2, None), (3, 1)], [1, 1]),
+            (1, 5, "ACG", [(0, 1), (None, 2)], [1, 1, 1]),
+        ],
+        SEQUENCES + ", weights array<int>",
+    )
+    found = rows(checks.alignment_problems(sequences), "seq_rank", "problem")
+    assert [rank for rank, _ in found] == [1, 2, 3, 4] and len({text for _, text in found}) == 4
+
+
+def test_dangling_edges(spark):
+    nodes = spark.createDataFrame([(1, 0), (1, 1)], NODES)
+    edges = spark.createDataFrame([(1, 0, 1, 1, 0), (1, 1, 2, 1, 1), (2, 0, 1, 1, 0)], EDGES)
+    assert rows(checks.dangling_edges(nodes, edges), "graph_id", "dst") == [(1, 2), (2, 1)]
+
+
 def test_unitigs_compact_chains_and_keep_edges(po):
     members, compact = seg.unitigs(po.nodes, po.edges())
     assert rows(compact.filter("length > 1"), "unitig_id", "sequence") == [(2, "AA"), (4, "TA"), (10, "TC")]
