@@ -11,7 +11,7 @@ aligned level by level with joins, so no graph needs to fit a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from seqloom.functions.cigar import compact_path
 from seqloom.kernels import dags, orders
 from seqloom.kernels.pairs import equal_symbols, symbols
-from seqloom.operators.packing import PACK_LIMIT, by_size, pack
+from seqloom.operators.packing import PACK_LIMIT, by_size, pack, require_small
 from seqloom.operators.segments import levels, sinks
 from seqloom.operators.skew import spread_join, spread_sides
 from seqloom.session import kernel, materialise
@@ -138,6 +138,7 @@ def _cells(queries: DataFrame, segments: DataFrame, edges: DataFrame, cell: T.St
             ]
         )
 
+    require_small(segments, edges)
     met = spread_join(queries, ordered_graphs(segments, edges), "graph_id", "query_id")
     found = cells("pattern", "ids", "texts", "preds")
     return met.select("graph_id", "query_id", F.explode(found).alias("c")).select("graph_id", "query_id", "c.*")
@@ -200,6 +201,36 @@ def _back(match: Callable):
     return back
 
 
+def by_levels(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Iterator[tuple[DataFrame, bool]]:
+    """Per level, all (graph, query, node) rows of it; and whether it is the first level."""
+    level = materialise(levels(nodes, edges), "levels")
+    placed = materialise(nodes.join(level, ["graph_id", "node_id"]), "placed")
+    asked, copies = (
+        materialise(side, "met")
+        for side in spread_sides(queries.select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id")
+    )
+    depth = level.agg(F.max("level")).first()[0]
+    for now in range((-1 if depth is None else depth) + 1):
+        yield copies.filter(F.col("level") == now).join(asked, ["graph_id", "salt"]).drop("salt"), now == 0
+
+
+def cellwise_min(edges: DataFrame, here: DataFrame, done: DataFrame, arrays: list[str]) -> DataFrame:
+    """graph_id, query_id, node_id and, per array, the cell-wise least over all predecessors."""
+    key = ["graph_id", "query_id", "node_id"]
+    cells = F.posexplode(F.arrays_zip(*arrays)).alias("v", "cell")
+    return (
+        edges.select("graph_id", F.col("src").alias("node_id"), "dst")
+        .join(here.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_semi")
+        .join(done.select(*key, *arrays), ["graph_id", "node_id"])
+        .select("graph_id", "query_id", F.col("dst").alias("node_id"), cells)
+        .groupBy(*key, "v")
+        .agg(*[F.min(f"cell.{a}").alias(a) for a in arrays])
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("v", *arrays))).alias("cells"))
+        .select(*key, *[F.col(f"cells.{a}").alias(a) for a in arrays])
+    )
+
+
 def align_by_level(
     queries: DataFrame, segments: DataFrame, edges: DataFrame, match: Callable = equal_symbols
 ) -> DataFrame:
@@ -210,37 +241,14 @@ def align_by_level(
     the first predecessor that explains the column. Rounds = levels of the deepest graph.
     """
     nodes = segments.withColumnRenamed("segment_id", "node_id")
-    level = materialise(levels(nodes, edges), "levels")
-    placed = materialise(nodes.join(level, ["graph_id", "node_id"]), "placed")
-    depth = level.agg(F.max("level")).first()[0]
-    asked, copies = (
-        materialise(side, "met")
-        for side in spread_sides(queries.select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id")
-    )
     key = ["graph_id", "query_id", "node_id"]
     done = None
-    for depth_now in range((-1 if depth is None else depth) + 1):
-        here = copies.filter(F.col("level") == depth_now).join(asked, ["graph_id", "salt"]).drop("salt")
-        if depth_now == 0:
-            size = F.octet_length("pattern")
-            ready = here.withColumn("entry", F.sequence(F.lit(0), size))
+    for here, first in by_levels(queries, nodes, edges):
+        if first:
+            ready = here.withColumn("entry", F.sequence(F.lit(0), F.octet_length("pattern")))
         else:
-            arriving = (
-                edges.select("graph_id", F.col("src").alias("node_id"), "dst")
-                .join(
-                    placed.filter(F.col("level") == depth_now)
-                    .select("graph_id", F.col("node_id").alias("dst")),
-                    ["graph_id", "dst"], "left_semi",
-                )
-                .join(done.select(*key, "last"), ["graph_id", "node_id"])
-                .select("graph_id", "query_id", F.col("dst").alias("node_id"), F.posexplode("last").alias("v", "cost"))
-            )
-            entry = (
-                arriving.groupBy(*key, "v").agg(F.min("cost").alias("cost"))
-                .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("v", "cost"))).alias("cells"))
-                .select(*key, F.col("cells.cost").alias("entry"))
-            )
-            ready = here.join(entry, key)
+            entry = cellwise_min(edges, here, done.withColumnRenamed("entry", "before"), ["last"])
+            ready = here.join(entry.withColumnRenamed("last", "entry"), key)
         step = materialise(
             ready.withColumn("last", _last_column(match)("entry", "pattern", "sequence")), "columns"
         )
@@ -290,7 +298,7 @@ def align_by_level(
         steps = step if steps is None else steps.unionByName(step)
         round_ += 1
     if steps is None:
-        return asked.limit(0).select(
+        return queries.limit(0).select(
             "graph_id", "query_id", F.lit(0).cast("long").alias("score"),
             F.lit(None).cast(T.ArrayType(STEP)).alias("path"))
     path = steps.groupBy("graph_id", "query_id").agg(

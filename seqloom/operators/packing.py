@@ -36,6 +36,12 @@ def by_size(*tables: DataFrame, limit: int = PACK_LIMIT) -> BySize:
     )
 
 
+def require_small(*tables: DataFrame, limit: int = PACK_LIMIT) -> None:
+    """Refuse graphs above the limit, for listings that make sense for small graphs only."""
+    if by_size(*tables, limit=limit).large is not None:
+        raise ValueError(f"a graph has more than {limit} rows")
+
+
 def pack(nodes: DataFrame, edges: DataFrame, *node_columns: str) -> DataFrame:
     """graph_id, ids, src, dst, weight and one array per extra node column.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seqloom.kernels import orders
 from seqloom.operators.by_level import heaviest_by_level, set_ranks
-from seqloom.operators.packing import PACK_LIMIT, by_size, pack
+from seqloom.operators.packing import PACK_LIMIT, by_size, pack, require_small
 from seqloom.session import kernel
 
 IDS = T.ArrayType(T.LongType())
@@ -73,7 +73,11 @@ def ranks(
 
 
 def released_columns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, column: MSA columns in the order aligned sets are released."""
+    """graph_id, node_id, column: MSA columns in the order aligned sets are released.
+
+    Needs graphs within the packing limit; ``msa.columns`` has none.
+    """
+    require_small(nodes, edges)
 
     def walk(ids, src, dst, weight, aligned):
         preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)

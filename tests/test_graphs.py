@@ -1,10 +1,11 @@
 import random
 
 import pytest
-from brute import levenshtein
+from brute import gap_affine, levenshtein
 from pyspark.sql import functions as F
 
 from seqloom.kernels import orders
+from seqloom.operators.affine import affine_graph_cost
 from seqloom.operators import by_level, checks, export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.pograph import grown_graph, po_graph, star_graph
 from seqloom.sources.fixtures import example_graph, po_sequences
@@ -146,6 +147,19 @@ def test_example_alignment(spark, method, limit):
     assert rows(found.filter("query_id = 2"), "cigar") == [("(1)2M1I(3)2M(4)1M1I1M",)]
 
 
+def test_affine_cost_of_large_graphs(spark):
+    segments, edge_rows, _ = example_graph(spark, 1)
+    queries = spark.createDataFrame(
+        [(1, i, q) for i, (q, _) in enumerate(GOLDEN)], "graph_id long, query_id long, pattern string"
+    )
+    edges = seg.merge_edges(edge_rows)
+    routes = ["ACTACCTGACT", "ACTGTACT"]
+    want = [(i, min(gap_affine(q, r, 4, 6, 2) for r in routes)) for i, (q, _) in enumerate(GOLDEN)]
+    for limit in (10**6, 1):
+        found = affine_graph_cost(queries, segments, edges, limit=limit)
+        assert rows(found, "query_id", "cost") == want
+
+
 def test_more_than_ten_segments_keep_their_ids(spark):
     segments = spark.createDataFrame(
         [(1, i, c) for i, c in enumerate("ACGTACGTACGT")], "graph_id long, segment_id long, sequence string"
