@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, mixing, simhash, tokens, urls
+from seqloom.llm import exact, mixing, secrets, simhash, tokens, urls
 from seqloom.llm.common import read
 from seqloom.session import shared_folder
 
@@ -27,6 +27,43 @@ def query(sql: str | None = None):
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+ASSIGN = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@query(
+    f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+    found AS (
+      SELECT row, 0 AS place, 'assign' AS kind, regexp_extract_all(text, '{ASSIGN}', 0) AS m,
+             regexp_extract_all(text, '{ASSIGN}', 2) AS g, string_split_regex(text, '{ASSIGN}') AS p, 12 AS least FROM docs
+      UNION ALL
+      SELECT row, 1, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'),
+             string_split_regex(text, 'AKIA[A-Z0-9]+'), 18 FROM docs
+      UNION ALL
+      SELECT row, 2, 'hex', regexp_extract_all(text, '[0-9a-f]{{16,}}'), regexp_extract_all(text, '[0-9a-f]{{16,}}'),
+             string_split_regex(text, '[0-9a-f]{{16,}}'), 16 FROM docs
+    ), each AS (
+      SELECT row, place, kind, least, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0
+    ), placed AS (
+      SELECT row, place, kind, length(g[i]) >= least AS ok, length(m[i]) AS n,
+             sum(length(p[i]) + length(m[i])) OVER (PARTITION BY row, place ORDER BY i) AS stop
+      FROM each
+    ), joined AS (
+      SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, place) AS spans
+      FROM placed WHERE ok GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN joined USING (row)
+    """
+)
+def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, folder, "documents", "doc_id", "text"))
+    return secrets.digest_columns(found)
+
+
 @query()
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, folder, "documents", "doc_id", "text"))
