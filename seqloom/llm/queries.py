@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, mixing, secrets, simhash, tokens, urls
+from seqloom.llm import exact, mixing, secrets, simhash, tokens, toxicity, urls
 from seqloom.llm.common import read
 from seqloom.session import shared_folder
 
@@ -64,6 +64,12 @@ def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
+@query()
+def op3_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return toxicity.toxicity(docs, read(spark, folder, "labels", "doc_id", "toxic"))
+
+
 @query()
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, folder, "documents", "doc_id", "text"))
