@@ -14,8 +14,10 @@ from importlib.metadata import version
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
+
+from seqloom.session import materialise
 
 #: Texts encoded in one call.
 BATCH = 64
@@ -98,7 +100,8 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 512) -> Da
     distinct = missing.groupBy("content").agg(F.first("text").alias("text"))
     added = encode_counts(distinct, path).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
     added.write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, tokenizer)
+    # written, so that the join reads plain tables and Spark can split a hot digest
+    counts = materialise(read_cache(spark, cache, tokenizer), "counts")
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content)
     return sized.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
