@@ -136,6 +136,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("root", "fp").alias("root"),
         F.coalesce("component_id", "first").alias("component_id"),
     )
+    named = materialise(named, "named")  # read plainly, so that Spark can split a hot fingerprint
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id", "root")
 
