@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, fingerprints, mixing, secrets, simhash, tokens, toxicity, urls
+from seqloom.llm import exact, fingerprints, mixing, packing, secrets, simhash, tokens, toxicity, urls
 from seqloom.llm.common import read
 from seqloom.session import shared_folder
 
@@ -76,6 +76,12 @@ def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+@query()
+def op5_packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return packing.pack(docs, tokens.vocabulary("word_bpe_49k.json"))
+
+
 @query()
 def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_chain(read(spark, folder, "documents", "doc_id", "text"))
