@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import exact, fingerprints, mixing, packing, secrets, simhash, tokens, toxicity, urls
+from seqloom.llm import exact, fingerprints, mixing, packing, repeats, secrets, simhash, tokens, toxicity, urls
 from seqloom.llm.common import read
 from seqloom.session import shared_folder
 
@@ -64,6 +64,12 @@ def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest_columns(found)
 
 
+@query()
+def op2_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return repeats.without_repeats(docs, with_text=False).drop("kept_text")
+
+
 @query()
 def op3_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
