@@ -17,6 +17,11 @@ def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """Without columns whose name starts with two underscores, which operators use themselves."""
+    return docs.select(*(f"`{c}`" for c in docs.columns if not c.startswith("__")))
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from seqloom.llm.common import pick, shuffle_parts
+from seqloom.llm.common import pick, plain, shuffle_parts
 from seqloom.session import materialise
 
 #: Leading bytes in the key of the splitters; whole texts decide equality.
@@ -157,7 +157,8 @@ def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged.
 
     The kept row is the one ``exact_groups`` marks; of rows that repeat both id and text,
-    one stays.
+    one stays. Columns whose name starts with two underscores are dropped.
     """
+    docs = plain(docs)
     chosen = exact_groups(docs, keep).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
     return pick(with_digest(docs, "__digest"), chosen, ["doc_id", "__digest"]).drop("__digest")

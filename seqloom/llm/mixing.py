@@ -12,7 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqloom.llm.common import shuffle_parts
+from seqloom.llm.common import plain, shuffle_parts
 from seqloom.session import materialise
 
 SEED = 11
@@ -84,8 +84,9 @@ def mix(
     A row with an id draws by the id, so rows that repeat an id are repeated alike; a row
     without one draws by its text. __shuffle is a hash of seed, row and copy; rows are dealt
     to partitions and sorted by it. Only doc_id, text and source are read; further columns
-    are carried along. Empty tables give empty results.
+    are carried along, but for those whose name starts with two underscores. Empty tables give empty results.
     """
+    docs = plain(docs)
     rates = source_rates(docs, weights, growth).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     drawn = lambda j: F.size(

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seqloom.llm.common import pick, text_bytes, word_blocks
+from seqloom.llm.common import pick, plain, text_bytes, word_blocks
 from seqloom.llm.components import components
 from seqloom.session import materialise
 
@@ -145,14 +145,16 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, all columns unchanged.
 
     It is the row with the smallest id (of rows that repeat this id, one). A component whose
-    rows all have no id keeps one row of its smallest fingerprint.
+    rows all have no id keeps one row of its smallest fingerprint. Columns whose name starts
+    with two underscores are dropped.
     """
+    docs = plain(docs)
     groups = materialise(near_groups(docs), "near")
     named = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = pick(docs.filter("doc_id is not null"), named, ["doc_id"])
-    unnamed = groups.filter("component_id is null and fp = root").select("fp").distinct()
+    unnamed = groups.filter("component_id is null and fp = root").select(F.col("fp").alias("__fp")).distinct()
     rows = docs.filter("doc_id is null")
-    schema = T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,4 +162,4 @@ def one_per_group(docs: DataFrame) -> DataFrame:
             found = pa.array([fingerprint(text) for text in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=schema.names)
 
-    return kept.unionAll(pick(rows.mapInArrow(mark, schema), unnamed, ["fp"]).drop("fp"))
+    return kept.unionAll(pick(rows.mapInArrow(mark, schema), unnamed, ["__fp"]).drop("__fp"))

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from seqloom.llm.common import plain
+
 FEATURE_BITS = 18
 #: Lengths of the word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5)
@@ -237,6 +239,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that are not predicted toxic, all columns unchanged."""
-    scored = with_scores(docs, learn(docs, labels), "__score")
+    """``docs`` that are not predicted toxic, all columns unchanged.
+
+    Columns whose name starts with two underscores are dropped.
+    """
+    scored = with_scores(plain(docs), learn(docs, labels), "__score")
     return scored.filter("__score < 0.5").drop("__score")
