@@ -96,9 +96,10 @@ def token_counts(docs: DataFrame, cache: str, path: str, limit: int = 512) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     content = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content")
     known = read_cache(spark, cache, tokenizer)
-    missing = rows.select(content, "text").join(known, "content", "left_anti")
-    distinct = missing.groupBy("content").agg(F.first("text").alias("text"))
-    added = encode_counts(distinct, path).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
+    # copies meet before the shuffle, so a text that a third of all rows hold stays one row a task
+    distinct = rows.select(content, "text").groupBy("content").agg(F.first("text").alias("text"))
+    missing = distinct.join(known, "content", "left_anti")
+    added = encode_counts(missing, path).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
     added.write.mode("append").parquet(cache)
     # written, so that the join reads plain tables and Spark can split a hot digest
     counts = materialise(read_cache(spark, cache, tokenizer), "counts")
