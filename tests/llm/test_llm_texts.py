@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -84,7 +85,7 @@ def test_token_counts(spark, docs, rows, odd, empty):
 
     path = tokens.vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    cache = f"{shared_folder(spark)}/cache-of-test"
+    cache = f"{shared_folder(spark)}/cache-of-test-{uuid.uuid4().hex}"
     special = spark.createDataFrame([(5000, "a <|endoftext|> b")], "doc_id long, text string")
     table = docs.select("doc_id", "text").unionAll(special)
     want = {d: ((t or "").encode(), len(tokenizer.encode(t or "", add_special_tokens=False))) for d, t in [*rows, (5000, "a <|endoftext|> b")]}
@@ -105,7 +106,7 @@ def test_token_counts_by_pieces(spark):
     path = tokens.vocabulary("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     table = spark.createDataFrame([(1, "Hello there, world"), (2, None)], "doc_id long, text string")
-    found = tokens.token_counts(table, f"{shared_folder(spark)}/cache-of-pieces", path).collect()
+    found = tokens.token_counts(table, f"{shared_folder(spark)}/cache-of-pieces-{uuid.uuid4().hex}", path).collect()
     assert {r.doc_id: r.n_tokens for r in found} == {1: len(model.encode("Hello there, world")), 2: 0}
 
 
