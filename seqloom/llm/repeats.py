@@ -8,9 +8,10 @@ source coordinates advance together form a nonbranching path; paths are compacte
 each span is verified by joining its source document and comparing digests of the words
 themselves, and the words of verified spans are removed.
 
-No key can grow hot: within a block of documents equal windows are resolved at once and one
-row per window leaves the block, so a key gets at most one row per block of a million words
-(and per repeat within its first document).
+No key can grow hot: within a block of documents equal windows are resolved at once and those
+of one document leave the block, so a key is met at most once per block of a million words
+(and once per repeat within its first document). What leaves a block is dealt by ranges of
+the hash and travels as arrays, one row per block and range.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqloom.llm.common import text_bytes, word_blocks
+from seqloom.llm.common import shuffle_parts, text_bytes, word_blocks
 from seqloom.session import materialise
 
 WINDOW, ANCHOR = 13, 5
@@ -38,11 +39,17 @@ LAST = 2**63 - 1
 
 MULTIPLY, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
-ANCHORS = "mh long, salt int, ord long, th long, weight int"
-EDGES = (
-    "key long, known boolean, ord long, th long, pos int, len int, "
-    "src_ord long, src_th long, src_pos int"
-)
+#: Buckets of keys for each shuffle partition.
+BUCKETS = 4
+
+# Rows of one block and bucket, as arrays: keys, the place of each key's document in the
+# document arrays, and what else belongs to a key. Blocks list documents and places in order.
+ANCHORS = "bucket int, mh array<long>, doc array<int>, state array<int>, ord array<long>, th array<long>"
+EDGES = "bucket int, key array<long>, doc array<int>, pos array<int>, ord array<long>, th array<long>"
+PATHS = "ord long, th long, pos int, len int, src_ord long, src_th long, src_pos int"
+RUNS = f"runs array<struct<{PATHS.replace(' ', ':').replace(',:', ', ')}>>"
+#: States of an anchor: of one document of its block; of several, so it repeats; its mark.
+ONE, REPEATS, MARK = 1, 2, 3
 
 
 class WordHashes:
@@ -117,12 +124,64 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return change
 
 
-def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimisers of each document, of weight 2 if two documents of the block have them.
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def bucketed(bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray], ords: np.ndarray, ths: np.ndarray) -> list[pa.Array]:
+    """One row of arrays per bucket: the columns, and the documents they belong to."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc = bucket[order], doc[order]
+    heads = np.flatnonzero(_heads(bucket))
+    sizes = np.diff(np.append(heads, len(bucket)))
+    fresh = _heads(bucket, doc)
+    place = np.cumsum(fresh) - 1
+    inside = (place - np.repeat(place[heads], sizes)).astype(np.int32)
+    docs = np.add.reduceat(fresh.astype(np.int64), heads)
+    first, *others = (_lists(sizes, c[order]) for c in columns)
+    return [
+        pa.array(bucket[heads]),
+        first,
+        _lists(sizes, inside),
+        *others,
+        _lists(docs, ords[doc[fresh]]),
+        _lists(docs, ths[doc[fresh]]),
+    ]
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], key: str, other: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, document, other, ord, th) of all rows of a bucket; rows come sorted by bucket."""
+    held: list[list[np.ndarray]] = []
+    now, docs = None, 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(parts) for parts in zip(*held, strict=True))
 
-    One row (salt 0) leaves the block for each minimiser; if several documents share it,
-    that row has no document, and each of them gets a row with a salt, which is known to
-    repeat and need not meet the others.
+    for batch in batches:
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now:
+                if held:
+                    yield joined()
+                held, now, docs = [], bucket, 0
+            part = [batch.column(c)[i].values.to_numpy() for c in (key, "doc", other, "ord", "th")]
+            part[0], part[1] = part[0].view(np.uint64), part[1].astype(np.int64) + docs
+            docs += len(part[3])
+            held.append(part)
+    if held:
+        yield joined()
+
+
+def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Minimisers of each document, by bucket.
+
+    Of a minimiser that several documents of the block share only a mark goes to the bucket
+    of its hash; the documents themselves, which need not meet the others any more, go to
+    buckets of their own.
     """
     rows = (
         row
@@ -139,26 +198,90 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _heads(low, doc)
         low, doc = low[first], doc[first]
         group = np.flatnonzero(_heads(low))
-        shared = np.diff(np.append(group, len(low))) > 1
-        known = np.repeat(shared, np.diff(np.append(group, len(low))))
+        sizes = np.diff(np.append(group, len(low)))
+        known = np.repeat(sizes > 1, sizes)
+        marks = group[sizes > 1]
         ords, ths = np.array(docs, np.int64).reshape(-1, 2).T
-        flags = group[shared]
-        salt = np.where(known, 1 + (ths[doc] & 0x3FFFFFFF), 0).astype(np.int32)
-        gone = len(flags)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([low, low[flags]]).view(np.int64)),
-                pa.array(np.concatenate([salt, np.zeros(gone, np.int32)])),
-                pa.array(np.concatenate([ords[doc], np.zeros(gone, np.int64)])),
-                pa.array(np.concatenate([ths[doc], np.zeros(gone, np.int64)])),
-                pa.array(np.concatenate([np.where(known, 2, 1), np.full(gone, -2)]).astype(np.int32)),
-            ],
-            names=["mh", "salt", "ord", "th", "weight"],
-        )
+        bucket = np.where(known, bucket_of(ths.view(np.uint64), buckets)[doc], bucket_of(low, buckets))
+        bucket = np.concatenate([bucket, bucket_of(low[marks], buckets)])
+        state = np.concatenate([np.where(known, REPEATS, ONE), np.full(len(marks), MARK)]).astype(np.int32)
+        low, doc = np.concatenate([low, low[marks]]), np.concatenate([doc, doc[marks]])
+        order = np.lexsort((low, doc))
+        columns = [low[order].view(np.int64), state[order]]
+        arrays = bucketed(bucket[order].astype(np.int32), doc[order], columns, ords, ths)
+        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "mh", "doc", "state", "ord", "th"])
+
+
+def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, th, marks): the minimisers of a document that another one has as well."""
+    for low, doc, state, ords, ths in by_bucket(batches, "mh", "state"):
+        order = np.argsort(low, kind="stable")
+        heads = _heads(low[order])
+        number = np.cumsum(heads) - 1
+        met = np.where(state == REPEATS, 0, np.where(state == MARK, 2, 1))[order]
+        total = np.add.reduceat(met, np.flatnonzero(heads))[number]
+        repeats = np.empty(len(low), bool)
+        repeats[order] = total > 1
+        kept = np.flatnonzero((state == REPEATS) | ((state == ONE) & repeats))
+        if len(kept):
+            kept = kept[np.argsort(doc[kept], kind="stable")]
+            fresh = np.flatnonzero(_heads(doc[kept]))
+            sizes = np.diff(np.append(fresh, len(kept)))
+            own = doc[kept[fresh]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ords[own]), pa.array(ths[own]), _lists(sizes, low[kept].view(np.int64))],
+                names=["ord", "th", "marks"],
+            )
+
+
+def sources(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """For each window the index of the first equal one, by order of documents."""
+    order = np.lexsort((pos, doc, ords[doc], key))
+    heads = _heads(key[order])
+    found = np.empty(len(order), np.int64)
+    found[order] = order[np.flatnonzero(heads)][np.cumsum(heads) - 1]
+    return found
+
+
+def paths(doc: np.ndarray, pos: np.ndarray, source: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the windows ``later`` whose own and source places advance together.
+
+    Gives the index of the first window and the number of windows of each.
+    """
+    a, b = later[1:], later[:-1]
+    joined = np.zeros(len(later), bool)
+    joined[1:] = (
+        (doc[a] == doc[b])
+        & (pos[a] == pos[b] + 1)
+        & (doc[source[a]] == doc[source[b]])
+        & (pos[source[a]] == pos[source[b]] + 1)
+    )
+    heads = np.flatnonzero(~joined)
+    return later[heads], np.diff(np.append(heads, len(later)))
+
+
+def _paths(doc, pos, source, ords, ths, later) -> list[pa.Array]:
+    head, length = paths(doc, pos, source, later)
+    from_ = source[head]
+    return [
+        pa.array(ords[doc[head]]),
+        pa.array(ths[doc[head]]),
+        pa.array(pos[head].astype(np.int32)),
+        pa.array(length.astype(np.int32)),
+        pa.array(ords[doc[from_]]),
+        pa.array(ths[doc[from_]]),
+        pa.array(pos[from_].astype(np.int32)),
+    ]
 
 
-def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that may repeat: runs with a source in this block, and the others one by one."""
+PATH_NAMES = [c.split()[0] for c in PATHS.split(", ")]
+
+
+def edges(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows that may repeat, by the bucket of their minimiser, and paths with a source here.
+
+    Of equal windows of a block only those of the first document go on.
+    """
 
     def rows() -> Iterator[tuple]:
         seen: set[tuple] = set()  # rows that repeat id and text have the same coordinates
@@ -168,60 +291,55 @@ def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, text in enumerate(unpacked(batch.column("packed"))):
                 if (ords[i], ths[i]) not in seen:
                     seen.add((ords[i], ths[i]))
-                    yield text, ords[i], ths[i], marks[i].values.to_numpy()
+                    yield text, ords[i], ths[i], np.concatenate([m.values.to_numpy() for m in marks[i]])
 
     for docs, hashes, row in in_blocks(rows(), WordHashes()):
         starts = _windows(hashes, row)
         low, doc = minimisers(hashes)[starts], row[starts]
         begin = np.searchsorted(row, np.arange(len(docs)))
-        # a document's own marks only: each is filed under the document as well
+        # a document's own marks only: the document is mixed into both sides
         tag = lambda values, docs: values ^ ((docs.astype(np.uint64) + np.uint64(1)) * MIX)
         marks = [m.view(np.uint64) for _, _, m in docs]
         wanted = tag(np.concatenate(marks), np.repeat(np.arange(len(docs)), [len(m) for m in marks]))
         first = _heads(low, doc)
         hit = np.isin(tag(low[first], doc[first]), wanted)[np.cumsum(first) - 1]
-        starts, doc = starts[hit], doc[hit]
+        starts, doc, low = starts[hit], doc[hit], low[hit]
         if not len(starts):
             continue
         key, pos = rolled(hashes, WINDOW)[starts], starts - begin[doc]
         ords, ths = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
-        order = np.lexsort((pos, ords[doc], key))
-        group = _heads(key[order])
-        source = np.empty(len(order), np.int64)
-        source[order] = order[np.flatnonzero(group)][np.cumsum(group) - 1]
+        source = sources(key, doc, pos, ords)
         known = ords[doc[source]] < ords[doc]
-        # runs of known windows whose sources advance with them
-        at = np.flatnonzero(known)
-        joined = np.zeros(len(at), bool)
-        joined[1:] = (
-            (doc[at[1:]] == doc[at[:-1]])
-            & (pos[at[1:]] == pos[at[:-1]] + 1)
-            & (doc[source[at[1:]]] == doc[source[at[:-1]]])
-            & (pos[source[at[1:]]] == pos[source[at[:-1]]] + 1)
-        )
-        run = np.flatnonzero(~joined)
-        length = np.diff(np.append(run, len(at)))
-        head, open_ = at[run], np.flatnonzero(~known)
-        own = np.concatenate([head, open_])
-        from_ = source[own]
-        is_known = np.arange(len(own)) < len(head)
-        keys = np.where(is_known, tag(key[own], doc[own]) * MULTIPLY, key[own])
+        runs = pa.StructArray.from_arrays(_paths(doc, pos, source, ords, ths, np.flatnonzero(known)), names=PATH_NAMES)
+        key, doc, pos, low = key[~known], doc[~known], pos[~known], low[~known]
+        arrays = bucketed(bucket_of(low, buckets), doc, [key.view(np.int64), pos.astype(np.int32)], ords, ths)
+        n = len(arrays[0])
+        offsets = np.zeros(n + 1, np.int32)
+        offsets[1:] = len(runs)  # all paths go with the first row
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys.view(np.int64)),
-                pa.array(is_known),
-                pa.array(ords[doc[own]]),
-                pa.array(ths[doc[own]]),
-                pa.array(pos[own].astype(np.int32)),
-                pa.array(np.concatenate([length, np.ones(len(open_), np.int64)]).astype(np.int32)),
-                pa.array(ords[doc[from_]], mask=~is_known),
-                pa.array(ths[doc[from_]], mask=~is_known),
-                pa.array(pos[from_].astype(np.int32), mask=~is_known),
-            ],
-            names=[c.split()[0] for c in EDGES.split(", ")],
+            [*arrays, pa.ListArray.from_arrays(pa.array(offsets), runs)],
+            names=["bucket", "key", "doc", "pos", "ord", "th", "runs"],
         )
 
 
+def later_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of windows that start in a document before, of each bucket, and those known."""
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs.append(batch.column("runs").flatten())
+            yield batch
+
+    runs: list[pa.Array] = []
+    for key, doc, pos, ords, ths in by_bucket(passed(), "key", "pos"):
+        source = sources(key, doc, pos, ords)
+        later = np.flatnonzero(ords[doc[source]] < ords[doc])
+        while runs:
+            yield pa.RecordBatch.from_arrays(runs.pop().flatten(), names=PATH_NAMES)
+        if len(later):
+            yield pa.RecordBatch.from_arrays(_paths(doc, pos, source, ords, ths, later), names=PATH_NAMES)
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are shuffled whole."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -285,31 +403,22 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     pos and len count windows: the path covers len + 12 words.
     """
-    keys = Window.partitionBy("mh", "salt")
+    parts = shuffle_parts(docs)
+    buckets = BUCKETS * parts
+    deal = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    filed = docs.select("text", "ord", "th").mapInArrow(lambda batches: anchors(batches, buckets), ANCHORS)
     marked = (
-        docs.select("text", "ord", "th")
-        .mapInArrow(anchors, ANCHORS)
-        .withColumn("all", F.sum(F.abs("weight")).over(keys))
-        .filter("all > 1 and weight > 0")
+        deal(filed)
+        .mapInArrow(repeated_anchors, "ord long, th long, marks array<long>")
         .groupBy("ord", "th")
-        .agg(F.collect_list("mh").alias("marks"))
+        .agg(F.collect_list("marks").alias("marks"))
     )
-    made = texts.join(marked, ["ord", "th"]).select("packed", "ord", "th", "marks").mapInArrow(edges, EDGES)
-    first = F.first(F.struct("ord", "th", "pos")).over(Window.partitionBy("key", "known").orderBy("ord", "th", "pos"))
-    found = (
-        made.withColumn("first", first)
-        .filter("known or first.ord < ord")
-        .select(
-            "ord",
-            "th",
-            "pos",
-            "len",
-            F.coalesce("src_ord", "first.ord").alias("src_ord"),
-            F.coalesce("src_th", "first.th").alias("src_th"),
-            F.coalesce("src_pos", "first.pos").alias("src_pos"),
-        )
-        .withColumn("shift", F.col("pos") - F.col("src_pos"))
+    made = (
+        texts.join(marked, ["ord", "th"])
+        .select("packed", "ord", "th", "marks")
+        .mapInArrow(lambda batches: edges(batches, buckets), f"{EDGES}, {RUNS}")
     )
+    found = deal(made).mapInArrow(later_paths, PATHS).withColumn("shift", F.col("pos") - F.col("src_pos"))
     # compact the paths: windows with one source at one shift that touch or overlap
     path = ["ord", "th", "src_ord", "src_th", "shift"]
     along = Window.partitionBy(*path).orderBy("pos", "len")

@@ -5,6 +5,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from seqloom.llm import exact, repeats, simhash
@@ -158,26 +159,41 @@ def test_repeats(docs, rows, monkeypatch):
     assert sum(r[2] for r in found) > 300
 
 
-def test_repeats_in_many_blocks(rows):
-    """Blocks only decide what is resolved early."""
+def test_repeats_in_many_blocks(rows, monkeypatch):
+    """Blocks and buckets only decide what is resolved early."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows], "ord": [d for d, _ in rows], "th": list(range(len(rows)))})
-
-    def kept(size):
-        repeats.BLOCK_WORDS, old = size, repeats.BLOCK_WORDS
-        try:
-            return pa.Table.from_batches(list(repeats.anchors(iter([batch])))).to_pylist()
-        finally:
-            repeats.BLOCK_WORDS = old
-
-    def repeating(out):
-        weight = defaultdict(int)
-        for r in out:
-            weight[r["mh"], r["salt"]] += abs(r["weight"])
-        return {(r["mh"], r["ord"]) for r in out if r["weight"] > 0 and weight[r["mh"], r["salt"]] > 1}
-
-    assert repeating(kept(1_000_000)) == repeating(kept(50)) != set()
+    names = {"text": [t for _, t in rows], "ord": [d for d, _ in rows], "th": [d * 2**40 for d, _ in rows]}
+    batch = pa.RecordBatch.from_pydict(names)
+
+    def marks(block, buckets):
+        monkeypatch.setattr(repeats, "BLOCK_WORDS", block)
+        filed = pa.Table.from_batches(list(repeats.anchors(iter([batch]), buckets))).sort_by("bucket")
+        out = pa.Table.from_batches(list(repeats.repeated_anchors(iter(filed.to_batches(max_chunksize=7)))))
+        return {(r["ord"], m) for r in out.to_pylist() for m in r["marks"]}
+
+    def words(block, buckets):
+        found = marks(block, buckets)
+        by_doc = defaultdict(list)
+        for order, mark in found:
+            by_doc[order].append(mark)
+        texts = dict(rows)
+        given = [(d, [m]) for d, m in by_doc.items()]
+        squeezed = [zstandard.compress((texts[d] or "").encode()) for d, _ in given]
+        data = {"packed": squeezed, "ord": [d for d, _ in given], "th": [d for d, _ in given], "marks": [m for _, m in given]}
+        schema = pa.schema([("packed", pa.binary()), ("ord", pa.int64()), ("th", pa.int64()), ("marks", pa.list_(pa.list_(pa.int64())))])
+        made = repeats.edges(iter([pa.RecordBatch.from_pydict(data, schema)]), buckets)
+        table = pa.Table.from_batches(list(made)).sort_by("bucket")
+        out = pa.Table.from_batches(list(repeats.later_paths(iter(table.to_batches(max_chunksize=5))))).to_pylist()
+        return found, {(r["ord"], r["pos"] + i) for r in out for i in range(r["len"] + 12)}
+
+    found, gone = words(1_000_000, 4)
+    assert found and gone
+    for block, buckets in ((50, 1), (50, 64), (3000, 3)):
+        assert words(block, buckets) == (found, gone)
+    monkeypatch.setattr(repeats, "BLOCK_WORDS", 100_000)
+    want = {r[0]: r[2] for r in repeats_by_hand(rows)}
+    assert {d: sum(1 for o, _ in gone if o == d) for d in want} == want
 
 
 def test_repeats_odd_rows(spark, odd, empty):
