@@ -11,6 +11,7 @@ need no padding.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,8 +28,8 @@ CAPACITY, END_ID = 2048, 1
 BLOCK_TOKENS = 4_000_000
 #: Most padding that a window may have before its pieces are laid out anew.
 SLACK = 32
-#: Words whose ids a worker remembers.
-REMEMBER = 300_000
+#: Words whose ids a worker remembers in each of two generations, some 150 MB in all.
+REMEMBER = 500_000
 FLUSH_ROWS = 10_000
 
 PIECES = (
@@ -43,7 +44,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never merges over white space, word by word.
 
     Only words that are not remembered are encoded by the library; the ids of a text are
-    those of its words in a row.
+    those of its words in a row. When enough new words have been seen, those not seen since
+    the last time are forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,19 +56,23 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+    def _learn(self, words: set[bytes]) -> None:
+        again = [w for w in words if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(words.difference(again))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """32-bit ids of each text, little-endian as all machines that Spark runs on."""
         for text in texts:
             parts = []
             for words in word_blocks(text):
                 if len(self.known) > REMEMBER:
-                    self.known.clear()
-                new = [w for w in set(words) if w not in self.known]
+                    self.known, self.older = {}, self.known
+                new = set(words).difference(self.known)
                 if new:
                     self._learn(new)
                 known = self.known
