@@ -315,7 +315,7 @@ def edges(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         arrays = bucketed(bucket_of(low, buckets), doc, [key.view(np.int64), pos.astype(np.int32)], ords, ths)
         n = len(arrays[0])
         offsets = np.zeros(n + 1, np.int32)
-        offsets[1:] = len(runs)  # all paths go with the first row
+        offsets[1 + int(ths[0]) % n :] = len(runs)  # all paths of the block go with one of its rows
         yield pa.RecordBatch.from_arrays(
             [*arrays, pa.ListArray.from_arrays(pa.array(offsets), runs)],
             names=["bucket", "key", "doc", "pos", "ord", "th", "runs"],
