@@ -28,8 +28,8 @@ MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 FOLDS = 5
 #: Prior if the labels name no negative to estimate it from.
 PRIOR = 0.1
-#: Features with a smaller standard score of their frequency among positives are left out.
-LEAST_CONTRAST = 6.0
+#: Least log-likelihood ratio by which positives hold a feature more often than all rows do.
+LEAST_CONTRAST = 10.0
 #: Words whose features a worker remembers.
 REMEMBER = 200_000
 
@@ -88,12 +88,11 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
 
     The others would only add noise, most of all in long texts.
     """
-    size = 1 << FEATURE_BITS
-    p, u = (np.bincount(_gather(rows)[0], minlength=size) for rows in (positive, unlabelled))
-    n, m = len(positive), len(unlabelled)
-    both = (p + u) / (n + m)
-    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n + 1 / m))
-    return p / n - u / m >= LEAST_CONTRAST * spread
+    p, u = (np.bincount(_gather(rows)[0], minlength=1 << FEATURE_BITS) for rows in (positive, unlabelled))
+    share = len(positive) / (len(positive) + len(unlabelled))
+    expected = np.maximum(share * (p + u), 1e-12)
+    ratio = p * np.log(np.maximum(p, 1e-12) / expected) - (p - expected)
+    return (p > expected) & (ratio >= LEAST_CONTRAST)
 
 
 def fit(
@@ -109,12 +108,14 @@ def fit(
     """Linear model that minimises the non-negative positive-unlabelled logistic risk (Adam).
 
     Weights stay at or above zero: words are evidence of toxicity, and a long text has no
-    words that excuse others. Without positives, or without unlabelled rows, every score is the prior.
+    words that excuse others. Without positives, unlabelled rows or any telling word every
+    score is the prior.
     """
     size = 1 << FEATURE_BITS
-    weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
+    unsure = float(np.log(prior / (1 - prior)))
+    weights, bias = np.zeros(size), unsure
     if not positive or not unlabelled:
-        return Model(weights.astype(np.float32), bias)
+        return Model(weights.astype(np.float32), unsure)
     used = telling(positive, unlabelled)
     positive, unlabelled = ([row[used[row]] for row in rows] for rows in (positive, unlabelled))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
@@ -143,18 +144,24 @@ def fit(
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights, bias = np.maximum(0, weights - move[:-1]), bias - move[-1]
     margin = lambda rows: _margins(weights, bias, *_gather(rows))
-    return Model(weights.astype(np.float32), float(bias - cut(margin(positive), margin(unlabelled), prior)))
+    mark = cut(margin(positive), margin(unlabelled), prior, bias)
+    if mark is None:
+        return Model(np.zeros(size, np.float32), unsure)
+    return Model(weights.astype(np.float32), float(bias - mark))
 
 
-def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float, none: float) -> float | None:
     """The margin at which F1, estimated from positives and unlabelled rows alone, is best.
 
     Recall is that of the positives, and the share that is predicted that of the unlabelled.
+    It lies above ``none``, the margin of a text without any evidence; None if no positive has any.
     """
-    marks = np.unique(np.concatenate([positive, unlabelled]))
-    above = lambda rows: 1 - np.searchsorted(np.sort(rows), marks) / len(rows)
+    marks = np.unique(np.concatenate([[none], positive[positive > none], unlabelled[unlabelled > none]]))
+    if len(marks) == 1:
+        return None
+    above = lambda rows: 1 - np.searchsorted(np.sort(rows), marks[1:]) / len(rows)
     best = int(np.argmax(2 * prior * above(positive) / (prior + above(unlabelled))))
-    return float((marks[best] + marks[best - 1]) / 2) if best else float(marks[0]) - 1e-6
+    return float((marks[best + 1] + marks[best]) / 2)
 
 
 def learn(
