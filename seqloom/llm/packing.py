@@ -11,7 +11,6 @@ need no padding.
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,8 +27,11 @@ CAPACITY, END_ID = 2048, 1
 BLOCK_TOKENS = 4_000_000
 #: Most padding that a window may have before its pieces are laid out anew.
 SLACK = 32
-#: Words whose ids a worker remembers in each of two generations, some 150 MB in all.
-REMEMBER = 500_000
+#: Words whose ids a worker remembers in each of two generations, some 250 MB in all.
+REMEMBER = 800_000
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+BETWEEN = "~"
+TOGETHER = 256
 FLUSH_ROWS = 10_000
 
 PIECES = (
@@ -57,26 +59,43 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
 
     def _learn(self, words: set[bytes]) -> None:
         again = [w for w in words if w in self.older]
         self.known.update((w, self.older[w]) for w in again)
-        new = list(words.difference(again))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+        new, alone = [], []
+        for word in words.difference(again):
+            (alone if self.between is None or BETWEEN.encode() in word else new).append(word)
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            text = f" {BETWEEN} ".join([w.decode() for w in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ids == self.between).tolist()
+            data = ids.tobytes()
+            begins = [0, *(4 * i + 4 for i in stops)]
+            self.known.update(
+                (w, data[a:b]) for w, a, b in zip(part, begins, [*(4 * i for i in stops), len(data)], strict=True)
+            )
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(alone, found, strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """32-bit ids of each text, little-endian as all machines that Spark runs on."""
+        """Little-endian 32-bit ids of each text."""
         for text in texts:
             parts = []
             for words in word_blocks(text):
                 if len(self.known) > REMEMBER:
                     self.known, self.older = {}, self.known
-                new = set(words).difference(self.known)
-                if new:
-                    self._learn(new)
                 known = self.known
-                parts.append(b"".join([known[w] for w in words]))
+                found = list(map(known.get, words))
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                if gaps:
+                    self._learn({words[i] for i in gaps})
+                    for i in gaps:
+                        found[i] = known[words[i]]
+                parts.append(b"".join(found))
             yield b"".join(parts)
 
 

@@ -188,7 +188,7 @@ def test_words_encode_like_whole_texts():
 
     path = tokens.vocabulary("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    texts = ["A <|endoftext|>b it's\u00a0x \x1f y", "e\u0301 \u0301a İ K ΑΣ ΑΣ.", "tab\tline\nfeed\x0b\x0c", "\u3000wide 漢字\x85next", "<|startoftext|> x"]
+    texts = ["A <|endoftext|>b it's\u00a0x \x1f y", "e\u0301 \u0301a İ K ΑΣ ΑΣ.", "tab\tline\nfeed\x0b\x0c", "\u3000wide 漢字\x85next", "<|startoftext|> x", "a~b ~ c ~~", "~"]
     for text, ids in zip(texts, packing.WordEncoder(path).encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
