@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+from seqloom.kernels import scripts
+from seqloom.session import kernel
 
 OPERATIONS = "MXID"
 
@@ -27,19 +33,9 @@ def leading(ops: Column, insertions: Column | None = None, deletions: Column | N
     return F.concat(*parts, ops)
 
 
-def compare(a: Column, b: Column) -> Column:
+def compare(a: Column, b: Column, unit: str = "byte") -> Column:
     """Length difference; for equal lengths, difference of the first differing symbols."""
-    at = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))),
-        lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)),
-    )[0]
-    code = lambda text: F.ascii(F.substr(text, at, F.lit(1)))
-    return (
-        F.when(F.length(a) != F.length(b), F.length(a) - F.length(b))
-        .when(a == b, F.lit(0))
-        .otherwise(code(a) - code(b))
-        .cast("long")
-    )
+    return _each("long", lambda x, y: scripts.compare(x, y, unit))(a, b)
 
 
 def run_lengths(ops: Column) -> Column:
@@ -67,96 +63,51 @@ def compact_path(path: Column) -> Column:
     )
 
 
-def _steps(ops: Column) -> Column:
-    return F.filter(F.split(ops, ""), lambda op: op != "")
+def _each(result: T.DataType | str, function: Callable) -> Callable[..., Column]:
+    """A column of ``function`` over rows without a null; other rows give null."""
 
+    def rows(columns):
+        return [None if any(x is None for x in row) else function(*row) for row in zip(*columns)]
 
-def _at(text: Column, position: Column) -> Column:
-    return F.substr(text, position + 1, F.lit(1))
+    if isinstance(result, T.StructType):
 
+        @kernel(result)
+        def whole(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for columns in batches:
+                none = (None,) * len(result.fields)
+                yield pd.DataFrame([r or none for r in rows(columns)], columns=result.names)
 
-def replay(ops: Column, pattern: Column, text: Column) -> Column:
-    """One array element per operation: struct<op, p, t, a, b>.
+    else:
 
-    p and t are the positions before the operation, a and b the symbols there.
-    """
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("t"), F.expr(
-        "cast(array() as array<struct<op string, p int, t int>>)").alias("done"))
-
-    def step(state: Column, op: Column) -> Column:
-        here = F.struct(op.alias("op"), state["p"].alias("p"), state["t"].alias("t"))
-        return F.struct(
-            (state["p"] + F.when(op == "I", 0).otherwise(1)).alias("p"),
-            (state["t"] + F.when(op == "D", 0).otherwise(1)).alias("t"),
-            F.concat(state["done"], F.array(here)).alias("done"),
-        )
-
-    walked = F.aggregate(_steps(ops), start, step, lambda state: state["done"])
-    return F.transform(
-        walked,
-        lambda s: F.struct(
-            s["op"].alias("op"), s["p"].alias("p"), s["t"].alias("t"),
-            _at(pattern, s["p"]).alias("a"), _at(text, s["t"]).alias("b"),
-        ),
-    )
+        @kernel(result)
+        def whole(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                yield pd.Series(rows(columns), dtype=object)
+
+    return whole
 
 
-def refine(ops: Column, pattern: Column, text: Column) -> Column:
+def refine(ops: Column, pattern: Column, text: Column, unit: str = "byte") -> Column:
     """Turn M into X where the symbols differ; add D, then I, for what the script left over."""
-    n, m = F.length(pattern), F.length(text)
-    open_ = F.filter(replay(ops, pattern, text), lambda s: (s["p"] < n) & (s["t"] < m))
-    named = F.transform(
-        open_,
-        lambda s: F.when((s["op"] == "M") & (s["a"] != s["b"]), F.lit("X")).otherwise(s["op"]),
-    )
-    body = F.array_join(named, "")
-    used = lambda skip: F.length(F.replace(body, F.lit(skip), F.lit("")))
-    return F.concat(
-        body, F.repeat(F.lit("D"), n - used("I")), F.repeat(F.lit("I"), m - used("D"))
-    )
+    return _each("string", lambda o, p, t: scripts.refine(o, p, t, unit))(ops, pattern, text)
 
 
-def is_valid(ops: Column, pattern: Column, text: Column) -> Column:
-    """Replay: M must match, X must differ, and both strings must be used up exactly."""
-    n, m = F.length(pattern), F.length(text)
-    used = lambda skip: F.length(F.replace(ops, F.lit(skip), F.lit("")))
-    fits = ops.rlike(f"^[{OPERATIONS}]*$") & (used("I") == n) & (used("D") == m)
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("t"), F.lit(True).alias("holds"))
+def is_valid(ops: Column, pattern: Column, text: Column, unit: str = "byte") -> Column:
+    """Replay: M must match, X must differ, and both strings must be used up exactly.
+
+    The unit is that of the alignment: bytes of UTF-8, or characters.
+    """
+    return _each("boolean", lambda o, p, t: scripts.is_valid(o, p, t, unit))(ops, pattern, text)
 
-    def step(state: Column, op: Column) -> Column:
-        same = _at(pattern, state["p"]) == _at(text, state["t"])
-        return F.struct(
-            (state["p"] + F.when(op == "I", 0).otherwise(1)).alias("p"),
-            (state["t"] + F.when(op == "D", 0).otherwise(1)).alias("t"),
-            (state["holds"] & (op.isin("I", "D") | ((op == "M") == same))).alias("holds"),
-        )
 
-    return fits & F.aggregate(_steps(ops), start, step, lambda state: state["holds"])
+ROWS = T.StructType([T.StructField(name, T.StringType()) for name in ("pattern", "ops", "text")])
 
 
-def pretty(ops: Column, pattern: Column, text: Column) -> Column:
+def pretty(ops: Column, pattern: Column, text: Column, unit: str = "byte") -> Column:
     """struct<pattern, ops, text>: the alignment drawn as three rows.
 
     A bar marks a match, a space an edit, X an operation the symbols contradict and ? what
-    the script leaves over.
+    the script leaves over. In bytes, a character that a gap tears apart is drawn as the
+    replacement character.
     """
-    steps = replay(ops, pattern, text)
-    row = lambda pick: F.array_join(F.transform(steps, pick), "")
-    upper = row(lambda s: F.when(s["op"] == "I", F.lit("-")).otherwise(s["a"]))
-    lower = row(lambda s: F.when(s["op"] == "D", F.lit("-")).otherwise(s["b"]))
-    sign = row(
-        lambda s: F.when(s["op"].isin("I", "D"), F.lit(" "))
-        .when((s["op"] == "M") != (s["a"] == s["b"]), F.lit("X"))
-        .when(s["op"] == "M", F.lit("|"))
-        .otherwise(F.lit(" "))
-    )
-    used = lambda skip: F.length(F.replace(ops, F.lit(skip), F.lit("")))
-    rest = lambda string, skip: F.substr(string, used(skip) + 1, F.length(string))
-    over = F.greatest(
-        F.length(pattern) - used("I"), F.length(text) - used("D"), F.lit(0)
-    )
-    return F.struct(
-        F.concat(upper, rest(pattern, "I")).alias("pattern"),
-        F.concat(sign, F.repeat(F.lit("?"), over)).alias("ops"),
-        F.concat(lower, rest(text, "D")).alias("text"),
-    )
+    return _each(ROWS, lambda o, p, t: scripts.pretty(o, p, t, unit))(ops, pattern, text)

@@ -18,13 +18,20 @@ def percentage(amount: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(100.0 * amount / total)
 
 
+def whole_quotient(a: Column, b: Column) -> Column:
+    """Whole division in whole-number arithmetic, exact for all longs; null for b = 0."""
+    return F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0)))
+
+
 def divide_down(a: Column, b: Column) -> Column:
     """Whole division of non-negative numbers, 0 for a zero divisor."""
-    return F.when(b == 0, F.lit(0)).otherwise(F.floor(a / b)).cast("long")
+    return F.when(b == 0, F.lit(0)).otherwise(whole_quotient(a, b)).cast("long")
 
 
 def divide_up(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(0)).otherwise(F.floor((a + b - 1) / b)).cast("long")
+    """The same rounded up; a + b may pass the largest long."""
+    down = whole_quotient(a, b)
+    return F.when(b == 0, F.lit(0)).otherwise(down + (a.cast("long") > down * b).cast("long")).cast("long")
 
 
 def random_int(low: int, high: int, seed: int) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seqloom.functions.maths import whole_quotient
+
 # Metric prefixes of printed counters.
 PREFIXES = ((1_000_000_000, "G"), (1_000_000, "M"), (1_000, "K"))
 
@@ -26,18 +31,24 @@ def counter(df: DataFrame, amount: str, *keys: str) -> DataFrame:
 def combine(counters: DataFrame, *keys: str, how: str = "sum") -> DataFrame:
     """Combine counter rows.
 
-    sum  : as if all samples had gone into one counter; moments are merged exactly
+    sum  : as if all samples had gone into one counter; the spread is summed around the
+           pooled mean, so large means cost no digits
     max  : total and samples of the counter with the largest total
     min  : the same with the smallest non-zero total
     mean : average total and samples
     min, max bound all counters in every case.
     """
     n, mean = F.col("samples"), F.col("mean")
-    inner = F.col("variance") * (n - 1)
-    pooled = (F.sum(inner) + F.sum(n * mean * mean) - F.pow(F.sum(n * mean), 2) / F.sum(n)) / (
-        F.sum(n) - 1
-    )
-    variance = F.coalesce(F.greatest(F.when(F.sum(n) > 1, pooled), F.lit(0.0)), F.lit(0.0))
+    pooled = counters.groupBy(*keys).agg((F.sum(n * mean) / F.sum(n)).alias("__pooled"))
+    if keys:
+        pooled = pooled.select(*[F.col(k).alias(f"__{k}") for k in keys], "__pooled")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        counters = counters.join(pooled, same)
+    else:
+        counters = counters.withColumn("__pooled", F.lit(pooled.first()[0]))
+    away = mean - F.col("__pooled")
+    spread = F.sum(F.col("variance") * (n - 1)) + F.sum(n * away * away)
+    variance = F.coalesce(F.when(F.sum(n) > 1, spread / (F.sum(n) - 1)), F.lit(0.0))
     filled = F.when(F.col("total") != 0, F.col("total"))
     totals = {
         "sum": (F.sum("total"), F.sum("samples")),
@@ -59,9 +70,12 @@ def combine(counters: DataFrame, *keys: str, how: str = "sum") -> DataFrame:
 
 def hundredths(value: Column, factor: int, width: int = 0) -> Column:
     """value / factor with two decimals, ties upwards, in whole-number arithmetic."""
-    scaled_up = F.floor((value.cast("decimal(38,0)") * 100 + factor // 2) / F.lit(factor)).cast("long")
+    # value = whole * factor + rest, so that nothing passes the largest long
+    whole, rest = whole_quotient(value, F.lit(factor)), value.cast("long") % factor
+    part = whole_quotient(rest * 100 + factor // 2, F.lit(factor))
+    whole, part = whole + (part >= 100).cast("long"), part % 100
     text = F.concat(
-        F.floor(scaled_up / 100).cast("string"), F.lit("."), F.lpad((scaled_up % 100).cast("string"), 2, "0")
+        whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), 2, "0")
     )
     return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" ")) if width else text
 
@@ -87,7 +101,7 @@ def scaled_count(value: Column) -> Column:
     """Whole number with its prefix, rounded down."""
     text = value.cast("long").cast("string")
     for factor, prefix in reversed(PREFIXES):
-        whole = F.floor(value / factor).cast("string")
+        whole = whole_quotient(value, F.lit(factor)).cast("string")
         text = F.when(value >= factor, F.concat(whole, F.lit(prefix))).otherwise(text)
     return text
 

@@ -1,8 +1,7 @@
-"""Orders and heaviest paths of one small graph whose nodes are numbered 0..n-1.
+"""Orders and heaviest paths of one graph whose nodes are numbered 0..n-1.
 
 ``preds[v]`` and ``succs[v]`` are in edge insertion order, ``peers[v]`` lists the nodes
-aligned to v. These walks are sequential; graphs too large for one task use the
-level-by-level operators instead.
+aligned to v. These walks are sequential, in time linear in nodes and edges.
 """
 
 from __future__ import annotations
@@ -37,13 +36,16 @@ def newest_first(preds, succs, peers=None):
     left = [len(p) for p in preds]
     peers = peers or [[] for _ in preds]
     stack, order = [], []
+    free = bytearray(len(preds))
 
     def release(v):
         if not any(left[p] for p in peers[v]):
             stack.extend([v, *peers[v]])
+            for u in (v, *peers[v]):
+                free[u] = 1
 
     for v in range(len(preds)):
-        if not preds[v] and v not in stack:
+        if not preds[v] and not free[v]:
             release(v)
     while stack:
         v = stack.pop()
@@ -57,11 +59,11 @@ def newest_first(preds, succs, peers=None):
 
 def grouped_columns(order, peers):
     """Column per node: a new one at each node whose aligned set has none yet."""
-    column = {}
+    column, fresh = {}, 0
     for v in order:
         if v not in column:
-            fresh = len(set(column.values()))
             column.update(dict.fromkeys([v, *peers[v]], fresh))
+            fresh += 1
     return [column[v] for v in range(len(order))]
 
 

@@ -5,8 +5,8 @@ queries  : graph_id, query_id, pattern
 result   : graph_id, query_id, score, path ARRAY<STRUCT<segment, ops>>, cigar
 
 Sources are all segments without incoming edges, sinks all without outgoing ones. Graphs
-of ordinary size travel with each query and are aligned in one pass; larger graphs are
-aligned level by level with joins, so no graph needs to fit a task.
+travel with each query and are aligned in one pass; who has graphs too large for that asks
+for method 'levels', which aligns level by level with joins.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from seqloom.functions.cigar import compact_path
 from seqloom.kernels import dags, orders
 from seqloom.kernels.pairs import equal_symbols, symbols
-from seqloom.operators.packing import PACK_LIMIT, by_size, pack, require_small
+from seqloom.operators.packing import pack
 from seqloom.operators.segments import levels, sinks
 from seqloom.operators.skew import spread_join, spread_sides
 from seqloom.session import kernel, materialise
@@ -39,22 +39,20 @@ def align_graphs(
     method: str = "table",
     end: str = "global",
     match: Callable = equal_symbols,
-    limit: int = PACK_LIMIT,
 ) -> DataFrame:
     """Best alignment of every query to its graph.
 
     method 'table' fills the dynamic-programming table, 'wavefront' grows wavefronts by
-    distance; scores agree, equally good paths may differ. end='query' (table only) may
-    stop at any point of the graph once the query is used up.
+    distance, 'levels' fills the table with joins, one round per level; scores agree, equally
+    good paths may differ. end='query' (table only) may stop at any point of the graph once
+    the query is used up. The size of a graph never changes the method.
     """
-    if method not in ("table", "wavefront") or (method == "wavefront" and end != "global"):
-        raise ValueError("method must be 'table' or 'wavefront'; only 'table' has end='query'")
-    sized = by_size(segments, edges, limit=limit)
-    found = align_packed(queries, *sized.small, method=method, end=end, match=match)
-    if sized.large is not None:
-        if end != "global":
-            raise ValueError("end='query' needs graphs within the packing limit")
-        found = found.unionByName(align_by_level(queries, *sized.large, match=match))
+    if method not in ("table", "wavefront", "levels") or (method != "table" and end != "global"):
+        raise ValueError("method must be 'table', 'wavefront' or 'levels'; only 'table' has end='query'")
+    if method == "levels":
+        found = align_by_level(queries, segments, edges, match=match)
+    else:
+        found = align_packed(queries, segments, edges, method=method, end=end, match=match)
     return found.withColumn("cigar", compact_path(F.col("path")))
 
 
@@ -138,7 +136,6 @@ def _cells(queries: DataFrame, segments: DataFrame, edges: DataFrame, cell: T.St
             ]
         )
 
-    require_small(segments, edges)
     met = spread_join(queries, ordered_graphs(segments, edges), "graph_id", "query_id")
     found = cells("pattern", "ids", "texts", "preds")
     return met.select("graph_id", "query_id", F.explode(found).alias("c")).select("graph_id", "query_id", "c.*")

@@ -9,6 +9,8 @@ partition needs the count of the partitions before it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ def run_positions(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         breaks = np.zeros(size, dtype=bool)
         for key in keys:
             column = batch.column(key)
-            changed = pc.not_equal(column.slice(1), column.slice(0, size - 1))
-            breaks[1:] |= changed.to_numpy(zero_copy_only=False)
+            here, before = column.slice(1), column.slice(0, size - 1)
+            changed = pc.fill_null(pc.not_equal(here, before), False)
+            one_null = pc.xor(pc.is_null(here), pc.is_null(before))
+            breaks[1:] |= pc.or_(changed, one_null).to_numpy(zero_copy_only=False)
         head = [batch.column(key)[0].as_py() for key in keys]
         breaks[0] = head != last_key
         row = np.arange(size)
@@ -47,7 +51,7 @@ def run_positions(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """Add ``out``: 0-based position of each row within ``keys`` by the unique ``order``.
 
-    Key columns must not be null.
+    Null keys are a key of their own.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,8 +74,12 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "
     )
     # Ranges are contiguous, so only the first key of a partition can have rows before
     # it: `carried` has fewer rows than there are partitions, whatever the data size.
+    names = {k: f"__of_{k}" for k in [PART, *keys]}
+    carried = carried.select(*(F.col(k).alias(n) for k, n in names.items()), "__before")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
     return (
-        local.join(F.broadcast(carried), [PART, *keys], "left")
+        local.join(F.broadcast(carried), same, "left")
+        .drop(*names.values())
         .withColumn(out, F.col(RUN) + F.coalesce("__before", F.lit(0)))
         .drop(PART, RUN, "__before")
     )

@@ -1,45 +1,90 @@
-"""One row per graph, for graphs small enough to be walked inside a task."""
+"""Whole graphs inside a task: walked over their sorted rows, or packed into one row each."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-PACK_LIMIT = 1_000_000  # rows of one graph that may be gathered into one value
+#: Rows of results that leave a walk together.
+FLUSH_ROWS = 10_000
 
 
-@dataclass
-class BySize:
-    """Graphs that may be packed, and the others (None when there are none)."""
+def walk_graphs(
+    nodes: DataFrame, edges: DataFrame, walk: Callable[..., list], result: T.StructType, aligned: bool = True
+) -> DataFrame:
+    """graph_id and the columns of ``result`` from ``walk(ids, src, dst, weight, aligned)``.
 
-    small: tuple[DataFrame, ...]
-    large: tuple[DataFrame, ...] | None
+    The orders that need a whole graph are sequential within it. Its rows come to one task,
+    sorted, and are held there as plain numbers (8 bytes a value), so the size of a graph
+    changes neither the method nor the answer. Nodes come by id, edges by ``ord``. A walk
+    gives one list per result column.
+    """
+    if "aligned" not in nodes.columns:
+        nodes = nodes.withColumn("aligned", F.expr("cast(array() as array<bigint>)"))
+    none = F.lit(None).cast("long")
+    node_rows = nodes.select(
+        "graph_id", F.lit(0).alias("kind"), F.col("node_id").cast("long").alias("place"),
+        none.alias("src"), none.alias("dst"), none.alias("weight"), F.col("aligned").cast("array<bigint>").alias("aligned"),
+    )
+    edge_rows = edges.select(
+        "graph_id", F.lit(1).alias("kind"), F.col("ord").cast("long").alias("place"),
+        *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "weight")], F.lit(None).cast("array<bigint>").alias("aligned"),
+    )
+    rows = (
+        node_rows.unionByName(edge_rows)
+        .repartition("graph_id")
+        .sortWithinPartitions("graph_id", "kind", "place", "src", "dst", "weight")
+    )
+    schema = T.StructType([T.StructField("graph_id", nodes.schema["graph_id"].dataType), *result.fields])
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = None
+        out: list[list] = [[] for _ in schema.fields]
+        graph, ids, ends, peers = None, array("q"), [array("q") for _ in range(3)], []
 
-def by_size(*tables: DataFrame, limit: int = PACK_LIMIT) -> BySize:
-    """Split graph tables on the measured number of rows per graph.
+        def finish() -> None:
+            found = walk(ids, *ends, peers)
+            out[0].extend([graph] * len(found[0]))
+            for column, more in zip(out[1:], found, strict=True):
+                column.extend(more)
 
-    The count is pre-aggregated on the map side; fewer than total/limit graphs can be
-    above the limit, which bounds the broadcast list.
-    """
-    rows = tables[0].select("graph_id")
-    for table in tables[1:]:
-        rows = rows.unionByName(table.select("graph_id"))
-    big = rows.groupBy("graph_id").count().filter(F.col("count") > limit).select("graph_id")
-    if big.isEmpty():
-        return BySize(tables, None)
-    big = F.broadcast(big)
-    return BySize(
-        tuple(t.join(big, "graph_id", "left_anti") for t in tables),
-        tuple(t.join(big, "graph_id", "left_semi") for t in tables),
-    )
+        def flushed() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(out, target, strict=True)]
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        for batch in batches:
+            target = target or [batch.schema.field("graph_id").type, *_arrow_types(result)]
+            columns = [batch.column(c).to_pylist() for c in ("graph_id", "kind", "place", "src", "dst", "weight", "aligned")]
+            for (key, kind), part in groupby(zip(*columns, strict=True), key=lambda r: r[:2]):
+                if key != graph or (kind == 0 and ends[0]):
+                    if ids:
+                        finish()
+                    graph, ids, ends, peers = key, array("q"), [array("q") for _ in range(3)], []
+                    if len(out[0]) >= FLUSH_ROWS:
+                        yield flushed()
+                rows_ = list(part)
+                if kind == 0:
+                    ids.extend(r[2] for r in rows_)
+                    peers.extend(r[6] or () for r in rows_)
+                else:
+                    for held, i in zip(ends, (3, 4, 5), strict=True):
+                        held.extend(r[i] for r in rows_)
+        if ids:
+            finish()
+            yield flushed()
+
+    return rows.mapInArrow(apply, schema)
 
 
-def require_small(*tables: DataFrame, limit: int = PACK_LIMIT) -> None:
-    """Refuse graphs above the limit, for listings that make sense for small graphs only."""
-    if by_size(*tables, limit=limit).large is not None:
-        raise ValueError(f"a graph has more than {limit} rows")
+def _arrow_types(result: T.StructType) -> list[pa.DataType]:
+    known = {"bigint": pa.int64(), "int": pa.int32()}
+    return [known[f.dataType.simpleString()] for f in result.fields]
 
 
 def pack(nodes: DataFrame, edges: DataFrame, *node_columns: str) -> DataFrame:

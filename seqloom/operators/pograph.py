@@ -10,14 +10,16 @@ New nodes are numbered in the order prefix, suffix, aligned part of each sequenc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from seqloom.kernels import scripts
 from seqloom.operators.numbering import number_within
-from seqloom.operators.packing import PACK_LIMIT
 from seqloom.operators.segments import merge_edges
-from seqloom.session import materialise
+from seqloom.session import kernel, materialise
 
 PREFIX, SUFFIX, ALIGNED = 0, 1, 2
 
@@ -93,6 +95,10 @@ def bases(sequences: DataFrame) -> DataFrame:
     ).select("graph_id", "seq_rank", "pos", "base.*")
 
 
+#: Rows of one key up to which a window numbers them; beyond, the same numbers by ranges.
+WINDOW_ROWS = 1_000_000
+
+
 def ordinal(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     """0-based number within ``key``; ``df`` should be a written table.
 
@@ -100,7 +106,7 @@ def ordinal(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     numbering gives the same numbers.
     """
     largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if largest > PACK_LIMIT:
+    if largest > WINDOW_ROWS:
         return number_within(df, [key], order, out)
     window = Window.partitionBy(key).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window).cast("long") - 1)
@@ -236,20 +242,18 @@ def grown_graph(sequences: DataFrame) -> PoGraph:
     return PoGraph(nodes.drop("head"), paths)
 
 
+PAIRS = T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("pos", T.IntegerType())]))
+
+
 def star_pairs(sequences: DataFrame, ops: str = "ops") -> DataFrame:
-    """pairs from an edit script against the first sequence (pattern = first, text = seq)."""
-    start = F.expr("struct(0 as p, 0 as t, cast(array() as array<struct<node int, pos int>>) as done)")
+    """pairs from an edit script against the first sequence (pattern = first, text = seq).
 
-    def step(state, op):
-        pair = F.struct(
-            F.when(op != "I", state["p"]).alias("node"), F.when(op != "D", state["t"]).alias("pos")
-        )
-        return F.struct(
-            (state["p"] + (op != "I").cast("int")).alias("p"),
-            (state["t"] + (op != "D").cast("int")).alias("t"),
-            F.concat(state["done"], F.array(pair)).alias("done"),
-        )
+    Nodes are characters, so the script must be one over characters (``unit="char"``).
+    """
+
+    @kernel(PAIRS)
+    def paired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield pd.Series([None if o is None else scripts.star_pairs(o) for o in column], dtype=object)
 
-    letters = F.filter(F.split(ops, ""), lambda c: c != "")
-    pairs = F.aggregate(letters, start, step, lambda state: state["done"])
-    return sequences.withColumn("pairs", F.when(F.col(ops).isNotNull(), pairs))
+    return sequences.withColumn("pairs", paired(F.col(ops)))

@@ -1,18 +1,16 @@
-"""Topological orders, MSA columns and heaviest-bundle consensus of packed graphs."""
+"""Topological orders, MSA columns and heaviest-bundle consensus of graphs of any size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from seqloom.kernels import orders
 from seqloom.operators.by_level import heaviest_by_level, set_ranks
-from seqloom.operators.packing import PACK_LIMIT, by_size, pack, require_small
-from seqloom.session import kernel
+from seqloom.operators.packing import walk_graphs
+
 
-IDS = T.ArrayType(T.LongType())
+def _result(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 def _walk(ids, src, dst, weight, aligned):
@@ -33,98 +31,62 @@ def _ordered(order: str, preds, succs, peers) -> list[int]:
     raise ValueError(f"unknown order {order!r}")
 
 
-def _per_graph(result: T.DataType, walk: Callable) -> Callable[..., Column]:
-    @kernel(result)
-    def column(ids: pd.Series, src: pd.Series, dst: pd.Series, weight: pd.Series,
-               aligned: pd.Series) -> pd.Series:
-        return pd.Series([walk(*row) for row in zip(ids, src, dst, weight, aligned)])
-
-    return column
-
-
-def _packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    if "aligned" not in nodes.columns:
-        nodes = nodes.withColumn("aligned", F.expr("cast(array() as array<bigint>)"))
-    return pack(nodes, edges, "aligned")
-
-
-def ranks(
-    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
-) -> DataFrame:
+def ranks(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
     """graph_id, rank, node_id.
 
     newest  : continue with the node released last
     grouped : the same, releasing aligned nodes together
     depth   : ancestors first, aligned nodes next to each other
-    These exact orders are sequential within a graph. Graphs with more than ``limit`` rows
-    are ordered by level instead, also with aligned nodes next to each other.
+    level   : by the longest path from a source, aligned nodes next to each other
+    The first three are sequential within a graph: each graph is walked in one task, in time
+    and memory linear in its rows, whatever its size. ``level`` is made with joins only, a
+    round per level, for those who ask for it; no order is ever put in place of another.
     """
+    if order == "level":
+        return set_ranks(nodes, edges)
 
     def walk(ids, src, dst, weight, aligned):
         preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)
-        return [int(ids[v]) for v in _ordered(order, preds, succs, peers)]
+        found = [ids[v] for v in _ordered(order, preds, succs, peers)]
+        return [range(len(found)), found]
 
-    sized = by_size(nodes, edges, limit=limit)
-    ordered = _per_graph(IDS, walk)("ids", "src", "dst", "weight", "aligned")
-    ranked = _packed(*sized.small).select(
-        "graph_id", F.posexplode(ordered).alias("rank", "node_id")
-    )
-    return ranked if sized.large is None else ranked.unionByName(set_ranks(*sized.large))
+    return walk_graphs(nodes, edges, walk, _result(rank=T.IntegerType(), node_id=T.LongType()))
 
 
 def released_columns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, column: MSA columns in the order aligned sets are released.
+    """graph_id, node_id, column: MSA columns in the order aligned sets are released."""
+
+    def walk(ids, src, dst, weight, aligned):
+        preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)
+        return [ids, orders.grouped_columns(_ordered("grouped", preds, succs, peers), peers)]
 
-    Needs graphs within the packing limit; ``msa.columns`` has none.
+    return walk_graphs(nodes, edges, walk, _result(node_id=T.LongType(), column=T.IntegerType()))
+
+
+def consensus(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
+    """graph_id, pos, node_id along the heaviest bundle; orders as in ``ranks``.
+
+    Of nodes with the same score the first in the order ends the bundle.
     """
-    require_small(nodes, edges)
+    if order == "level":
+        return heaviest_by_level(nodes, edges)[1]
 
     def walk(ids, src, dst, weight, aligned):
-        preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)
-        return orders.grouped_columns(_ordered("grouped", preds, succs, peers), peers)
-
-    columns = _per_graph(IDS, walk)("ids", "src", "dst", "weight", "aligned")
-    both = F.explode(F.arrays_zip(F.col("ids").alias("node_id"), columns.alias("column")))
-    return _packed(nodes, edges).select("graph_id", both.alias("n")).select("graph_id", "n.*")
-
-
-def heaviest(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
-    """graph_id, ids, scores (before completion, by id) and path: the heaviest bundle."""
-    found = T.StructType([T.StructField("scores", IDS), T.StructField("path", IDS)])
-
-    @kernel(found)
-    def bundle(ids: pd.Series, src: pd.Series, dst: pd.Series, weight: pd.Series,
-               aligned: pd.Series) -> pd.DataFrame:
-        rows = []
-        for id_, *graph in zip(ids, src, dst, weight, aligned):
-            preds, succs, weights, peers = _walk(id_, *graph)
-            sequence = _ordered(order, preds, succs, peers)
-            scores, path = orders.heaviest_path(sequence, preds, succs, weights)
-            rows.append((scores, [int(id_[v]) for v in path]))
-        return pd.DataFrame(rows, columns=["scores", "path"])
-
-    best = bundle("ids", "src", "dst", "weight", "aligned")
-    return _packed(nodes, edges).select("graph_id", "ids", best.alias("b")).select(
-        "graph_id", "ids", "b.scores", "b.path"
-    )
-
-
-def consensus(
-    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
-) -> DataFrame:
-    """graph_id, pos, node_id along the heaviest bundle, for graphs of any size."""
-    sized = by_size(nodes, edges, limit=limit)
-    path = heaviest(*sized.small, order).select(
-        "graph_id", F.posexplode("path").alias("pos", "node_id")
-    )
-    return path if sized.large is None else path.unionByName(heaviest_by_level(*sized.large)[1])
-
-
-def consensus_scores(
-    nodes: DataFrame, edges: DataFrame, order: str = "depth", limit: int = PACK_LIMIT
-) -> DataFrame:
+        preds, succs, weights, peers = _walk(ids, src, dst, weight, aligned)
+        _, path = orders.heaviest_path(_ordered(order, preds, succs, peers), preds, succs, weights)
+        return [range(len(path)), [ids[v] for v in path]]
+
+    return walk_graphs(nodes, edges, walk, _result(pos=T.IntegerType(), node_id=T.LongType()))
+
+
+def consensus_scores(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
     """graph_id, node_id, score: path weight of each node before any branch completion."""
-    sized = by_size(nodes, edges, limit=limit)
-    both = F.explode(F.arrays_zip(F.col("ids").alias("node_id"), F.col("scores").alias("score")))
-    scores = heaviest(*sized.small, order).select("graph_id", both.alias("n")).select("graph_id", "n.*")
-    return scores if sized.large is None else scores.unionByName(heaviest_by_level(*sized.large)[0])
+    if order == "level":
+        return heaviest_by_level(nodes, edges)[0]
+
+    def walk(ids, src, dst, weight, aligned):
+        preds, succs, weights, peers = _walk(ids, src, dst, weight, aligned)
+        scores, _ = orders.heaviest_path(_ordered(order, preds, succs, peers), preds, succs, weights)
+        return [ids, scores]
+
+    return walk_graphs(nodes, edges, walk, _result(node_id=T.LongType(), score=T.LongType()))

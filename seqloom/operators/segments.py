@@ -49,18 +49,21 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _without(nodes, edges, "src")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, in_degree, out_degree of all nodes that have an edge; one shuffle."""
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, node_id, in_degree, out_degree of all nodes, 0 without edges; one shuffle."""
     ends = F.explode(
         F.array(
             F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")),
             F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
         )
     )
+    alone = nodes.select("graph_id", "node_id", F.lit(0).alias("i"), F.lit(0).alias("o"))
     return (
         edges.select("graph_id", ends.alias("end"))
-        .groupBy("graph_id", F.col("end.node_id").alias("node_id"))
-        .agg(F.sum("end.i").alias("in_degree"), F.sum("end.o").alias("out_degree"))
+        .select("graph_id", "end.*")
+        .unionByName(alone)
+        .groupBy("graph_id", "node_id")
+        .agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     )
 
 
@@ -79,14 +82,17 @@ def spelling(nodes: DataFrame, ranks: DataFrame, text: str = "symbol") -> DataFr
 
 
 def rank_violations(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Edges whose source does not come before their destination; empty = sorted."""
+    """Edges whose source does not come before their destination, or that lack a rank.
+
+    Empty = sorted, and every edge was looked at.
+    """
     at = lambda end, name: ranks.select(
         "graph_id", F.col("node_id").alias(end), F.col("rank").alias(name)
     )
     return (
-        edges.join(at("src", "rank_src"), ["graph_id", "src"])
-        .join(at("dst", "rank_dst"), ["graph_id", "dst"])
-        .filter("rank_src >= rank_dst")
+        edges.join(at("src", "rank_src"), ["graph_id", "src"], "left")
+        .join(at("dst", "rank_dst"), ["graph_id", "dst"], "left")
+        .filter("rank_src is null or rank_dst is null or rank_src >= rank_dst")
     )
 
 
@@ -136,7 +142,7 @@ def unitigs(nodes: DataFrame, edges: DataFrame, text: str = "symbol") -> tuple[D
     the number of rounds is the logarithm of the longest chain, and each round only moves
     the nodes whose head is still open.
     """
-    degree = degrees(edges)
+    degree = degrees(nodes, edges)
     one_out = degree.filter("out_degree = 1").select("graph_id", F.col("node_id").alias("src"))
     one_in = degree.filter("in_degree = 1").select("graph_id", F.col("node_id").alias("dst"))
     inner = materialise(

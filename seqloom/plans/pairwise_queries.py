@@ -154,17 +154,19 @@ def cigar_score(spark, folder):
     )
 
 
-@query(f"WITH {READS} SELECT graph_id, seq_rank, true AS valid FROM pairs")
+@query(f"WITH {READS} SELECT graph_id, seq_rank, levenshtein(a, b) AS score, true AS valid FROM pairs")
 def cigar_check(spark, folder):
+    ops = F.col("ops")
     return aligned_pairs(spark, folder).select(
-        "graph_id", "seq_rank", cigar.is_valid(F.col("ops"), *ab()).alias("valid")
+        "graph_id", "seq_rank", cigar.edit_score(ops).alias("score"), cigar.is_valid(ops, *ab()).alias("valid")
     )
 
 
-@query(f"WITH {READS} SELECT graph_id, seq_rank, true AS valid FROM pairs")
+@query(f"WITH {READS} SELECT graph_id, seq_rank, levenshtein(a, b) AS score, true AS valid FROM pairs")
 def wfa_cigar_check(spark, folder):
     return pairs_of(spark, folder).withColumn("al", align_wavefront(*ab())).select(
-        "graph_id", "seq_rank", cigar.is_valid(F.col("al.ops"), *ab()).alias("valid")
+        "graph_id", "seq_rank", cigar.edit_score(F.col("al.ops")).alias("score"),
+        cigar.is_valid(F.col("al.ops"), *ab()).alias("valid"),
     )
 
 
@@ -207,6 +209,51 @@ def cigar_leading(spark, folder):
     )
 
 
+# lines of four languages, so characters of one to three bytes; scripts of either unit
+@query(f"""WITH {LINES} SELECT lang, unit, count(*) AS pairs, count(*) AS valid,
+sum(CASE WHEN unit = 'byte' THEN levenshtein(a, b) END)::BIGINT AS byte_score
+FROM line_pairs JOIN documents USING (doc_id), (VALUES ('byte'), ('char')) u(unit) GROUP BY lang, unit""")
+def document_script_check(spark, folder):
+    langs = table(spark, folder, "documents", "doc_id", "lang")
+    lines = document_lines(spark, folder).join(langs, "doc_id")
+    each = []
+    for unit in ("byte", "char"):
+        al = lines.withColumn("al", align(*ab(), unit=unit))
+        good = cigar.is_valid(F.col("al.ops"), *ab(), unit=unit)
+        score = F.col("al.score") if unit == "byte" else F.lit(None).cast("long")
+        each.append(al.select("lang", F.lit(unit).alias("unit"), good.cast("long").alias("good"), score.alias("score")))
+    return each[0].unionByName(each[1]).groupBy("lang", "unit").agg(
+        F.count("*").alias("pairs"), F.sum("good").alias("valid"), F.sum("score").alias("byte_score")
+    )
+
+
+PLACED = """array_to_string(list_transform(range(1, least({n}, {m}) + 1),
+lambda i: CASE WHEN {x} = {y} THEN 'M' ELSE 'X' END), '')
+|| repeat('D', greatest({n} - {m}, 0)) || repeat('I', greatest({m} - {n}, 0))"""
+BY_CHAR = PLACED.format(n="len(a)", m="len(b)", x="a[i]", y="b[i]")
+BY_BYTE = PLACED.format(
+    n="strlen(a)", m="strlen(b)", x="hex(encode(a))[2 * i - 1:2 * i]", y="hex(encode(b))[2 * i - 1:2 * i]"
+)
+
+
+@query(f"""WITH {LINES}, shorter AS (SELECT doc_id, line_no, left(a, 60) AS a, left(b, 60) AS b FROM line_pairs)
+SELECT doc_id, line_no, {BY_BYTE} AS by_byte, {BY_CHAR} AS by_char,
+a || repeat('-', greatest(len(b) - len(a), 0)) AS upper_row, translate({BY_CHAR}, 'MXDI', '|   ') AS sign_row,
+b || repeat('-', greatest(len(a) - len(b), 0)) AS lower_row FROM shorter""")
+def document_line_starts_refined(spark, folder):
+    """Line starts of 60 characters laid over each other, in bytes and in characters."""
+    start = [F.left(c, F.lit(60)).alias(n) for c, n in zip(ab(), "ab")]
+    lines = document_lines(spark, folder).select("doc_id", "line_no", *start)
+    matches = F.repeat(F.lit("M"), F.greatest(F.octet_length("a"), F.octet_length("b")))
+    by_char = cigar.refine(F.repeat(F.lit("M"), F.least(F.length("a"), F.length("b"))), *ab(), unit="char")
+    refined = lines.select("*", cigar.refine(matches, *ab()).alias("by_byte"), by_char.alias("by_char"))
+    drawn = refined.withColumn("p", cigar.pretty(F.col("by_char"), *ab(), unit="char"))
+    return drawn.select(
+        "doc_id", "line_no", "by_byte", "by_char", F.col("p.pattern").alias("upper_row"),
+        F.col("p.ops").alias("sign_row"), F.col("p.text").alias("lower_row"),
+    )
+
+
 @query(f"""WITH {READS} SELECT graph_id, seq_rank, (CASE WHEN len(a) <> len(b) THEN len(a) - len(b)
 WHEN a = b THEN 0 ELSE list_filter(list_transform(range(1, len(a) + 1), lambda i: ascii(a[i]) - ascii(b[i])),
 lambda d: d <> 0)[1] END)::BIGINT AS comparison FROM pairs""")

@@ -25,7 +25,7 @@ def star_sequences(bundles: DataFrame) -> DataFrame:
     first = bundles.select(
         "graph_id", F.col("seqs")[0].alias("first"), F.posexplode("seqs").alias("seq_rank", "seq")
     )
-    scripted = first.select("graph_id", "seq_rank", "seq", align(F.col("first"), F.col("seq")).alias("a"))
+    scripted = first.select("graph_id", "seq_rank", "seq", align(F.col("first"), F.col("seq"), unit="char").alias("a"))
     ops = F.when(F.col("seq_rank") > 0, F.col("a.ops"))
     return star_pairs(scripted.select("graph_id", "seq_rank", "seq", ops.alias("ops"))).drop("ops")
 

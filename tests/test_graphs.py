@@ -136,13 +136,13 @@ def test_dot_draws_every_node_edge_and_aligned_set(po):
 GOLDEN = [("ACTGTACT", 0), ("AGTGGAGT", 3), ("ACGTAT", 2), ("GT", 6), ("CTACGAC", 4), ("", 8)]
 
 
-@pytest.mark.parametrize("method, limit", [("table", 10**6), ("wavefront", 10**6), ("table", 1)])
-def test_example_alignment(spark, method, limit):
+@pytest.mark.parametrize("method", ["table", "wavefront", "levels"])
+def test_example_alignment(spark, method):
     segments, edge_rows, _ = example_graph(spark, 1)
     queries = spark.createDataFrame(
         [(1, i, q) for i, (q, _) in enumerate(GOLDEN)], "graph_id long, query_id long, pattern string"
     )
-    found = graph_align.align_graphs(queries, segments, seg.merge_edges(edge_rows), method, limit=limit)
+    found = graph_align.align_graphs(queries, segments, seg.merge_edges(edge_rows), method)
     assert [r[1] for r in rows(found, "query_id", "score")] == [score for _, score in GOLDEN]
     assert rows(found.filter("query_id = 2"), "cigar") == [("(1)2M1I(3)2M(4)1M1I1M",)]
 
@@ -155,8 +155,8 @@ def test_affine_cost_of_large_graphs(spark):
     edges = seg.merge_edges(edge_rows)
     routes = ["ACTACCTGACT", "ACTGTACT"]
     want = [(i, min(gap_affine(q, r, 4, 6, 2) for r in routes)) for i, (q, _) in enumerate(GOLDEN)]
-    for limit in (10**6, 1):
-        found = affine_graph_cost(queries, segments, edges, limit=limit)
+    for method in ("table", "wavefront", "levels"):
+        found = affine_graph_cost(queries, segments, edges, method=method)
         assert rows(found, "query_id", "cost") == want
 
 
@@ -202,13 +202,51 @@ def test_large_graph_consensus_follows_the_same_rules(spark):
 
 def test_large_graph_ranks_are_valid_for_msa(spark, po):
     edges = po.edges()
-    ranks = ranking.ranks(po.nodes, edges, limit=1)
+    ranks = ranking.ranks(po.nodes, edges, "level")
     assert seg.rank_violations(edges, ranks).count() == 0
     drawn = msa.rows(po.paths, po.nodes, msa.columns(po.nodes, ranks))
     stripped = drawn.select("seq_rank", F.replace("row", F.lit("-"), F.lit("")).alias("seq"))
     assert rows(stripped, "seq_rank", "seq") == [(0, "CAAATAAGT"), (1, "CCAATAAT"), (2, "CCTATC")]
 
 
+def test_order_decides_the_consensus_not_the_size(spark):
+    """A tie for the best node: the first in the order asked for ends the bundle."""
+    nodes = spark.createDataFrame([(g, v) for g in (1, 2) for v in range(4 if g == 1 else 2004)], NODES)
+    edges = [(g, 0, 2, 2, 0) for g in (1, 2)] + [(g, 2, 1, 2, 1) for g in (1, 2)] + [(g, 0, 3, 4, 2) for g in (1, 2)]
+    edges = spark.createDataFrame(edges, EDGES)
+    for order in ("newest", "depth"):
+        found = rows(ranking.consensus(nodes, edges, order), "graph_id", "pos", "node_id")
+        assert [r[1:] for r in found if r[0] == 1] == [r[1:] for r in found if r[0] == 2]
+    assert rows(ranking.consensus(nodes, edges).filter("graph_id = 1"), "pos", "node_id") == [(0, 0), (1, 2), (2, 1)]
+    diamond = spark.createDataFrame([(1, v) for v in range(5)], NODES)
+    links = spark.createDataFrame([(1, 0, 1, 1, 0), (1, 0, 2, 1, 1), (1, 1, 3, 1, 2), (1, 2, 3, 1, 3), (1, 3, 4, 1, 4)], EDGES)
+    assert [r[1] for r in rows(ranking.ranks(diamond, links, "newest"), "rank", "node_id")] == [0, 2, 1, 3, 4]
+
+
+def test_deep_graph_is_walked_in_linear_time(spark):
+    """One graph of 200,000 nodes and depth 100,000, with a bubble at every step."""
+    steps = spark.range(100_000)
+    nodes = spark.range(200_001).select(F.lit(1).alias("graph_id"), F.col("id").alias("node_id"))
+    way = lambda a, b, w, o: F.struct((2 * F.col("id") + a).alias("src"), (2 * F.col("id") + b).alias("dst"), F.lit(w).alias("weight"), (3 * F.col("id") + o).alias("ord"))
+    edges = steps.select(F.lit(1).alias("graph_id"), F.explode(F.array(way(0, 1, 1, 0), way(1, 2, 1, 1), way(0, 2, 5, 2))).alias("e")).select("graph_id", "e.*")
+    ranks = ranking.ranks(nodes, edges, "depth")
+    assert seg.rank_violations(edges, ranks).count() == 0 and ranks.count() == 200_001
+    path = ranking.consensus(nodes, edges)
+    assert path.agg(F.count("*"), F.max("node_id"), F.sum(F.col("node_id") % 2)).first() == (100_001, 200_000, 0)
+
+
+def test_ranks_that_are_missing_are_violations(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 1, 0), (1, 1, 2, 1, 1)], EDGES)
+    none = spark.createDataFrame([], "graph_id long, rank int, node_id long")
+    assert seg.rank_violations(edges, none).count() == 2
+
+
+def test_degrees_of_nodes_without_edges(spark):
+    nodes = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], NODES)
+    edges = spark.createDataFrame([(1, 0, 1, 1, 0)], EDGES)
+    assert rows(seg.degrees(nodes, edges), "node_id", "in_degree", "out_degree") == [(0, 0, 1), (1, 1, 0), (2, 0, 0)]
+
+
 def test_levels_refuse_cycles(spark):
     nodes = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], NODES)
     edges = spark.createDataFrame([(1, 0, 1, 1, 0), (1, 1, 2, 1, 1), (1, 2, 1, 1, 2)], EDGES)

@@ -74,6 +74,34 @@ def test_cigar_algebra(spark):
     assert tuple(got[2].drawn) == ("ABCD", "||??", "ABX")
 
 
+def test_scripts_in_both_units(spark):
+    df = spark.createDataFrame(
+        [("é", "e"), ("naïve", "naive"), ("漢字x", "x漢字"), ("", "é"), ("ab", "ab"), (None, "x")], "a string, b string"
+    )
+    a, b = F.col("a"), F.col("b")
+    for unit in ("byte", "char"):
+        al = df.withColumn("ops", align(F.coalesce(a, F.lit("")), b, unit=unit)["ops"])
+        got = al.select(
+            "a", "b", "ops", cigar.is_valid(F.col("ops"), a, b, unit).alias("valid"),
+            cigar.refine(F.lit(""), a, b, unit).alias("plain"), cigar.pretty(F.col("ops"), a, b, unit).alias("drawn"),
+            cigar.compare(a, b, unit).alias("compared"),
+        ).collect()
+        assert [r.valid for r in got] == [True] * 5 + [None] and got[5].plain is None and got[5].drawn.ops is None
+        for r in got[:5]:
+            size = (lambda s: len(s.encode())) if unit == "byte" else len
+            assert r.plain == "D" * size(r.a) + "I" * size(r.b)
+            assert unit == "byte" or r.drawn.pattern.replace("-", "") == r.a and r.drawn.text.replace("-", "") == r.b
+    assert got[1].compared == ord("ï") - ord("i")
+
+
+def test_numbers_within_null_keys(spark):
+    from seqloom.operators.numbering import number_within
+
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(50)] + [("b", 1)], "k string, i long")
+    got = number_within(df.repartition(5), ["k"], ["i"]).collect()
+    assert len(got) == 101 and all(r.pos == (r.i if r.k != "b" else 0) for r in got)
+
+
 def test_fold_and_refine_keep_the_distance(spark):
     rng = random.Random(2)
     couples = [("".join(rng.choices("ab", k=rng.randint(0, 9))), "".join(rng.choices("ab", k=rng.randint(0, 9))))
@@ -95,6 +123,26 @@ def test_combined_counters_equal_one_counter(spark):
     assert stats.counter(df.limit(1), "x").first().variance == 0
 
 
+def test_counters_of_large_values_keep_their_spread(spark):
+    df = spark.range(8).select((F.col("id") + 10**9).alias("x"), (F.col("id") % 2).alias("k"), F.lit(1).alias("one"))
+    parts = stats.counter(df, "x", "k", "one")
+    assert stats.combine(parts).first().variance == pytest.approx(6.0)
+    assert stats.combine(parts, "one").first().variance == pytest.approx(6.0)
+    assert stats.combine(parts.withColumn("one", F.lit(None).cast("int")), "one").first().variance == pytest.approx(6.0)
+
+
+def test_whole_division_is_exact(spark):
+    top = 2**63 - 1
+    row = spark.range(1).select(
+        maths.divide_down(F.lit(2**60 + 1), F.lit(3)).alias("a"), maths.divide_down(F.lit(2**53 + 1), F.lit(1)).alias("b"),
+        maths.divide_up(F.lit(2**60 + 1), F.lit(3)).alias("c"), maths.divide_up(F.lit(top), F.lit(top)).alias("d"),
+        maths.divide_up(F.lit(5), F.lit(0)).alias("e"), stats.scaled_count(F.lit(2**60 + 1)).alias("f"),
+        stats.hundredths(F.lit(top), 1).alias("g"), stats.hundredths(F.lit(1999), 1000).alias("h"),
+        stats.hundredths(F.lit(995_000 + 999), 1000).alias("i"),
+    ).first()
+    assert tuple(row) == ((2**60 + 1) // 3, 2**53 + 1, -(-(2**60 + 1) // 3), 1, 0, f"{(2**60 + 1) // 10**9}G", f"{top}.00", "2.00", "996.00")
+
+
 def test_small_helpers(spark):
     row = spark.range(1).select(
         maths.bounded_add(F.lit(7), F.lit(5), F.lit(10)).alias("add"),
