@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
-from seqloom.operators.pograph import PoGraph, grown_graph
+from seqloom.operators.pograph import PoGraph, grown_graph, star_graph
 from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR
 from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
-    ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, written_graph,
+    ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, text_sequences, written_graph,
 )
+from seqloom.session import materialise
 from seqloom.sources.reads import reads, written_bundles
+from seqloom.sources.tables import table
 
 
 def long_ids(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,6 +118,43 @@ def topological_rank_grouped(spark, folder):
     return long_ids(ranks_of(spark, folder, "grouped"), "rank")
 
 
+# graphs of whole conversations: a node per place and symbol, as many as the texts need
+TALKS = """
+turns AS (SELECT conv_id AS graph_id, turn, coalesce(text, '') AS text, turn - min(turn) OVER (PARTITION BY conv_id) AS seq_rank
+  FROM conversations WHERE text <> ''),
+sized AS (SELECT *, first_value(len(text)) OVER (PARTITION BY graph_id ORDER BY turn) AS size FROM turns),
+bases AS (SELECT graph_id, seq_rank, size, unnest(range(len(text))) AS pos, unnest(string_split(text, '')) AS symbol FROM sized),
+placed AS (SELECT *, CASE WHEN pos < size THEN pos ELSE -1 - seq_rank * 1000000 - pos END AS place FROM bases),
+steps AS (SELECT p.graph_id, p.seq_rank, p.place AS a, p.symbol AS x, q.place AS b, q.symbol AS y
+  FROM placed p JOIN placed q ON p.graph_id = q.graph_id AND p.seq_rank = q.seq_rank AND q.pos = p.pos + 1)"""
+
+
+def talk_graph(spark: SparkSession, folder: str) -> PoGraph:
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "text").filter("text <> ''")
+    return star_graph(materialise(text_sequences(turns, "conv_id", "turn"), "talks"))
+
+
+@query(f"""WITH {TALKS}, nodes AS (SELECT DISTINCT graph_id, place, symbol FROM placed),
+edges AS (SELECT graph_id, a, x, b, y, 2 * count(*) AS weight FROM steps GROUP BY ALL)
+SELECT n.graph_id, n.nodes, coalesce(e.edges, 0) AS edges, coalesce(e.weight, 0)::BIGINT AS weight
+FROM (SELECT graph_id, count(*) AS nodes FROM nodes GROUP BY 1) n
+LEFT JOIN (SELECT graph_id, count(*) AS edges, sum(weight) AS weight FROM edges GROUP BY 1) e USING (graph_id)""")
+def conversation_graph_sizes(spark, folder):
+    graph = talk_graph(spark, folder)
+    edges = graph.edges().groupBy("graph_id").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+    nodes = graph.nodes.groupBy("graph_id").agg(F.count("*").alias("nodes"))
+    return nodes.join(edges, "graph_id", "left").select(
+        "graph_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("weight", F.lit(0)).alias("weight")
+    )
+
+
+@query(f"WITH {TALKS} SELECT coalesce(2 * count(*), 0)::BIGINT AS weight, 0::BIGINT AS violations FROM steps")
+def conversation_rank_is_valid(spark, folder):
+    graph = talk_graph(spark, folder).written()
+    edges = graph.edges()
+    return evidence(edges, seg.rank_violations(edges, ranking.ranks(graph.nodes, edges)))
+
+
 def evidence(edges: DataFrame, broken: DataFrame) -> DataFrame:
     """Weight and number of the edges that were looked at, and how many of them fail."""
     looked = edges.select("weight", F.lit(0).alias("fails")).unionByName(broken.select(F.lit(0).cast("long").alias("weight"), F.lit(1).alias("fails")))

@@ -11,11 +11,11 @@ ev AS (
 keyed AS (
   SELECT user_id, n, symbol, min(event_id) OVER (PARTITION BY user_id, n // 128) AS graph_id FROM ev),
 reads AS (
-  SELECT graph_id, (n % 128) // 16 AS seq_rank, string_agg(symbol, '' ORDER BY n) AS seq
-  FROM keyed GROUP BY 1, 2),
+  SELECT graph_id, (n % 128) // 16 AS seq_rank, string_agg(symbol, '' ORDER BY n) AS seq, user_id, n // 16 AS read_no
+  FROM keyed GROUP BY graph_id, user_id, n // 16, (n % 128) // 16),
 pairs AS (
   SELECT a.graph_id, a.seq_rank, a.seq AS a, b.seq AS b
-  FROM reads a JOIN reads b ON a.graph_id = b.graph_id AND b.seq_rank = a.seq_rank + 1)"""
+  FROM reads a JOIN reads b ON a.user_id = b.user_id AND b.read_no = a.read_no + 1)"""
 
 # nodes of the position-wise graph: one per (position, symbol), numbered by first use
 GRAPH = READS + """,
@@ -43,8 +43,8 @@ edges AS (
 LADDERS = READS + """,
 rungs AS (
   SELECT a.graph_id * 8 + a.seq_rank AS graph_id, a.seq AS a, b.seq AS b, c.seq AS pattern
-  FROM reads a JOIN reads b ON a.graph_id = b.graph_id AND b.seq_rank = a.seq_rank + 1
-               JOIN reads c ON a.graph_id = c.graph_id AND c.seq_rank = a.seq_rank + 2),
+  FROM reads a JOIN reads b ON a.user_id = b.user_id AND b.read_no = a.read_no + 1
+               JOIN reads c ON a.user_id = c.user_id AND c.read_no = a.read_no + 2),
 thirds AS (
   SELECT graph_id, pattern,
          left(a, len(a) // 3) AS a1, a[len(a) // 3 + 1 : 2 * len(a) // 3] AS a2, a[2 * len(a) // 3 + 1 :] AS a3,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqloom.operators.pairwise import align
 from seqloom.operators.pograph import PoGraph, po_graph, star_graph, star_pairs
 from seqloom.session import materialise
-from seqloom.sources.reads import READS_PER_BUNDLE, reads, written_bundles
+from seqloom.sources.reads import READS_PER_BUNDLE, reads, with_following, written_bundles
 
 _written: dict[tuple[str, str, str], PoGraph] = {}
 
@@ -48,7 +48,7 @@ def written_graph(spark: SparkSession, folder: str, kind: str = "positional") ->
 
 
 def ladders(bundles: DataFrame) -> DataFrame:
-    """graph_id, a, b, pattern: three consecutive reads of a bundle."""
+    """graph_id, a, b, pattern: every three consecutive reads of a user."""
     triples = F.transform(
         F.sequence(F.lit(0), F.size("seqs") - 3),
         lambda i: F.struct(
@@ -59,7 +59,8 @@ def ladders(bundles: DataFrame) -> DataFrame:
         ),
     )
     return (
-        bundles.filter(F.size("seqs") >= 3)
+        with_following(bundles, 2)
+        .filter(F.size("seqs") >= 3)
         .select("graph_id", F.explode(triples).alias("t"))
         .select(
             (F.col("graph_id") * READS_PER_BUNDLE + F.col("t.at")).alias("graph_id"),
@@ -68,6 +69,26 @@ def ladders(bundles: DataFrame) -> DataFrame:
     )
 
 
+def text_sequences(rows: DataFrame, graph: str, order: str) -> DataFrame:
+    """Whole texts (column text) of each ``graph``, aligned position by position to the first.
+
+    Nothing is cut: a graph has as many nodes as its texts need. A text behind the end of
+    the first one is aligned as far as that goes, the rest stands alone.
+    """
+    first = rows.groupBy(graph).agg(F.min_by(F.length("text"), order).alias("size"), F.min(order).alias("first"))
+    shared = F.least("size", F.length("text"))
+    same = F.when(
+        shared > 0,
+        F.transform(F.sequence(F.lit(0), shared - 1), lambda i: F.struct(i.cast("int").alias("node"), i.cast("int").alias("pos"))),
+    )
+    return rows.join(first, graph).select(
+        F.col(graph).alias("graph_id"),
+        (F.col(order) - F.col("first")).cast("int").alias("seq_rank"),
+        F.col("text").alias("seq"),
+        F.when(F.col(order) > F.col("first"), same).alias("pairs"),
+    )
+
+
 def ladder_graph(rungs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(segments, edges, queries): reads a and b in thirds, free to cross between thirds.
 

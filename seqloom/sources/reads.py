@@ -4,6 +4,7 @@ Each user's events, in time order, spell a sequence of event initials. That sequ
 as long as the user is active, so it is cut into reads of READ_LENGTH symbols, and
 READS_PER_BUNDLE consecutive reads form one bundle, the unit that becomes a graph. Every
 event belongs to exactly one read; no bundle exceeds READ_LENGTH * READS_PER_BUNDLE symbols.
+Pairs and triples of neighbouring reads go on over the border of a bundle.
 """
 
 from __future__ import annotations
@@ -56,12 +57,27 @@ def reads(bundles: DataFrame) -> DataFrame:
     return bundles.select("graph_id", F.posexplode("seqs").alias("seq_rank", "seq"))
 
 
+def with_following(bundles: DataFrame, count: int) -> DataFrame:
+    """graph_id, own (number of reads), seqs: the reads of a bundle and the user's next ``count``.
+
+    ``count`` is at most READS_PER_BUNDLE, so the next bundle holds them. (user, bundle) is
+    unique, so the join has no heavy key.
+    """
+    following = bundles.select(
+        "user_id", (F.col("bundle") - 1).alias("bundle"), F.slice("seqs", 1, count).alias("more")
+    )
+    none = F.array().cast("array<string>")
+    return bundles.join(following, ["user_id", "bundle"], "left").select(
+        "graph_id", F.size("seqs").alias("own"), F.concat("seqs", F.coalesce("more", none)).alias("seqs")
+    )
+
+
 def read_pairs(bundles: DataFrame) -> DataFrame:
-    """Each read with the one after it in its bundle: graph_id, seq_rank, a, b; row-local."""
+    """Each read with the user's next one: graph_id, seq_rank (of the first), a, b."""
     pairs = F.expr(
         "zip_with(slice(seqs, 1, greatest(size(seqs) - 1, 0)), slice(seqs, 2, size(seqs)),"
         " (a, b) -> struct(a, b))"
     )
-    return bundles.select("graph_id", F.posexplode(pairs).alias("seq_rank", "pair")).select(
+    return with_following(bundles, 1).select("graph_id", F.posexplode(pairs).alias("seq_rank", "pair")).select(
         "graph_id", "seq_rank", "pair.a", "pair.b"
     )
