@@ -8,7 +8,7 @@ from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.pograph import PoGraph, grown_graph, star_graph
-from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR
+from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR, STAR_DISTANCE
 from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
     ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, text_sequences, written_graph,
@@ -50,12 +50,14 @@ def po_labels(spark, folder):
     )
 
 
-@query(f"""WITH {GRAPH} SELECT a.graph_id, a.node_id, count(b.node_id) AS peers
+@query(f"""WITH {GRAPH} SELECT a.graph_id, a.node_id, count(b.node_id) AS peers,
+coalesce(string_agg(b.node_id::VARCHAR, ',' ORDER BY b.node_id), '') AS named
 FROM nodes a LEFT JOIN nodes b ON a.graph_id = b.graph_id AND a.pos = b.pos AND a.symbol <> b.symbol
 GROUP BY 1, 2""")
 def po_aligned_nodes(spark, folder):
     return graph_of(spark, folder).nodes.select(
-        "graph_id", "node_id", F.size("aligned").cast("long").alias("peers")
+        "graph_id", "node_id", F.size("aligned").cast("long").alias("peers"),
+        F.array_join(F.array_sort("aligned").cast("array<string>"), ",").alias("named"),
     )
 
 
@@ -539,16 +541,22 @@ def dag_wavefront_cells(spark, folder):
     return graph_align.front_cells(queries, segments, edges).drop("query_id")
 
 
-@query("SELECT 0::BIGINT AS problems")
+@query(f"""WITH {READS} SELECT count(*) AS sequences, sum(len(seq))::BIGINT AS symbols, 0::BIGINT AS problems FROM reads""")
 def alignment_check(spark, folder):
-    problems = checks.alignment_problems(star_sequences(written_bundles(spark, folder)))
-    return problems.agg(F.count("*").alias("problems"))
+    sequences = star_sequences(written_bundles(spark, folder))
+    problems = checks.alignment_problems(sequences).groupBy("graph_id", "seq_rank").agg(F.count("*").alias("found"))
+    return sequences.join(problems, ["graph_id", "seq_rank"], "left").agg(
+        F.count("*").alias("sequences"),
+        F.sum(F.length("seq")).alias("symbols"),
+        F.sum(F.coalesce("found", F.lit(0))).alias("problems"),
+    )
 
 
-@query("SELECT 0::BIGINT AS dangling")
+@query(f"""WITH {READS} SELECT sum(2 * (len(seq) - 1))::BIGINT AS weight, 0::BIGINT AS violations FROM reads""")
 def edge_check(spark, folder):
     graph = written_graph(spark, folder, "star")
-    return checks.dangling_edges(graph.nodes, graph.edges()).agg(F.count("*").alias("dangling"))
+    edges = graph.edges()
+    return evidence(edges, checks.dangling_edges(graph.nodes, edges))
 
 
 # position-wise graphs spell each of their own sequences from a source on
@@ -563,7 +571,9 @@ def po_graph_distance_to_query_end(spark, folder):
     return found.select("graph_id", F.col("query_id").alias("seq_rank"), "score")
 
 
-@query()
+@query(f"""{STAR_DISTANCE} SELECT graph_id, seq_rank, list_min(list_transform(
+list_filter(range(1, n::BIGINT + 1), lambda i: p.ends[i]), lambda i: cols[i][len(pattern) + 1]))::BIGINT AS score
+FROM dp d JOIN packed p USING (graph_id) WHERE d.r = p.n""")
 def po_graph_distance(spark, folder):
     graph = written_graph(spark, folder, "star")
     asked = reads(written_bundles(spark, folder)).select(
@@ -574,7 +584,16 @@ def po_graph_distance(spark, folder):
     return found.select("graph_id", F.col("query_id").alias("seq_rank"), "score")
 
 
-@query(f"WITH {READS} SELECT graph_id, 0::BIGINT AS difference FROM reads WHERE seq_rank = 0")
+REVERSED = STAR_DISTANCE.replace(
+    "seq_rank, seq AS pattern, 0::BIGINT AS r, []::BIGINT[][] AS cols FROM reads",
+    "0 AS seq_rank, reverse(string_agg(seq, '' ORDER BY seq_rank)) AS pattern, 0::BIGINT AS r, []::BIGINT[][] AS cols "
+    "FROM reads GROUP BY graph_id",
+)
+
+
+@query(f"""{REVERSED} SELECT graph_id, list_min(list_transform(
+list_filter(range(1, n::BIGINT + 1), lambda i: p.ends[i]), lambda i: cols[i][len(pattern) + 1]))::BIGINT AS score,
+0::BIGINT AS difference FROM dp d JOIN packed p USING (graph_id) WHERE d.r = p.n""")
 def graph_aligners_agree(spark, folder):
     graph = written_graph(spark, folder, "star")
     asked = written_bundles(spark, folder).select(
@@ -584,5 +603,5 @@ def graph_aligners_agree(spark, folder):
     by_table = graph_align.align_graphs(asked, nodes, edges, "table").select("graph_id", "score")
     by_waves = graph_align.align_graphs(asked, nodes, edges, "wavefront")
     return by_table.join(by_waves.select("graph_id", F.col("score").alias("other")), "graph_id").select(
-        "graph_id", (F.col("score") - F.col("other")).alias("difference")
+        "graph_id", "score", (F.col("score") - F.col("other")).alias("difference")
     )

@@ -244,3 +244,34 @@ edges AS (
   SELECT p.graph_id, p.node_id AS src, q.node_id AS dst, 2 * count(*) AS weight, min(p.seq_rank) AS ord
   FROM paths p JOIN paths q ON p.graph_id = q.graph_id AND p.seq_rank = q.seq_rank AND q.pos = p.pos + 1
   GROUP BY 1, 2, 3)"""
+
+# every read against every path of its star graph: one column of best costs per node, nodes
+# in the order (last backbone place before it, distance from there), which all edges follow
+STAR_DISTANCE = STAR + """,
+anchored AS (
+  SELECT *, max(CASE WHEN place >= 0 THEN place END) OVER before AS anchor,
+         max(CASE WHEN place >= 0 THEN pos END) OVER before AS since
+  FROM bases WINDOW before AS (PARTITION BY graph_id, seq_rank ORDER BY pos)),
+keys AS (
+  SELECT n.graph_id, n.node_id, n.symbol, min(coalesce(a.anchor, -1)) AS anchor,
+         min(CASE WHEN a.place >= 0 THEN 0 ELSE a.pos - coalesce(a.since, -1) END) AS behind
+  FROM anchored a JOIN nodes n USING (graph_id, place, symbol) GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY anchor, behind, node_id) - 1 AS r FROM keys),
+ins AS (
+  SELECT e.graph_id, e.dst AS node_id, list(k.r) AS v
+  FROM edges e JOIN ranked k ON k.graph_id = e.graph_id AND k.node_id = e.src GROUP BY 1, 2),
+packed AS (
+  SELECT k.graph_id, count(*) AS n, list(k.symbol ORDER BY r) AS symbols, list(coalesce(i.v, []) ORDER BY r) AS ins,
+         list(k.node_id NOT IN (SELECT src FROM edges e WHERE e.graph_id = k.graph_id) ORDER BY r) AS ends
+  FROM ranked k LEFT JOIN ins i USING (graph_id, node_id) GROUP BY 1),
+dp AS (
+  SELECT graph_id, seq_rank, seq AS pattern, 0::BIGINT AS r, []::BIGINT[][] AS cols FROM reads
+  UNION ALL
+  SELECT graph_id, seq_rank, pattern, r + 1, cols || [list_transform(fresh, lambda f, i:
+           least(f, coalesce(list_min(list_transform(fresh[: i - 1], lambda y, j: y + i - j)), f)))]
+  FROM (SELECT graph_id, seq_rank, pattern, r, cols, list_transform(enter, lambda e, i: CASE WHEN i = 1 THEN e + 1 ELSE
+                 least(e + 1, enter[i - 1] + CASE WHEN pattern[i - 1] = symbol THEN 0 ELSE 1 END) END) AS fresh
+        FROM (SELECT d.*, p.symbols[d.r + 1] AS symbol, list_transform(range(1, len(d.pattern) + 2), lambda i:
+                       coalesce(list_min(list_transform(p.ins[d.r + 1], lambda u: d.cols[u + 1][i])), i - 1)) AS enter
+              FROM dp d JOIN packed p USING (graph_id) WHERE d.r < p.n)))"""

@@ -136,6 +136,15 @@ def banded_distance(spark, folder):
     )
 
 
+@query(f"""WITH {READS} SELECT graph_id, seq_rank, levenshtein(a, b) AS score, true AS valid FROM pairs
+WHERE levenshtein(a, b) <= {BAND}""")
+def banded_script_check(spark, folder):
+    """Scripts of the banded alignment, replayed, wherever the distance is within the band."""
+    al = pairs_of(spark, folder).withColumn("al", align(*ab(), bandwidth=BAND)).filter(F.col("al.score") <= BAND)
+    ops = F.col("al.ops")
+    return al.select("graph_id", "seq_rank", cigar.edit_score(ops).alias("score"), cigar.is_valid(ops, *ab()).alias("valid"))
+
+
 @query(f"""WITH {LINES} SELECT doc_id, line_no, levenshtein(a, b) AS score,
 strlen(a) AS pattern_used, strlen(b) AS text_used FROM line_pairs""")
 def document_line_alignment(spark, folder):
