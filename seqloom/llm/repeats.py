@@ -39,7 +39,7 @@ LAST = 2**63 - 1
 
 MULTIPLY, MIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
-#: Buckets of keys for each shuffle partition.
+#: Buckets of keys for each shuffle partition; a task holds one at a time.
 BUCKETS = 4
 
 # Rows of one block and bucket, as arrays: keys, the place of each key's document in the
@@ -405,7 +405,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     parts = shuffle_parts(docs)
     buckets = BUCKETS * parts
-    deal = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    place = F.floor(F.col("bucket") / BUCKETS).cast("int")
+    deal = lambda rows: rows.repartitionById(parts, place).sortWithinPartitions("bucket")
     filed = docs.select("text", "ord", "th").mapInArrow(lambda batches: anchors(batches, buckets), ANCHORS)
     marked = (
         deal(filed)
