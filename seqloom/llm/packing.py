@@ -27,8 +27,8 @@ CAPACITY, END_ID = 2048, 1
 BLOCK_TOKENS = 4_000_000
 #: Most padding that a window may have before its pieces are laid out anew.
 SLACK = 32
-#: Words whose ids a worker remembers in each of two generations, some 250 MB in all.
-REMEMBER = 800_000
+#: Words whose ids a worker remembers in each of two generations, some 130 MB in all.
+REMEMBER = 400_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "~"
 TOGETHER = 256
