@@ -128,7 +128,7 @@ def wavefront_cells(pattern: Column, text: Column, unit: str = "byte") -> Column
         history, _ = pairs.wavefront_history(pattern_, n, text_, m, pairs.equal_symbols, True)
         return [
             (s, k, int(offset))
-            for s, offsets in enumerate(history)
+            for s, (offsets, _) in enumerate(history)
             for k, offset in enumerate(offsets[0], -s)
             if offset >= 0
         ]

@@ -136,6 +136,19 @@ def banded_distance(spark, folder):
     )
 
 
+# without a semicolon in the text, every full stop must be edited, and that is enough
+@query("""SELECT doc_id, length(text) - length(replace(text, '.', '')) AS score, true AS valid FROM documents
+WHERE NOT contains(text, ';')""")
+def document_wavefront(spark, folder):
+    """Whole documents against a near copy, aligned by wavefronts whatever their length."""
+    docs = spread(table(spark, folder, "documents", "doc_id", "text").filter(~F.contains("text", F.lit(";"))))
+    near = docs.withColumn("near", F.replace("text", F.lit("."), F.lit(";")))
+    al = near.withColumn("al", align_wavefront(F.col("text"), F.col("near")))
+    ops = F.col("al.ops")
+    valid = cigar.is_valid(ops, F.col("text"), F.col("near"))
+    return al.select("doc_id", F.col("al.score").alias("score"), valid.alias("valid"))
+
+
 @query(f"""WITH {READS} SELECT graph_id, seq_rank, levenshtein(a, b) AS score, true AS valid FROM pairs
 WHERE levenshtein(a, b) <= {BAND}""")
 def banded_script_check(spark, folder):

@@ -157,3 +157,29 @@ def test_branch_completion_sets_rivals_aside():
 def test_score_table_is_the_textbook_table():
     table = pairs.score_table(*coded(["ACGT", "AGT"]))
     assert np.array_equal(table, [[levenshtein("ACGT"[:v], "AGT"[:h]) for v in range(5)] for h in range(4)])
+
+
+def test_long_wavefronts_and_bands_equal_the_short_ones(monkeypatch):
+    rng = random.Random(31)
+    some = lambda: pairs.symbols("".join(rng.choices("abc", k=rng.randint(0, 25))))
+    left, right = [some() for _ in range(60)], [some() for _ in range(60)]
+    scores, scripts = pairs.wavefront_pairs(left, right)
+    assert [pairs.long_wavefront(a, b) for a, b in zip(left, right)] == list(zip(scores, scripts))
+    banded = pairs.align_pairs(left, right, bandwidth=5)
+    full = pairs.align_pairs(left, right)
+    for i, score in enumerate(full[0]):
+        assert score > 5 or (banded[0][i], banded[1][i]) == (score, full[1][i])
+    monkeypatch.setattr(pairs, "CELLS", 40)
+    again = pairs.align_pairs(left, right, bandwidth=5)
+    assert list(again[0]) == list(banded[0]) and again[1] == banded[1]
+
+
+def test_wavefronts_of_long_near_strings():
+    """Work follows the distance: 60,000 symbols, 40 edits."""
+    rng = random.Random(8)
+    text = rng.choices("acgt", k=60_000)
+    other = list(text)
+    for at in rng.sample(range(60_000), 40):
+        other[at] = "n"
+    (score,), (script,) = pairs.wavefront_pairs([pairs.symbols("".join(text))], [pairs.symbols("".join(other))])
+    assert score == 40 == script.count("X") and len(script) == 60_000
