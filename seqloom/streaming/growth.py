@@ -133,6 +133,26 @@ def run_path_growth(sequences: DataFrame) -> DataFrame:
     return added.select("graph_id", "seq_rank", "pos", "node_id")
 
 
+def run_path_growth_in_steps(arrivals: list[DataFrame]) -> DataFrame:
+    """Each table arrives after the ones before it have been worked off.
+
+    The stream is stopped and started again in between, so every graph goes on from the
+    state in the checkpoint.
+    """
+    spark = arrivals[0].sparkSession
+    base = f"{shared_folder(spark)}/growth-{uuid.uuid4().hex}"
+    incoming = f"{base}/incoming"
+
+    def save(added: DataFrame, epoch: int) -> None:
+        added.write.mode("overwrite").parquet(f"{base}/paths/batch={epoch}")
+
+    for rows in arrivals:
+        rows.write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).parquet(incoming)
+        _finish(growing_paths(stream), base, "append", save)
+    return spark.read.parquet(f"{base}/paths").select("graph_id", "seq_rank", "pos", "node_id")
+
+
 def stream_of(spark: SparkSession, written: DataFrame, files_per_batch: int = 4) -> DataFrame:
     """A stream over the files of a written table."""
     folder = written.inputFiles()[0].rsplit("/", 1)[0]

@@ -11,7 +11,7 @@ from seqloom.operators.pairwise import align, align_wavefront, edit_distance
 from seqloom.operators.pograph import star_graph
 from seqloom.operators.skew import spread_join
 from seqloom.session import materialise
-from seqloom.streaming.growth import run_path_growth, stream_of
+from seqloom.streaming.growth import run_path_growth, run_path_growth_in_steps, stream_of
 from test_graphs import random_star_sequences, rows
 
 
@@ -179,3 +179,11 @@ def test_streamed_growth_equals_the_batch_graph(spark):
     batch = star_graph(sequences).paths
     columns = ("graph_id", "seq_rank", "pos", "node_id")
     assert rows(streamed, *columns) == rows(batch, *columns)
+
+
+def test_growth_goes_on_from_its_state(spark):
+    sequences = materialise(random_star_sequences(spark, seed=10), "stream")
+    ranks = sorted({r.seq_rank for r in sequences.select("seq_rank").collect()})
+    grown = run_path_growth_in_steps([sequences.filter(F.col("seq_rank") == rank) for rank in ranks])
+    columns = ("graph_id", "seq_rank", "pos", "node_id")
+    assert len(ranks) > 2 and rows(grown, *columns) == rows(star_graph(sequences).paths, *columns)
