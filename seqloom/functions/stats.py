@@ -115,6 +115,12 @@ def share_text(total: Column, reference: Column) -> Column:
     )
 
 
+# Labels of a printed counter and of its statistics.
+SAMPLES, NO_SAMPLES, END = " (samples=", " (samples=0,--n/a--)}", ")}"
+STATISTICS = (("{mean", "mean"), (",min", "min"), (",Max", "max"), (",Var", "variance"), (",StdDev", "stddev"))
+SPREAD = ",min%.2f%%,Max%.2f%%,Var%.2f,StdDev%.2f)"
+
+
 def counter_text(units: str, reference: Column | None = None) -> Column:
     """One printed line for a row of ``counter``."""
     total = F.col("total")
@@ -128,24 +134,21 @@ def counter_text(units: str, reference: Column | None = None) -> Column:
 
 def sampler_text() -> Column:
     """The statistics part of a printed counter; variance and stddev are whole numbers."""
-    parts = [F.lit(" (samples="), scaled_count(F.col("samples"))]
-    named = (("{mean", "mean"), (",min", "min"), (",Max", "max"), (",Var", "variance"), (",StdDev", "stddev"))
-    for name, column in named:
+    parts = [F.lit(SAMPLES), scaled_count(F.col("samples"))]
+    for name, column in STATISTICS:
         value = F.col(column)
         parts += [F.lit(name), scaled(value) if column == "mean" else scaled_whole(F.floor(value))]
-    return F.when(F.col("samples") == 0, F.lit(" (samples=0,--n/a--)}")).otherwise(
-        F.concat(*parts, F.lit(")}"))
-    )
+    return F.when(F.col("samples") == 0, F.lit(NO_SAMPLES)).otherwise(F.concat(*parts, F.lit(END)))
 
 
 def percentage_text(units: str = "") -> Column:
     """A counter of percentages: mean, samples, range and spread."""
     head = F.concat(
         F.format_string(f"%7.2f %%{units}\t\t", F.col("mean")),
-        F.lit(" (samples="), scaled_count(F.col("samples")),
+        F.lit(SAMPLES), scaled_count(F.col("samples")),
     )
     spread = F.format_string(
-        ",min%.2f%%,Max%.2f%%,Var%.2f,StdDev%.2f)",
+        SPREAD,
         *[F.col(c).cast("double") for c in ("min", "max", "variance", "stddev")],
     )
     return F.concat(head, spread)

@@ -31,13 +31,13 @@ def alignment_problems(sequences: DataFrame) -> DataFrame:
     first = F.get(used, F.lit(0))
     consecutive = F.sequence(first, first + F.size(used) - 1)
     problem = (
-        F.when(aligned & (F.size(used) == 0), "missing sequence in the alignment")
+        F.when(aligned & (F.size(used) == 0), "alignment names no position")
         .when(aligned & ((F.array_max(used) >= F.length("seq")) | (F.array_min(used) < 0)), "position outside the sequence")
         .when(aligned & (used != consecutive), "positions are not consecutive")
     )
     if "weights" in sequences.columns:
         unequal = F.col("weights").isNotNull() & (F.size("weights") != F.length("seq"))
-        problem = F.when(unequal, "sequence and weights are of unequal size").otherwise(problem)
+        problem = F.when(unequal, "not one weight for each symbol").otherwise(problem)
     return sequences.select("graph_id", "seq_rank", problem.alias("problem")).filter("problem is not null")
 
 
