@@ -82,31 +82,33 @@ def _made(doc_id, text: str, own: str, following: str, theirs: str) -> tuple:
 
 
 def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition with the row after each; the last row is left out."""
-    before = None
+    """Rows of a sorted partition with what the row after each gives.
+
+    The last row lacks that; it comes as a row with the partition's number, its first text
+    and the last text.
+    """
+    before = part = first = None
     for batch in batches:
         out = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = fingerprint(text.encode())
             if before:
                 out.append(_made(*before, text, own))
+            else:
+                part, first = batch.column("part")[0].as_py(), text
             before = doc_id, text, own
         if out:
-            yield _rows(out)
+            yield _with_border(_rows(out), None)
+    if before:
+        last = (before[0], len(before[1]), "", before[2], "", "")
+        yield _with_border(_rows([last]), (part, first, before[1]))
 
 
-def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number, first text, last id and last text of a sorted partition."""
-    part = first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            if first is None:
-                part, first = batch.column("part")[0].as_py(), batch.column("text")[0].as_py()
-            end = batch.num_rows - 1
-            last = batch.column("doc_id")[end].as_py(), batch.column("text")[end].as_py()
-    if first is not None:
-        arrays = [pa.array([part], pa.int32()), pa.array([first]), pa.array([last[0]], pa.int64()), pa.array([last[1]])]
-        yield pa.RecordBatch.from_arrays(arrays, names=["part", "first_text", "last_id", "last_text"])
+def _with_border(rows: pa.RecordBatch, border: tuple | None) -> pa.RecordBatch:
+    values = border or (None, None, None)
+    types = (pa.int32(), pa.string(), pa.string())
+    more = [pa.array([v] * rows.num_rows, t) for v, t in zip(values, types, strict=True)]
+    return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*NAMES, "part", "first_text", "last_text"])
 
 
 def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +155,20 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    placed = (
-        rows.repartitionByRange(shuffle_parts(docs), *order[:2])
-        .sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id())
+    placed = rows.repartitionByRange(shuffle_parts(docs), *order[:2]).sortWithinPartitions(*order)
+    # written once: borders of partitions must be those of the rows
+    found = materialise(
+        placed.withColumn("part", F.spark_partition_id()).mapInArrow(in_order, f"{ROW}, part int, first_text string, last_text string"),
+        "chain",
     )
-    inside = placed.select("doc_id", "text").mapInArrow(in_order, ROW)
-    ends = materialise(placed.mapInArrow(borders, "part int, first_text string, last_id long, last_text string"), "borders")
+    inside = found.filter("part is null").select(*NAMES)
+    ends = found.filter("part is not null")
     parts = sorted(r.part for r in ends.select("part").collect())  # as many numbers as partitions
     follower = dict(zip(parts, parts[1:] + parts[:1], strict=True))
     if parts:
         turn = F.create_map(*(F.lit(x) for item in follower.items() for x in item))
         after = ends.select(F.col("part").alias("next_part"), F.col("first_text").alias("after"))
-        pairs = ends.withColumn("next_part", turn[F.col("part")]).join(after, "next_part")
+        pairs = ends.select(F.col("doc_id").alias("last_id"), "last_text", turn[F.col("part")].alias("next_part")).join(after, "next_part")
         inside = inside.unionAll(pairs.select("last_id", "last_text", "after").mapInArrow(of_pairs, ROW))
     near = likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited")
     following = likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
