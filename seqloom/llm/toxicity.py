@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seqloom.llm.common import plain
+from seqloom.session import materialise
 
 FEATURE_BITS = 18
 #: Lengths of the word beginnings that are features beside the whole word.
@@ -63,14 +64,27 @@ def text_features(text: str) -> np.ndarray:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """(features) of rows (text): little-endian 32-bit numbers."""
+    """(positive, features) of rows (positive, text)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t or "").astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["features"])
+            found = [text_features(t or "") for t in batch.column("text").to_pylist()]
+            features = pa.array(found, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), features], names=["positive", "features"])
 
-    return rows.select("text").mapInArrow(apply, "features binary")
+    return rows.select("positive", "text").mapInArrow(apply, "positive boolean, features array<int>")
+
+
+def only(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``featured`` rows with the wanted features alone."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x[wanted[x]] for x in (f.values.to_numpy() for f in batch.column("features"))]
+            features = pa.array(found, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), features], names=["positive", "features"])
+
+    return rows.mapInArrow(apply, "positive boolean, features array<int>")
 
 
 def _gather(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +97,13 @@ def _margins(weights: np.ndarray, bias: float, ids: np.ndarray, sizes: np.ndarra
     return bias + np.bincount(row, weights=weights[ids], minlength=len(sizes))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np.ndarray:
     """True for features that clearly more of the positives hold than of the unlabelled rows.
 
-    The others would only add noise, most of all in long texts.
+    ``p`` and ``u`` count the rows that hold each feature. The others would only add noise,
+    most of all in long texts.
     """
-    p, u = (np.bincount(_gather(rows)[0], minlength=1 << FEATURE_BITS) for rows in (positive, unlabelled))
-    share = len(positive) / (len(positive) + len(unlabelled))
-    expected = np.maximum(share * (p + u), 1e-12)
+    expected = np.maximum(positives / max(1, positives + unlabelled) * (p + u), 1e-12)
     ratio = p * np.log(np.maximum(p, 1e-12) / expected) - (p - expected)
     return (p > expected) & (ratio >= LEAST_CONTRAST)
 
@@ -116,7 +129,8 @@ def fit(
     weights, bias = np.zeros(size), unsure
     if not positive or not unlabelled:
         return Model(weights.astype(np.float32), unsure)
-    used = telling(positive, unlabelled)
+    counts = (np.bincount(_gather(rows)[0], minlength=size) for rows in (positive, unlabelled))
+    used = telling(*counts, len(positive), len(unlabelled))
     positive, unlabelled = ([row[used[row]] for row in rows] for rows in (positive, unlabelled))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     draw = np.random.default_rng(seed)
@@ -184,11 +198,23 @@ def learn(
     prior = toxic / counted.all if 0 < toxic < counted.all else PRIOR
     share = lambda most, n: min(1.0, most / max(1, n))
     names = known.filter("toxic = 1 and doc_id is not null").sample(share(most_positive, toxic), seed).select("doc_id").distinct()
-    confirmed = rows.join(F.broadcast(names), "doc_id", "left_semi")  # most_positive ids at most, or nearly
+    confirmed = rows.join(F.broadcast(names), "doc_id", "left_semi")  # most_positive ids, or nearly
+    confirmed = confirmed.sample(share(most_positive, confirmed.count()), seed)  # an id may be in many rows
     sample = rows.sample(share(most_unlabelled, total), seed)
-    # an id may be repeated in many rows; this bound holds then as well
-    read = lambda df, most: [np.frombuffer(x, "<i4") for x in featured(df).limit(2 * most).toArrow().column(0).to_pylist()]
-    return fit(read(confirmed, most_positive), read(sample, most_unlabelled), prior, seed=seed)
+    marked = confirmed.withColumn("positive", F.lit(True)).unionAll(sample.withColumn("positive", F.lit(False)))
+    table = materialise(featured(marked), "features")
+    # what comes to the driver: two counts for each hashed feature, then only telling features
+    sizes = {r.positive: r["count"] for r in table.groupBy("positive").count().collect()}
+    held = table.select("positive", F.explode("features").alias("feature")).groupBy("feature")
+    both = held.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    p, u = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
+    for counts, name in ((p, "p"), (u, "u")):
+        counts[both.column("feature").to_numpy()] = both.column(name).to_numpy()
+    found = only(table, telling(p, u, sizes.get(True, 0), sizes.get(False, 0))).toArrow()
+    few: dict[bool, list] = {True: [], False: []}
+    for positive, features in zip(found.column("positive").to_pylist(), found.column("features"), strict=True):
+        few[positive].append(features.values.to_numpy())
+    return fit(few[True], few[False], prior, seed=seed)
 
 
 class Scorer:
