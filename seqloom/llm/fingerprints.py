@@ -25,7 +25,11 @@ LEAST_BLOCK, PIECES = 3, 64
 RUN = 4
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
-ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+ROW = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    "edited_fingerprint string, next_fingerprint string"
+)
+CHAIN = f"{ROW}, part int, first_text string, last_text string"
 NAMES = [column.split()[0] for column in ROW.split(", ")]
 
 
@@ -115,7 +119,8 @@ def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, after = (batch.column(c).to_pylist() for c in ("last_id", "last_text", "after"))
         out = [
-            _made(i, t, fingerprint(t.encode()), n, fingerprint(n.encode())) for i, t, n in zip(ids, texts, after, strict=True)
+            _made(i, t, fingerprint(t.encode()), n, fingerprint(n.encode()))
+            for i, t, n in zip(ids, texts, after, strict=True)
         ]
         if out:
             yield _rows(out)
@@ -124,9 +129,11 @@ def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length, 0 without a common run."""
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    starts = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - (RUN - 1))), lambda i: s.substr(i, F.lit(RUN)))
+    last = lambda s: F.greatest(F.lit(1), F.length(s) - (RUN - 1))
+    starts = lambda s: F.transform(F.sequence(F.lit(1), last(s)), lambda i: s.substr(i, F.lit(RUN)))
     near = 1 - F.levenshtein(a, b) / longest
-    return F.when(longest == 0, 1.0).when(a == b, 1.0).when((shortest >= RUN) & ~F.arrays_overlap(starts(a), starts(b)), 0.0).otherwise(near)
+    apart = (shortest >= RUN) & ~F.arrays_overlap(starts(a), starts(b))
+    return F.when((longest == 0) | (a == b), 1.0).when(apart, 0.0).otherwise(near)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -153,14 +160,13 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     Documents are range-partitioned by id and read in order; only the last document of a
     partition needs the first of the next one, and these few are joined by partition number.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     placed = rows.repartitionByRange(shuffle_parts(docs), *order[:2]).sortWithinPartitions(*order)
     # written once: borders of partitions must be those of the rows
-    found = materialise(
-        placed.withColumn("part", F.spark_partition_id()).mapInArrow(in_order, f"{ROW}, part int, first_text string, last_text string"),
-        "chain",
-    )
+    numbered = placed.withColumn("part", F.spark_partition_id())
+    found = materialise(numbered.mapInArrow(in_order, CHAIN), "chain")
     inside = found.filter("part is null").select(*NAMES)
     ends = found.filter("part is not null")
     parts = sorted(r.part for r in ends.select("part").collect())  # as many numbers as partitions
@@ -168,8 +174,9 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     if parts:
         turn = F.create_map(*(F.lit(x) for item in follower.items() for x in item))
         after = ends.select(F.col("part").alias("next_part"), F.col("first_text").alias("after"))
-        pairs = ends.select(F.col("doc_id").alias("last_id"), "last_text", turn[F.col("part")].alias("next_part")).join(after, "next_part")
-        inside = inside.unionAll(pairs.select("last_id", "last_text", "after").mapInArrow(of_pairs, ROW))
+        last = ends.select(F.col("doc_id").alias("last_id"), "last_text", turn[F.col("part")].alias("next_part"))
+        pairs = last.join(after, "next_part").select("last_id", "last_text", "after")
+        inside = inside.unionAll(pairs.mapInArrow(of_pairs, ROW))
     near = likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited")
     following = likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
     return inside.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near, following)

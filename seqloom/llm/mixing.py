@@ -87,8 +87,11 @@ def mix(
     are carried along, but for those whose name starts with two underscores. Empty tables give empty results.
     """
     docs = plain(docs)
-    rates = source_rates(docs, weights, growth).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rates = source_rates(docs, weights, growth).select(
+        F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")
+    )
+    by_text = F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.coalesce(F.col("doc_id").cast("string"), by_text)
     drawn = lambda j: F.size(
         F.filter("__cdf", lambda x: x <= uniform(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), key)))
     )
@@ -101,4 +104,5 @@ def mix(
         .drop("__source", "__draws", "__cdf", "__count")
     )
     place = F.md5(F.concat(F.lit(f"{seed}/"), F.col("__copy").cast("string"), F.lit("/"), key).cast("binary"))
-    return copies.withColumn("__shuffle", place).repartition(shuffle_parts(docs), "__shuffle").sortWithinPartitions("__shuffle")
+    dealt = copies.withColumn("__shuffle", place).repartition(shuffle_parts(docs), "__shuffle")
+    return dealt.sortWithinPartitions("__shuffle")

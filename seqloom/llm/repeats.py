@@ -135,7 +135,9 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def bucketed(bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray], ords: np.ndarray, ths: np.ndarray) -> list[pa.Array]:
+def bucketed(
+    bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray], ords: np.ndarray, ths: np.ndarray
+) -> list[pa.Array]:
     """One row of arrays per bucket: the columns, and the documents they belong to."""
     order = np.argsort(bucket, kind="stable")
     bucket, doc = bucket[order], doc[order]
@@ -188,7 +190,7 @@ def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     rows = (
         row
         for batch in batches
-        for row in zip(text_bytes(batch.column("text")), batch.column("ord").to_pylist(), batch.column("th").to_pylist(), strict=True)
+        for row in zip(text_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("ord", "th")), strict=True)
     )
     for docs, hashes, row in in_blocks(rows, WordHashes()):
         starts = _windows(hashes, row)
@@ -369,7 +371,8 @@ def source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Digest of the words of each wanted span of a source document."""
     for batch in batches:
         out: list[tuple] = []
-        rows = zip(unpacked(batch.column("packed")), *(batch.column(c).to_pylist() for c in ("ord", "th", "wanted")), strict=True)
+        columns = (batch.column(c).to_pylist() for c in ("ord", "th", "wanted"))
+        rows = zip(unpacked(batch.column("packed")), *columns, strict=True)
         for text, order, th, wanted in rows:
             words = _words(text)
             out.extend((order, th, w["pos"], w["len"], _digest(words, w["pos"], w["len"])) for w in wanted)
@@ -379,6 +382,9 @@ def source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(arrays, names=["src_ord", "src_th", "src_pos", "len", "digest"])
 
 
+RESULT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
 def removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Documents without the words of their verified spans."""
     for batch in batches:
@@ -394,10 +400,9 @@ def removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
             gone.append(int(len(words) - keep.sum()))
             sums.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept.decode() if with_text else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-        )
+        made = [pa.array(c, t) for c, t in zip((counts, gone, sums, texts), RESULT_TYPES, strict=True)]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=names)
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -432,7 +437,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
         .withColumn("number", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*path, "number")
         .agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("len")).alias("stop"))
-        .select("ord", "th", "pos", (F.col("stop") - F.col("pos")).alias("len"), "src_ord", "src_th", (F.col("pos") - F.col("shift")).alias("src_pos"))
+        .withColumns({"len": F.col("stop") - F.col("pos"), "src_pos": F.col("pos") - F.col("shift")})
+        .select(*PATH_NAMES)
     )
 
 

@@ -142,7 +142,11 @@ def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFra
 
 def _scan(values: Column, start: Column) -> Column:
     first = F.struct(F.array().cast("array<long>").alias("sums"), start.alias("total"))
-    step = lambda s, x: F.struct(F.concat(s["sums"], F.array(s["total"])).alias("sums"), (s["total"] + x).alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        sums = F.concat(s["sums"], F.array(s["total"]))
+        return F.struct(sums.alias("sums"), (s["total"] + x).alias("total"))
+
     return F.aggregate(values, first, step, lambda s: s["sums"])
 
 
@@ -150,7 +154,8 @@ def sums_before(values: Column) -> Column:
     """Sum of all elements before each one, block by block."""
     zero = F.lit(0).cast("long")
     count = F.ceil(F.size(values) / SUM_BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(values, (i - 1) * SUM_BLOCK + 1, SUM_BLOCK))
+    numbers = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    blocks = F.transform(numbers, lambda i: F.slice(values, (i - 1) * SUM_BLOCK + 1, SUM_BLOCK))
     sums = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda a, x: a + x))
     return F.flatten(F.zip_with(blocks, _scan(sums, zero), _scan))
 
@@ -187,11 +192,14 @@ def search(docs: DataFrame, rules: Sequence[Rule], wanted: dict[str, Column]) ->
     rows = docs.withColumns(
         {f"__m{i}": on(r.kind, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for i, r in enumerate(rules)}
     )
-    hit = [F.size(f"__m{i}") > 0 for i in range(len(rules))]
-    rows = rows.withColumns(
-        {f"__g{i}": F.when(hit[i], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).otherwise(none) for i, r in enumerate(rules)}
-        | {f"__p{i}": F.when(hit[i], F.slice(F.split("text", r.pattern, -1), 1, F.size(f"__m{i}"))).otherwise(none) for i, r in enumerate(rules)}
-    )
+    hit = lambda i, value: F.when(F.size(f"__m{i}") > 0, value).otherwise(none)
+    groups = {
+        f"__g{i}": hit(i, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))) for i, r in enumerate(rules)
+    }
+    pieces = {
+        f"__p{i}": hit(i, F.slice(F.split("text", r.pattern, -1), 1, F.size(f"__m{i}"))) for i, r in enumerate(rules)
+    }
+    rows = rows.withColumns(groups | pieces)
     lengths = lambda i: F.zip_with(f"__p{i}", f"__m{i}", lambda p, m: (F.length(p) + F.length(m)).cast("long"))
     rows = rows.withColumns({f"__s{i}": sums_before(lengths(i)) for i in range(len(rules))})
     parts = [_spans(i, rule) for i, rule in enumerate(rules)]

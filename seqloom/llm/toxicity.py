@@ -192,12 +192,14 @@ def learn(
     """
     inside = ~held_out(F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(inside)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(inside)
-    counted = known.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("toxic"), F.count("toxic").alias("all")).first()
+    id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    rows = docs.select(id_, text).filter(inside)
+    counted = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("toxic").alias("all")).first()
     toxic, total = counted.toxic or 0, rows.count()
     prior = toxic / counted.all if 0 < toxic < counted.all else PRIOR
     share = lambda most, n: min(1.0, most / max(1, n))
-    names = known.filter("toxic = 1 and doc_id is not null").sample(share(most_positive, toxic), seed).select("doc_id").distinct()
+    named = known.filter("toxic = 1 and doc_id is not null").sample(share(most_positive, toxic), seed)
+    names = named.select("doc_id").distinct()
     confirmed = rows.join(F.broadcast(names), "doc_id", "left_semi")  # most_positive ids, or nearly
     confirmed = confirmed.sample(share(most_positive, confirmed.count()), seed)  # an id may be in many rows
     sample = rows.sample(share(most_unlabelled, total), seed)

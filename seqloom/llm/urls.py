@@ -59,7 +59,10 @@ def path_prefixes(path: Column, lengths: Sequence[int] = ()) -> Column:
     parts = F.split(path, "/", -1)
     folders = F.when(
         F.size(parts) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
+        F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
+        ),
     ).otherwise(F.array().cast("array<string>"))
     others = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
     return F.array_distinct(F.concat(folders, F.array(F.lit(""), path, *others)))
