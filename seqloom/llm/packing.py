@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -27,8 +28,8 @@ CAPACITY, END_ID = 2048, 1
 BLOCK_TOKENS = 4_000_000
 #: Most padding that a window may have before its pieces are laid out anew.
 SLACK = 32
-#: Words whose ids a worker remembers in each of two generations, some 130 MB in all.
-REMEMBER = 400_000
+#: Words whose ids a worker remembers, some 150 MB.
+REMEMBER = 900_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "~"
 TOGETHER = 256
@@ -46,8 +47,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never merges over white space, word by word.
 
     Only words that are not remembered are encoded by the library; the ids of a text are
-    those of its words in a row. When enough new words have been seen, those not seen since
-    the last time are forgotten.
+    those of its words in a row. When there are too many, the half that came last is
+    forgotten: frequent words come early.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,15 +59,12 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
 
     def _learn(self, words: set[bytes]) -> None:
-        again = [w for w in words if w in self.older]
-        self.known.update((w, self.older[w]) for w in again)
         new, alone = [], []
-        for word in words.difference(again):
+        for word in words:
             (alone if self.between is None or BETWEEN.encode() in word else new).append(word)
         for start in range(0, len(new), TOGETHER):
             part = new[start : start + TOGETHER]
@@ -87,7 +85,7 @@ class WordEncoder:
             parts = []
             for words in word_blocks(text):
                 if len(self.known) > REMEMBER:
-                    self.known, self.older = {}, self.known
+                    self.known = dict(islice(self.known.items(), REMEMBER // 2))
                 known = self.known
                 found = list(map(known.get, words))
                 gaps = [i for i, ids in enumerate(found) if ids is None]
