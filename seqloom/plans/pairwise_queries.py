@@ -136,13 +136,12 @@ def banded_distance(spark, folder):
     )
 
 
-# without a semicolon in the text, every full stop must be edited, and that is enough
-@query("""SELECT doc_id, length(text) - length(replace(text, '.', '')) AS score, true AS valid FROM documents
-WHERE NOT contains(text, ';')""")
+# no text holds the control character, so every full stop must be edited, and that is enough
+@query("""SELECT doc_id, length(text) - length(replace(text, '.', '')) AS score, true AS valid FROM documents""")
 def document_wavefront(spark, folder):
     """Whole documents against a near copy, aligned by wavefronts whatever their length."""
-    docs = spread(table(spark, folder, "documents", "doc_id", "text").filter(~F.contains("text", F.lit(";"))))
-    near = docs.withColumn("near", F.replace("text", F.lit("."), F.lit(";")))
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"))
+    near = docs.withColumn("near", F.replace("text", F.lit("."), F.lit("\x01")))
     al = near.withColumn("al", align_wavefront(F.col("text"), F.col("near")))
     ops = F.col("al.ops")
     valid = cigar.is_valid(ops, F.col("text"), F.col("near"))
@@ -252,20 +251,18 @@ def document_script_check(spark, folder):
 PLACED = """array_to_string(list_transform(range(1, least({n}, {m}) + 1),
 lambda i: CASE WHEN {x} = {y} THEN 'M' ELSE 'X' END), '')
 || repeat('D', greatest({n} - {m}, 0)) || repeat('I', greatest({m} - {n}, 0))"""
-BY_CHAR = PLACED.format(n="len(a)", m="len(b)", x="a[i]", y="b[i]")
-BY_BYTE = PLACED.format(
-    n="strlen(a)", m="strlen(b)", x="hex(encode(a))[2 * i - 1:2 * i]", y="hex(encode(b))[2 * i - 1:2 * i]"
-)
+BY_CHAR = PLACED.format(n="len(ca)", m="len(cb)", x="ca[i]", y="cb[i]")
+BY_BYTE = PLACED.format(n="len(xa)", m="len(xb)", x="xa[i]", y="xb[i]")
 
 
-@query(f"""WITH {LINES}, shorter AS (SELECT doc_id, line_no, left(a, 60) AS a, left(b, 60) AS b FROM line_pairs)
+@query(f"""WITH {LINES}, lists AS (SELECT *, regexp_extract_all(a, '(?s).') AS ca, regexp_extract_all(b, '(?s).') AS cb,
+regexp_extract_all(hex(encode(a)), '..') AS xa, regexp_extract_all(hex(encode(b)), '..') AS xb FROM line_pairs)
 SELECT doc_id, line_no, {BY_BYTE} AS by_byte, {BY_CHAR} AS by_char,
 a || repeat('-', greatest(len(b) - len(a), 0)) AS upper_row, translate({BY_CHAR}, 'MXDI', '|   ') AS sign_row,
-b || repeat('-', greatest(len(a) - len(b), 0)) AS lower_row FROM shorter""")
-def document_line_starts_refined(spark, folder):
-    """Line starts of 60 characters laid over each other, in bytes and in characters."""
-    start = [F.left(c, F.lit(60)).alias(n) for c, n in zip(ab(), "ab")]
-    lines = document_lines(spark, folder).select("doc_id", "line_no", *start)
+b || repeat('-', greatest(len(a) - len(b), 0)) AS lower_row FROM lists""")
+def document_lines_refined(spark, folder):
+    """Lines laid over each other, in bytes and in characters."""
+    lines = document_lines(spark, folder)
     matches = F.repeat(F.lit("M"), F.greatest(F.octet_length("a"), F.octet_length("b")))
     by_char = cigar.refine(F.repeat(F.lit("M"), F.least(F.length("a"), F.length("b"))), *ab(), unit="char")
     refined = lines.select("*", cigar.refine(matches, *ab()).alias("by_byte"), by_char.alias("by_char"))

@@ -155,10 +155,11 @@ def humanized_units(spark, folder):
 
 
 @query("""SELECT symbol, CASE symbol WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END::BIGINT
-AS base, count(*) AS rows FROM (SELECT upper(left(event_type, 1)) AS symbol FROM events
+AS base, count(*) AS rows FROM (SELECT unnest(regexp_extract_all(upper(event_type), '(?s).')) AS symbol FROM events
 UNION ALL SELECT l_returnflag FROM lineitem) GROUP BY 1, 2""")
 def base_index(spark, folder):
-    events = table(spark, folder, "events", "event_type").select(F.upper(F.left("event_type", F.lit(1))).alias("symbol"))
+    letters = F.regexp_extract_all(F.upper("event_type"), F.lit("(?s)."), F.lit(0))
+    events = table(spark, folder, "events", "event_type").select(F.explode(letters).alias("symbol"))
     flags = table(spark, folder, "lineitem", "l_returnflag").select(F.col("l_returnflag").alias("symbol"))
     return (
         events.unionByName(flags).groupBy("symbol").agg(F.count("*").alias("rows"))
@@ -190,14 +191,16 @@ def char_classes(spark, folder):
     )
 
 
-@query("""SELECT page_id, regexp_full_match(c, '[0-9]') AS is_digit, regexp_full_match(c, '[A-Za-z]') AS is_letter,
+@query("""SELECT page_id, place, regexp_full_match(c, '[0-9]') AS is_digit, regexp_full_match(c, '[A-Za-z]') AS is_letter,
 (instr('0123456789abcdef', c) - 1)::BIGINT AS hex, CASE WHEN regexp_full_match(c, '[0-9]') THEN ascii(c) - 48 END::BIGINT AS digit
-FROM (SELECT page_id, left(md5(url), 1) AS c FROM pages)""")
+FROM (SELECT page_id, unnest(range(32))::INT AS place, unnest(regexp_extract_all(md5(url), '.')) AS c FROM pages)""")
 def digit_decode(spark, folder):
     c = F.col("c")
-    first = table(spark, folder, "pages", "page_id", "url").select("page_id", F.left(F.md5("url"), F.lit(1)).alias("c"))
-    return first.select(
+    digits = F.regexp_extract_all(F.md5("url"), F.lit("."), F.lit(0))
+    symbols_ = table(spark, folder, "pages", "page_id", "url").select("page_id", F.posexplode(digits).alias("place", "c"))
+    return symbols_.select(
         "page_id",
+        "place",
         symbols.is_class(c, "digit").alias("is_digit"),
         symbols.is_class(c, "letter").alias("is_letter"),
         symbols.hex_digit(c).alias("hex"),
