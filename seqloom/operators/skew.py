@@ -4,33 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_ROWS = 1_000_000  # left rows of one key from which the key is spread
-SPREAD = 32
+HOT_ROWS = 250_000  # left rows of one key that go to one task at most, on average
 
 
 def spread_sides(
     left: DataFrame, right: DataFrame, key: str, scatter: str, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``salt`` column: hot left keys are split over SPREAD salts, and
-    their right rows repeated once per salt. Join on [key, "salt"].
+    """Both sides with a ``salt`` column: a hot left key is split into as many salts as it has
+    times ``hot_rows`` rows, and its right rows are repeated once per salt. Join on
+    [key, "salt"].
 
     Keys are counted with map-side aggregation. Fewer than rows/hot_rows keys can be hot,
     so the list of hot keys is small by construction and is broadcast. ``scatter`` is a
     left column (a row id) that decides which copy a row meets.
     """
+    ways = F.ceil(F.col("count") / hot_rows).cast("int")
     hot = F.broadcast(
-        left.groupBy(key)
-        .count()
-        .filter(F.col("count") >= hot_rows)
-        .select(key, F.lit(True).alias("__hot"))
-    )
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(scatter), F.lit(SPREAD))).otherwise(0).cast("int")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
+        left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key, ways.alias("__ways"))
     )
+    salt = F.coalesce(F.pmod(F.xxhash64(scatter), F.col("__ways")), F.lit(0)).cast("int")
+    copies = F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1)
     return (
-        left.join(hot, key, "left").withColumn("salt", salt).drop("__hot"),
-        right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("__hot"),
+        left.join(hot, key, "left").withColumn("salt", salt).drop("__ways"),
+        right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("__ways"),
     )
 
 
