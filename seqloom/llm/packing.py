@@ -11,6 +11,7 @@ need no padding.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -97,9 +98,9 @@ class WordEncoder:
             yield b"".join(parts)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One per worker, which serves many tasks."""
+@lru_cache(maxsize=1)
+def encoder(path: str, call: str) -> WordEncoder:
+    """One per worker and call of ``pack``: its tasks share words, later calls start afresh."""
     return WordEncoder(path)
 
 
@@ -240,8 +241,10 @@ def pack(
     is run again gives the same windows.
     """
 
+    call = uuid.uuid4().hex
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = encoder(path).encode, None, np.array([end_id], "<u4").tobytes()
+        encode, packer, end = encoder(path, call).encode, None, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
