@@ -62,23 +62,44 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
+        # a word of letters alone is one piece, which ends in a token marked as a word's end
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        else:
+            self.ends = None
 
     def _learn(self, words: set[bytes]) -> None:
-        new, alone = [], []
+        plain, mixed, alone = [], [], []
         for word in words:
-            (alone if self.between is None or BETWEEN.encode() in word else new).append(word)
-        for start in range(0, len(new), TOGETHER):
-            part = new[start : start + TOGETHER]
-            text = f" {BETWEEN} ".join([w.decode() for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(ids == self.between).tolist()
-            data = ids.tobytes()
-            begins = [0, *(4 * i + 4 for i in stops)]
-            self.known.update(
-                (w, data[a:b]) for w, a, b in zip(part, begins, [*(4 * i for i in stops), len(data)], strict=True)
-            )
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(alone, found, strict=True))
+            text = word.decode()
+            if self.ends is not None and text.isalpha():
+                plain.append((word, text))
+            else:
+                (alone if self.between is None or BETWEEN in text else mixed).append((word, text))
+        for start in range(0, len(plain), TOGETHER):
+            part = plain[start : start + TOGETHER]
+            ids = self._ids(" ".join([text for _, text in part]))
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                self._cut(part, ids, [0, *stops[:-1]], stops)
+            else:  # lower-casing has made more than one piece of some word
+                alone.extend(part)
+        for start in range(0, len(mixed), TOGETHER):
+            part = mixed[start : start + TOGETHER]
+            ids = self._ids(f" {BETWEEN} ".join([text for _, text in part]))
+            stops = np.flatnonzero(ids == self.between)
+            self._cut(part, ids, [0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)])
+        found = self.tokenizer.encode_batch_fast([text for _, text in alone], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(alone, found, strict=True))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _cut(self, part: list[tuple[bytes, str]], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
+        data = ids.tobytes()
+        self.known.update((w, data[4 * a : 4 * b]) for (w, _), a, b in zip(part, starts, stops, strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
