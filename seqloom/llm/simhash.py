@@ -14,7 +14,7 @@ bits; a star over each variant carries all links. Work stays linear in the bucke
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +127,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     marked = materialise(fingerprints(docs), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(close_links(distinct)).withColumnRenamed("node", "fp")
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    named = name_components(distinct, components(close_links(distinct)))
+    return marked.join(named, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id", "root")
+
+
+def name_components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each fp; ``first`` of distinct is the fp's smallest doc_id."""
+    roots = roots.withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp").select("fp", "first", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = rooted.join(least, "root").select("fp", "root", "component_id")
@@ -136,9 +143,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("root", "fp").alias("root"),
         F.coalesce("component_id", "first").alias("component_id"),
     )
-    named = materialise(named, "named")  # read plainly, so that Spark can split a hot fingerprint
-    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select("doc_id", "fp", text.alias("fingerprint"), "component_id", "root")
+    return materialise(named, "named")  # read plainly, so that Spark can split a hot fingerprint
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -149,7 +154,11 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     with two underscores are dropped.
     """
     docs = plain(docs)
-    groups = materialise(near_groups(docs), "near")
+    return keep_one(docs, materialise(near_groups(docs), "near"), fingerprint)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, mark_of: Callable[[bytes], int]) -> DataFrame:
+    """One row of ``docs`` for each component of groups (doc_id, fp, component_id, root)."""
     named = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = pick(docs.filter("doc_id is not null"), named, ["doc_id"])
     unnamed = groups.filter("component_id is null and fp = root").select(F.col("fp").alias("__fp")).distinct()
@@ -159,7 +168,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            found = pa.array([fingerprint(text) for text in texts], pa.int64())
+            found = pa.array([mark_of(text) for text in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=schema.names)
 
     return kept.unionAll(pick(rows.mapInArrow(mark, schema), unnamed, ["__fp"]).drop("__fp"))
