@@ -72,7 +72,7 @@ def op2_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents", "doc_id", "text")
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
     return toxicity.toxicity(docs, read(spark, folder, "labels", "doc_id", "toxic"))
 
 

@@ -1,16 +1,19 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed word features is fitted with NumPy from confirmed toxic
+A linear classifier over words and word beginnings is fitted with NumPy from confirmed toxic
 documents and unlabelled ones. The risk of the negative class is what unlabelled documents
 show minus the positives' part of it (class prior), and is kept from falling below zero.
 The fit uses a sample of bounded size; every document is scored, in Arrow batches.
+
+Words that toxic texts hold more often are also in clean ones, so a long clean text holds many
+of them. What counts is the evidence above that of a clean text with as many words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +23,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from seqloom.llm.common import plain
 from seqloom.session import materialise
 
-FEATURE_BITS = 18
 #: Lengths of the word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5)
 #: Most documents that a fit reads, expected numbers of a random sample.
@@ -31,6 +33,10 @@ FOLDS = 5
 PRIOR = 0.1
 #: Least log-likelihood ratio by which positives hold a feature more often than all rows do.
 LEAST_CONTRAST = 10.0
+#: Standard deviations above a clean text's mean that are no evidence.
+SPREAD = 2.0
+#: Numbers of words for which a clean text's evidence is tabled.
+SIZES = np.unique(np.geomspace(1, 1 << 20, 400).astype(np.int64))
 #: Words whose features a worker remembers.
 REMEMBER = 200_000
 
@@ -39,8 +45,13 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Model:
+    """Weight and group of each feature, and what clean texts of ``SIZES`` words hold of a group."""
+
+    features: list[str]
     weights: np.ndarray
     bias: float
+    groups: np.ndarray
+    allowed: np.ndarray
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,43 +59,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its beginnings."""
-    mask = (1 << FEATURE_BITS) - 1
-    starts = [f"^{word[:n]}" for n in PREFIXES if len(word) > n]
-    return [crc32(x.encode()) & mask for x in (f"={word}", *starts)]
+def word_features(word: str) -> list[str]:
+    """Features of a word: itself and its beginnings."""
+    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
-def text_features(text: str) -> np.ndarray:
-    """Sorted distinct features of a whole text."""
-    found: set[int] = set()
-    for word in set(WORD.findall(text.lower())):
+def text_features(text: str) -> tuple[int, list[str]]:
+    """Number of words and sorted distinct features of a whole text."""
+    words, found = WORD.findall(text.lower()), set()
+    for word in set(words):
         found.update(word_features(word))
-    return np.array(sorted(found), np.int32)
+    return len(words), sorted(found)
+
+
+FEATURED = "positive boolean, lang string, n long, features array<string>"
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """(positive, features) of rows (positive, text)."""
+    """(positive, lang, n, features) of rows (positive, lang, text)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_features(t or "") for t in batch.column("text").to_pylist()]
-            features = pa.array(found, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), features], names=["positive", "features"])
+            columns = [batch.column("positive"), batch.column("lang"), pa.array([n for n, _ in found], pa.int64())]
+            columns.append(pa.array([x for _, x in found], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names=["positive", "lang", "n", "features"])
 
-    return rows.select("positive", "text").mapInArrow(apply, "positive boolean, features array<int>")
+    return rows.select("positive", "lang", "text").mapInArrow(apply, FEATURED)
 
 
-def only(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``featured`` rows with the wanted features alone."""
+def only(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """``featured`` rows with the numbers of the wanted features alone."""
+    place = {x: i for i, x in enumerate(wanted)}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[wanted[x]] for x in (f.values.to_numpy() for f in batch.column("features"))]
-            features = pa.array(found, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), features], names=["positive", "features"])
+            found = [[place[x] for x in f if x in place] for f in batch.column("features").to_pylist()]
+            columns = [batch.column(c) for c in ("positive", "lang", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], names=["positive", "lang", "n", "features"])
 
-    return rows.mapInArrow(apply, "positive boolean, features array<int>")
+    return rows.mapInArrow(apply, FEATURED.replace("array<string>", "array<int>"))
 
 
 def _gather(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +122,65 @@ def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np
     return (p > expected) & (ratio >= LEAST_CONTRAST)
 
 
+@dataclass(frozen=True)
+class Rows:
+    """Telling features, number of words and language of each row of a sample."""
+
+    ids: list[np.ndarray]
+    sizes: np.ndarray
+    langs: np.ndarray
+
+    def held(self, size: int, lang: str) -> np.ndarray:
+        """How many rows of a language hold each feature."""
+        rows = [row for row, at in zip(self.ids, self.langs, strict=True) if at == lang]
+        return np.bincount(_gather(rows)[0], minlength=size)
+
+
+def clean_rates(positive: Rows, unlabelled: Rows, prior: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature, the language that holds it most in clean text, and its rate there.
+
+    The rate is per word: what unlabelled rows hold less the positives' part of it, and one
+    standard deviation of this difference more.
+    """
+    langs = np.unique(unlabelled.langs)
+    rates = np.zeros((len(langs), size))
+    for i, lang in enumerate(langs):
+        here, known = unlabelled.langs == lang, int((positive.langs == lang).sum())
+        each, p, u = prior * here.sum() / max(1, known), positive.held(size, lang), unlabelled.held(size, lang)
+        words = max(1.0, (1 - prior) * unlabelled.sizes[here].sum())
+        rates[i] = np.clip((u - each * p + np.sqrt(u + each**2 * p)) / words, 0, 0.5)
+    return rates.argmax(axis=0), rates.max(axis=0)
+
+
+def clean_evidence(features: list[str], weights: np.ndarray, groups: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """[group, size]: mean and ``SPREAD`` deviations of the evidence in clean texts of ``SIZES`` words.
+
+    Features with the same beginning come together, those with different ones on their own.
+    """
+    starts = [x[1 : 1 + PREFIXES[0]] for x in features]
+    family = np.unique(starts, return_inverse=True)[1]
+    allowed = np.zeros((groups.max() + 1, len(SIZES)))
+    for k, n in enumerate(SIZES):
+        q = 1 - (1 - rates) ** n
+        mean = np.bincount(groups, weights * q)
+        spread = np.zeros((groups.max() + 1, family.max() + 1))
+        np.add.at(spread, (groups, family), weights * np.sqrt(q * (1 - q)))
+        allowed[:, k] = mean + SPREAD * np.sqrt((spread**2).sum(axis=1))
+    return allowed
+
+
+def evidence(model: Model, ids: list[int] | np.ndarray, n: int) -> float:
+    """Weight of a text's features above what a clean text of n words holds."""
+    if not len(ids):
+        return 0.0
+    held = np.bincount(model.groups[ids], model.weights[ids])
+    return float(sum(max(0.0, x - np.interp(n, SIZES, model.allowed[g])) for g, x in enumerate(held) if x))
+
+
 def fit(
-    positive: list[np.ndarray],
-    unlabelled: list[np.ndarray],
+    features: list[str],
+    known: Rows,
+    others: Rows,
     prior: float,
     epochs: int = 60,
     batch: int = 512,
@@ -124,14 +194,13 @@ def fit(
     words that excuse others. Without positives, unlabelled rows or any telling word every
     score is the prior.
     """
-    size = 1 << FEATURE_BITS
+    size = len(features)
     unsure = float(np.log(prior / (1 - prior)))
     weights, bias = np.zeros(size), unsure
-    if not positive or not unlabelled:
-        return Model(weights.astype(np.float32), unsure)
-    counts = (np.bincount(_gather(rows)[0], minlength=size) for rows in (positive, unlabelled))
-    used = telling(*counts, len(positive), len(unlabelled))
-    positive, unlabelled = ([row[used[row]] for row in rows] for rows in (positive, unlabelled))
+    none = Model([], np.zeros(0, np.float32), unsure, np.zeros(0, np.int64), np.zeros((0, len(SIZES))))
+    positive, unlabelled = known.ids, others.ids
+    if not positive or not unlabelled or not size:
+        return none
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     draw = np.random.default_rng(seed)
     steps = max(1, len(unlabelled) // batch)
@@ -157,11 +226,11 @@ def fit(
         t = step + 1
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights, bias = np.maximum(0, weights - move[:-1]), bias - move[-1]
-    margin = lambda rows: _margins(weights, bias, *_gather(rows))
-    mark = cut(margin(positive), margin(unlabelled), prior, bias)
-    if mark is None:
-        return Model(np.zeros(size, np.float32), unsure)
-    return Model(weights.astype(np.float32), float(bias - mark))
+    groups, rates = clean_rates(known, others, prior, size)
+    model = Model(features, weights, 0.0, groups, clean_evidence(features, weights, groups, rates))
+    margin = lambda rows: np.array([evidence(model, *row) for row in zip(rows.ids, rows.sizes, strict=True)])
+    mark = cut(margin(known), margin(others), prior, 0.0)
+    return none if mark is None else replace(model, bias=-mark)
 
 
 def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float, none: float) -> float | None:
@@ -193,7 +262,8 @@ def learn(
     inside = ~held_out(F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(inside)
     id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    rows = docs.select(id_, text).filter(inside)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select(id_, text, lang.alias("lang")).filter(inside)
     counted = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("toxic").alias("all")).first()
     toxic, total = counted.toxic or 0, rows.count()
     prior = toxic / counted.all if 0 < toxic < counted.all else PRIOR
@@ -205,26 +275,30 @@ def learn(
     sample = rows.sample(share(most_unlabelled, total), seed)
     marked = confirmed.withColumn("positive", F.lit(True)).unionAll(sample.withColumn("positive", F.lit(False)))
     table = materialise(featured(marked), "features")
-    # what comes to the driver: two counts for each hashed feature, then only telling features
+    # what comes to the driver: counts of features that several positives hold, then telling ones
     sizes = {r.positive: r["count"] for r in table.groupBy("positive").count().collect()}
     held = table.select("positive", F.explode("features").alias("feature")).groupBy("feature")
-    both = held.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
-    p, u = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
-    for counts, name in ((p, "p"), (u, "u")):
-        counts[both.column("feature").to_numpy()] = both.column(name).to_numpy()
-    found = only(table, telling(p, u, sizes.get(True, 0), sizes.get(False, 0))).toArrow()
-    few: dict[bool, list] = {True: [], False: []}
-    for positive, features in zip(found.column("positive").to_pylist(), found.column("features"), strict=True):
-        few[positive].append(features.values.to_numpy())
-    return fit(few[True], few[False], prior, seed=seed)
+    both = held.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    share = sizes.get(True, 0) / max(1, sum(sizes.values()))
+    p, expected = F.col("p"), F.lit(share) * (F.col("p") + F.col("u"))
+    apart = both.filter((p > 0) & (p > expected) & (p * F.ln(p / expected) - (p - expected) >= LEAST_CONTRAST - 1e-6))
+    counts = apart.orderBy("feature").toArrow()
+    used = telling(*(counts.column(c).to_numpy().astype(float) for c in "pu"), sizes.get(True, 0), sizes.get(False, 0))
+    features = [x for x, use in zip(counts.column("feature").to_pylist(), used, strict=True) if use]
+    found = only(table, features).orderBy("positive", "lang", "n", "features").toArrow()
+    where = np.array(found.column("positive").to_pylist(), bool)
+    ids = [np.array(x, np.int64) for x in found.column("features").to_pylist()]
+    n, langs = found.column("n").to_numpy(), np.array(found.column("lang").to_pylist(), object)
+    few = [Rows([x for x, w in zip(ids, at, strict=True) if w], n[at], langs[at]) for at in (where, ~where)]
+    return fit(features, *few, prior, seed=seed)
 
 
 class Scorer:
     """Scores texts with a model; remembers the features of words."""
 
     def __init__(self, model: Model) -> None:
-        self.bias = model.bias
-        self.weights = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
+        self.model = model
+        self.place = {x: i for i, x in enumerate(model.features) if model.weights[i]}
         self.known: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[int]:
@@ -232,16 +306,15 @@ class Scorer:
         if found is None:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
-            found = self.known[word] = [i for i in word_features(word) if i in self.weights]
+            found = self.known[word] = [self.place[x] for x in word_features(word) if x in self.place]
         return found
 
     def score(self, text: str) -> float:
         found: set[int] = set()
-        word = self.word
-        for w in set(WORD.findall(text.lower())):
+        word, words = self.word, WORD.findall(text.lower())
+        for w in set(words):
             found.update(word(w))
-        weights = self.weights
-        margin = self.bias + sum([weights[i] for i in found])
+        margin = self.model.bias + evidence(self.model, sorted(found), len(words))
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
