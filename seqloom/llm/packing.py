@@ -10,9 +10,10 @@ need no padding.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import islice
@@ -29,8 +30,12 @@ CAPACITY, END_ID = 2048, 1
 BLOCK_TOKENS = 4_000_000
 #: Most padding that a window may have before its pieces are laid out anew.
 SLACK = 32
-#: Words whose ids a worker remembers, some 150 MB.
-REMEMBER = 900_000
+#: Words, and runs of letters, whose ids a task remembers: some 150 MB at most, freed at its end.
+REMEMBER = 600_000
+#: ASCII symbols; behind letters they are a piece of their own.
+SYMBOLS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Letters up to this one are composed and have one lower-case letter each.
+LAST_LETTER = "\u012f"
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "~"
 TOGETHER = 256
@@ -44,55 +49,75 @@ NAMES = [column.split()[0] for column in PIECES.split(", ")]
 TYPES = [pa.int64()] * 7 + [pa.binary()]
 
 
+def plain_letters(tokenizer) -> bool:
+    """True if the tokenizer lower-cases, keeps runs of letters and runs of symbols apart, and ends each with a mark."""
+    made = json.loads(tokenizer.to_str())
+    normal = [step["type"] for step in (made["normalizer"] or {}).get("normalizers", [])]
+    cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        normal == ["NFC", "Replace", "Lowercase"]
+        and [step["type"] for step in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and not cuts[1]["add_prefix_space"]
+        and bool(made["model"].get("end_of_word_suffix"))
+    )
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never merges over white space, word by word.
 
     Only words that are not remembered are encoded by the library; the ids of a text are
-    those of its words in a row. When there are too many, the half that came last is
-    forgotten: frequent words come early.
+    those of its words in a row. Most new words are letters with symbols behind them: these
+    parts are remembered on their own, as many words differ in their symbols or case alone.
     """
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, remember: int = REMEMBER) -> None:
+        self.tokenizer, self.symbols = library(path), {}
+        self.remember = remember
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
-        # a word of letters alone is one piece, which ends in a token marked as a word's end
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        if suffix:
-            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        else:
-            self.ends = None
+        self.ends = word_ends(path)
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.symbols.get(tail)
+        if ids is None:
+            if len(self.symbols) >= TOGETHER:
+                self.symbols.clear()
+            ids = self.symbols[tail] = self._ids(tail).tobytes()
+        return ids
+
+    def _learn_letters(self, heads: list[str]) -> None:
+        """Runs of letters are encoded together; each ends in a token marked as a word's end."""
+        for start in range(0, len(heads), TOGETHER):
+            part = heads[start : start + TOGETHER]
+            ids = self._ids(" ".join(part))
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            self.letters.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, mixed, alone = [], [], []
+        plain, mixed, alone, known, letters = [], [], [], self.known, self.letters
         for word in words:
             text = word.decode()
-            if self.ends is not None and text.isalpha():
-                plain.append((word, text))
-            else:
-                (alone if self.between is None or BETWEEN in text else mixed).append((word, text))
-        for start in range(0, len(plain), TOGETHER):
-            part = plain[start : start + TOGETHER]
-            ids = self._ids(" ".join([text for _, text in part]))
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(part):
-                self._cut(part, ids, [0, *stops[:-1]], stops)
-            else:  # lower-casing has made more than one piece of some word
-                alone.extend(part)
+            if self.ends is not None:
+                low = text.lower()
+                head = low.rstrip(SYMBOLS)
+                if head.isalpha() and (head.isascii() or max(head) <= LAST_LETTER):
+                    plain.append((word, head, low[len(head) :]))
+                    continue
+            (alone if self.between is None or BETWEEN in text else mixed).append((word, text))
+        self._learn_letters([head for head in {head for _, head, _ in plain} if head not in letters])
+        tail = self._tail
+        known.update([(word, letters[head] + tail(rest) if rest else letters[head]) for word, head, rest in plain])
         for start in range(0, len(mixed), TOGETHER):
             part = mixed[start : start + TOGETHER]
             ids = self._ids(f" {BETWEEN} ".join([text for _, text in part]))
             stops = np.flatnonzero(ids == self.between)
             self._cut(part, ids, [0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)])
         found = self.tokenizer.encode_batch_fast([text for _, text in alone], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(alone, found, strict=True))
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(alone, found, strict=True))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -101,13 +126,15 @@ class WordEncoder:
         data = ids.tobytes()
         self.known.update((w, data[4 * a : 4 * b]) for (w, _), a, b in zip(part, starts, stops, strict=True))
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text; the half that came last is forgotten when words are too many."""
         for text in texts:
             parts = []
             for words in word_blocks(text):
-                if len(self.known) > REMEMBER:
-                    self.known = dict(islice(self.known.items(), REMEMBER // 2))
+                if len(self.known) > self.remember:
+                    self.known = dict(islice(self.known.items(), self.remember // 2))
+                if len(self.letters) > self.remember:
+                    self.letters = dict(islice(self.letters.items(), self.remember // 2))
                 known = self.known
                 found = list(map(known.get, words))
                 gaps = [i for i, ids in enumerate(found) if ids is None]
@@ -120,9 +147,27 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, call: str) -> WordEncoder:
-    """One per worker and call of ``pack``: its tasks share words, later calls start afresh."""
-    return WordEncoder(path)
+def library(path: str):
+    """The tokenizer itself, once per worker; words it has encoded are remembered by a task alone."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@lru_cache(maxsize=1)
+def word_ends(path: str) -> np.ndarray | None:
+    """True for ids that end a run of letters or symbols, if the tokenizer keeps such runs apart."""
+    tokenizer = library(path)
+    if not plain_letters(tokenizer):
+        return None
+    vocabulary, suffix = tokenizer.get_vocab(), tokenizer.model.end_of_word_suffix
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
 
 
 class OpenWindows:
@@ -262,10 +307,15 @@ def pack(
     is run again gives the same windows.
     """
 
-    call = uuid.uuid4().hex
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = encoder(path, call).encode, None, np.array([end_id], "<u4").tobytes()
+        gc.disable()  # remembered words are no cycles, and looking for some takes a seventh of the time
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer, end = WordEncoder(path).encode, None, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
