@@ -6,9 +6,10 @@ inner product with v. For any `radius` differing positions some v is orthogonal
 vectors, so the pair agrees on everything that table keeps.
 
 A bucket of a table with few fingerprints is compared pair by pair. A bucket with many is not:
-its fingerprints agree on the kept bits, so each is written with every one of the other bits
-flipped in turn (and unflipped), and fingerprints that share such a variant are within two
-bits; a star over each variant carries all links. Work stays linear in the bucket.
+its fingerprints agree on the kept bits, so each is written with up to half the radius of the
+other bits flipped, and fingerprints that share such a variant are within the radius; a star
+over each variant carries all links. For an odd radius the centres of stars whose variants
+differ in one bit are linked as well. Work stays linear in the bucket.
 """
 
 from __future__ import annotations
@@ -85,11 +86,14 @@ def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
 
 
 def close_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) links that join all fingerprints (column fp) within ``radius`` bits.
+    """(a, b) links of fingerprints (column fp) within ``radius`` bits that join all such fingerprints.
 
     Pairs of small buckets are all there, once each; of large buckets there are the links of
-    stars whose members are within two bits of each other (radius 2).
+    stars. Every link is within the radius. The number of tables is 2^(radius + 1) - 1 and that
+    of variants grows with the power of half the radius, so a radius above 5 is refused.
     """
+    if not 0 <= radius <= 5:
+        raise ValueError("radius must be 0 to 5")
     masks = covering_masks(radius)
     tables = distinct.select(
         "fp",
@@ -102,13 +106,22 @@ def close_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     xor = F.col("a").bitwiseXOR(F.col("b"))
     pairs = left.join(right, ["t", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(xor) <= radius))
     large = members.filter(F.col("count") > PAIR_BUCKET)
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(_bit(i)) for i in range(BITS) if not m >> i & 1)) for m in masks))
-    variants = large.select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")
-    )
-    centres = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top")
-    stars = variants.join(centres, "variant").filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.select("a", "b").unionAll(stars).distinct()
+    free = F.array(*(F.array(*(F.lit(_bit(i)) for i in range(BITS) if not m >> i & 1)) for m in masks))
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.element_at(free, F.col("t") + 1))
+    variants = large.select("t", "fp", F.col("fp").alias("variant"))
+    for _ in range(radius // 2):
+        flipped = variants.select("t", "fp", "variant", F.explode(flips).alias("flip"))
+        variants = flipped.select("t", "fp", F.col("variant").bitwiseXOR(F.col("flip")).alias("variant"))
+    found = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("top"))
+    stars = variants.select("fp", "variant").join(found.filter("a < top"), "variant").filter("a < fp")
+    links = pairs.select("a", "b").unionAll(stars.select("a", F.col("fp").alias("b")))
+    if radius % 2:
+        centres = materialise(variants.groupBy("t", "variant").agg(F.min("fp").alias("fp")), "centres")
+        beside = centres.select("t", F.col("fp").alias("other"), "variant", F.explode(flips).alias("flip"))
+        beside = beside.select("t", "other", F.col("variant").bitwiseXOR(F.col("flip")).alias("variant"))
+        near = centres.join(beside, ["t", "variant"]).filter("fp <> other")
+        links = links.unionAll(near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")))
+    return links.distinct()
 
 
 def _bit(i: int) -> int:

@@ -3,18 +3,22 @@
 A linear classifier over words and word beginnings is fitted with NumPy from confirmed toxic
 documents and unlabelled ones. The risk of the negative class is what unlabelled documents
 show minus the positives' part of it (class prior), and is kept from falling below zero.
-The fit uses a sample of bounded size; every document is scored, in Arrow batches.
+Which features tell is counted by Spark over all rows, only the gradient uses a sample of
+bounded size, and every document is scored, in Arrow batches.
 
 Words that toxic texts hold more often are also in clean ones, so a long clean text holds many
-of them. What counts is the evidence above that of a clean text with as many words.
+of them. What counts is the evidence above that of a clean text with as many words. How often
+clean texts hold a feature differs between kinds of text, so it is counted for each of a few
+groups that the texts' own frequent words make.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +29,42 @@ from seqloom.session import materialise
 
 #: Lengths of the word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5)
-#: Most documents that a fit reads, expected numbers of a random sample.
+#: Most documents whose gradients a fit uses, expected numbers of a random sample.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
+#: Most features of a model; those with the largest ratio stay.
+MOST_FEATURES = 1 << 17
 #: Rows whose crc32(doc_id as text) leaves 0 are held out of every fit.
 FOLDS = 5
 #: Prior if the labels name no negative to estimate it from.
 PRIOR = 0.1
 #: Least log-likelihood ratio by which positives hold a feature more often than all rows do.
 LEAST_CONTRAST = 10.0
+#: Least factor by which positives hold a feature more often than all rows do.
+LEAST_LIFT = 1.5
 #: Standard deviations above a clean text's mean that are no evidence.
 SPREAD = 2.0
 #: Numbers of words for which a clean text's evidence is tabled.
-SIZES = np.unique(np.geomspace(1, 1 << 20, 400).astype(np.int64))
-#: Words whose features a worker remembers.
-REMEMBER = 200_000
+SIZES = np.unique(np.geomspace(1, 1 << 20, 100).astype(np.int64))
+#: Frequent words by which texts are grouped, and number of groups.
+COMMON, GROUPS = 256, 4
+#: Words whose features a worker remembers; features that a task counts before it passes them on.
+REMEMBER, FLUSH = 100_000, 150_000
 
 WORD = re.compile(r"[^\W_]+")
 
 
+@dataclass(frozen=True)
+class Kinds:
+    """Groups of texts: frequent words, and the centre of each group over them."""
+
+    common: list[str]
+    centres: np.ndarray
+
+    def of(self, held: np.ndarray) -> int:
+        """The group of a text that holds the frequent words with these numbers."""
+        return int(self.centres[:, held].sum(axis=1).argmax()) if len(held) else 0
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight and group of each feature, and what clean texts of ``SIZES`` words hold of a group."""
@@ -64,41 +86,142 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
+class Remembered(dict):
+    """What a function says of a word, remembered."""
+
+    def __init__(self, of) -> None:
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBER:
+            self.clear()
+        found = self[word] = self.of(word)
+        return found
+
+    def union(self, words: Iterable[str]) -> set:
+        return set(chain.from_iterable(map(self.__getitem__, words)))
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
+
+
 def text_features(text: str) -> tuple[int, list[str]]:
     """Number of words and sorted distinct features of a whole text."""
-    words, found = WORD.findall(text.lower()), set()
-    for word in set(words):
-        found.update(word_features(word))
-    return len(words), sorted(found)
+    words = words_of(text)
+    return len(words), sorted(Remembered(word_features).union(set(words)))
+
 
+def texts_in(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """Texts of a batch, one at a time."""
+    return (value.as_py() for value in batch.column(batch.schema.get_field_index("text")))
 
-FEATURED = "positive boolean, lang string, n long, features array<string>"
 
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, p, u): rows marked positive, and all rows, that hold it, of rows (positive, text).
 
-def featured(rows: DataFrame) -> DataFrame:
-    """(positive, lang, n, features) of rows (positive, lang, text)."""
+    The feature "" is that of every row. Tasks count before the shuffle.
+    """
+    names = ["feature", "p", "u"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, p, u = Remembered(word_features), Counter(), Counter()
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(u.keys(), pa.string()), pa.array([p[x] for x in u], pa.int64()), pa.array(u.values(), pa.int64())]
+            p.clear()
+            u.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            found = [text_features(t or "") for t in batch.column("text").to_pylist()]
-            columns = [batch.column("positive"), batch.column("lang"), pa.array([n for n, _ in found], pa.int64())]
-            columns.append(pa.array([x for _, x in found], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=["positive", "lang", "n", "features"])
+            for positive, text in zip(batch.column("positive").to_pylist(), texts_in(batch), strict=True):
+                found = known.union(set(words_of(text)))
+                found.add("")
+                u.update(found)
+                if positive:
+                    p.update(found)
+                if len(u) > FLUSH:
+                    yield flushed()
+        if u:
+            yield flushed()
 
-    return rows.select("positive", "lang", "text").mapInArrow(apply, FEATURED)
+    counted = rows.select("positive", "text").mapInArrow(apply, "feature string, p long, u long")
+    return counted.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def only(rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """``featured`` rows with the numbers of the wanted features alone."""
-    place = {x: i for i, x in enumerate(wanted)}
+def sampled(rows: DataFrame, features: list[str], common: list[str]) -> DataFrame:
+    """Numbers of the features and frequent words of each row; the two marks of rows come along."""
+    names = ["known", "other", "n", "features", "common"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, often = {x: i for i, x in enumerate(features)}, {x: i for i, x in enumerate(common)}
+        known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
         for batch in batches:
-            found = [[place[x] for x in f if x in place] for f in batch.column("features").to_pylist()]
-            columns = [batch.column(c) for c in ("positive", "lang", "n")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], names=["positive", "lang", "n", "features"])
+            n, ids, held = [], [], []
+            for text in texts_in(batch):
+                words = words_of(text)
+                n.append(len(words))
+                ids.append(sorted(known.union(set(words))))
+                held.append(sorted(often[w] for w in often.keys() & set(words)))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, held)]
+            columns = [batch.column("known"), batch.column("other"), pa.array(n, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "known boolean, other boolean, n long, features array<int>, common array<int>"
+    return rows.select("known", "other", "text").mapInArrow(apply, schema)
+
 
-    return rows.mapInArrow(apply, FEATURED.replace("array<string>", "array<int>"))
+def kind_counts(rows: DataFrame, features: list[str], kinds: Kinds) -> DataFrame:
+    """(kind, feature, p, u) of rows (positive, text): rows of each group that hold each feature.
+
+    Feature -1 counts all rows of the group, and -2 the words of all its rows (u).
+    """
+    names, size = ["kind", "feature", "p", "u"], len(features)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, often = {x: i for i, x in enumerate(features)}, {x: i for i, x in enumerate(kinds.common)}
+        known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
+        shape = (len(kinds.centres), size + 2)  # the last two are features -2 and -1
+        p, u = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        for batch in batches:
+            for positive, text in zip(batch.column("positive").to_pylist(), texts_in(batch), strict=True):
+                words = words_of(text)
+                distinct = set(words)
+                kind = kinds.of(np.array(sorted(often[w] for w in often.keys() & distinct), np.int64))
+                ids = np.array([*known.union(distinct), -1], np.int64)
+                u[kind, ids] += 1
+                u[kind, -2] += len(words)
+                if positive:
+                    p[kind, ids] += 1
+        kind, feature = np.nonzero(u)
+        values = [kind, np.where(feature < size, feature, feature - size - 2), p[kind, feature], u[kind, feature]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=names)
+
+    counted = rows.select("positive", "text").mapInArrow(apply, "kind long, feature long, p long, u long")
+    return counted.groupBy("kind", "feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def kinds_of(common: list[str], held: list[np.ndarray], groups: int = GROUPS, rounds: int = 15) -> Kinds:
+    """Spherical k-means over the frequent words that the rows of a sample hold."""
+    rows = np.zeros((len(held), len(common)), np.float32)
+    for row, ids in zip(rows, held, strict=True):
+        row[ids] = 1
+    rows = np.unique(rows[rows.any(axis=1)], axis=0) if len(common) else rows[:0]
+    if not len(rows):
+        return Kinds(common, np.zeros((1, len(common)), np.float32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    chosen = [int((rows @ rows.mean(axis=0)).argmax())]
+    near = rows @ rows[chosen[0]]
+    while len(chosen) < min(groups, len(rows)):  # the row that is farthest from all centres
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[chosen[-1]])
+    centres = rows[chosen]
+    for _ in range(rounds):
+        nearest = (rows @ centres.T).argmax(axis=1)
+        for k in np.unique(nearest):
+            total = rows[nearest == k].sum(axis=0)
+            centres[k] = total / np.linalg.norm(total)
+    return Kinds(common, centres)
 
 
 def _gather(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,44 +234,46 @@ def _margins(weights: np.ndarray, bias: float, ids: np.ndarray, sizes: np.ndarra
     return bias + np.bincount(row, weights=weights[ids], minlength=len(sizes))
 
 
-def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np.ndarray:
-    """True for features that clearly more of the positives hold than of the unlabelled rows.
+def telling(counts: DataFrame, positives: int, rows: int) -> DataFrame:
+    """The (feature, p, u) that clearly more of the positives hold than of all rows; with their ratio.
 
-    ``p`` and ``u`` count the rows that hold each feature. The others would only add noise,
-    most of all in long texts.
+    The others would only add noise, most of all in long texts.
     """
-    expected = np.maximum(positives / max(1, positives + unlabelled) * (p + u), 1e-12)
-    ratio = p * np.log(np.maximum(p, 1e-12) / expected) - (p - expected)
-    return (p > expected) & (ratio >= LEAST_CONTRAST)
+    p, u = F.col("p").cast("double"), F.col("u").cast("double")
+    expected = F.lit(positives / max(1, positives + rows)) * (p + u)
+    ratio = counts.filter("p > 0").withColumn("ratio", p * F.ln(p / expected) - (p - expected))
+    lift = p * F.lit(float(rows)) >= F.lit(LEAST_LIFT * positives) * u
+    return ratio.filter((F.col("feature") != "") & (p > expected) & lift & (F.col("ratio") >= LEAST_CONTRAST))
 
 
 @dataclass(frozen=True)
 class Rows:
-    """Telling features, number of words and language of each row of a sample."""
+    """Telling features and number of words of each row of a sample."""
 
     ids: list[np.ndarray]
     sizes: np.ndarray
-    langs: np.ndarray
 
-    def held(self, size: int, lang: str) -> np.ndarray:
-        """How many rows of a language hold each feature."""
-        rows = [row for row, at in zip(self.ids, self.langs, strict=True) if at == lang]
-        return np.bincount(_gather(rows)[0], minlength=size)
+
+@dataclass(frozen=True)
+class Held:
+    """[group, feature]: positive and all rows that hold a feature; positive and all rows, and words, of a group."""
+
+    p: np.ndarray
+    u: np.ndarray
+    positives: np.ndarray
+    rows: np.ndarray
+    words: np.ndarray
 
 
-def clean_rates(positive: Rows, unlabelled: Rows, prior: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each feature, the language that holds it most in clean text, and its rate there.
+def clean_rates(held: Held, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature, the group that holds it most in clean text, and its rate there.
 
-    The rate is per word: what unlabelled rows hold less the positives' part of it, and one
+    The rate is per word: what all rows hold less the positives' part of it, and one
     standard deviation of this difference more.
     """
-    langs = np.unique(unlabelled.langs)
-    rates = np.zeros((len(langs), size))
-    for i, lang in enumerate(langs):
-        here, known = unlabelled.langs == lang, int((positive.langs == lang).sum())
-        each, p, u = prior * here.sum() / max(1, known), positive.held(size, lang), unlabelled.held(size, lang)
-        words = max(1.0, (1 - prior) * unlabelled.sizes[here].sum())
-        rates[i] = np.clip((u - each * p + np.sqrt(u + each**2 * p)) / words, 0, 0.5)
+    each = (prior * held.rows / np.maximum(1, held.positives))[:, None]
+    words = np.maximum(1.0, (1 - prior) * held.words)[:, None]
+    rates = np.clip((held.u - each * held.p + np.sqrt(held.u + each**2 * held.p)) / words, 0, 0.5)
     return rates.argmax(axis=0), rates.max(axis=0)
 
 
@@ -181,6 +306,7 @@ def fit(
     features: list[str],
     known: Rows,
     others: Rows,
+    held: Held,
     prior: float,
     epochs: int = 60,
     batch: int = 512,
@@ -191,8 +317,9 @@ def fit(
     """Linear model that minimises the non-negative positive-unlabelled logistic risk (Adam).
 
     Weights stay at or above zero: words are evidence of toxicity, and a long text has no
-    words that excuse others. Without positives, unlabelled rows or any telling word every
-    score is the prior.
+    words that excuse others. A telling feature that no row of the sample holds gets the logarithm
+    of its lift, on the scale of the weights that were fitted. Without positives, unlabelled
+    rows or any telling word every score is the prior.
     """
     size = len(features)
     unsure = float(np.log(prior / (1 - prior)))
@@ -226,7 +353,12 @@ def fit(
         t = step + 1
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights, bias = np.maximum(0, weights - move[:-1]), bias - move[-1]
-    groups, rates = clean_rates(known, others, prior, size)
+    seen = np.bincount(np.concatenate([_gather(positive)[0], _gather(unlabelled)[0]]), minlength=size) > 0
+    each = held.p.sum(axis=0) * held.rows.sum() / (max(1, held.positives.sum()) * np.maximum(1, held.u.sum(axis=0)))
+    lift = np.log(np.maximum(each, 1.0))
+    scale = np.median(weights[seen] / np.maximum(lift[seen], 0.1)) if seen.any() else 1.0
+    weights = np.where(seen, weights, scale * lift)
+    groups, rates = clean_rates(held, prior)
     model = Model(features, weights, 0.0, groups, clean_evidence(features, weights, groups, rates))
     margin = lambda rows: np.array([evidence(model, *row) for row in zip(rows.ids, rows.sizes, strict=True)])
     mark = cut(margin(known), margin(others), prior, 0.0)
@@ -256,41 +388,48 @@ def learn(
 ) -> Model:
     """Fit on rows outside the held-out fold; labels enter only as "confirmed toxic".
 
-    The prior is the toxic share of the labelled rows. Unlabelled text is a random sample of
-    all documents of those folds, whatever their label.
+    The prior is the toxic share of the labelled rows. Unlabelled text is all documents of those
+    folds, whatever their label. Features and clean texts are counted over all of them; the
+    gradients alone come from samples of about ``most_positive`` and ``most_unlabelled`` rows.
+    Only the texts are looked at: other columns change nothing, but that ``doc_id`` finds a
+    row's label, its fold and, in a table above the bounds, its place in the sample.
     """
     inside = ~held_out(F.col("doc_id"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(inside)
-    id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select(id_, text, lang.alias("lang")).filter(inside)
-    counted = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("toxic").alias("all")).first()
-    toxic, total = counted.toxic or 0, rows.count()
-    prior = toxic / counted.all if 0 < toxic < counted.all else PRIOR
-    share = lambda most, n: min(1.0, most / max(1, n))
-    named = known.filter("toxic = 1 and doc_id is not null").sample(share(most_positive, toxic), seed)
-    names = named.select("doc_id").distinct()
-    confirmed = rows.join(F.broadcast(names), "doc_id", "left_semi")  # most_positive ids, or nearly
-    confirmed = confirmed.sample(share(most_positive, confirmed.count()), seed)  # an id may be in many rows
-    sample = rows.sample(share(most_unlabelled, total), seed)
-    marked = confirmed.withColumn("positive", F.lit(True)).unionAll(sample.withColumn("positive", F.lit(False)))
-    table = materialise(featured(marked), "features")
-    # what comes to the driver: counts of features that several positives hold, then telling ones
-    sizes = {r.positive: r["count"] for r in table.groupBy("positive").count().collect()}
-    held = table.select("positive", F.explode("features").alias("feature")).groupBy("feature")
-    both = held.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    share = sizes.get(True, 0) / max(1, sum(sizes.values()))
-    p, expected = F.col("p"), F.lit(share) * (F.col("p") + F.col("u"))
-    apart = both.filter((p > 0) & (p > expected) & (p * F.ln(p / expected) - (p - expected) >= LEAST_CONTRAST - 1e-6))
-    counts = apart.orderBy("feature").toArrow()
-    used = telling(*(counts.column(c).to_numpy().astype(float) for c in "pu"), sizes.get(True, 0), sizes.get(False, 0))
-    features = [x for x, use in zip(counts.column("feature").to_pylist(), used, strict=True) if use]
-    found = only(table, features).orderBy("positive", "lang", "n", "features").toArrow()
-    where = np.array(found.column("positive").to_pylist(), bool)
-    ids = [np.array(x, np.int64) for x in found.column("features").to_pylist()]
-    n, langs = found.column("n").to_numpy(), np.array(found.column("lang").to_pylist(), object)
-    few = [Rows([x for x, w in zip(ids, at, strict=True) if w], n[at], langs[at]) for at in (where, ~where)]
-    return fit(features, *few, prior, seed=seed)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(inside)
+    counted = marks.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("toxic").alias("all")).first()
+    prior = counted.toxic / counted.all if 0 < (counted.toxic or 0) < counted.all else PRIOR
+    names = marks.filter("toxic = 1 and doc_id is not null").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # labels are small or not as Spark finds them to be; a toxic id may be in many rows
+    marked = rows.filter(inside).join(names.withColumn("positive", F.lit(True)), "doc_id", "left")
+    marked = marked.withColumn("positive", F.coalesce("positive", F.lit(False)))
+    counts = materialise(feature_counts(marked).filter("p > 0 or u > 1 or feature = ''"), "feature-counts")
+    every = counts.filter("feature = ''").first() or (None, 0, 0)
+    positives, total = every[1], every[2]
+    # what comes to the driver: telling features and a fixed number of frequent words
+    best = telling(counts, positives, total).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES)
+    features = sorted(best.select("feature").toArrow().column("feature").to_pylist())
+    often = counts.filter("feature like '=%'").orderBy(F.desc("u"), "feature").limit(COMMON)
+    common = sorted(r.feature[1:] for r in often.collect())
+    share = lambda most, n, salt: (
+        F.pmod(F.xxhash64("text", "doc_id", F.lit(seed + salt)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(1, n))))
+    )
+    drawn = marked.select(
+        "text",
+        (F.col("positive") & share(most_positive, positives, 0)).alias("known"),
+        share(most_unlabelled, total, 1).alias("other"),
+    )
+    found = sampled(drawn.filter("known or other"), features, common).toArrow().to_pylist()
+    found.sort(key=lambda r: (r["n"], r["features"], r["common"]))
+    few = lambda rows: Rows([np.array(r["features"], np.int64) for r in rows], np.array([r["n"] for r in rows]))
+    known, others = (few([r for r in found if r[mark]]) for mark in ("known", "other"))
+    kinds = kinds_of(common, [np.array(r["common"], np.int64) for r in found if r["other"]])
+    held = np.zeros((2, len(kinds.centres), len(features) + 2))
+    if features:
+        for r in kind_counts(marked, features, kinds).toArrow().to_pylist():
+            held[:, r["kind"], r["feature"]] = r["p"], r["u"]
+    p, u = held
+    return fit(features, known, others, Held(p[:, :-2], u[:, :-2], p[:, -1], u[:, -1], u[:, -2]), prior, seed=seed)
 
 
 class Scorer:
@@ -298,23 +437,12 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.place = {x: i for i, x in enumerate(model.features) if model.weights[i]}
-        self.known: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            found = self.known[word] = [self.place[x] for x in word_features(word) if x in self.place]
-        return found
+        place = {x: i for i, x in enumerate(model.features) if model.weights[i]}
+        self.known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
 
-    def score(self, text: str) -> float:
-        found: set[int] = set()
-        word, words = self.word, WORD.findall(text.lower())
-        for w in set(words):
-            found.update(word(w))
-        margin = self.model.bias + evidence(self.model, sorted(found), len(words))
+    def score(self, text: str | None) -> float:
+        words = words_of(text)
+        margin = self.model.bias + evidence(self.model, sorted(self.known.union(set(words))), len(words))
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
@@ -325,8 +453,7 @@ def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            scores = pa.array([scorer.score(t or "") for t in texts], pa.float64())
+            scores = pa.array([scorer.score(text) for text in texts_in(batch)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=schema.names)
 
     return docs.mapInArrow(apply, schema)
@@ -336,7 +463,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (score >= 0.5).
 
     Null texts are empty and scored like any other. Without any confirmed toxic document
-    every score is the prior. Further columns of either table are ignored; label rows with a
+    every score is the prior. Further columns of either table are ignored (``lang`` and
+    ``source`` too); label rows with a
     null count as unlabelled, and repeated rows as one.
     """
     model = learn(docs, labels)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import exact, mixing, queries, simhash, toxicity, urls
+from seqloom.llm import exact, mixing, near, queries, toxicity, urls
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -165,7 +165,7 @@ def test_pipeline(spark):
     assert ids(after) == ids(exact.exact_groups(before, "largest").filter("kept"))
     assert len(ids(after)) == len({(r.text or "").lower() for r in before.collect()})
     before, after = kept["near dedup"]
-    assert ids(after) == sorted({r.component_id for r in simhash.near_groups(before).collect()})
+    assert ids(after) == sorted({r.component_id for r in near.near_groups(before).collect()})
     before, after = kept["mixing"]
     assert ids(after) == ids(mixing.mix(before)) and set(ids(after)) <= set(ids(before))
     before, after = kept["packing"]
