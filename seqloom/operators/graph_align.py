@@ -4,25 +4,27 @@ segments : graph_id, segment_id, sequence     edges : graph_id, src, dst, weight
 queries  : graph_id, query_id, pattern
 result   : graph_id, query_id, score, path ARRAY<STRUCT<segment, ops>>, cigar
 
-Sources are all segments without incoming edges, sinks all without outgoing ones. Graphs
-travel with each query and are aligned in one pass; who has graphs too large for that asks
-for method 'levels', which aligns level by level with joins.
+Sources are all segments without incoming edges, sinks all without outgoing ones. A graph
+comes to a task once, before its queries, which are aligned in blocks of bounded size; who has
+graphs too large for a task asks for method 'levels', which aligns level by level with joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqloom.functions.cigar import compact_path
-from seqloom.kernels import dags, orders
-from seqloom.kernels.pairs import equal_symbols, symbols
+from seqloom.kernels import dags, orders, waves
+from seqloom.kernels.pairs import CELLS, equal_symbols, next_column, symbols
 from seqloom.operators.packing import pack
 from seqloom.operators.segments import levels, sinks
-from seqloom.operators.skew import spread_join, spread_sides
+from seqloom.operators.skew import spread_sides
 from seqloom.session import kernel, materialise
 
 STEP = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ops", T.StringType())])
@@ -30,6 +32,8 @@ FOUND = T.StructType(
     [T.StructField("score", T.LongType()), T.StructField("path", T.ArrayType(STEP))]
 )
 COLUMN = T.ArrayType(T.IntegerType())
+#: Queries that are aligned together at most, and rows of listings that leave together.
+BLOCK_QUERIES, FLUSH_ROWS = 20_000, 50_000
 
 
 def align_graphs(
@@ -44,46 +48,82 @@ def align_graphs(
 
     method 'table' fills the dynamic-programming table, 'wavefront' grows wavefronts by
     distance, 'levels' fills the table with joins, one round per level; scores agree, equally
-    good paths may differ. end='query' (table only) may stop at any point of the graph once
-    the query is used up. The size of a graph never changes the method.
+    good paths may differ. end='query' may stop at any point of the graph once the query is
+    used up. The size of a graph never changes the method.
     """
-    if method not in ("table", "wavefront", "levels") or (method != "table" and end != "global"):
-        raise ValueError("method must be 'table', 'wavefront' or 'levels'; only 'table' has end='query'")
+    if method not in ("table", "wavefront", "levels") or end not in ("global", "query"):
+        raise ValueError("method must be 'table', 'wavefront' or 'levels', end 'global' or 'query'")
     if method == "levels":
-        found = align_by_level(queries, segments, edges, match=match)
+        found = align_by_level(queries, segments, edges, match=match, end=end)
     else:
         found = align_packed(queries, segments, edges, method=method, end=end, match=match)
     return found.withColumn("cigar", compact_path(F.col("path")))
 
 
-def ordered_graphs(segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, ids, texts, preds: packed graphs with segments in topological order.
+def arranged(ids: list[int], sequences: list[str], src: list[int], dst: list[int]) -> tuple[list[int], dags.Graph]:
+    """Segments in topological order: their ids, and the graph."""
+    place = {v: i for i, v in enumerate(ids)}
+    preds, succs, _ = orders.neighbours(len(ids), [(place[a], place[b], 1) for a, b in zip(src, dst, strict=True)])
+    order = orders.newest_first(preds, succs)
+    at = {v: r for r, v in enumerate(order)}
+    graph = dags.Graph([symbols(sequences[v]) for v in order], [[at[u] for u in preds[v]] for v in order])
+    return [ids[v] for v in order], graph
 
-    The order is found once per graph, not once per query.
-    """
-    graphs = pack(segments.withColumnRenamed("segment_id", "node_id"), edges, "sequence")
-    shape = T.StructType(
-        [
-            T.StructField("ids", T.ArrayType(T.LongType())),
-            T.StructField("texts", T.ArrayType(T.StringType())),
-            T.StructField("preds", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        ]
-    )
-
-    def arranged(ids, sequences, src, dst):
-        place = {int(v): i for i, v in enumerate(ids)}
-        links = [(place[int(a)], place[int(b)], 1) for a, b in zip(src, dst)]
-        preds, succs, _ = orders.neighbours(len(ids), links)
-        order = orders.newest_first(preds, succs)
-        at = {v: r for r, v in enumerate(order)}
-        return [int(ids[v]) for v in order], [sequences[v] for v in order], [[at[u] for u in preds[v]] for v in order]
 
-    @kernel(shape)
-    def arrange(ids: pd.Series, sequences: pd.Series, src: pd.Series, dst: pd.Series) -> pd.DataFrame:
-        rows = [arranged(*row) for row in zip(ids, sequences, src, dst)]
-        return pd.DataFrame(rows, columns=["ids", "texts", "preds"])
+def over_graphs(queries: DataFrame, segments: DataFrame, edges: DataFrame, work: Callable, result: T.StructType) -> DataFrame:
+    """graph_id, query_id and ``result`` from ``work(pairs)``, for blocks of (ids, graph, pattern).
 
-    return graphs.select("graph_id", arrange("ids", "sequence", "src", "dst").alias("g")).select("graph_id", "g.*")
+    ``work`` gives one iterable of rows per pair. Null patterns and queries without a graph have no result. Graph rows sort before their queries, so each
+    graph is sent to a task, and brought in order there, once; a graph with very many queries
+    is sent to several. A block ends when its tables reach a bound, so graphs of any number
+    and queries of any number pass through a task in bounded memory.
+    """
+    packed = pack(segments.withColumnRenamed("segment_id", "node_id"), edges, "sequence")
+    asked, graphs = spread_sides(queries.select("graph_id", "query_id", "pattern"), packed, "graph_id", "query_id")
+    rows = graphs.drop("weight").unionByName(asked.filter("pattern is not null"), allowMissingColumns=True)
+    met = rows.repartition("graph_id", "salt").sortWithinPartitions("graph_id", "salt", F.col("ids").isNull())
+    fields = [rows.schema["graph_id"], queries.schema["query_id"], *result.fields]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        keys, pairs, out, held = [], [], [], 0
+        graph_id = graph = None
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            out.clear()
+            return batch
+
+        def worked() -> Iterator[pa.RecordBatch]:
+            for key, found in zip(keys, work(pairs), strict=True):
+                for row in found:
+                    out.append((*key, *row))
+                    if len(out) >= FLUSH_ROWS:
+                        yield made()
+            keys.clear()
+            pairs.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["ids"] is not None:
+                    graph_id, graph = row["graph_id"], arranged(row["ids"], row["sequence"], row["src"], row["dst"])
+                    continue
+                if graph is None or row["graph_id"] != graph_id:
+                    continue  # a query without a graph
+                pattern = symbols(row["pattern"])
+                keys.append((graph_id, row["query_id"]))
+                pairs.append((*graph, pattern))
+                held += (len(pattern) + 1) * len(graph[1].symbol)
+                if held >= CELLS or len(pairs) >= BLOCK_QUERIES:
+                    yield from worked()
+                    held = 0
+        yield from worked()
+        if out:
+            yield made()
+
+    return met.mapInArrow(apply, schema)
 
 
 def align_packed(
@@ -94,26 +134,16 @@ def align_packed(
     end: str = "global",
     match: Callable = equal_symbols,
 ) -> DataFrame:
-    def best(pattern, ids, texts, preds):
-        texts, preds = [symbols(t) for t in texts], [list(p) for p in preds]
+    def best(pairs: list) -> Iterator[list[tuple]]:
+        ids, graphs, patterns = zip(*pairs, strict=True) if pairs else ((), (), ())
         if method == "wavefront":
-            score, path = dags.wavefront_align(symbols(pattern), texts, preds, match)
+            found = waves.wave_all(graphs, patterns, match, end)
         else:
-            score, path = dags.table_align(symbols(pattern), texts, preds, match, end)
-        return score, [{"segment": int(ids[i]), "ops": ops} for i, ops in path]
-
-    @kernel(FOUND)
-    def aligned(pattern: pd.Series, ids: pd.Series, texts: pd.Series, preds: pd.Series) -> pd.DataFrame:
-        rows = [best(*row) for row in zip(pattern, ids, texts, preds)]
-        return pd.DataFrame(rows, columns=["score", "path"])
+            found = dags.align_all(graphs, patterns, dags.EditCosts(match), end)
+        for named, (score, path) in zip(ids, found, strict=True):
+            yield [(score, [{"segment": named[i], "ops": ops} for i, ops in path])]
 
-    met = spread_join(
-        queries.select("graph_id", "query_id", "pattern"),
-        ordered_graphs(segments, edges), "graph_id", "query_id",
-    )
-    return met.select(
-        "graph_id", "query_id", aligned("pattern", "ids", "texts", "preds").alias("found")
-    ).select("graph_id", "query_id", "found.score", "found.path")
+    return over_graphs(queries, segments, edges, best, FOUND)
 
 
 CELL = T.StructType(
@@ -126,58 +156,73 @@ FRONT = T.StructType(
 )
 
 
-def _cells(queries: DataFrame, segments: DataFrame, edges: DataFrame, cell: T.StructType, listed: Callable) -> DataFrame:
-    @kernel(T.ArrayType(cell))
-    def cells(pattern: pd.Series, ids: pd.Series, texts: pd.Series, preds: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                listed(symbols(p), i, [symbols(t) for t in ts], [list(b) for b in before])
-                for p, i, ts, before in zip(pattern, ids, texts, preds)
-            ]
-        )
-
-    met = spread_join(queries, ordered_graphs(segments, edges), "graph_id", "query_id")
-    found = cells("pattern", "ids", "texts", "preds")
-    return met.select("graph_id", "query_id", F.explode(found).alias("c")).select("graph_id", "query_id", "c.*")
-
-
 def table_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, query_id, segment, h, v, score: the whole table over a graph, to look at."""
-
-    def listed(pattern, ids, texts, preds):
-        return [
-            (int(i), h, v, int(score))
-            for i, table in zip(ids, dags.segment_tables(pattern, texts, preds))
-            for h, column in enumerate(table)
-            for v, score in enumerate(column)
-        ]
+    """graph_id, query_id, segment, h, v, score: the whole table over a graph, to look at.
 
-    return _cells(queries, segments, edges, CELL, listed)
+    Columns leave as they are made, so a listing of any length needs the open columns only.
+    """
 
+    def listed(pairs: list) -> Iterator[Iterable[tuple]]:
+        for ids, graph, pattern in pairs:
+            yield (
+                (ids[i], h, v, score)
+                for i, h, column in dags.segment_tables(graph, pattern)
+                for v, score in enumerate(column.tolist())
+            )
 
-def front_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, query_id, distance, segment, k, reach: the wavefronts over a graph."""
+    return over_graphs(queries, segments, edges, listed, CELL)
 
-    def listed(pattern, ids, texts, preds):
-        fronts, _, _ = dags.grow_fronts(pattern, texts, preds)
-        return [
-            (s, int(ids[i]), k, int(cell[0]))
-            for s, front in enumerate(fronts)
-            for i, row in enumerate(front)
-            for k, cell in row.items()
-        ]
 
-    return _cells(queries, segments, edges, FRONT, listed)
+def front_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, query_id, distance, segment, k, reach: the wavefronts over a graph, the last one whole."""
+
+    def listed(pairs: list) -> Iterator[Iterable[tuple]]:
+        for ids, graph, pattern in pairs:
+            columns = (x.tolist() for x in waves.front_rows(graph, pattern))
+            yield ((s, ids[i], k, reach) for s, i, k, reach in zip(*columns, strict=True))
+
+    return over_graphs(queries, segments, edges, listed, FRONT)
+
+
+def segment_table(entry: list[int], pattern: np.ndarray, text: np.ndarray, match: Callable) -> np.ndarray:
+    """[h, v]: the columns of one segment from its column 0."""
+    columns = [np.asarray(entry, dtype=np.int32)[None, :]]
+    for h in range(1, len(text) + 1):
+        columns.append(next_column(columns[-1], pattern[None, :], text[None, h - 1 : h], h, match))
+    return np.stack(columns)[:, 0, :]
+
+
+def back_through(table: np.ndarray, v: int, h: int) -> tuple[str, int]:
+    """Walk one segment's table back to its column 0: (operations, pattern position left)."""
+    ops = []
+    while h > 0:
+        if v == 0:
+            ops.append("I" * h)
+            break
+        here = table[h, v]
+        if here == table[h, v - 1] + 1:
+            ops.append("D")
+            v -= 1
+        elif here == table[h - 1, v] + 1:
+            ops.append("I")
+            h -= 1
+        else:
+            ops.append("M" if here == table[h - 1, v - 1] else "X")
+            v, h = v - 1, h - 1
+    return "".join(reversed(ops)), v
 
 
 def _last_column(match: Callable):
-    @kernel(COLUMN)
-    def last(entry: pd.Series, pattern: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
+    """Last column of a segment, and the best place in it to stop with the pattern used up."""
+    ended = T.StructType([T.StructField("last", COLUMN), T.StructField("stop", T.IntegerType()), T.StructField("h", T.IntegerType())])
+
+    @kernel(ended)
+    def last(entry: pd.Series, pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rows = []
         for column, p, t in zip(entry, pattern, text):
-            column = np.asarray(column, dtype=np.int32)[None, :]
-            out.append(dags.segment_table(column, symbols(p), symbols(t), match)[-1].tolist())
-        return pd.Series(out)
+            table = segment_table(column, symbols(p), symbols(t), match)
+            rows.append((table[-1].tolist(), int(table[:, -1].min()), int(table[:, -1].argmin())))
+        return pd.DataFrame(rows, columns=["last", "stop", "h"])
 
     return last
 
@@ -186,13 +231,10 @@ def _back(match: Callable):
     walked = T.StructType([T.StructField("ops", T.StringType()), T.StructField("left", T.IntegerType())])
 
     @kernel(walked)
-    def back(entry: pd.Series, pattern: pd.Series, text: pd.Series, v: pd.Series) -> pd.DataFrame:
+    def back(entry: pd.Series, pattern: pd.Series, text: pd.Series, v: pd.Series, h: pd.Series) -> pd.DataFrame:
         rows = []
-        for column, p, t, at in zip(entry, pattern, text, v):
-            column = np.asarray(column, dtype=np.int32)[None, :]
-            text_ = symbols(t)
-            table = dags.segment_table(column, symbols(p), text_, match)
-            rows.append(dags.back_through(table, int(at), len(text_)))
+        for column, p, t, at, stop in zip(entry, pattern, text, v, h):
+            rows.append(back_through(segment_table(column, symbols(p), symbols(t)[: int(stop)], match), int(at), int(stop)))
         return pd.DataFrame(rows, columns=["ops", "left"])
 
     return back
@@ -229,11 +271,12 @@ def cellwise_min(edges: DataFrame, here: DataFrame, done: DataFrame, arrays: lis
 
 
 def align_by_level(
-    queries: DataFrame, segments: DataFrame, edges: DataFrame, match: Callable = equal_symbols
+    queries: DataFrame, segments: DataFrame, edges: DataFrame, match: Callable = equal_symbols, end: str = "global"
 ) -> DataFrame:
     """The same table alignment as joins over (graph, query, segment) rows.
 
-    Forward, each level takes the cell-wise minimum of its predecessors' last columns and
+    With end='query' each level carries the best place to stop in each segment, and the best
+    of all levels is the end of the path. Forward, each level takes the cell-wise minimum of its predecessors' last columns and
     passes it through its own text. Backward, each round walks one segment and joins to
     the first predecessor that explains the column. Rounds = levels of the deepest graph.
     """
@@ -247,18 +290,24 @@ def align_by_level(
             entry = cellwise_min(edges, here, done.withColumnRenamed("entry", "before"), ["last"])
             ready = here.join(entry.withColumnRenamed("last", "entry"), key)
         step = materialise(
-            ready.withColumn("last", _last_column(match)("entry", "pattern", "sequence")), "columns"
+            ready.withColumn("end", _last_column(match)("entry", "pattern", "sequence")).select("*", "end.*").drop("end"), "columns"
         )
         done = step if done is None else done.unionByName(step)
-    ends = done.join(sinks(nodes, edges).select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi")
-    cost = F.element_at("last", -1)
+    if done is None:
+        return queries.limit(0).select(
+            "graph_id", "query_id", F.lit(0).cast("long").alias("score"),
+            F.lit(None).cast(T.ArrayType(STEP)).alias("path"))
+    ends = done
+    if end == "global":
+        ends = done.join(sinks(nodes, edges).select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi")
+        ends = ends.withColumns({"stop": F.element_at("last", -1), "h": F.octet_length("sequence")})
     tips = ends.groupBy("graph_id", "query_id").agg(
-        F.min(F.struct(cost.alias("score"), "level", "node_id")).alias("tip"),
+        F.min(F.struct(F.col("stop").alias("score"), "level", "node_id", "h")).alias("tip"),
         F.first(F.octet_length("pattern")).alias("v"),
     )
     front = materialise(
         tips.select("graph_id", "query_id", F.col("tip.score").alias("score"),
-                    F.col("tip.node_id").alias("node_id"), "v"),
+                    F.col("tip.node_id").alias("node_id"), "v", F.col("tip.h").alias("from")),
         "tips",
     )
     scores = front.select("graph_id", "query_id", "score")
@@ -267,7 +316,8 @@ def align_by_level(
         walked = materialise(
             front.drop("score")
             .join(done, key)
-            .withColumn("w", _back(match)("entry", "pattern", "sequence", "v"))
+            .withColumn("from", F.coalesce("from", F.octet_length("sequence")))
+            .withColumn("w", _back(match)("entry", "pattern", "sequence", "v", "from"))
             .select(*key, "w.ops", F.col("w.left").alias("v"), F.col("entry")[F.col("w.left")].alias("cost")),
             "walked",
         )
@@ -282,7 +332,8 @@ def align_by_level(
             .filter(F.col("last")[F.col("v")] == F.col("cost"))
             .groupBy("graph_id", "query_id")
             .agg(F.min(F.struct("ord", "src", "v")).alias("o"))
-            .select("graph_id", "query_id", F.col("o.src").alias("node_id"), F.col("o.v").alias("v"))
+            .select("graph_id", "query_id", F.col("o.src").alias("node_id"), F.col("o.v").alias("v"),
+                    F.lit(None).cast("int").alias("from"))
         )
         front = materialise(origin, "tips")
         stopped = walked.join(front.select("graph_id", "query_id", F.lit(True).alias("on")),
@@ -295,9 +346,8 @@ def align_by_level(
         steps = step if steps is None else steps.unionByName(step)
         round_ += 1
     if steps is None:
-        return queries.limit(0).select(
-            "graph_id", "query_id", F.lit(0).cast("long").alias("score"),
-            F.lit(None).cast(T.ArrayType(STEP)).alias("path"))
+        return scores.select("graph_id", "query_id", F.col("score").cast("long").alias("score"),
+                             F.lit(None).cast(T.ArrayType(STEP)).alias("path"))
     path = steps.groupBy("graph_id", "query_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "segment", "ops"))).alias("s")
     ).select("graph_id", "query_id", F.transform(

@@ -5,7 +5,7 @@ import pytest
 from brute import gap_affine, graph_paths, levenshtein, replay
 from hypothesis import given, settings, strategies as st
 
-from seqloom.kernels import affine, bits, dags, orders, pairs
+from seqloom.kernels import affine, bits, dags, orders, pairs, waves
 
 words = st.text(alphabet="ACGT", max_size=25)
 
@@ -105,7 +105,7 @@ def test_graph_aligners_agree_with_path_enumeration():
         texts, preds, query = random_graph(rng)
         routes = graph_paths(preds)
         want = min(levenshtein(query, "".join(texts[v] for v in r)) for r in routes)
-        for kernel in (dags.table_align, dags.wavefront_align):
+        for kernel in (dags.table_align, waves.wavefront_align):
             score, path = kernel(pairs.symbols(query), coded(texts), preds)
             assert [v for v, _ in path] in routes
             spelled = "".join(texts[v] for v, _ in path)
