@@ -104,8 +104,13 @@ class Fronts:
         return {n: np.concatenate([p[i] for p in self.parts]) for i, n in enumerate(self.NAMES)}
 
 
-def grow(block: Block, pairs: int, match: Callable, end: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(all fronts, the row of ``Fronts`` in which each pair ends); a pair's last front is whole."""
+def grow(block: Block, pairs: int, match: Callable, end: str, whole: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(all fronts, the row of ``Fronts`` in which each pair ends); a pair's last front is whole.
+
+    A cell at the end of its text or of the pattern has no gap to open there, and what lies
+    beside it is never better. With ``whole`` these neighbours are in the fronts too, so that
+    they hold the furthest place of every diagonal; paths cannot be followed through them.
+    """
     best = np.full(block.cells, -1, np.int64)
     last = np.full(pairs, -1, np.int64)
     fronts, score = Fronts(), 0
@@ -135,8 +140,11 @@ def grow(block: Block, pairs: int, match: Callable, end: str) -> tuple[dict[str,
         segment, k, reach, number = segment[on], k[on], reach[on], number[on]
         down, along = reach - k < block.n[segment], reach < block.size[segment]
         both = down & along
+        v, size, n = reach - k, block.size[segment], block.n[segment]
+        if whole:
+            along, down = along | (v > 0), down | (reach > 0)
+        place = np.concatenate([np.minimum(reach + 1, size)[along], reach[both] + 1, np.where(v < n, reach, reach - 1)[down]])
         segment = np.concatenate([segment[along], segment[both], segment[down]])
-        place = np.concatenate([reach[along] + 1, reach[both] + 1, reach[down]])
         parent = np.concatenate([number[along], number[both], number[down]])
         how = np.repeat([GAP_TEXT, CROSS, GAP_PATTERN], [along.sum(), both.sum(), down.sum()])
         k = np.concatenate([k[along] + 1, k[both], k[down] - 1])
@@ -202,5 +210,5 @@ def wavefront_align(pattern, texts, preds, match: Callable = equal_symbols, end:
 def front_rows(graph: Graph, pattern: np.ndarray, match: Callable = equal_symbols) -> tuple[np.ndarray, ...]:
     """(score, segment, k, reach) of all cells of all fronts up to the distance."""
     block = Block([graph], [np.asarray(pattern, np.int32)])
-    fronts, _ = grow(block, 1, match, "global")
+    fronts, _ = grow(block, 1, match, "global", whole=True)
     return fronts["score"], fronts["segment"], fronts["k"], fronts["reach"]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
+from seqloom.operators.aligned_growth import aligned_growth
 from seqloom.operators.pograph import PoGraph, grown_graph, star_graph
 from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR, STAR_DISTANCE
 from seqloom.plans.registry import query
@@ -535,7 +536,11 @@ def dag_score_cells(spark, folder):
     return graph_align.table_cells(queries, segments, edges).drop("query_id")
 
 
-@query()
+# the furthest place on a diagonal with so many edits, up to the distance
+@query(f"""WITH cells AS ({LADDER_CELLS}),
+ends AS (SELECT graph_id, {LADDER_SCORE} AS final FROM (WITH {LADDERS} SELECT * FROM thirds))
+SELECT graph_id, score::INT AS distance, segment, (h - v)::INT AS k, max(h)::INT AS reach
+FROM cells JOIN ends USING (graph_id) WHERE score <= final GROUP BY ALL""")
 def dag_wavefront_cells(spark, folder):
     segments, edges, queries = ladder_graph(ladders(written_bundles(spark, folder)))
     return graph_align.front_cells(queries, segments, edges).drop("query_id")
@@ -559,6 +564,46 @@ def edge_check(spark, folder):
     return evidence(edges, checks.dangling_edges(graph.nodes, edges))
 
 
+TO_QUERY_END = f"""WITH cells AS ({LADDER_CELLS}),
+asked AS (SELECT graph_id, length(pattern) AS n FROM (WITH {LADDERS} SELECT * FROM thirds))
+SELECT graph_id, min(score)::BIGINT AS score, true AS valid FROM cells JOIN asked USING (graph_id) WHERE v = n GROUP BY 1"""
+
+
+def ladder_to_query_end(spark: SparkSession, folder: str, method: str) -> DataFrame:
+    """The best alignment that may stop anywhere in the ladder, its operations counted and replayed."""
+    segments, edges, queries = ladder_graph(materialise(ladders(written_bundles(spark, folder)), "rungs"))
+    found = graph_align.align_graphs(queries, segments, edges, method, end="query")
+    steps = found.select("graph_id", "score", F.posexplode("path").alias("at", "step"))
+    spelled = (
+        steps.select("graph_id", "score", "at", F.col("step.segment").alias("segment_id"), "step.ops")
+        .join(segments, ["graph_id", "segment_id"])
+        .groupBy("graph_id", "score")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "ops", "sequence"))).alias("s"))
+        .select("graph_id", "score", F.array_join("s.ops", "").alias("ops"), F.array_join("s.sequence", "").alias("text"))
+        .join(queries, "graph_id")
+    )
+    # the last segment may be used in part
+    used = F.length(F.regexp_replace("ops", "D", ""))
+    text, ops = F.substr(F.col("text"), F.lit(1), used), F.col("ops")
+    valid = cigar.is_valid(ops, F.col("pattern"), text) & (cigar.edit_score(ops) == F.col("score"))
+    return spelled.select("graph_id", "score", valid.alias("valid"))
+
+
+@query(TO_QUERY_END)
+def dag_distance_to_query_end(spark, folder):
+    return ladder_to_query_end(spark, folder, "table")
+
+
+@query(TO_QUERY_END)
+def dag_distance_to_query_end_wavefront(spark, folder):
+    return ladder_to_query_end(spark, folder, "wavefront")
+
+
+@query(TO_QUERY_END)
+def dag_distance_to_query_end_by_level(spark, folder):
+    return ladder_to_query_end(spark, folder, "levels")
+
+
 # position-wise graphs spell each of their own sequences from a source on
 @query(f"WITH {READS} SELECT graph_id, seq_rank, 0::BIGINT AS score FROM reads")
 def po_graph_distance_to_query_end(spark, folder):
@@ -605,3 +650,52 @@ def graph_aligners_agree(spark, folder):
     return by_table.join(by_waves.select("graph_id", F.col("score").alias("other")), "graph_id").select(
         "graph_id", "score", (F.col("score") - F.col("other")).alias("difference")
     )
+
+
+GROWN = """WITH talks AS (SELECT conv_id AS graph_id, turn, text, turn - min(turn) OVER (PARTITION BY conv_id) AS seq_rank
+FROM conversations WHERE text <> '')"""
+
+
+def grown_talks(spark: SparkSession, folder: str) -> tuple[PoGraph, DataFrame]:
+    """Whole conversations, every turn aligned to the graph of those before it."""
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "text").filter("text <> ''")
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    return aligned_growth(
+        turns.join(first, "conv_id").select(
+            F.col("conv_id").alias("graph_id"), (F.col("turn") - F.col("first")).alias("seq_rank"), F.col("text").alias("seq")
+        )
+    )
+
+
+@query(f"{GROWN} SELECT graph_id, seq_rank::INT AS seq_rank, text, 0::BIGINT AS jumps FROM talks")
+def grown_conversation_texts(spark, folder):
+    """What the paths spell, and their steps that are no edge forward in a topological order."""
+    graph, _ = grown_talks(spark, folder)
+    ranks = ranking.ranks(graph.nodes, graph.edges())
+    placed = graph.paths.join(graph.nodes, ["graph_id", "node_id"]).join(ranks, ["graph_id", "node_id"])
+    listed = F.array_sort(F.collect_list(F.struct("pos", "symbol", "rank")))
+    spelled = placed.groupBy("graph_id", "seq_rank").agg(listed.alias("s"))
+    late = F.size(F.filter(F.arrays_zip(F.slice("s.rank", 2, F.size("s")), F.slice("s.rank", 1, F.size("s") - 1)), lambda p: p["0"] <= p["1"]))
+    return spelled.select("graph_id", "seq_rank", F.array_join("s.symbol", "").alias("text"), late.cast("long").alias("jumps"))
+
+
+@query(f"""{GROWN} SELECT graph_id, count(*) AS sequences, sum(2 * (len(text) - 1))::BIGINT AS weight,
+0::BIGINT AS unexplained FROM talks GROUP BY 1""")
+def grown_conversation_weights(spark, folder):
+    """Edge weights, and the new nodes of each graph that the edits of its alignments do not explain."""
+    graph, scores = grown_talks(spark, folder)
+    weights = graph.edges().groupBy("graph_id").agg(F.sum("weight").alias("weight"))
+    made = graph.nodes.groupBy("graph_id").agg(F.count("*").alias("nodes"))
+    told = scores.groupBy("graph_id").agg(F.count("*").alias("sequences"), F.sum("score").alias("edits"))
+    over = F.greatest(F.col("nodes") - F.col("edits"), F.lit(0)).cast("long")
+    return told.join(made, "graph_id").join(weights, "graph_id", "left").select(
+        "graph_id", "sequences", F.coalesce("weight", F.lit(0)).alias("weight"), over.alias("unexplained")
+    )
+
+
+# the graph of one read is a chain
+@query(f"WITH {READS} SELECT graph_id, seq_rank, CASE seq_rank WHEN 0 THEN len(seq) ELSE levenshtein(seq, first) END::BIGINT AS score "
+       "FROM (SELECT *, first_value(seq) OVER (PARTITION BY graph_id ORDER BY seq_rank) AS first FROM reads) WHERE seq_rank <= 1")
+def grown_bundle_first_scores(spark, folder):
+    _, scores = aligned_growth(reads(written_bundles(spark, folder)).select("graph_id", "seq_rank", "seq"))
+    return scores.filter("seq_rank <= 1").select("graph_id", F.col("seq_rank").cast("long").alias("seq_rank"), "score")

@@ -1,11 +1,12 @@
 import random
+from itertools import groupby
 
 import numpy as np
 import pytest
 from brute import gap_affine, graph_paths, levenshtein, replay
 from hypothesis import given, settings, strategies as st
 
-from seqloom.kernels import affine, bits, dags, orders, pairs, waves
+from seqloom.kernels import affine, bits, dags, growing, orders, pairs, waves
 
 words = st.text(alphabet="ACGT", max_size=25)
 
@@ -183,3 +184,80 @@ def test_wavefronts_of_long_near_strings():
         other[at] = "n"
     (score,), (script,) = pairs.wavefront_pairs([pairs.symbols("".join(text))], [pairs.symbols("".join(other))])
     assert score == 40 == script.count("X") and len(script) == 60_000
+
+
+def test_large_tables_give_the_same_as_small_ones():
+    """Any bound on the cells held together gives equal scores, replayed scripts, and free ends."""
+    rng = random.Random(21)
+    made = [random_graph(rng) for _ in range(150)]
+    graphs = [dags.Graph(coded(texts), preds) for texts, preds, _ in made]
+    patterns = [pairs.symbols(query) for *_, query in made]
+    for end in ("global", "query"):
+        want = [score for score, _ in dags.align_all(graphs, patterns, end=end)]
+        for cells in (5, 60, 1000):
+            for found in (dags.align_all(graphs, patterns, end=end, cells=cells), waves.wave_all(graphs, patterns, end=end, cells=cells)):
+                assert [score for score, _ in found] == want
+                for (score, path), (texts, _, query) in zip(found, made):
+                    ops = "".join(o for _, o in path)
+                    spelled = "".join(texts[v] for v, _ in path)
+                    spelled = spelled[: len(ops) - ops.count("D")] if end == "query" else spelled
+                    assert replay(query, spelled, ops) == score
+
+
+def affine_cost_of(ops, cost):
+    gaps = [len(list(run)) for op, run in groupby(ops) if op in "ID"]
+    return ops.count("X") * cost.mismatch + ops.count("M") * cost.match + sum(cost.gap_open + n * cost.gap_extend for n in gaps)
+
+
+def test_affine_scripts_cost_what_they_say():
+    rng = random.Random(22)
+    made = [random_graph(rng) for _ in range(150)]
+    graphs = [dags.Graph(coded(texts), preds) for texts, preds, _ in made]
+    patterns = [pairs.symbols(query) for *_, query in made]
+    for cost in (affine.Penalties(), affine.Penalties(3, 1, 2), affine.Penalties(2, 5, 1, 1)):
+        for cells in (9, 200, 1 << 22):
+            for (score, path), (texts, preds, query) in zip(dags.align_all(graphs, patterns, affine.AffineCosts(cost), cells=cells), made):
+                ops, spelled = "".join(o for _, o in path), "".join(texts[v] for v, _ in path)
+                assert [v for v, _ in path] in graph_paths(preds)
+                replay(query, spelled, ops)
+                assert affine_cost_of(ops, cost) == score
+                if cost.match == 0:
+                    assert score == min(
+                        gap_affine(query, "".join(texts[v] for v in r), cost.mismatch, cost.gap_open, cost.gap_extend)
+                        for r in graph_paths(preds)
+                    )
+
+
+def test_fronts_hold_the_furthest_place_of_every_diagonal():
+    rng = random.Random(23)
+    for _ in range(150):
+        texts, preds, query = random_graph(rng)
+        graph, pattern = dags.Graph(coded(texts), preds), pairs.symbols(query)
+        final, want = dags.align_all([graph], [pattern])[0][0], {}
+        for i, h, column in dags.segment_tables(graph, pattern):
+            for v, score in enumerate(column.tolist()):
+                if score <= final:
+                    want[score, i, h - v] = max(want.get((score, i, h - v), -1), h)
+        columns = (x.tolist() for x in waves.front_rows(graph, pattern))
+        assert {(s, i, k): reach for s, i, k, reach in zip(*columns)} == want
+
+
+def test_graphs_grow_by_alignment():
+    """Paths spell their sequences, graphs stay acyclic, and edits explain every new node."""
+    rng = random.Random(24)
+    texts = [["".join(rng.choices("ACG", k=rng.randint(0, 14))) for _ in range(rng.randint(1, 6))] for _ in range(40)]
+    texts += [["ACGT"] * 5, ["", "AC", ""], []]
+    graphs, added = growing.fold([[pairs.symbols(t, "char") for t in ts] for ts in texts])
+    for ts, graph, found in zip(texts, graphs, added):
+        orders.newest_first(graph.preds, graph.succs)
+        assert ["".join(chr(graph.symbols[v]) for v in path) for _, path in found] == ts
+        assert len(graph.symbols) <= sum(score for score, _ in found)
+        for t, (_, path) in zip(ts, found):
+            assert all(a in graph.preds[b] for a, b in zip(path, path[1:]))
+        for v, peers in enumerate(graph.aligned):
+            column = [v, *peers]
+            assert all(set(column) == {u, *graph.aligned[u]} for u in column)
+            assert len({graph.symbols[u] for u in column}) == len(column)
+        if len(ts) > 1 and ts[0] and ts[1]:
+            assert found[1][0] == levenshtein(ts[0], ts[1])
+    assert len(graphs[40].symbols) == 4 and added[40][4][0] == 0
