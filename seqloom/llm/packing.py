@@ -43,10 +43,10 @@ FLUSH_ROWS = 10_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-    "offset long, ids binary"
+    "offset long, row long, ids binary"
 )
 NAMES = [column.split()[0] for column in PIECES.split(", ")]
-TYPES = [pa.int64()] * 7 + [pa.binary()]
+TYPES = [pa.int64()] * 8 + [pa.binary()]
 
 
 def plain_letters(tokenizer) -> bool:
@@ -232,17 +232,19 @@ class Packer:
     slack: int = SLACK
     with_ids: bool = False
     windows: int = 0
+    rows: int = 0
     held: int = 0
     rests: list[tuple] = field(default_factory=list)
     out: list[tuple] = field(default_factory=list)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
+        total, start, row = len(ids) // 4, 0, (self.part << 33) + self.rows
+        self.rows += 1
         while total - start >= self.capacity:
-            self._write([(doc_id, start, total, ids[4 * start : 4 * (start + self.capacity)])])
+            self._write([(doc_id, start, total, ids[4 * start : 4 * (start + self.capacity)], row)])
             start += self.capacity
         if start < total:
-            self.rests.append((doc_id, start, total, ids[4 * start :]))
+            self.rests.append((doc_id, start, total, ids[4 * start :], row))
             self.held += total - start
         if self.held >= BLOCK_TOKENS:
             self.pack()
@@ -250,9 +252,9 @@ class Packer:
     def _write(self, pieces: list[tuple]) -> None:
         sequence, offset = (self.part << 33) + self.windows, 0
         self.windows += 1
-        for doc_id, start, total, ids in pieces:
+        for doc_id, start, total, ids, row in pieces:
             n = len(ids) // 4
-            self.out.append((doc_id, start, n, crc32(ids), total, sequence, offset, ids if self.with_ids else None))
+            self.out.append((doc_id, start, n, crc32(ids), total, sequence, offset, row, ids if self.with_ids else None))
             offset += n
 
     def pack(self) -> None:
@@ -269,11 +271,11 @@ class Packer:
         for length in lengths_without_padding(sum(len(p[3]) // 4 for p in loose), self.capacity):
             pieces, room = [], 4 * length
             while room:
-                doc_id, start, total, ids = left.pop()
+                doc_id, start, total, ids, row = left.pop()
                 if len(ids) > room:
-                    left.append((doc_id, start + room // 4, total, ids[room:]))
+                    left.append((doc_id, start + room // 4, total, ids[room:], row))
                     ids = ids[:room]
-                pieces.append((doc_id, start, total, ids))
+                pieces.append((doc_id, start, total, ids, row))
                 room -= len(ids)
             self._write(pieces)
         self.rests, self.held = [], 0
@@ -293,13 +295,13 @@ def pack(
     slack: int = SLACK,
     with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row.
 
     A document is its text's ids (null: none; no added special tokens) and ``end_id``, so an
     empty text is one token. Every id is in exactly one piece; pieces of a window follow each
     other without gaps. A window is padded to ``capacity`` by at most ``slack`` tokens, or its
     length is a power of two. Rows that repeat an id, or have none, are documents of their
-    own. With ``with_ids`` the ids (little-endian, 32 bits) come along. ``path`` is a
+    own, told apart by ``row``, a number of the input row. With ``with_ids`` the ids (little-endian, 32 bits) come along. ``path`` is a
     tokenizer file that splits at white space, at the same place on every worker. Further
     columns are ignored. The numbers of windows are unique, not without gaps.
 

@@ -14,11 +14,9 @@ groups that the texts' own frequent words make.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +45,11 @@ SPREAD = 2.0
 SIZES = np.unique(np.geomspace(1, 1 << 20, 100).astype(np.int64))
 #: Frequent words by which texts are grouped, and number of groups.
 COMMON, GROUPS = 256, 4
-#: Words whose features a worker remembers; features that a task counts before it passes them on.
+#: Words whose features a task remembers; features that it counts before it passes them on.
 REMEMBER, FLUSH = 100_000, 150_000
 
-WORD = re.compile(r"[^\W_]+")
+#: ASCII bytes that are no letter or digit become spaces.
+WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
 @dataclass(frozen=True)
@@ -86,30 +85,42 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
-class Remembered(dict):
-    """What a function says of a word, remembered."""
-
-    def __init__(self, of) -> None:
-        self.of = of
-
-    def __missing__(self, word: str):
-        if len(self) >= REMEMBER:
-            self.clear()
-        found = self[word] = self.of(word)
-        return found
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, digits and whatever is not ASCII."""
+    return text.lower().encode().translate(WORD_BYTES).decode().split() if text else []
 
-    def union(self, words: Iterable[str]) -> set:
-        return set(chain.from_iterable(map(self.__getitem__, words)))
 
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def word_starts(words: Iterable[str]) -> set[str]:
+    """The beginnings that are features."""
+    return {word[:n] for n in PREFIXES for word in words if len(word) > n}
 
 
 def text_features(text: str) -> tuple[int, list[str]]:
     """Number of words and sorted distinct features of a whole text."""
     words = words_of(text)
-    return len(words), sorted(Remembered(word_features).union(set(words)))
+    return len(words), sorted({f"={word}" for word in words} | {f"^{start}" for start in word_starts(words)})
+
+
+class Numbered:
+    """Numbers of some features; words that begin like none of them are passed over at once."""
+
+    def __init__(self, features: Iterable[str]) -> None:
+        self.place = {x: i for i, x in enumerate(features)}
+        self.heads = {x[1 : 1 + PREFIXES[0]] for x in self.place}
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, words: set[str]) -> list[int]:
+        """Sorted numbers of the features that a text with these words holds."""
+        heads, known, first, found = self.heads, self.known, PREFIXES[0], set()
+        for word in words:
+            if word[:first] in heads:
+                ids = known.get(word)
+                if ids is None:
+                    if len(known) >= REMEMBER:
+                        known.clear()
+                    ids = known[word] = [self.place[x] for x in word_features(word) if x in self.place]
+                found.update(ids)
+        return sorted(found)
 
 
 def texts_in(batch: pa.RecordBatch) -> Iterator[str | None]:
@@ -118,35 +129,42 @@ def texts_in(batch: pa.RecordBatch) -> Iterator[str | None]:
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, p, u): rows marked positive, and all rows, that hold it, of rows (positive, text).
+    """(feature, n): how many of the rows (text) hold it; tasks count before the shuffle.
 
-    The feature "" is that of every row. Tasks count before the shuffle.
+    The feature "" is that of every row.
     """
-    names = ["feature", "p", "u"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, p, u = Remembered(word_features), Counter(), Counter()
+        whole, starts, count = Counter(), Counter(), 0
 
         def flushed() -> pa.RecordBatch:
-            columns = [pa.array(u.keys(), pa.string()), pa.array([p[x] for x in u], pa.int64()), pa.array(u.values(), pa.int64())]
-            p.clear()
-            u.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            names = [f"={x}" for x in whole] + [f"^{x}" for x in starts] + [""]
+            columns = [pa.array(names, pa.string()), pa.array([*whole.values(), *starts.values(), count], pa.int64())]
+            whole.clear()
+            starts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "n"])
 
         for batch in batches:
-            for positive, text in zip(batch.column("positive").to_pylist(), texts_in(batch), strict=True):
-                found = known.union(set(words_of(text)))
-                found.add("")
-                u.update(found)
-                if positive:
-                    p.update(found)
-                if len(u) > FLUSH:
+            for text in texts_in(batch):
+                words = set(words_of(text))
+                whole.update(words)
+                starts.update(word_starts(words))
+                count += 1
+                if len(whole) + len(starts) > FLUSH:
                     yield flushed()
-        if u:
+                    count = 0
+        if count:
             yield flushed()
 
-    counted = rows.select("positive", "text").mapInArrow(apply, "feature string, p long, u long")
-    return counted.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = rows.select("text").mapInArrow(apply, "feature string, n long")
+    return counted.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def side_by_side(confirmed: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, u): the counts n of confirmed and of all rows."""
+    zero = F.lit(0).cast("long")
+    p, u = confirmed.select(*keys, F.col("n").alias("p"), zero.alias("u")), rows.select(*keys, zero.alias("p"), F.col("n").alias("u"))
+    return p.unionAll(u).groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def sampled(rows: DataFrame, features: list[str], common: list[str]) -> DataFrame:
@@ -154,15 +172,15 @@ def sampled(rows: DataFrame, features: list[str], common: list[str]) -> DataFram
     names = ["known", "other", "n", "features", "common"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, often = {x: i for i, x in enumerate(features)}, {x: i for i, x in enumerate(common)}
-        known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
+        numbered, often = Numbered(features), {x: i for i, x in enumerate(common)}
         for batch in batches:
             n, ids, held = [], [], []
             for text in texts_in(batch):
                 words = words_of(text)
                 n.append(len(words))
-                ids.append(sorted(known.union(set(words))))
-                held.append(sorted(often[w] for w in often.keys() & set(words)))
+                distinct = set(words)
+                ids.append(numbered.of(distinct))
+                held.append(sorted(often[w] for w in often.keys() & distinct))
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, held)]
             columns = [batch.column("known"), batch.column("other"), pa.array(n, pa.int64()), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -172,33 +190,28 @@ def sampled(rows: DataFrame, features: list[str], common: list[str]) -> DataFram
 
 
 def kind_counts(rows: DataFrame, features: list[str], kinds: Kinds) -> DataFrame:
-    """(kind, feature, p, u) of rows (positive, text): rows of each group that hold each feature.
+    """(kind, feature, n) of rows (text): rows of each group that hold each feature.
 
-    Feature -1 counts all rows of the group, and -2 the words of all its rows (u).
+    Feature -1 counts all rows of the group, and -2 the words of all its rows.
     """
-    names, size = ["kind", "feature", "p", "u"], len(features)
+    size = len(features)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, often = {x: i for i, x in enumerate(features)}, {x: i for i, x in enumerate(kinds.common)}
-        known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
-        shape = (len(kinds.centres), size + 2)  # the last two are features -2 and -1
-        p, u = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        numbered, often = Numbered(features), {x: i for i, x in enumerate(kinds.common)}
+        held = np.zeros((len(kinds.centres), size + 2), np.int64)  # the last two are features -2 and -1
         for batch in batches:
-            for positive, text in zip(batch.column("positive").to_pylist(), texts_in(batch), strict=True):
+            for text in texts_in(batch):
                 words = words_of(text)
                 distinct = set(words)
                 kind = kinds.of(np.array(sorted(often[w] for w in often.keys() & distinct), np.int64))
-                ids = np.array([*known.union(distinct), -1], np.int64)
-                u[kind, ids] += 1
-                u[kind, -2] += len(words)
-                if positive:
-                    p[kind, ids] += 1
-        kind, feature = np.nonzero(u)
-        values = [kind, np.where(feature < size, feature, feature - size - 2), p[kind, feature], u[kind, feature]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=names)
+                held[kind, [*numbered.of(distinct), -1]] += 1
+                held[kind, -2] += len(words)
+        kind, feature = np.nonzero(held)
+        values = [kind, np.where(feature < size, feature, feature - size - 2), held[kind, feature]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["kind", "feature", "n"])
 
-    counted = rows.select("positive", "text").mapInArrow(apply, "kind long, feature long, p long, u long")
-    return counted.groupBy("kind", "feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = rows.select("text").mapInArrow(apply, "kind long, feature long, n long")
+    return counted.groupBy("kind", "feature").agg(F.sum("n").alias("n"))
 
 
 def kinds_of(common: list[str], held: list[np.ndarray], groups: int = GROUPS, rounds: int = 15) -> Kinds:
@@ -266,15 +279,24 @@ class Held:
 
 
 def clean_rates(held: Held, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each feature, the group that holds it most in clean text, and its rate there.
+    """Of each feature, the group whose clean text holds it most, and its rate there.
 
     The rate is per word: what all rows hold less the positives' part of it, and one
-    standard deviation of this difference more.
+    standard deviation of this difference more. A group counts for itself only where its rate
+    clearly exceeds that of all groups together; other features are of one further group, all.
     """
-    each = (prior * held.rows / np.maximum(1, held.positives))[:, None]
-    words = np.maximum(1.0, (1 - prior) * held.words)[:, None]
-    rates = np.clip((held.u - each * held.p + np.sqrt(held.u + each**2 * held.p)) / words, 0, 0.5)
-    return rates.argmax(axis=0), rates.max(axis=0)
+
+    def rate(p, u, positives, rows, words):
+        each = prior * rows / np.maximum(1, positives)
+        words = np.maximum(1.0, (1 - prior) * words)
+        return (u - each * p) / words, np.sqrt(u + each**2 * p) / words
+
+    whole, whole_spread = rate(held.p.sum(axis=0), held.u.sum(axis=0), held.positives.sum(), held.rows.sum(), held.words.sum())
+    mean, spread = rate(held.p, held.u, held.positives[:, None], held.rows[:, None], held.words[:, None])
+    own = np.where(mean - np.maximum(0, whole) > SPREAD * spread, mean + spread, -1.0)
+    apart = own.max(axis=0) > 0
+    group = np.where(apart, own.argmax(axis=0), len(held.rows))
+    return group, np.clip(np.where(apart, own.max(axis=0), whole + whole_spread), 0, 0.5)
 
 
 def clean_evidence(features: list[str], weights: np.ndarray, groups: np.ndarray, rates: np.ndarray) -> np.ndarray:
@@ -302,32 +324,23 @@ def evidence(model: Model, ids: list[int] | np.ndarray, n: int) -> float:
     return float(sum(max(0.0, x - np.interp(n, SIZES, model.allowed[g])) for g, x in enumerate(held) if x))
 
 
-def fit(
-    features: list[str],
-    known: Rows,
-    others: Rows,
-    held: Held,
+def descend(
+    positive: list[np.ndarray],
+    unlabelled: list[np.ndarray],
+    size: int,
     prior: float,
     epochs: int = 60,
     batch: int = 512,
     rate: float = 0.05,
     decay: float = 1e-4,
     seed: int = 5,
-) -> Model:
-    """Linear model that minimises the non-negative positive-unlabelled logistic risk (Adam).
+) -> np.ndarray:
+    """Weights of ``size`` features that minimise the non-negative positive-unlabelled logistic risk (Adam).
 
     Weights stay at or above zero: words are evidence of toxicity, and a long text has no
-    words that excuse others. A telling feature that no row of the sample holds gets the logarithm
-    of its lift, on the scale of the weights that were fitted. Without positives, unlabelled
-    rows or any telling word every score is the prior.
+    words that excuse others.
     """
-    size = len(features)
-    unsure = float(np.log(prior / (1 - prior)))
-    weights, bias = np.zeros(size), unsure
-    none = Model([], np.zeros(0, np.float32), unsure, np.zeros(0, np.int64), np.zeros((0, len(SIZES))))
-    positive, unlabelled = known.ids, others.ids
-    if not positive or not unlabelled or not size:
-        return none
+    weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     draw = np.random.default_rng(seed)
     steps = max(1, len(unlabelled) // batch)
@@ -353,7 +366,22 @@ def fit(
         t = step + 1
         move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights, bias = np.maximum(0, weights - move[:-1]), bias - move[-1]
-    seen = np.bincount(np.concatenate([_gather(positive)[0], _gather(unlabelled)[0]]), minlength=size) > 0
+    return weights
+
+
+def fit(features: list[str], known: Rows, others: Rows, held: Held, prior: float, seed: int = 5) -> Model:
+    """The model from a sample of positive and of all rows, and from counts over all of them.
+
+    A telling feature that no row of the sample holds gets the logarithm of its lift, on the
+    scale of the weights that were fitted. Without positives, unlabelled rows or any telling
+    word every score is the prior.
+    """
+    size, unsure = len(features), float(np.log(prior / (1 - prior)))
+    none = Model([], np.zeros(0, np.float32), unsure, np.zeros(0, np.int64), np.zeros((0, len(SIZES))))
+    if not known.ids or not others.ids or not size:
+        return none
+    weights = descend(known.ids, others.ids, size, prior, seed=seed)
+    seen = np.bincount(np.concatenate([_gather(known.ids)[0], _gather(others.ids)[0]]), minlength=size) > 0
     each = held.p.sum(axis=0) * held.rows.sum() / (max(1, held.positives.sum()) * np.maximum(1, held.u.sum(axis=0)))
     lift = np.log(np.maximum(each, 1.0))
     scale = np.median(weights[seen] / np.maximum(lift[seen], 0.1)) if seen.any() else 1.0
@@ -398,12 +426,12 @@ def learn(
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(inside)
     counted = marks.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("toxic").alias("all")).first()
     prior = counted.toxic / counted.all if 0 < (counted.toxic or 0) < counted.all else PRIOR
-    names = marks.filter("toxic = 1 and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # labels are small or not as Spark finds them to be; a toxic id may be in many rows
-    marked = rows.filter(inside).join(names.withColumn("positive", F.lit(True)), "doc_id", "left")
-    marked = marked.withColumn("positive", F.coalesce("positive", F.lit(False)))
-    counts = materialise(feature_counts(marked).filter("p > 0 or u > 1 or feature = ''"), "feature-counts")
+    # written, so that Spark knows its size: texts meet it by broadcast, or past a filter of their ids
+    names = materialise(marks.filter("toxic = 1 and doc_id is not null").select("doc_id").distinct(), "confirmed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(inside)
+    confirmed = rows.join(names, "doc_id", "left_semi")  # an id may be in many rows
+    both = side_by_side(feature_counts(confirmed), feature_counts(rows), ["feature"])
+    counts = materialise(both.filter("p > 0 or u > 1 or feature = ''"), "feature-counts")
     every = counts.filter("feature = ''").first() or (None, 0, 0)
     positives, total = every[1], every[2]
     # what comes to the driver: telling features and a fixed number of frequent words
@@ -414,19 +442,18 @@ def learn(
     share = lambda most, n, salt: (
         F.pmod(F.xxhash64("text", "doc_id", F.lit(seed + salt)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(1, n))))
     )
-    drawn = marked.select(
-        "text",
-        (F.col("positive") & share(most_positive, positives, 0)).alias("known"),
-        share(most_unlabelled, total, 1).alias("other"),
-    )
-    found = sampled(drawn.filter("known or other"), features, common).toArrow().to_pylist()
+    mark = lambda known: (F.lit(known).alias("known"), F.lit(not known).alias("other"))
+    drawn = confirmed.filter(share(most_positive, positives, 0)).select("text", *mark(True))
+    drawn = drawn.unionAll(rows.filter(share(most_unlabelled, total, 1)).select("text", *mark(False)))
+    found = sampled(drawn, features, common).toArrow().to_pylist()
     found.sort(key=lambda r: (r["n"], r["features"], r["common"]))
     few = lambda rows: Rows([np.array(r["features"], np.int64) for r in rows], np.array([r["n"] for r in rows]))
     known, others = (few([r for r in found if r[mark]]) for mark in ("known", "other"))
     kinds = kinds_of(common, [np.array(r["common"], np.int64) for r in found if r["other"]])
     held = np.zeros((2, len(kinds.centres), len(features) + 2))
     if features:
-        for r in kind_counts(marked, features, kinds).toArrow().to_pylist():
+        by_kind = (kind_counts(of, features, kinds) for of in (confirmed, rows))
+        for r in side_by_side(*by_kind, ["kind", "feature"]).toArrow().to_pylist():
             held[:, r["kind"], r["feature"]] = r["p"], r["u"]
     p, u = held
     return fit(features, known, others, Held(p[:, :-2], u[:, :-2], p[:, -1], u[:, -1], u[:, -2]), prior, seed=seed)
@@ -437,12 +464,11 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        place = {x: i for i, x in enumerate(model.features) if model.weights[i]}
-        self.known = Remembered(lambda word: [place[x] for x in word_features(word) if x in place])
+        self.numbered = Numbered(model.features)
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
-        margin = self.model.bias + evidence(self.model, sorted(self.known.union(set(words))), len(words))
+        margin = self.model.bias + evidence(self.model, self.numbered.of(set(words)), len(words))
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 

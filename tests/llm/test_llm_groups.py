@@ -1,9 +1,11 @@
 """Exact groups, near groups and repeated passages against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 from itertools import combinations
 
+import pytest
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
@@ -116,6 +118,27 @@ def test_links_of_crowded_buckets(spark, monkeypatch):
         assert roots(prints, links) == want
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_links_of_other_radii(spark, monkeypatch, radius):
+    """Stars of crowded buckets link what pairs do, and nothing beyond the radius."""
+    draw = random.Random(radius)
+    centre = draw.getrandbits(64)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    prints = {signed(centre ^ sum(1 << b for b in draw.sample(range(20), draw.randrange(0, 4)))) for _ in range(70)}
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    pairs = [(a, b) for a, b in combinations(sorted(prints), 2) if apart(a, b) <= radius]
+    distinct = spark.createDataFrame([(p,) for p in prints], "fp long")
+    monkeypatch.setattr(simhash, "PAIR_BUCKET", 3)
+    links = {(r.a, r.b) for r in simhash.close_links(distinct, radius).collect()}
+    assert links <= {tuple(sorted(p)) for p in pairs}
+    assert roots(prints, links) == roots(prints, pairs)
+
+
+def test_radius_that_is_too_wide(spark):
+    with pytest.raises(ValueError):
+        simhash.close_links(spark.createDataFrame([(1,)], "fp long"), 6)
+
+
 def test_near_odd_rows(odd, empty):
     rows = simhash.near_groups(odd).collect()
     assert len(rows) == 11

@@ -141,6 +141,65 @@ def test_labels_of_held_out_rows_are_not_used(toxic):
     assert (model.weights == again.weights).all() and model.bias == again.bias
 
 
+def test_other_columns_change_no_score(toxic):
+    """lang, source and an id of the same fold are no inputs; nor is how rows are dealt."""
+    docs, labels, _ = toxic
+    kept = docs.filter("doc_id < 1500")
+    model = toxicity.learn(kept.withColumns({"lang": F.lit("en"), "source": F.col("doc_id").cast("string")}), labels)
+    moved = {i: next(j for j in range(10**6 + 40 * i, 10**7) if (zlib.crc32(str(j).encode()) % 5 == 0) == (zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(1500)}
+    names = docs.sparkSession.createDataFrame(list(moved.items()), "doc_id long, other long")
+    renamed = lambda t: t.join(names, "doc_id").drop("doc_id").withColumnRenamed("other", "doc_id")
+    other = toxicity.learn(renamed(kept).withColumns({"lang": F.lit("xx"), "source": F.lit(None)}).repartition(7), renamed(labels))
+    assert model.features == other.features and np.array_equal(model.weights, other.weights) and model.bias == other.bias
+    assert np.array_equal(model.groups, other.groups) and np.array_equal(model.allowed, other.allowed)
+
+
+def test_features_are_counted_over_all_rows(toxic):
+    """Counts of features, of all rows and by kind of text, against brute force; a sample bounds the gradient alone."""
+    docs, labels, bad = toxic
+    marked = docs.filter("doc_id < 1500")
+    texts = {r.doc_id: r.text for r in marked.collect()}
+    want = Counter(x for d, t in texts.items() for x in {"", *toxicity.text_features(t)[1]})
+    toxic_want = Counter(x for d, t in texts.items() if d in bad for x in {"", *toxicity.text_features(t)[1]})
+    each = (toxicity.feature_counts(of) for of in (marked.filter("doc_id % 8 = 0"), marked))
+    found = {r.feature: (r.p, r.u) for r in toxicity.side_by_side(*each, ["feature"]).collect()}
+    assert found == {x: (toxic_want[x], n) for x, n in want.items()}
+    kinds = toxicity.Kinds(["w1", "w2"], np.eye(2, dtype=np.float32))
+    held = Counter()
+    for d, t in texts.items():
+        words = set(t.split())
+        kind = int("w2" in words and "w1" not in words)
+        for i, x in enumerate(["=vile1", "=w5"]):
+            held[kind, i] += x[1:] in words
+        held[kind, -1] += 1
+        held[kind, -2] += len(t.split())
+    by_kind = {(r.kind, r.feature): r.n for r in toxicity.kind_counts(marked, ["=vile1", "=w5"], kinds).collect()}
+    assert by_kind == {k: n for k, n in held.items() if n}
+    few = toxicity.learn(docs, labels, most_positive=20, most_unlabelled=60)
+    assert {f"=vile{i}" for i in range(12)} <= set(few.features)
+    assert all(few.weights[few.features.index(f"=vile{i}")] > 0 for i in range(12))
+
+
+def test_risk_of_one_step():
+    """The first gradient step of the fit against the risk differentiated by hand."""
+    known = toxicity.Rows([np.array([0]), np.array([0, 1])], np.array([1, 2]))
+    others = toxicity.Rows([np.array([0]), np.array([1]), np.zeros(0, np.int64), np.zeros(0, np.int64)], np.array([1, 1, 3, 4]))
+    prior, bias = 0.25, np.log(0.25 / 0.75)
+
+    def risk(weights, p, u):
+        margin = lambda rows, picks: np.array([bias + weights[rows.ids[i]].sum() for i in picks])
+        fp, fu = margin(known, p), margin(others, u)
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        return prior * np.logaddexp(0, -fp).mean() + negative if negative >= 0 else -negative
+
+    drawn, each = np.random.default_rng(5), 1e-6
+    p, u = drawn.integers(0, 2, 32), drawn.integers(0, 4, 4)
+    slope = [(risk(np.eye(2)[i] * each, p, u) - risk(-np.eye(2)[i] * each, p, u)) / (2 * each) for i in range(2)]
+    weights = toxicity.descend(known.ids, others.ids, 2, prior, epochs=1, batch=4, decay=0.0)
+    moved = np.maximum(0, -0.05 * np.sign(slope))  # Adam's first step is the rate against the sign
+    assert np.allclose(weights, moved, atol=1e-5)
+
+
 def test_toxicity_without_labels(toxic, empty):
     docs, labels, _ = toxic
     scores = {r.score for r in toxicity.toxicity(docs, labels.filter("toxic = 0")).collect()}
@@ -176,5 +235,29 @@ def test_pipeline(spark):
     )
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null, empty, repeated and id-less rows, a further column, and empty tables."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text.upper(), "en", "a"), (3, text + " tail", None, None)]
+    rows += [(None, text, "en", "a"), (None, "no id at all", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (6, "x", "en", "a")]
+    made = spark.createDataFrame([(*r, None, "more") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __copy string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", made), ("none", made.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept = {}
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd").cache()
+        assert docs.columns == corpus_pipeline.COLUMNS
+        kept[name] = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert len(kept["toxicity"]) == 9
+    assert [d for d, _ in kept["exact dedup"]] == [0, 2, 3, 5, 6]
+    assert [d for d, _ in kept["near dedup"]] == [0, 2, 5, 6]
+    whole = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id or 0 for r in whole} <= {0, 2, 5, 6} and len({(r.row, r.start) for r in whole}) == len(whole)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_operator_has_a_query():
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({q.split("_")[0] + "_" for q in queries.QUERIES}, key=lambda x: int(x[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({q.split("_")[0] + "_" for q in queries.QUERIES}, key=lambda x: int(x[2:-1]))

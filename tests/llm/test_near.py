@@ -57,6 +57,38 @@ def test_near_texts(spark, monkeypatch):
         assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == want
 
 
+def test_templates_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Texts that share 220 of 290 words link nothing, and pairs compared grow as the texts do."""
+    draw, compared = random.Random(5), []
+    common, checked = [f"c{i}" for i in range(220)], near.checked
+    monkeypatch.setattr(near, "checked", lambda pairs, sets: compared.append(pairs.count()) or checked(pairs, sets))
+    totals = []
+    for n in (100, 200, 400):
+        rows = [(i, " ".join(common + [f"x{i}y{j}" for j in range(70)])) for i in range(n)]
+        draw.shuffle(rows)
+        found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.component_id == r.doc_id for r in found)
+        totals.append(sum(compared))
+        compared.clear()
+    assert totals[2] < 6 * totals[0] and totals[2] < 400 * 399 // 20
+
+
+def test_crowded_texts_that_are_near_are_linked(spark):
+    """Near copies of several texts, all of them within one template."""
+    draw = random.Random(6)
+    common, rows = [f"c{i}" for i in range(200)], []
+    for i in range(60):
+        own = [f"x{i}y{j}" for j in range(80)]
+        for copy in range(3):
+            other = list(own)
+            other[draw.randrange(80)] = f"z{i}{copy}"
+            rows.append((10 * i + copy, " ".join(common + other)))
+    want = roots([d for d, _ in rows], pairs_by_hand(rows))
+    assert len(set(want.values())) == 60
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 def test_near_stage_of_the_pipeline(spark):
     """A copy with one word replaced goes, a text that shares half stays."""
     draw = random.Random(8)
