@@ -212,3 +212,92 @@ def front_rows(graph: Graph, pattern: np.ndarray, match: Callable = equal_symbol
     block = Block([graph], [np.asarray(pattern, np.int32)])
     fronts, _ = grow(block, 1, match, "global", whole=True)
     return fronts["score"], fronts["segment"], fronts["k"], fronts["reach"]
+
+
+#: Kinds of cells of gap-affine fronts: any, within a gap along the text, within one along the pattern.
+ANY, ALONG_TEXT, ALONG_PATTERN = range(3)
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]
+NONE: Cells = (np.zeros(0, np.int64),) * 3
+
+
+def joined(parts: list[Cells]) -> Cells:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else NONE
+
+
+class AffineFronts:
+    """Fronts of costs 0, 1, 2, ... of all pairs of a block, three kinds of cells each."""
+
+    def __init__(self, block: Block, pairs: int, match: Callable) -> None:
+        self.block, self.match = block, match
+        self.best = np.full((3, block.cells), -1, np.int64)
+        self.done = np.full(pairs, -1, np.int64)
+        self.kept: list[list[Cells]] = []
+
+    def at(self, cost: int, kind: int) -> Cells:
+        """Cells of an earlier front whose pairs go on."""
+        if cost < 0:
+            return NONE
+        cells = self.kept[cost][kind]
+        on = self.done[self.block.pair[cells[0]]] < 0
+        return tuple(x[on] for x in cells)
+
+    def _further(self, kind: int, parts: list[Cells]) -> Cells:
+        """The cells that get further than any of their kind before; of kind ``ANY`` after matching symbols."""
+        segment, k, place = joined(parts)
+        cell = self.block.cell_at[segment] + k
+        row = furthest(cell, place, np.zeros_like(segment), self.best[kind])
+        segment, k, place, cell = segment[row], k[row], place[row], cell[row]
+        if kind == ANY:
+            place = self.block.extended(segment, k, place, self.match)
+        self.best[kind, cell] = place
+        return segment, k, place
+
+    def add(self, cost: int, parts: list[list[Cells]]) -> None:
+        """A front from what reaches it, with all segments that it enters at the same cost."""
+        block, front = self.block, [[], [], []]
+        while any(len(cells[0]) for kind in parts for cells in kind):
+            along_text, along_pattern = (self._further(kind, parts[kind]) for kind in (ALONG_TEXT, ALONG_PATTERN))
+            fresh = [self._further(ANY, [*parts[ANY], along_text, along_pattern]), along_text, along_pattern]
+            parts = [[], [], []]
+            for kind, (segment, k, place) in enumerate(fresh):
+                front[kind].append(fresh[kind])
+                left = np.flatnonzero(place == block.size[segment])
+                into, rows = block.entered(segment[left], left)
+                parts[kind].append((into, k[rows] - place[rows], np.zeros_like(into)))
+            segment, k, place = fresh[ANY]
+            ended = block.sink[segment] & (place == block.size[segment]) & (place - k == block.n[segment])
+            pair = block.pair[segment[ended]]
+            self.done[pair] = np.where(self.done[pair] < 0, cost, self.done[pair])
+        self.kept.append([joined(cells) for cells in front])
+
+
+def affine_costs(graphs: list[Graph], patterns: list[np.ndarray], cost, match: Callable = equal_symbols, cells: int = CELLS) -> list[int]:
+    """Gap-affine costs of all pairs by wavefronts; matches must be free, mismatches and extensions not."""
+    if cost.match or cost.mismatch <= 0 or cost.gap_extend <= 0:
+        raise ValueError("wavefronts need free matches and positive mismatch and extension")
+    found = [0] * len(graphs)
+    opened, extended = cost.gap_open + cost.gap_extend, cost.gap_extend
+    for part in portions(graphs, patterns, cells // 3):
+        block = Block([graphs[i] for i in part], [np.asarray(patterns[i], np.int32) for i in part])
+        fronts = AffineFronts(block, len(part), match)
+        source = np.flatnonzero(block.source)
+        fronts.add(0, [[(source, np.zeros_like(source), np.zeros_like(source))], [NONE], [NONE]])
+        now = 0
+        while (fronts.done < 0).any():
+            now += 1
+            along = joined([fronts.at(now - opened, ANY), fronts.at(now - extended, ALONG_TEXT)])
+            down = joined([fronts.at(now - opened, ANY), fronts.at(now - extended, ALONG_PATTERN)])
+            cross = fronts.at(now - cost.mismatch, ANY)
+            texts, patterns_left = lambda c: c[2] < block.size[c[0]], lambda c: c[2] - c[1] < block.n[c[0]]
+            pick = lambda c, where: tuple(x[where] for x in c)
+            along, down, cross = pick(along, texts(along)), pick(down, patterns_left(down)), pick(cross, texts(cross) & patterns_left(cross))
+            fronts.add(now, [
+                [(cross[0], cross[1], cross[2] + 1)],
+                [(along[0], along[1] + 1, along[2] + 1)],
+                [(down[0], down[1] - 1, down[2])],
+            ])
+            if now >= max(opened, cost.mismatch):
+                fronts.kept[now - max(opened, cost.mismatch)] = [NONE] * 3  # no later front follows from it
+        for i, score in zip(part, fronts.done.tolist(), strict=True):
+            found[i] = score
+    return found

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqloom.functions.text import distance, unit_length
 from seqloom.kernels import bits, pairs
+from seqloom.kernels.dags import Graph, segment_tables
 from seqloom.session import kernel
 
 ALIGNMENT = T.StructType(
@@ -96,6 +100,45 @@ def score_cells(pattern: Column, text: Column, unit: str = "byte") -> Column:
     return table(pattern, text)
 
 
+#: Cells of a listing that leave a task together.
+FLUSH_CELLS = 100_000
+
+
+def score_rows(rows: DataFrame, pattern: str, text: str, unit: str = "byte") -> DataFrame:
+    """The other columns of ``rows`` and h, v, score: the score table of each pair, a row per cell.
+
+    Columns of the table leave as they are made, so a pair of any length needs two of them.
+    Pairs with a null have no cells.
+    """
+    keys = [f for f in rows.schema.fields if f.name not in (pattern, text)]
+    cells = [T.StructField(c, T.IntegerType()) for c in ("h", "v", "score")]
+    schema = T.StructType([*keys, *cells])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+
+        def made(row: dict, parts: list[np.ndarray]) -> pa.RecordBatch:
+            h, v, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            named = [pa.repeat(pa.scalar(row[f.name], target.field(f.name).type), len(h)) for f in keys]
+            return pa.RecordBatch.from_arrays([*named, *(pa.array(x, pa.int32()) for x in (h, v, score))], schema=target)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[pattern] is None or row[text] is None:
+                    continue
+                graph, parts, held = Graph([pairs.symbols(row[text], unit)], [[]]), [], 0
+                for _, h, column in segment_tables(graph, pairs.symbols(row[pattern], unit)):
+                    parts.append((np.full(len(column), h), np.arange(len(column)), column))
+                    held += len(column)
+                    if held >= FLUSH_CELLS:
+                        yield made(row, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield made(row, parts)
+
+    return rows.mapInArrow(apply, schema)
+
+
 def score_lines(pattern: Column, text: Column, cells: Column) -> Column:
     """A score table drawn as lines: text symbols, column numbers, then one line per row.
 

@@ -8,6 +8,8 @@ from seqloom.functions import cigar
 from seqloom.functions.text import distance
 from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
 from seqloom.operators.aligned_growth import aligned_growth
+from seqloom.operators.cycles import cycles
+from seqloom.operators.numbering import number_within
 from seqloom.operators.pograph import PoGraph, grown_graph, star_graph
 from seqloom.plans.oracle import BUNDLE, GRAPH, GROUPED, LADDER_SCORE, LADDERS, NEWEST, READS, STAR, STAR_DISTANCE
 from seqloom.plans.registry import query
@@ -158,6 +160,58 @@ def conversation_rank_is_valid(spark, folder):
     return evidence(edges, seg.rank_violations(edges, ranking.ranks(graph.nodes, edges)))
 
 
+def written_talks(spark: SparkSession, folder: str) -> PoGraph:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _talks:
+        _talks[key] = talk_graph(spark, folder).written()
+    return _talks[key]
+
+
+_talks: dict[tuple[str, str], PoGraph] = {}
+
+
+@query(f"""WITH {TALKS}, nodes AS (SELECT DISTINCT graph_id, place, symbol FROM placed),
+edges AS (SELECT DISTINCT graph_id, a, x, b, y FROM steps)
+SELECT graph_id, 0 AS section, count(*) AS lines FROM (SELECT DISTINCT graph_id FROM nodes) GROUP BY 1
+UNION ALL SELECT graph_id, 1, count(*) FROM (SELECT graph_id FROM nodes UNION ALL SELECT graph_id FROM edges) GROUP BY 1
+UNION ALL SELECT graph_id, 2, count(*) FROM turns GROUP BY 1 UNION ALL SELECT DISTINCT graph_id, 3, 1 FROM nodes""")
+def conversation_gfa_lines(spark, folder):
+    """GFA of whole conversations with their consensus: lines of each section."""
+    graph = written_talks(spark, folder)
+    edges = materialise(graph.edges(), "edges")
+    path = ranking.consensus(graph.nodes, edges)
+    nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
+    lines = export.gfa_lines(nodes, edges, graph.paths, ranking.ranks(graph.nodes, edges), path)
+    return lines.groupBy("graph_id", "section").agg(F.count("*").alias("lines"))
+
+
+@query(f"WITH {TALKS} SELECT graph_id, seq_rank::INT AS seq_rank, replace(text, '-', '') AS seq, 1::BIGINT AS widths FROM turns")
+def conversation_msa_rows(spark, folder):
+    """Rows of the alignment of whole conversations without their gaps; all rows of one have one width."""
+    graph = written_talks(spark, folder)
+    ranks = ranking.ranks(graph.nodes, graph.edges())
+    made = materialise(msa.rows(graph.paths, graph.nodes, msa.columns(graph.nodes, ranks)), "rows")
+    widths = made.groupBy("graph_id").agg(F.countDistinct(F.length("row")).alias("widths"))
+    seq = F.replace("row", F.lit("-"), F.lit("")).alias("seq")
+    return made.select("graph_id", "seq_rank", seq).join(widths, "graph_id")
+
+
+@query(f"WITH {TALKS} SELECT graph_id, 1::BIGINT AS starts, 1::BIGINT AS ends, 0::BIGINT AS jumps FROM turns GROUP BY 1")
+def conversation_consensus_is_a_path(spark, folder):
+    """Consensus of whole conversations: it starts at a node without a way in, ends at one without a way out, and follows edges."""
+    graph = written_talks(spark, folder)
+    edges = materialise(graph.edges(), "edges")
+    path = materialise(ranking.consensus(graph.nodes, edges), "consensus")
+    following = path.select("graph_id", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst"))
+    steps = path.withColumnRenamed("node_id", "src").join(following, ["graph_id", "pos"])
+    jumps = steps.join(edges, ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("jumps"))
+    end = lambda of, name: path.join(of(graph.nodes, edges).select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").groupBy(
+        "graph_id").agg(F.count("*").alias(name))
+    return end(seg.sources, "starts").join(end(seg.sinks, "ends"), "graph_id").join(jumps, "graph_id", "left").select(
+        "graph_id", "starts", "ends", F.coalesce("jumps", F.lit(0)).alias("jumps")
+    )
+
+
 def evidence(edges: DataFrame, broken: DataFrame) -> DataFrame:
     """Weight and number of the edges that were looked at, and how many of them fail."""
     looked = edges.select("weight", F.lit(0).alias("fails")).unionByName(broken.select(F.lit(0).cast("long").alias("weight"), F.lit(1).alias("fails")))
@@ -264,6 +318,23 @@ def msa_rows(spark, folder):
     return msa.rows(graph.paths, graph.nodes, msa.columns(graph.nodes, ranks_of(spark, folder)))
 
 
+@query(BUNDLE + """,
+wide AS (SELECT graph_id, max(pos) + 1 AS width FROM nodes GROUP BY 1),
+cells AS (SELECT graph_id, unnest(range(width)) AS pos FROM wide),
+heavy AS (SELECT b.graph_id, n.pos, n.symbol FROM bundle b JOIN nodes n USING (graph_id, node_id))
+SELECT graph_id, seq_rank, rpad(seq, width::INT, '-') AS row FROM reads JOIN wide USING (graph_id)
+UNION ALL SELECT graph_id, NULL, string_agg(coalesce(symbol, '-'), '' ORDER BY pos)
+FROM cells LEFT JOIN heavy USING (graph_id, pos) GROUP BY graph_id""")
+def msa_rows_with_consensus(spark, folder):
+    """One row per sequence, and the consensus row, whose seq_rank is null."""
+    graph = graph_of(spark, folder)
+    path = ranking.consensus(graph.nodes, graph.edges()).select(
+        "graph_id", F.lit(None).cast("int").alias("seq_rank"), "node_id"
+    )
+    paths = graph.paths.select("graph_id", "seq_rank", "node_id").unionByName(path)
+    return msa.rows(paths, graph.nodes, msa.columns(graph.nodes, ranks_of(spark, folder)))
+
+
 def star_msa(spark: SparkSession, folder: str) -> DataFrame:
     """MSA with consensus row of the graphs aligned by edit distance."""
     graph = written_graph(spark, folder, "star")
@@ -402,6 +473,12 @@ def dot_lines(spark, folder):
     return export.dot_lines(graph.nodes, graph.edge_rows(), ranks_of(spark, folder))
 
 
+@query(DOT.replace("|| ' (' || node_id || ')\\nr: ' || (rank)", "|| '\\n' || (rank)"))
+def dot_lines_without_ids(spark, folder):
+    graph = graph_of(spark, folder)
+    return export.dot_lines(graph.nodes, graph.edge_rows(), ranks_of(spark, folder), ids=False)
+
+
 @query(f"""WITH {GRAPH},
 counts AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
 seqs AS (SELECT graph_id, count(*) AS q FROM reads GROUP BY 1),
@@ -699,3 +776,36 @@ def grown_conversation_weights(spark, folder):
 def grown_bundle_first_scores(spark, folder):
     _, scores = aligned_growth(reads(written_bundles(spark, folder)).select("graph_id", "seq_rank", "seq"))
     return scores.filter("seq_rank <= 1").select("graph_id", F.col("seq_rank").cast("long").alias("seq_rank"), "score")
+
+
+# every two nodes that reach each other, by distinct reachable pairs
+@query("""WITH RECURSIVE steps AS (SELECT DISTINCT user_id AS graph_id, event_type AS src,
+  lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+links AS (SELECT graph_id, src, dst FROM steps WHERE dst IS NOT NULL AND src <= dst),
+reach AS (SELECT * FROM links UNION SELECT r.graph_id, r.src, l.dst FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.src = r.dst)
+SELECT graph_id, src AS node_id, src AS component, 1::BIGINT AS size FROM reach WHERE src = dst""")
+def forward_event_cycles(spark, folder):
+    """Steps to no smaller event type: what is left on a cycle leads to itself."""
+    return cycles(event_steps(spark, folder).filter("src <= dst"))
+
+
+@query("""WITH RECURSIVE steps AS (SELECT DISTINCT user_id AS graph_id, event_type AS src,
+  lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+links AS (SELECT graph_id, src, dst FROM steps WHERE dst IS NOT NULL),
+reach AS (SELECT * FROM links UNION SELECT r.graph_id, r.src, l.dst FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.src = r.dst)
+SELECT a.graph_id, a.src AS node_id, min(a.dst) AS component, count(*) AS size
+FROM reach a JOIN reach b ON b.graph_id = a.graph_id AND b.src = a.dst AND b.dst = a.src
+WHERE EXISTS (SELECT 1 FROM reach c WHERE c.graph_id = a.graph_id AND c.src = a.src AND c.dst = a.src) GROUP BY 1, 2""")
+def event_cycles(spark, folder):
+    """Event types of each user that lie on a cycle of the steps from one type to the next."""
+    return cycles(event_steps(spark, folder))
+
+
+def event_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """graph_id (user), src, dst: the types of every two consecutive events."""
+    events = table(spark, folder, "events", "user_id", "ts", "event_id", "event_type")
+    numbered = materialise(number_within(events, ["user_id"], ["ts", "event_id"]), "numbered")
+    following = numbered.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("event_type").alias("dst"))
+    return numbered.join(following, ["user_id", "pos"]).select(
+        F.col("user_id").alias("graph_id"), F.col("event_type").alias("src"), "dst"
+    )

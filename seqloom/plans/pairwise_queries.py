@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
 from seqloom.functions.text import distance, distance_by_fold, distance_within
-from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, score_lines, wavefront_cells
+from seqloom.operators.pairwise import align, align_wavefront, edit_distance, score_cells, score_rows, score_lines, wavefront_cells
 from seqloom.plans.oracle import LINES, READS, SCRIPT, SCRIPTS
 from seqloom.plans.registry import query
 from seqloom.session import spread
@@ -316,11 +316,7 @@ cells AS (
 
 @query(f"WITH {CELLS} SELECT graph_id, seq_rank, h, v, score FROM cells")
 def score_matrix_cells(spark, folder):
-    table_ = pairs_of(spark, folder).withColumn("cells", score_cells(*ab()))
-    return (
-        table_.select("graph_id", "seq_rank", F.posexplode("cells").alias("h", "column"))
-        .select("graph_id", "seq_rank", "h", F.posexplode("column").alias("v", "score"))
-    )
+    return score_rows(pairs_of(spark, folder), "a", "b")
 
 
 @query(f"""WITH {CELLS}
