@@ -4,7 +4,9 @@ Each rule's regular expression is turned into a Boolean trigram query: the strin
 match must hold, as an OR of ANDs of trigrams. Postings (trigram, document) are written for
 the trigrams that the rules ask for, intersected per document, and only candidates are
 searched with the expression itself. Rules without mandatory trigrams search every document.
-Built-in functions only.
+Who has many rules, or new ones from time to time, writes the postings of all trigrams once
+(``write_index``); any rule is then answered from those of its own trigrams. Built-in
+functions only.
 """
 
 from __future__ import annotations
@@ -124,6 +126,28 @@ def postings(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     )
 
 
+def trigrams_of(text: Column) -> Column:
+    """The distinct trigrams of a text in lower case."""
+    letters = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    from_ = lambda i: F.slice(letters, i, F.greatest(F.size(letters) - 2, F.lit(0)))
+    joined = lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, b))
+    return F.array_distinct(joined(from_(1), joined(from_(2), from_(3))))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Append the postings (trigram, content) of all trigrams of each distinct text to a parquet table.
+
+    ``content`` is a hash of the text, so copies have postings once and an index outlives ids. Each
+    text also has the empty trigram, which says that it is indexed. Postings are sorted by
+    trigram over range partitions, a frequent one over several, so a look-up reads few row groups.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    once = docs.select(F.xxhash64(text).alias("content"), text.alias("text")).groupBy("content").agg(F.first("text").alias("text"))
+    listed = F.concat(F.array(F.lit("")), trigrams_of(F.col("text")))
+    rows = once.select(F.explode(listed).alias("trigram"), "content")
+    rows.repartitionByRange("trigram", "content").sortWithinPartitions("trigram").write.mode("append").parquet(path)
+
+
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
     """(doc_id, kinds): the rules whose trigram query a document's postings fulfil."""
     held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
@@ -208,23 +232,32 @@ def search(docs: DataFrame, rules: Sequence[Rule], wanted: dict[str, Column]) ->
     return rows.withColumn("spans", spans).drop(*made)
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, index: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, text, spans (start, place, kind, stop, ok).
 
     Null texts are empty. Rows that repeat an id, and rows without one, share postings; as
-    every candidate is searched with the expression, this can only add searches. Further
-    columns of ``docs`` are ignored; an empty table gives an empty result.
+    every candidate is searched with the expression, this can only add searches. With an
+    ``index`` (a table of ``write_index``) no text is looked through for trigrams; texts that it
+    does not hold are searched by every rule, so spans are the same. Further columns of
+    ``docs`` are ignored; an empty table gives an empty result.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: clauses for kind, clauses in queries.items() if clauses}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     wanted = {r.kind: F.lit(True) for r in rules}
-    if indexed:
-        trigrams = sorted({t for clauses in indexed.values() for clause in clauses for t in clause})
+    trigrams = sorted({t for clauses in indexed.values() for clause in clauses for t in clause})
+    if indexed and index is None:
         index = materialise(postings(rows, trigrams), "postings")
         found = materialise(candidates(index, indexed), "candidates").withColumnRenamed("doc_id", "__doc")
         rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
         wanted |= {kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False)) for kind in indexed}
+    elif indexed:
+        asked = index.filter(F.col("trigram").isin(trigrams)).select("trigram", F.col("content").alias("doc_id")).distinct()
+        found = materialise(candidates(asked, indexed), "candidates").withColumnRenamed("doc_id", "__content")
+        held = index.filter("trigram = ''").select(F.col("content").alias("__content"), F.lit(True).alias("__held")).distinct()
+        rows = rows.withColumn("__content", F.xxhash64("text")).join(held, "__content", "left").join(found, "__content", "left")
+        fits = lambda kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+        wanted |= {kind: F.col("__held").isNull() | fits(kind) for kind in indexed}
     return search(rows, rules, wanted).select("doc_id", "text", "spans")
 
 

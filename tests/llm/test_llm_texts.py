@@ -54,6 +54,26 @@ def test_secret_spans(spark, docs, rows, odd, empty):
     assert secrets.find_secrets(odd).count() == 11 and secrets.find_secrets(empty).count() == 0
 
 
+def test_index_serves_new_rules(spark, empty, tmp_path, monkeypatch):
+    """Spans from one written index are those without it, for other rules and for texts it lacks."""
+    rows = [(i, t) for i, t in enumerate(["password = abcdefghijkl", "AKIA" + "Z" * 20, "nothing", None, "", "ab", "id=42 Token: 0123456789abcdef"] * 3)]
+    rows += [(100 + i, f"ssh-rsa AAAA{i} bearer xyz{i}") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    secrets.write_index(table.filter("doc_id <> 102"), f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert {r.trigram for r in index.filter("trigram like 'akia%' or trigram = 'aki'").collect()} == {"aki"}
+    new = (secrets.Rule("key", "ssh-rsa [A-Z0-9]+"), secrets.Rule("bearer", "(bearer|basic) [a-z0-9]+", 0, 3), secrets.Rule("any", "[0-9]{2,}"))
+    shown = lambda found: sorted(str((r.doc_id, r.text, r.spans)) for r in found.collect())
+    for rules in (secrets.RULES, new):
+        want = shown(secrets.find_secrets(table, rules))
+        with monkeypatch.context() as patched:
+            patched.setattr(secrets, "postings", None)
+            assert shown(secrets.find_secrets(table, rules, index)) == want
+    found = secrets.find_secrets(table, new, index).filter("size(spans) > 0")
+    assert {r.doc_id for r in found.collect()} >= {100, 101, 102, 103, 104}
+    assert secrets.find_secrets(empty, new, index).count() == 0
+
+
 def test_secrets_are_cut_out(spark):
     table = spark.createDataFrame([(1, "é password=abcdefghijklmnop0123 end"), (2, None)], "doc_id long, text string")
     rows = secrets.redacted(secrets.find_secrets(table)).collect()
