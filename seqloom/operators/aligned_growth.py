@@ -29,7 +29,7 @@ def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
     the node of its symbol in that node's aligned set, or makes one; other bases make nodes of
     their own. ``scores`` (graph_id, seq_rank, score) has the edits of each alignment; the
     first sequence, and one that meets an empty graph, has its length. Null and empty sequences
-    add nothing. Sequences of one rank come by their text. Rows of a graph are sorted into one
+    add nothing and have 0. Sequences of one rank come by their text. Rows of a graph are sorted into one
     task and held there, linear in its size; graphs of a task are grown side by side.
     """
     text = F.coalesce(F.col("seq"), F.lit("")).alias("seq")

@@ -246,7 +246,9 @@ def by_levels(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Iterato
     placed = materialise(nodes.join(level, ["graph_id", "node_id"]), "placed")
     asked, copies = (
         materialise(side, "met")
-        for side in spread_sides(queries.select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id")
+        for side in spread_sides(
+            queries.filter("pattern is not null").select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id"
+        )
     )
     depth = level.agg(F.max("level")).first()[0]
     for now in range((-1 if depth is None else depth) + 1):

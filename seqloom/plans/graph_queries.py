@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
@@ -16,7 +18,8 @@ from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
     ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, text_sequences, written_graph,
 )
-from seqloom.session import materialise
+from seqloom.session import materialise, shared_folder
+from seqloom.sources.graph_files import GraphFiles, in_line_order
 from seqloom.sources.reads import reads, written_bundles
 from seqloom.sources.tables import table
 
@@ -809,3 +812,21 @@ def event_steps(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.join(following, ["user_id", "pos"]).select(
         F.col("user_id").alias("graph_id"), F.col("event_type").alias("src"), "dst"
     )
+
+
+@query("SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY section, major, minor, detail) - 1 AS line_no, line FROM ("
+       + gfa_sql(f"WITH {GRAPH}", 0) + ")")
+def gfa_files(spark, folder):
+    """GFA files, one a graph, written by the data source and read back line by line."""
+    graph = graph_of(spark, folder)
+    nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
+    lines = export.gfa_lines(nodes, graph.edges(), graph.paths, ranks_of(spark, folder))
+    spark.dataSource.register(GraphFiles)
+    out = f"{shared_folder(spark)}/gfa-{uuid.uuid4().hex}"
+    in_line_order(lines).write.format("graph_files").mode("append").save(out)
+    whole = spark.read.text(f"{out}/part-*/*.gfa", wholetext=True).select("value", F.input_file_name().alias("name"))
+    named = F.regexp_extract("name", r"([^/]+)\.gfa$", 1).cast("long").alias("graph_id")
+    text = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    return whole.select(named, F.posexplode(text).alias("line_no", "line")).select(
+        "graph_id", F.col("line_no").cast("long").alias("line_no"), "line"
+    )
