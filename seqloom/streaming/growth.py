@@ -7,11 +7,12 @@ Graphs whose alignments name nodes keep the nodes of each graph as keyed state.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seqloom.session import shared_folder
@@ -75,7 +76,63 @@ PATH = "graph_id bigint, seq_rank int, pos int, node_id bigint"
 STATE = "symbols string, aligned array<array<bigint>>"
 
 
-def thread(seq: str, pairs: Any, symbols: list[str], aligned: list[list[int]]) -> list[int]:
+class ListedNodes:
+    """All nodes of a graph, held in lists."""
+
+    def __init__(self, symbols: list[str], aligned: list[list[int]]) -> None:
+        self.symbols, self.aligned = symbols, aligned
+
+    def symbol(self, node: int) -> str:
+        return self.symbols[node]
+
+    def peers(self, node: int) -> list[int]:
+        return self.aligned[node]
+
+    def add(self, symbol: str, near: list[int]) -> int:
+        """A new node, in the aligned set of those near it."""
+        node = len(self.symbols)
+        self.symbols.append(symbol)
+        self.aligned.append([*near[1:], *near[:1]])
+        for other in near:
+            self.aligned[other].append(node)
+        return node
+
+
+class StoredNodes:
+    """Nodes of a graph that lie in a state store; only those asked for are read, only those changed are written."""
+
+    def __init__(self, store: Any, size: int) -> None:
+        self.store, self.size = store, size
+        self.held: dict[int, tuple[str, list[int]]] = {}
+        self.changed: set[int] = set()
+
+    def _node(self, node: int) -> tuple[str, list[int]]:
+        if node not in self.held:
+            symbol, aligned = self.store.getValue((node,))
+            self.held[node] = symbol, [int(n) for n in aligned]
+        return self.held[node]
+
+    def symbol(self, node: int) -> str:
+        return self._node(node)[0]
+
+    def peers(self, node: int) -> list[int]:
+        return self._node(node)[1]
+
+    def add(self, symbol: str, near: list[int]) -> int:
+        node = self.size
+        self.size += 1
+        self.held[node] = symbol, [*near[1:], *near[:1]]
+        for other in near:
+            self.peers(other).append(node)
+        self.changed.update([node, *near])
+        return node
+
+    def save(self) -> None:
+        for node in self.changed:
+            self.store.updateValue((node,), self.held[node])
+
+
+def thread(seq: str, pairs: Any, nodes: ListedNodes | StoredNodes) -> list[int]:
     """Lay one sequence through a graph, adding the nodes it lacks; returns its path."""
     used = [(p["pos"], p["node"]) for p in ([] if pairs is None else pairs) if not pd.isna(p["pos"])]
     refs = {int(pos): int(node) for pos, node in used if not pd.isna(node)}
@@ -83,31 +140,63 @@ def thread(seq: str, pairs: Any, symbols: list[str], aligned: list[list[int]]) -
     path: dict[int, int] = {}
     for pos in [*range(first), *range(last + 1, len(seq)), *range(first, min(last + 1, len(seq)))]:
         ref = refs.get(pos)
-        near = [] if ref is None else [ref, *aligned[ref]]
-        known = next((node for node in near if symbols[node] == seq[pos]), None)
-        if known is None:
-            known = len(symbols)
-            symbols.append(seq[pos])
-            aligned.append([*near[1:], *near[:1]])
-            for node in near:
-                aligned[node].append(known)
-        path[pos] = known
+        near = [] if ref is None else [ref, *nodes.peers(ref)]
+        known = next((node for node in near if nodes.symbol(node) == seq[pos]), None)
+        path[pos] = nodes.add(seq[pos], near) if known is None else known
     return [path[pos] for pos in range(len(seq))]
 
 
+def laid(graph_id: int, arrived: pd.DataFrame, nodes: ListedNodes | StoredNodes) -> pd.DataFrame:
+    """Rows of ``PATH`` of the sequences that arrived, in their order."""
+    arrived = arrived.sort_values("seq_rank")
+    rows = [
+        (graph_id, int(rank), pos, node)
+        for rank, seq, pairs in zip(arrived["seq_rank"], arrived["seq"], arrived["pairs"])
+        for pos, node in enumerate(thread(seq, pairs, nodes))
+    ]
+    return pd.DataFrame(rows, columns=["graph_id", "seq_rank", "pos", "node_id"])
+
+
 def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     symbols, aligned = "", []
     if state.exists:
         symbols, aligned = state.get
-    symbols, aligned = list(symbols), [[int(n) for n in near] for near in aligned]
-    arrived = pd.concat(list(batches)).sort_values("seq_rank")
-    rows = [
-        (key[0], int(rank), pos, node)
-        for rank, seq, pairs in zip(arrived["seq_rank"], arrived["seq"], arrived["pairs"])
-        for pos, node in enumerate(thread(seq, pairs, symbols, aligned))
-    ]
-    state.update(("".join(symbols), aligned))
-    yield pd.DataFrame(rows, columns=["graph_id", "seq_rank", "pos", "node_id"])
+    nodes = ListedNodes(list(symbols), [[int(n) for n in near] for near in aligned])
+    found = laid(key[0], pd.concat(list(batches)), nodes)
+    state.update(("".join(nodes.symbols), nodes.aligned))
+    yield found
+
+
+class NodeProcessor(StatefulProcessor):
+    """Graphs as one map from node to (symbol, aligned nodes) each; a batch reads and writes only nodes it meets."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.nodes = handle.getMapState("nodes", "node bigint", "symbol string, aligned array<bigint>")
+        self.size = handle.getValueState("size", "nodes bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        nodes = StoredNodes(self.nodes, int(self.size.get()[0]) if self.size.exists() else 0)
+        found = laid(key[0], pd.concat(list(rows)), nodes)
+        nodes.save()
+        self.size.update((nodes.size,))
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps a key's map entry by entry.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def growing_paths_by_node(sequences: DataFrame) -> DataFrame:
+    """As ``growing_paths``, with state per node, so a batch touches state in proportion to what arrives.
+
+    Needs the store ``ROCKSDB`` when the stream starts.
+    """
+    return sequences.groupBy("graph_id").transformWithStateInPandas(
+        NodeProcessor(), outputStructType=PATH, outputMode="append", timeMode="none"
+    )
 
 
 def growing_paths(sequences: DataFrame) -> DataFrame:
@@ -133,7 +222,7 @@ def run_path_growth(sequences: DataFrame) -> DataFrame:
     return added.select("graph_id", "seq_rank", "pos", "node_id")
 
 
-def run_path_growth_in_steps(arrivals: list[DataFrame]) -> DataFrame:
+def run_path_growth_in_steps(arrivals: list[DataFrame], grow: Callable[[DataFrame], DataFrame] = growing_paths) -> DataFrame:
     """Each table arrives after the ones before it have been worked off.
 
     The stream is stopped and started again in between, so every graph goes on from the
@@ -149,10 +238,24 @@ def run_path_growth_in_steps(arrivals: list[DataFrame]) -> DataFrame:
     for rows in arrivals:
         rows.write.mode("append").parquet(incoming)
         stream = spark.readStream.schema(rows.schema).parquet(incoming)
-        _finish(growing_paths(stream), base, "append", save)
+        _finish(grow(stream), base, "append", save)
     return spark.read.parquet(f"{base}/paths").select("graph_id", "seq_rank", "pos", "node_id")
 
 
+def run_path_growth_by_node(arrivals: list[DataFrame]) -> DataFrame:
+    """``run_path_growth_in_steps`` with state per node; the session's state store is set back afterwards."""
+    conf, name = arrivals[0].sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
+    try:
+        return run_path_growth_in_steps(arrivals, growing_paths_by_node)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
 def stream_of(spark: SparkSession, written: DataFrame, files_per_batch: int = 4) -> DataFrame:
     """A stream over the files of a written table."""
     folder = written.inputFiles()[0].rsplit("/", 1)[0]

@@ -153,3 +153,32 @@ def test_isolated_nodes_and_sources(spark, small_graphs):
     segments, edges, _ = small_graphs
     nodes = segments.withColumnRenamed("segment_id", "node_id")
     assert seg.sources(nodes, edges).count() >= 12
+
+
+def test_a_batch_reads_only_nodes_it_meets():
+    """Whatever was laid before, one more sequence reads the aligned sets it points to, and gives the same path."""
+    from seqloom.streaming.growth import ListedNodes, StoredNodes, thread
+
+    class Store(dict):
+        reads = writes = 0
+
+        def getValue(self, key):  # noqa: N802
+            self.reads += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.writes += 1
+            self[key] = value
+
+    rng = random.Random(35)
+    store, size, listed, touched = Store(), 0, ListedNodes([], []), []
+    for rank in range(40):
+        seq = "".join(rng.choices("ACGT", k=30))
+        pairs = [{"pos": i, "node": i} for i in range(30)] if rank else None
+        nodes, before = StoredNodes(store, size), store.reads + store.writes
+        assert thread(seq, pairs, nodes) == thread(seq, pairs, listed)
+        nodes.save()
+        size = nodes.size
+        touched.append(store.reads + store.writes - before)
+    assert size == len(listed.symbols) and max(touched) <= 30 * 4 * 2 and touched[-1] <= 30 * 4
+    assert all((s, a) == store[i,] for i, (s, a) in enumerate(zip(listed.symbols, listed.aligned)))
