@@ -41,12 +41,13 @@ def distance_within(a: Column, b: Column, limit: int, unit: str = "byte") -> Col
     return F.when(a == b, F.lit(0)).when(near, F.nullif(banded, F.lit(-1))).cast("long")
 
 
+#: Elements up to which running minima are made one by one; copying what is done is cheap until then.
+SHORT_ROW = 512
+
+
 def running_least(cells: Column) -> Column:
     """Least of each element and all before it, in as many passes as the length has binary digits."""
-    shifts = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftleft", F.lit(1), i)),
-        lambda k: k < F.size(cells),
-    )
+    shifts = F.filter(F.array(*(F.lit(1 << i) for i in range(31))), lambda k: k < F.size(cells))
     return F.aggregate(
         shifts,
         cells,
@@ -57,21 +58,30 @@ def running_least(cells: Column) -> Column:
 def distance_by_fold(a: Column, b: Column) -> Column:
     """The same distance as a fold with one row of the table as its state (linear space).
 
-    A row follows from the one above by whole-array steps: costs of arriving from above and
-    diagonally, then the running least of cost less place, which is the step to the right.
-    Works on characters; wrap the inputs in ``in_unit`` for bytes.
+    A row follows from the one above: costs of arriving from above and diagonally, then the
+    step to the right. The latter runs along a short row; of a long one it is the running least
+    of cost less place, in whole-array passes. Works on characters; wrap the inputs in
+    ``in_unit`` for bytes.
     """
     first_row = F.sequence(F.lit(0), F.length(b))
     letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
 
-    def next_row(row: Column, symbol: Column) -> Column:
+    def arriving(row: Column, symbol: Column) -> Column:
         diagonal = F.zip_with(
             F.slice(row, 1, F.length(b)), letters(b), lambda up_left, c: up_left + F.when(c == symbol, 0).otherwise(1)
         )
-        arriving = F.zip_with(F.slice(row, 2, F.length(b)), diagonal, lambda up, cross: F.least(up + 1, cross))
-        sloped = F.transform(F.concat(F.array(row[0] + 1), arriving), lambda cell, j: cell - j)
+        return F.zip_with(F.slice(row, 2, F.length(b)), diagonal, lambda up, cross: F.least(up + 1, cross))
+
+    def cell_by_cell(row: Column, symbol: Column) -> Column:
+        return F.aggregate(
+            arriving(row, symbol),
+            F.array(row[0] + 1),
+            lambda done, cell: F.concat(done, F.array(F.least(cell, F.element_at(done, -1) + 1))),
+        )
+
+    def by_passes(row: Column, symbol: Column) -> Column:
+        sloped = F.transform(F.concat(F.array(row[0] + 1), arriving(row, symbol)), lambda cell, j: cell - j)
         return F.transform(running_least(sloped), lambda cell, j: cell + j)
 
-    return F.aggregate(
-        letters(a), first_row, next_row, lambda row: F.element_at(row, -1).cast("long")
-    )
+    fold = lambda step: F.aggregate(letters(a), first_row, step, lambda row: F.element_at(row, -1).cast("long"))
+    return F.when(F.length(b) <= SHORT_ROW, fold(cell_by_cell)).otherwise(fold(by_passes))

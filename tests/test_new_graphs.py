@@ -182,3 +182,15 @@ def test_a_batch_reads_only_nodes_it_meets():
         touched.append(store.reads + store.writes - before)
     assert size == len(listed.symbols) and max(touched) <= 30 * 4 * 2 and touched[-1] <= 30 * 4
     assert all((s, a) == store[i,] for i, (s, a) in enumerate(zip(listed.symbols, listed.aligned)))
+
+
+def test_fold_over_short_and_long_rows(spark, monkeypatch):
+    from seqloom.functions import text
+
+    rng = random.Random(36)
+    made = [("".join(rng.choices("abc", k=rng.randint(0, 12))), "".join(rng.choices("abc", k=rng.randint(0, 12)))) for _ in range(60)]
+    table = spark.createDataFrame(made, "a string, b string")
+    for limit in (512, 0):
+        monkeypatch.setattr(text, "SHORT_ROW", limit)
+        found = table.select("a", "b", text.distance_by_fold(F.col("a"), F.col("b")).alias("d")).collect()
+        assert all(r.d == levenshtein(r.a, r.b) for r in found)
