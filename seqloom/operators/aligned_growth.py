@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seqloom.kernels.growing import GrowingGraph, fold
 from seqloom.kernels.pairs import symbols
 from seqloom.operators.pograph import PoGraph
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 #: Characters of the graphs that are grown together; a larger graph is grown alone.
 GROUP_SYMBOLS = 200_000
@@ -72,7 +72,7 @@ def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
                 held = 0
         yield from grown()
 
-    made = materialise(ordered.mapInArrow(apply, schema), "grown")
+    made = materialise_graph(ordered.mapInArrow(apply, schema), "grown")
     nodes = made.filter("symbol is not null").select("graph_id", "node_id", "symbol", "aligned")
     paths = made.filter("pos is not null").select(
         "graph_id", "seq_rank", "pos", "node_id", F.lit(1).cast("long").alias("weight")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.operators.numbering import number_within
 from seqloom.operators.segments import levels
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 
 def leader() -> Column:
@@ -24,7 +24,7 @@ def set_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     if "aligned" not in nodes.columns:
         nodes = nodes.withColumn("aligned", F.expr("cast(array() as array<bigint>)"))
-    member = materialise(nodes.select("graph_id", "node_id", leader().alias("set")), "sets")
+    member = materialise_graph(nodes.select("graph_id", "node_id", leader().alias("set")), "sets")
     end = lambda name: member.select("graph_id", F.col("node_id").alias(name), F.col("set").alias(f"{name}_set"))
     between = (
         edges.select("graph_id", "src", "dst")
@@ -46,9 +46,9 @@ def heaviest_by_level(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     in-edge, then the better predecessor, then the later edge; while the best node is no
     sink its rivals are set aside and all later nodes are scored again.
     """
-    level = materialise(levels(nodes.select("graph_id", "node_id"), edges), "level")
+    level = materialise_graph(levels(nodes.select("graph_id", "node_id"), edges), "level")
     depth = level.agg(F.max("level")).first()[0] or 0
-    into = materialise(
+    into = materialise_graph(
         edges.select("graph_id", "src", "dst", "weight", "ord").join(
             level.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]
         ),
@@ -62,13 +62,13 @@ def heaviest_by_level(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     first_scores, tips, again = None, None, False
     while True:
         for here in range(depth + 1):
-            states[here] = materialise(_score_level(states, here, into, low, again), "scores")
+            states[here] = materialise_graph(_score_level(states, here, into, low, again), "scores")
         scores = _all(states)
         first_scores = first_scores if again else scores.select("graph_id", "node_id", "score")
         best = scores.join(low, "graph_id").filter(_later()).groupBy("graph_id").agg(
             F.max(F.struct("score", -F.col("level"), -F.col("node_id"))).alias("b")
         )
-        tip = materialise(
+        tip = materialise_graph(
             best.select("graph_id", (-F.col("b.col2")).alias("low_level"), (-F.col("b.col3")).alias("low_node")),
             "tip",
         )
@@ -76,7 +76,7 @@ def heaviest_by_level(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
         inner = tip.join(onward.select("graph_id", "low_node"), ["graph_id", "low_node"], "left_semi")
         ended = tip.join(inner.select("graph_id"), "graph_id", "left_anti")
         tips = ended if tips is None else tips.unionByName(ended)
-        low = materialise(inner.select(*tip.columns), "low")
+        low = materialise_graph(inner.select(*tip.columns), "low")
         if low.isEmpty():
             break
         again = True
@@ -88,7 +88,7 @@ def heaviest_by_level(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
             .distinct()
         )
         states = [
-            materialise(
+            materialise_graph(
                 s.join(rivals, ["graph_id", "node_id"], "left")
                 .withColumn("score", F.when(F.col("aside"), F.lit(-1).cast("long")).otherwise(F.col("score")))
                 .drop("aside"),
@@ -138,13 +138,13 @@ def _score_level(states: list[DataFrame], here: int, into: DataFrame, low: DataF
 
 def _trace(scores: DataFrame, tips: DataFrame) -> DataFrame:
     """Follow the chosen predecessors from every tip; one round per path step."""
-    chosen = materialise(scores.select("graph_id", "node_id", "pred"), "chosen")
-    front = materialise(tips.select("graph_id", F.col("low_node").alias("node_id")), "front")
+    chosen = materialise_graph(scores.select("graph_id", "node_id", "pred"), "chosen")
+    front = materialise_graph(tips.select("graph_id", F.col("low_node").alias("node_id")), "front")
     path, back = None, 0
     while not front.isEmpty():
         step = front.withColumn("back", F.lit(back))
         path = step if path is None else path.unionByName(step)
-        front = materialise(
+        front = materialise_graph(
             front.join(chosen, ["graph_id", "node_id"])
             .filter("pred is not null")
             .select("graph_id", F.col("pred").alias("node_id")),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 NODE = ["graph_id", "node_id"]
 
@@ -23,7 +23,7 @@ def trimmed(edges: DataFrame) -> DataFrame:
         entered = left.select("graph_id", F.col("dst").alias("src")).distinct()
         gone_from = left.select("graph_id", F.col("src").alias("dst")).distinct()
         kept = left.join(entered, ["graph_id", "src"], "left_semi").join(gone_from, ["graph_id", "dst"], "left_semi")
-        kept = materialise(kept.select("graph_id", "src", "dst"), "trimmed")
+        kept = materialise_graph(kept.select("graph_id", "src", "dst"), "trimmed")
         before, size, left = size, kept.count(), kept
         if size == before:
             break
@@ -33,7 +33,7 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def largest_reaching(edges: DataFrame) -> DataFrame:
     """graph_id, node_id, name: the largest node that reaches each node of the edges, itself included."""
     ends = edges.select("graph_id", F.col("src").alias("node_id")).unionByName(edges.select("graph_id", F.col("dst").alias("node_id")))
-    named = materialise(ends.distinct().withColumn("name", F.col("node_id")).withColumn("fresh", F.lit(True)), "named")
+    named = materialise_graph(ends.distinct().withColumn("name", F.col("node_id")).withColumn("fresh", F.lit(True)), "named")
     while True:
         # only names that grew in the last round are passed on
         told = (
@@ -44,7 +44,7 @@ def largest_reaching(edges: DataFrame) -> DataFrame:
         grown = named.drop("fresh").join(told, NODE, "left").select(
             *NODE, F.greatest("name", "told").alias("name"), (F.coalesce("told", "name") > F.col("name")).alias("fresh")
         )
-        named = materialise(grown, "named")
+        named = materialise_graph(grown, "named")
         if named.filter("fresh").isEmpty():
             return named.drop("fresh")
 
@@ -53,15 +53,15 @@ def reaching_back(edges: DataFrame, named: DataFrame) -> DataFrame:
     """graph_id, node_id, name of the nodes from which the bearer of their name can be reached."""
     of = lambda end: named.select("graph_id", F.col("node_id").alias(end), F.col("name").alias(f"{end}_name"))
     inner = edges.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"]).filter("src_name = dst_name")
-    inner = materialise(inner.select("graph_id", "src", "dst", F.col("src_name").alias("name")), "inner")
-    front = done = materialise(named.filter("node_id = name"), "back")
+    inner = materialise_graph(inner.select("graph_id", "src", "dst", F.col("src_name").alias("name")), "inner")
+    front = done = materialise_graph(named.filter("node_id = name"), "back")
     while True:
         found = inner.join(front.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"])
         found = found.select("graph_id", F.col("src").alias("node_id"), "name").distinct()
-        front = materialise(found.join(done.select(*NODE), NODE, "left_anti"), "back")
+        front = materialise_graph(found.join(done.select(*NODE), NODE, "left_anti"), "back")
         if front.isEmpty():
             return done
-        done = materialise(done.unionByName(front), "back")
+        done = materialise_graph(done.unionByName(front), "back")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -72,17 +72,17 @@ def cycles(edges: DataFrame) -> DataFrame:
     graph_id too. Without cycles the result is empty.
     """
     links = edges.select("graph_id", "src", "dst").dropna().distinct()
-    links = materialise(links, "links")
+    links = materialise_graph(links, "links")
     left, found = links.filter("src <> dst"), links.filter("src = dst").select("graph_id", F.col("src").alias("node_id"), F.col("src").alias("name"))
     while True:
         left = trimmed(left)
         if left.isEmpty():
             break
         inside = reaching_back(left, largest_reaching(left))
-        found = materialise(found.unionByName(inside), "found")
+        found = materialise_graph(found.unionByName(inside), "found")
         out = lambda end: inside.select("graph_id", F.col("node_id").alias(end))
         left = left.join(out("src"), ["graph_id", "src"], "left_anti").join(out("dst"), ["graph_id", "dst"], "left_anti")
-        left = materialise(left.select("graph_id", "src", "dst"), "left")
+        left = materialise_graph(left.select("graph_id", "src", "dst"), "left")
     # a node that leads to itself may be alone or in a larger component, which then bears the larger name
     each = found.groupBy(*NODE).agg(F.max("name").alias("name"))
     sizes = each.groupBy("graph_id", "name").agg(F.min("node_id").alias("component"), F.count("*").alias("size"))

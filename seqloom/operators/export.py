@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.operators.segments import merge_edges
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 KEYS = ["graph_id", "section", "major", "minor", "detail"]
 
@@ -74,8 +74,8 @@ def gfa_lines(
     plus = lambda ids: F.array_join(
         F.transform(ids, lambda i: F.concat(i.cast("string"), F.lit("+"))), ","
     )
-    ranks = materialise(ranks, "ranks")  # a walk over whole graphs, made once for all lines
-    reads = materialise(read_paths(paths, ranks), "reads")
+    ranks = materialise_graph(ranks, "ranks")  # a walk over whole graphs, made once for all lines
+    reads = materialise_graph(read_paths(paths, ranks), "reads")
     sizes = (
         segments.select("graph_id", F.lit(1).alias("s"), F.lit(0).alias("l"), F.lit(0).alias("p"))
         .unionByName(edges.select("graph_id", F.lit(0).alias("s"), F.lit(1).alias("l"), F.lit(0).alias("p")))
@@ -121,7 +121,7 @@ def dot_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, ids: boo
     )
     quoted = F.concat(F.lit('"'), label, F.lit('"')).alias("label")
     drawn = nodes.join(ranks, ["graph_id", "node_id"]).select("graph_id", "node_id", "symbol", "aligned", "rank", quoted)
-    drawn = materialise(drawn, "drawn")
+    drawn = materialise_graph(drawn, "drawn")
     name = lambda end, out: drawn.select(
         "graph_id", F.col("node_id").alias(end), F.col("label").alias(out), F.col("rank").alias(f"{out}_rank")
     )
@@ -175,7 +175,7 @@ def dump_lines(
 ) -> DataFrame:
     """Plain listing: counts, nodes with their edges and labels, and the rank table."""
     drawn = nodes.join(ranks, ["graph_id", "node_id"]).select("graph_id", "node_id", "symbol", "rank")
-    drawn = materialise(drawn, "drawn")
+    drawn = materialise_graph(drawn, "drawn")
     end = lambda side: drawn.select(
         "graph_id", F.col("node_id").alias(side),
         F.concat(F.col("rank").cast("string"), F.lit(" ("), F.col("symbol"), F.lit(")")).alias(f"{side}_text"),

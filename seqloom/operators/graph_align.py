@@ -25,7 +25,7 @@ from seqloom.kernels.pairs import CELLS, equal_symbols, next_column, symbols
 from seqloom.operators.packing import pack
 from seqloom.operators.segments import levels, sinks
 from seqloom.operators.skew import spread_sides
-from seqloom.session import kernel, materialise
+from seqloom.session import kernel, materialise_graph
 
 STEP = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ops", T.StringType())])
 FOUND = T.StructType(
@@ -242,10 +242,10 @@ def _back(match: Callable):
 
 def by_levels(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Iterator[tuple[DataFrame, bool]]:
     """Per level, all (graph, query, node) rows of it; and whether it is the first level."""
-    level = materialise(levels(nodes, edges), "levels")
-    placed = materialise(nodes.join(level, ["graph_id", "node_id"]), "placed")
+    level = materialise_graph(levels(nodes, edges), "levels")
+    placed = materialise_graph(nodes.join(level, ["graph_id", "node_id"]), "placed")
     asked, copies = (
-        materialise(side, "met")
+        materialise_graph(side, "met")
         for side in spread_sides(
             queries.filter("pattern is not null").select("graph_id", "query_id", "pattern"), placed, "graph_id", "query_id"
         )
@@ -291,7 +291,7 @@ def align_by_level(
         else:
             entry = cellwise_min(edges, here, done.withColumnRenamed("entry", "before"), ["last"])
             ready = here.join(entry.withColumnRenamed("last", "entry"), key)
-        step = materialise(
+        step = materialise_graph(
             ready.withColumn("end", _last_column(match)("entry", "pattern", "sequence")).select("*", "end.*").drop("end"), "columns"
         )
         done = step if done is None else done.unionByName(step)
@@ -307,7 +307,7 @@ def align_by_level(
         F.min(F.struct(F.col("stop").alias("score"), "level", "node_id", "h")).alias("tip"),
         F.first(F.octet_length("pattern")).alias("v"),
     )
-    front = materialise(
+    front = materialise_graph(
         tips.select("graph_id", "query_id", F.col("tip.score").alias("score"),
                     F.col("tip.node_id").alias("node_id"), "v", F.col("tip.h").alias("from")),
         "tips",
@@ -315,7 +315,7 @@ def align_by_level(
     scores = front.select("graph_id", "query_id", "score")
     steps, round_ = None, 0
     while not front.isEmpty():
-        walked = materialise(
+        walked = materialise_graph(
             front.drop("score")
             .join(done, key)
             .withColumn("from", F.coalesce("from", F.octet_length("sequence")))
@@ -337,7 +337,7 @@ def align_by_level(
             .select("graph_id", "query_id", F.col("o.src").alias("node_id"), F.col("o.v").alias("v"),
                     F.lit(None).cast("int").alias("from"))
         )
-        front = materialise(origin, "tips")
+        front = materialise_graph(origin, "tips")
         stopped = walked.join(front.select("graph_id", "query_id", F.lit(True).alias("on")),
                               ["graph_id", "query_id"], "left")
         step = stopped.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.operators.pograph import ordinal
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 
 def columns(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -14,11 +14,11 @@ def columns(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     ``ranks`` must keep aligned nodes next to each other (order 'depth').
     """
     leader = F.least("node_id", F.coalesce(F.array_min("aligned"), F.col("node_id")))
-    ranked = materialise(
+    ranked = materialise_graph(
         nodes.select("graph_id", "node_id", leader.alias("leader")).join(ranks, ["graph_id", "node_id"]),
         "ranked",
     )
-    sets = materialise(
+    sets = materialise_graph(
         ranked.groupBy("graph_id", "leader").agg(F.min("rank").alias("first_rank")), "sets"
     )
     numbered = ordinal(sets, "graph_id", ["first_rank"], "column")

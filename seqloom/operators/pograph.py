@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from seqloom.kernels import scripts
 from seqloom.operators.numbering import number_within
 from seqloom.operators.segments import merge_edges
-from seqloom.session import kernel, materialise
+from seqloom.session import kernel, materialise_graph
 
 PREFIX, SUFFIX, ALIGNED = 0, 1, 2
 
@@ -32,9 +32,9 @@ class PoGraph:
 
     def written(self) -> PoGraph:
         """The same graphs as written tables, for callers that use them more than once."""
-        paths = materialise(self.paths, "paths")
-        steps = materialise(PoGraph(self.nodes, paths).edge_rows(), "steps")
-        return PoGraph(materialise(self.nodes, "nodes"), paths, steps)
+        paths = materialise_graph(self.paths, "paths")
+        steps = materialise_graph(PoGraph(self.nodes, paths).edge_rows(), "steps")
+        return PoGraph(materialise_graph(self.nodes, "nodes"), paths, steps)
 
     def starts(self) -> DataFrame:
         """graph_id, seq_rank, node_id of the first base of every sequence."""
@@ -126,7 +126,7 @@ def po_graph(sequences: DataFrame) -> PoGraph:
     chained = per_graph.filter("far >= coalesce(first_length, 0)").select("graph_id")
     if chained.isEmpty():
         return star_graph(sequences)
-    chained = materialise(chained, "chained")
+    chained = materialise_graph(chained, "chained")
     star = star_graph(sequences.join(chained, "graph_id", "left_anti"))
     grown = grown_graph(sequences.join(chained, "graph_id", "left_semi"))
     return PoGraph(star.nodes.unionByName(grown.nodes), star.paths.unionByName(grown.paths))
@@ -144,7 +144,7 @@ def star_graph(sequences: DataFrame) -> PoGraph:
     )
     grouped = bases(sequences).withColumn("set", F.coalesce("ref", alone))
     key = ["graph_id", "set", "symbol"]
-    made = materialise(
+    made = materialise_graph(
         grouped.groupBy(*key)
         .agg(F.min(F.struct("seq_rank", "region", "pos")).alias("made"))
         .select(*key, "made.*"),
@@ -190,7 +190,7 @@ def grown_graph(sequences: DataFrame) -> PoGraph:
     what is missing becomes a new node. ``head`` names a set by its first node.
     """
     spark = sequences.sparkSession
-    placed = materialise(bases(sequences), "bases")
+    placed = materialise_graph(bases(sequences), "bases")
     rounds = sorted(r[0] for r in placed.select("seq_rank").distinct().collect())
     nodes = spark.createDataFrame([], NODE_SCHEMA)
     paths = None
@@ -213,7 +213,7 @@ def grown_graph(sequences: DataFrame) -> PoGraph:
             )
             .select("graph_id", "pos", "fresh")
         )
-        round_ = materialise(
+        round_ = materialise_graph(
             found.join(fresh, ["graph_id", "pos"], "left").select(
                 "graph_id", "seq_rank", "pos", "symbol", "weight", "ref", "head", "near", "fresh",
                 F.coalesce("known", "fresh").alias("node_id"),
@@ -236,7 +236,7 @@ def grown_graph(sequences: DataFrame) -> PoGraph:
             .otherwise(F.concat("near", F.array("ref")))
             .alias("aligned"),
         )
-        nodes = materialise(grown.unionByName(new_nodes), "nodes")
+        nodes = materialise_graph(grown.unionByName(new_nodes), "nodes")
         steps = round_.select("graph_id", "seq_rank", "pos", "node_id", "weight")
         paths = steps if paths is None else paths.unionByName(steps)
     return PoGraph(nodes.drop("head"), paths)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.kernels.orders import CyclicGraph
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     yet peeled, all graphs advance together, and no graph has to fit anywhere. Rounds =
     longest path, so compact chains first (``unitigs``) when graphs are deep.
     """
-    left = materialise(edges.select("graph_id", "src", "dst").distinct(), "peel")
-    front = materialise(
+    left = materialise_graph(edges.select("graph_id", "src", "dst").distinct(), "peel")
+    front = materialise_graph(
         sources(nodes.select("graph_id", "node_id"), left).withColumn("level", F.lit(0)), "level"
     )
     done = front
@@ -115,8 +115,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
         gone = front.select("graph_id", F.col("node_id").alias("src"))
         freed = left.join(gone, ["graph_id", "src"], "left_semi")
-        kept = materialise(left.join(gone, ["graph_id", "src"], "left_anti"), "peel")
-        front = materialise(
+        kept = materialise_graph(left.join(gone, ["graph_id", "src"], "left_anti"), "peel")
+        front = materialise_graph(
             sources(
                 freed.select("graph_id", F.col("dst").alias("node_id")).distinct(), kept
             ).withColumn("level", F.lit(level)),
@@ -145,7 +145,7 @@ def unitigs(nodes: DataFrame, edges: DataFrame, text: str = "symbol") -> tuple[D
     degree = degrees(nodes, edges)
     one_out = degree.filter("out_degree = 1").select("graph_id", F.col("node_id").alias("src"))
     one_in = degree.filter("in_degree = 1").select("graph_id", F.col("node_id").alias("dst"))
-    inner = materialise(
+    inner = materialise_graph(
         edges.select("graph_id", "src", "dst")
         .join(one_out, ["graph_id", "src"], "left_semi")
         .join(one_in, ["graph_id", "dst"], "left_semi")
@@ -154,7 +154,7 @@ def unitigs(nodes: DataFrame, edges: DataFrame, text: str = "symbol") -> tuple[D
     )
     # a chain is settled for a node once its head is a node no inner edge enters
     entered = inner.select("graph_id", F.col("node_id").alias("head"), F.lit(False).alias("settled"))
-    linked = materialise(
+    linked = materialise_graph(
         inner.join(entered, ["graph_id", "head"], "left").select(
             "graph_id", "node_id", "head", F.lit(1).cast("long").alias("offset"),
             F.coalesce("settled", F.lit(True)).alias("settled"),
@@ -171,7 +171,7 @@ def unitigs(nodes: DataFrame, edges: DataFrame, text: str = "symbol") -> tuple[D
             F.col("offset").alias("more"),
             "settled",
         )
-        longer = materialise(
+        longer = materialise_graph(
             active.drop("settled").join(jump, ["graph_id", "head"]).select(
                 "graph_id", "node_id", F.col("far").alias("head"),
                 (F.col("offset") + F.col("more")).alias("offset"), "settled",

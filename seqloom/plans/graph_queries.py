@@ -18,7 +18,7 @@ from seqloom.plans.registry import query
 from seqloom.sources.graphs import (
     ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, text_sequences, written_graph,
 )
-from seqloom.session import materialise, shared_folder
+from seqloom.session import materialise_graph, shared_folder
 from seqloom.sources.graph_files import GraphFiles, in_line_order
 from seqloom.sources.reads import reads, written_bundles
 from seqloom.sources.tables import table
@@ -139,7 +139,7 @@ steps AS (SELECT p.graph_id, p.seq_rank, p.place AS a, p.symbol AS x, q.place AS
 
 def talk_graph(spark: SparkSession, folder: str) -> PoGraph:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "text").filter("text <> ''")
-    return star_graph(materialise(text_sequences(turns, "conv_id", "turn"), "talks"))
+    return star_graph(materialise_graph(text_sequences(turns, "conv_id", "turn"), "talks"))
 
 
 @query(f"""WITH {TALKS}, nodes AS (SELECT DISTINCT graph_id, place, symbol FROM placed),
@@ -181,7 +181,7 @@ UNION ALL SELECT graph_id, 2, count(*) FROM turns GROUP BY 1 UNION ALL SELECT DI
 def conversation_gfa_lines(spark, folder):
     """GFA of whole conversations with their consensus: lines of each section."""
     graph = written_talks(spark, folder)
-    edges = materialise(graph.edges(), "edges")
+    edges = materialise_graph(graph.edges(), "edges")
     path = ranking.consensus(graph.nodes, edges)
     nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
     lines = export.gfa_lines(nodes, edges, graph.paths, ranking.ranks(graph.nodes, edges), path)
@@ -193,7 +193,7 @@ def conversation_msa_rows(spark, folder):
     """Rows of the alignment of whole conversations without their gaps; all rows of one have one width."""
     graph = written_talks(spark, folder)
     ranks = ranking.ranks(graph.nodes, graph.edges())
-    made = materialise(msa.rows(graph.paths, graph.nodes, msa.columns(graph.nodes, ranks)), "rows")
+    made = materialise_graph(msa.rows(graph.paths, graph.nodes, msa.columns(graph.nodes, ranks)), "rows")
     widths = made.groupBy("graph_id").agg(F.countDistinct(F.length("row")).alias("widths"))
     seq = F.replace("row", F.lit("-"), F.lit("")).alias("seq")
     return made.select("graph_id", "seq_rank", seq).join(widths, "graph_id")
@@ -203,8 +203,8 @@ def conversation_msa_rows(spark, folder):
 def conversation_consensus_is_a_path(spark, folder):
     """Consensus of whole conversations: it starts at a node without a way in, ends at one without a way out, and follows edges."""
     graph = written_talks(spark, folder)
-    edges = materialise(graph.edges(), "edges")
-    path = materialise(ranking.consensus(graph.nodes, edges), "consensus")
+    edges = materialise_graph(graph.edges(), "edges")
+    path = materialise_graph(ranking.consensus(graph.nodes, edges), "consensus")
     following = path.select("graph_id", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst"))
     steps = path.withColumnRenamed("node_id", "src").join(following, ["graph_id", "pos"])
     jumps = steps.join(edges, ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("jumps"))
@@ -651,7 +651,7 @@ SELECT graph_id, min(score)::BIGINT AS score, true AS valid FROM cells JOIN aske
 
 def ladder_to_query_end(spark: SparkSession, folder: str, method: str) -> DataFrame:
     """The best alignment that may stop anywhere in the ladder, its operations counted and replayed."""
-    segments, edges, queries = ladder_graph(materialise(ladders(written_bundles(spark, folder)), "rungs"))
+    segments, edges, queries = ladder_graph(materialise_graph(ladders(written_bundles(spark, folder)), "rungs"))
     found = graph_align.align_graphs(queries, segments, edges, method, end="query")
     steps = found.select("graph_id", "score", F.posexplode("path").alias("at", "step"))
     spelled = (
@@ -807,7 +807,7 @@ def event_cycles(spark, folder):
 def event_steps(spark: SparkSession, folder: str) -> DataFrame:
     """graph_id (user), src, dst: the types of every two consecutive events."""
     events = table(spark, folder, "events", "user_id", "ts", "event_id", "event_type")
-    numbered = materialise(number_within(events, ["user_id"], ["ts", "event_id"]), "numbered")
+    numbered = materialise_graph(number_within(events, ["user_id"], ["ts", "event_id"]), "numbered")
     following = numbered.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("event_type").alias("dst"))
     return numbered.join(following, ["user_id", "pos"]).select(
         F.col("user_id").alias("graph_id"), F.col("event_type").alias("src"), "dst"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.operators.pairwise import align
 from seqloom.operators.pograph import PoGraph, po_graph, star_graph, star_pairs
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 from seqloom.sources.reads import READS_PER_BUNDLE, reads, with_following, written_bundles
 
 _written: dict[tuple[str, str, str], PoGraph] = {}
@@ -35,7 +35,7 @@ def positional_graph(spark: SparkSession, folder: str) -> PoGraph:
 
 
 def star_aligned_graph(spark: SparkSession, folder: str) -> PoGraph:
-    return po_graph(materialise(star_sequences(written_bundles(spark, folder)), "aligned"))
+    return po_graph(materialise_graph(star_sequences(written_bundles(spark, folder)), "aligned"))
 
 
 def written_graph(spark: SparkSession, folder: str, kind: str = "positional") -> PoGraph:

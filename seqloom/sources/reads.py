@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.operators.numbering import number_within
-from seqloom.session import materialise
+from seqloom.session import materialise_graph
 from seqloom.sources.tables import table
 
 READ_LENGTH = 16
@@ -48,7 +48,7 @@ def written_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """The bundle table, built once per application and folder, then read back."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _written:
-        _written[key] = materialise(event_bundles(spark, folder), "bundles")
+        _written[key] = materialise_graph(event_bundles(spark, folder), "bundles")
     return _written[key]
 
 
