@@ -1,8 +1,9 @@
-"""What changes with the size of a table: joins of written graphs."""
+"""What changes with the size of a table: joins of written graphs, and how rows are dealt out."""
 
 from pyspark.sql import functions as F
 
 from seqloom.operators.pograph import PoGraph
+from seqloom.session import spread
 
 
 def chains(spark, nodes, graphs=10):
@@ -28,3 +29,19 @@ def joined_plan(spark, capsys, nodes):
 def test_written_graphs_are_broadcast_by_their_rows(spark, capsys):
     assert "BroadcastHashJoin" not in joined_plan(spark, capsys, 200_000)
     assert "BroadcastHashJoin" in joined_plan(spark, capsys, 200)
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        parts = spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in parts) == 20_000
