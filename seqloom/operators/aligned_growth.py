@@ -14,6 +14,8 @@ from seqloom.kernels.pairs import symbols
 from seqloom.operators.pograph import PoGraph
 from seqloom.session import materialise_graph
 
+#: Tasks a core that graphs are dealt to, whatever the size of their texts: aligning is far dearer than reading.
+TASKS_PER_CORE = 8
 #: Characters of the graphs that are grown together; a larger graph is grown alone.
 GROUP_SYMBOLS = 200_000
 FLUSH_ROWS = 50_000
@@ -34,7 +36,8 @@ def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
     """
     text = F.coalesce(F.col("seq"), F.lit("")).alias("seq")
     rows = sequences.select("graph_id", F.col("seq_rank").cast("int").alias("seq_rank"), text)
-    ordered = rows.repartition("graph_id").sortWithinPartitions("graph_id", "seq_rank", "seq")
+    tasks = TASKS_PER_CORE * sequences.sparkSession.sparkContext.defaultParallelism
+    ordered = rows.repartition(tasks, "graph_id").sortWithinPartitions("graph_id", "seq_rank", "seq")
     kind = sequences.schema["graph_id"]
     empty = sequences.sparkSession.createDataFrame([], ROWS).schema
     schema = T.StructType([T.StructField("graph_id", kind.dataType), *empty.fields])

@@ -139,7 +139,9 @@ steps AS (SELECT p.graph_id, p.seq_rank, p.place AS a, p.symbol AS x, q.place AS
 
 def talk_graph(spark: SparkSession, folder: str) -> PoGraph:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "text").filter("text <> ''")
-    return star_graph(materialise_graph(text_sequences(turns, "conv_id", "turn"), "talks"))
+    # few bytes of text make very many rows, so they are dealt out before texts are taken apart
+    dealt = text_sequences(turns, "conv_id", "turn").repartition(4 * spark.sparkContext.defaultParallelism)
+    return star_graph(materialise_graph(dealt, "talks"))
 
 
 @query(f"""WITH {TALKS}, nodes AS (SELECT DISTINCT graph_id, place, symbol FROM placed),

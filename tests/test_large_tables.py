@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from seqloom.operators.aligned_growth import aligned_growth
 from seqloom.operators.pograph import PoGraph
 from seqloom.session import spread
 
@@ -45,3 +46,13 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
         spark.conf.set(name, before)
     assert len(parts) >= spark.sparkContext.defaultParallelism
     assert sum(r["count"] for r in parts) == 20_000
+
+
+def test_graphs_grow_in_many_tasks(spark):
+    rows = spark.range(400).select(
+        (F.col("id") / 2).cast("long").alias("graph_id"), (F.col("id") % 2).cast("int").alias("seq_rank"), F.lit("ACGT").alias("seq")
+    )
+    graph, scores = aligned_growth(rows)
+    assert len(scores.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert scores.filter("seq_rank = 1 and score = 0").count() == 200
+    assert graph.nodes.count() == 800
