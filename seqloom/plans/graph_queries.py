@@ -19,7 +19,7 @@ from seqloom.sources.graphs import (
     ladder_graph, ladders, positional_graph, star_aligned_graph, star_sequences, text_sequences, written_graph,
 )
 from seqloom.session import materialise_graph, shared_folder
-from seqloom.sources.graph_files import GraphFiles, in_line_order
+from seqloom.sources.graph_files import GraphFiles, in_line_order, read_lines
 from seqloom.sources.reads import reads, written_bundles
 from seqloom.sources.tables import table
 
@@ -826,9 +826,4 @@ def gfa_files(spark, folder):
     spark.dataSource.register(GraphFiles)
     out = f"{shared_folder(spark)}/gfa-{uuid.uuid4().hex}"
     in_line_order(lines).write.format("graph_files").mode("append").save(out)
-    whole = spark.read.text(f"{out}/part-*/*.gfa", wholetext=True).select("value", F.input_file_name().alias("name"))
-    named = F.regexp_extract("name", r"([^/]+)\.gfa$", 1).cast("long").alias("graph_id")
-    text = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    return whole.select(named, F.posexplode(text).alias("line_no", "line")).select(
-        "graph_id", F.col("line_no").cast("long").alias("line_no"), "line"
-    )
+    return read_lines(spark, out).select(F.col("name").cast("long").alias("graph_id"), "line_no", "line")

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -37,6 +38,33 @@ def in_line_order(lines: DataFrame) -> DataFrame:
     return lines.repartition("graph_id").sortWithinPartitions(*KEYS).select("graph_id", "line")
 
 
+def read_lines(spark: SparkSession, path: str, suffix: str = ".gfa") -> DataFrame:
+    """name (of the file, without suffix), line_no, line of all files below ``path``.
+
+    The driver lists the folders, one for each task that wrote; the files, one a graph, are
+    listed by the tasks that read them.
+    """
+    files, root = file_system(path)
+    entries = files.get_file_info(pyarrow.fs.FileSelector(root))
+    folders = [(f"{path.rstrip('/')}/{e.base_name}",) for e in entries if e.base_name.startswith("part-")]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                files, inner = file_system(folder)
+                for found in files.get_file_info(pyarrow.fs.FileSelector(inner)):
+                    if not found.base_name.endswith(suffix):
+                        continue
+                    with files.open_input_stream(found.path) as held:
+                        lines = held.read().decode().removesuffix("\n").split("\n")
+                    name = [found.base_name.removesuffix(suffix)] * len(lines)
+                    columns = [pa.array(name), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "line_no", "line"])
+
+    listed = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders)))
+    return listed.mapInArrow(apply, "name string, line_no long, line string")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The folder a task has written, or None if it had no rows."""
