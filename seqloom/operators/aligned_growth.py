@@ -17,7 +17,7 @@ from seqloom.session import materialise_graph
 #: Tasks a core that graphs are dealt to, whatever the size of their texts: aligning is far dearer than reading.
 TASKS_PER_CORE = 8
 #: Characters of the graphs that are grown together; a larger graph is grown alone.
-GROUP_SYMBOLS = 200_000
+GROUP_SYMBOLS = 400_000
 FLUSH_ROWS = 50_000
 
 ROWS = "node_id long, symbol string, aligned array<bigint>, seq_rank int, pos int, score long"
