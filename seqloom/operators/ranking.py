@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from seqloom.kernels import orders
@@ -13,12 +14,23 @@ def _result(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+def _places(ids: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """Where the named nodes stand in the sorted ids."""
+    at = np.searchsorted(ids, named)
+    unknown = ids[np.minimum(at, len(ids) - 1)] != named
+    if unknown.any():
+        raise KeyError(f"node {named[unknown][0]} is not in the graph")
+    return at
+
+
 def _walk(ids, src, dst, weight, aligned):
     """Nodes renumbered 0..n-1 by id, as the walks expect them."""
-    place = {int(v): i for i, v in enumerate(ids)}
-    edges = [(place[int(a)], place[int(b)], int(w)) for a, b, w in zip(src, dst, weight)]
-    peers = [[place[int(p)] for p in group] for group in aligned]
-    return (*orders.neighbours(len(ids), edges), peers)
+    src, dst = _places(ids, src), _places(ids, dst)
+    sizes, peers = aligned
+    grouped = lambda keys, *values: orders.grouped(len(ids), keys, *values)
+    preds, weights = grouped(dst, src, weight)
+    (succs,) = grouped(src, dst)
+    return preds, succs, weights, grouped(np.repeat(np.arange(len(ids)), sizes), _places(ids, peers))[0]
 
 
 def _ordered(order: str, preds, succs, peers) -> list[int]:
@@ -47,8 +59,8 @@ def ranks(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame
 
     def walk(ids, src, dst, weight, aligned):
         preds, succs, _, peers = _walk(ids, src, dst, weight, aligned)
-        found = [ids[v] for v in _ordered(order, preds, succs, peers)]
-        return [range(len(found)), found]
+        found = ids[_ordered(order, preds, succs, peers)]
+        return [np.arange(len(found)), found]
 
     return walk_graphs(nodes, edges, walk, _result(rank=T.IntegerType(), node_id=T.LongType()))
 
@@ -74,7 +86,7 @@ def consensus(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataF
     def walk(ids, src, dst, weight, aligned):
         preds, succs, weights, peers = _walk(ids, src, dst, weight, aligned)
         _, path = orders.heaviest_path(_ordered(order, preds, succs, peers), preds, succs, weights)
-        return [range(len(path)), [ids[v] for v in path]]
+        return [np.arange(len(path)), ids[path]]
 
     return walk_graphs(nodes, edges, walk, _result(pos=T.IntegerType(), node_id=T.LongType()))
 
