@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, types as T
 from seqloom.kernels import orders
 from seqloom.operators.by_level import heaviest_by_level, set_ranks
 from seqloom.operators.packing import walk_graphs
+from seqloom.session import materialise_graph
 
 
 def _result(**columns: T.DataType) -> T.StructType:
@@ -91,6 +92,24 @@ def consensus(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataF
     return walk_graphs(nodes, edges, walk, _result(pos=T.IntegerType(), node_id=T.LongType()))
 
 
+def ranks_and_consensus(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> tuple[DataFrame, DataFrame]:
+    """``ranks`` and ``consensus`` from one walk, for callers that need both; a written table."""
+    if order == "level":
+        return ranks(nodes, edges, order), consensus(nodes, edges, order)
+
+    def walk(ids, src, dst, weight, aligned):
+        preds, succs, weights, peers = _walk(ids, src, dst, weight, aligned)
+        found = _ordered(order, preds, succs, peers)
+        _, path = orders.heaviest_path(found, preds, succs, weights)
+        pos = np.full(len(ids), -1)
+        pos[path] = np.arange(len(path))
+        return [np.arange(len(found)), ids[found], pos[found]]
+
+    walked = walk_graphs(nodes, edges, walk, _result(rank=T.IntegerType(), node_id=T.LongType(), pos=T.IntegerType()))
+    made = materialise_graph(walked, "walked")
+    return made.select("graph_id", "rank", "node_id"), made.filter("pos >= 0").select("graph_id", "pos", "node_id")
+
+
 def consensus_scores(nodes: DataFrame, edges: DataFrame, order: str = "depth") -> DataFrame:
     """graph_id, node_id, score: path weight of each node before any branch completion."""
     if order == "level":

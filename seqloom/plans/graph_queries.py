@@ -184,9 +184,9 @@ def conversation_gfa_lines(spark, folder):
     """GFA of whole conversations with their consensus: lines of each section."""
     graph = written_talks(spark, folder)
     edges = materialise_graph(graph.edges(), "edges")
-    path = ranking.consensus(graph.nodes, edges)
+    ranks, path = ranking.ranks_and_consensus(graph.nodes, edges)
     nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
-    lines = export.gfa_lines(nodes, edges, graph.paths, ranking.ranks(graph.nodes, edges), path)
+    lines = export.gfa_lines(nodes, edges, graph.paths, ranks, path)
     return lines.groupBy("graph_id", "section").agg(F.count("*").alias("lines"))
 
 
@@ -344,8 +344,9 @@ def star_msa(spark: SparkSession, folder: str) -> DataFrame:
     """MSA with consensus row of the graphs aligned by edit distance."""
     graph = written_graph(spark, folder, "star")
     edges = graph.edges()
-    placed = msa.columns(graph.nodes, ranking.ranks(graph.nodes, edges))
-    path = ranking.consensus(graph.nodes, edges).select(
+    ranks, path = ranking.ranks_and_consensus(graph.nodes, edges)
+    placed = msa.columns(graph.nodes, ranks)
+    path = path.select(
         "graph_id", F.lit(None).cast("int").alias("seq_rank"), "node_id"
     )
     return msa.rows(graph.paths.select("graph_id", "seq_rank", "node_id").unionByName(path), graph.nodes, placed)
@@ -439,8 +440,8 @@ def gfa_lines_with_consensus(spark, folder):
     graph = graph_of(spark, folder)
     edges = graph.edges()
     nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
-    path = ranking.consensus(graph.nodes, edges)
-    return export.gfa_lines(nodes, edges, graph.paths, ranks_of(spark, folder), path)
+    ranks, path = ranking.ranks_and_consensus(graph.nodes, edges)
+    return export.gfa_lines(nodes, edges, graph.paths, ranks, path)
 
 
 DOT = f"""WITH {GRAPH},
