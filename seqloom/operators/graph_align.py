@@ -70,10 +70,13 @@ def arranged(ids: list[int], sequences: list[str], src: list[int], dst: list[int
     return [ids[v] for v in order], graph
 
 
-def over_graphs(queries: DataFrame, segments: DataFrame, edges: DataFrame, work: Callable, result: T.StructType) -> DataFrame:
+def over_graphs(
+    queries: DataFrame, segments: DataFrame, edges: DataFrame, work: Callable, result: T.StructType, flat: bool = False
+) -> DataFrame:
     """graph_id, query_id and ``result`` from ``work(pairs)``, for blocks of (ids, graph, pattern).
 
-    ``work`` gives one iterable of rows per pair. Null patterns and queries without a graph have no result. Graph rows sort before their queries, so each
+    ``work`` gives one iterable of rows per pair; with ``flat`` it gives rows of all pairs as
+    arrays, the places of their pairs and then the columns of ``result``. Null patterns and queries without a graph have no result. Graph rows sort before their queries, so each
     graph is sent to a task, and brought in order there, once; a graph with very many queries
     is sent to several. A block ends when its tables reach a bound, so graphs of any number
     and queries of any number pass through a task in bounded memory.
@@ -105,6 +108,17 @@ def over_graphs(queries: DataFrame, segments: DataFrame, edges: DataFrame, work:
             keys.clear()
             pairs.clear()
 
+        def listed() -> Iterator[pa.RecordBatch]:
+            named = [pa.array(c, f.type) for c, f in zip(zip(*keys, strict=True), target)]
+            for of, *columns in work(pairs):
+                for low in range(0, len(of), FLUSH_ROWS):
+                    owner = pa.array(of[low : low + FLUSH_ROWS])
+                    made = [pa.array(c[low : low + FLUSH_ROWS], f.type) for c, f in zip(columns, list(target)[2:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(name.take(owner) for name in named), *made], schema=target)
+            keys.clear()
+            pairs.clear()
+
+        finish = listed if flat else worked
         for batch in batches:
             for row in batch.to_pylist():
                 if row["ids"] is not None:
@@ -117,9 +131,9 @@ def over_graphs(queries: DataFrame, segments: DataFrame, edges: DataFrame, work:
                 pairs.append((*graph, pattern))
                 held += (len(pattern) + 1) * len(graph[1].symbol)
                 if held >= CELLS or len(pairs) >= BLOCK_QUERIES:
-                    yield from worked()
+                    yield from finish()
                     held = 0
-        yield from worked()
+        yield from finish()
         if out:
             yield made()
 
@@ -176,12 +190,14 @@ def table_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> Da
 def front_cells(queries: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, query_id, distance, segment, k, reach: the wavefronts over a graph, the last one whole."""
 
-    def listed(pairs: list) -> Iterator[Iterable[tuple]]:
-        for ids, graph, pattern in pairs:
-            columns = (x.tolist() for x in waves.front_rows(graph, pattern))
-            yield ((s, ids[i], k, reach) for s, i, k, reach in zip(*columns, strict=True))
+    def listed(pairs: list) -> Iterator[tuple[np.ndarray, ...]]:
+        ids, graphs, patterns = zip(*pairs, strict=True) if pairs else ((), (), ())
+        first = np.cumsum([0, *map(len, ids)])
+        named = np.array([i for each in ids for i in each], np.int64)
+        for pair, score, segment, k, reach in waves.all_front_rows(graphs, patterns):
+            yield pair, score, named[first[pair] + segment], k, reach
 
-    return over_graphs(queries, segments, edges, listed, FRONT)
+    return over_graphs(queries, segments, edges, listed, FRONT, flat=True)
 
 
 def segment_table(entry: list[int], pattern: np.ndarray, text: np.ndarray, match: Callable) -> np.ndarray:
