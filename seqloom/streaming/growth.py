@@ -7,7 +7,9 @@ Graphs whose alignments name nodes keep the nodes of each graph as keyed state.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -73,6 +75,7 @@ def _finish(stream: DataFrame, base: str, mode: str, save) -> None:
 
 
 PATH = "graph_id bigint, seq_rank int, pos int, node_id bigint"
+COLUMNS = ["graph_id", "seq_rank", "pos", "node_id"]
 STATE = "symbols string, aligned array<array<bigint>>"
 
 
@@ -132,6 +135,56 @@ class StoredNodes:
             self.store.updateValue((node,), self.held[node])
 
 
+#: Nodes that lie in one entry of a state store, and parts in which graphs come to it.
+BLOCK, PARTS = 64, 1024
+ENTRY = f"{STATE}, nodes bigint"
+
+
+class NodeBlocks:
+    """The nodes of a graph as ``StoredNodes`` asks for them, in a map from (graph, block) to ``BLOCK`` nodes.
+
+    Every access to a map state is a message to the JVM and an answer, which costs more than
+    a block does; so each block met is read and written once. The first one knows how many
+    ``nodes`` the graph has.
+    """
+
+    def __init__(self, entries: Any, graph_id: int | None) -> None:
+        self.entries, self.graph_id, self.size = entries, graph_id, 0
+        self.held: dict[int, dict[int, tuple[str, list[int]]]] = {}
+        self.changed: set[int] = set()
+        if entries.containsKey((graph_id, 0)):
+            self.size = self._read(0)
+        self.written = -(-self.size // BLOCK)
+
+    def _read(self, number: int) -> int:
+        symbols, aligned, size = self.entries.getValue((self.graph_id, number))
+        self.held[number] = dict(enumerate(zip(symbols, aligned, strict=True)))
+        return int(size)
+
+    def _block(self, number: int) -> dict[int, tuple[str, list[int]]]:
+        if number not in self.held:
+            if number < self.written:
+                self._read(number)
+            else:
+                self.held[number] = {}
+        return self.held[number]
+
+    def getValue(self, key: tuple[int]) -> tuple[str, list[int]]:  # noqa: N802
+        number, at = divmod(key[0], BLOCK)
+        return self._block(number)[at]
+
+    def updateValue(self, key: tuple[int], value: tuple[str, list[int]]) -> None:  # noqa: N802
+        number, at = divmod(key[0], BLOCK)
+        self._block(number)[at] = value
+        self.changed.add(number)
+
+    def save(self, size: int) -> None:
+        for number in self.changed | ({0} if size != self.size else set()):
+            nodes = [self.held[number][at] for at in range(len(self.held[number]))]
+            entry = "".join(symbol for symbol, _ in nodes), [near for _, near in nodes], size
+            self.entries.updateValue((self.graph_id, number), entry)
+
+
 def thread(seq: str, pairs: Any, nodes: ListedNodes | StoredNodes) -> list[int]:
     """Lay one sequence through a graph, adding the nodes it lacks; returns its path."""
     used = [(p["pos"], p["node"]) for p in ([] if pairs is None else pairs) if not pd.isna(p["pos"])]
@@ -149,12 +202,15 @@ def thread(seq: str, pairs: Any, nodes: ListedNodes | StoredNodes) -> list[int]:
 def laid(graph_id: int, arrived: pd.DataFrame, nodes: ListedNodes | StoredNodes) -> pd.DataFrame:
     """Rows of ``PATH`` of the sequences that arrived, in their order."""
     arrived = arrived.sort_values("seq_rank")
-    rows = [
+    return pd.DataFrame(path_rows(graph_id, zip(arrived["seq_rank"], arrived["seq"], arrived["pairs"]), nodes), columns=COLUMNS)
+
+
+def path_rows(graph_id: int | None, arrived: Iterable[tuple], nodes: ListedNodes | StoredNodes) -> list[tuple]:
+    return [
         (graph_id, int(rank), pos, node)
-        for rank, seq, pairs in zip(arrived["seq_rank"], arrived["seq"], arrived["pairs"])
+        for rank, seq, pairs in arrived
         for pos, node in enumerate(thread(seq, pairs, nodes))
     ]
-    return pd.DataFrame(rows, columns=["graph_id", "seq_rank", "pos", "node_id"])
 
 
 def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -168,18 +224,22 @@ def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 class NodeProcessor(StatefulProcessor):
-    """Graphs as one map from node to (symbol, aligned nodes) each; a batch reads and writes only nodes it meets."""
+    """Graphs of a part as one map of ``NodeBlocks``; a batch reads and writes only blocks of nodes it meets."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.nodes = handle.getMapState("nodes", "node bigint", "symbol string, aligned array<bigint>")
-        self.size = handle.getValueState("size", "nodes bigint")
+        self.entries = handle.getMapState("entries", "graph_id bigint, block bigint", ENTRY)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        nodes = StoredNodes(self.nodes, int(self.size.get()[0]) if self.size.exists() else 0)
-        found = laid(key[0], pd.concat(list(rows)), nodes)
-        nodes.save()
-        self.size.update((nodes.size,))
-        yield found
+        arrived = pd.concat(list(rows)).sort_values(["graph_id", "seq_rank"])
+        ids = [None if pd.isna(g) else int(g) for g in arrived["graph_id"]]
+        found = []
+        for graph_id, of in groupby(zip(ids, arrived["seq_rank"], arrived["seq"], arrived["pairs"]), itemgetter(0)):
+            blocks = NodeBlocks(self.entries, graph_id)
+            nodes = StoredNodes(blocks, blocks.size)
+            found += path_rows(graph_id, (row[1:] for row in of), nodes)
+            nodes.save()
+            blocks.save(nodes.size)
+        yield pd.DataFrame(found, columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -190,11 +250,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def growing_paths_by_node(sequences: DataFrame) -> DataFrame:
-    """As ``growing_paths``, with state per node, so a batch touches state in proportion to what arrives.
+    """As ``growing_paths``, with state per ``BLOCK`` nodes, so a batch touches state in proportion to what arrives.
 
-    Needs the store ``ROCKSDB`` when the stream starts.
+    Graphs come to the state in ``PARTS`` parts, as a call for each graph costs more than its
+    rows do. Needs the store ``ROCKSDB`` when the stream starts.
     """
-    return sequences.groupBy("graph_id").transformWithStateInPandas(
+    # no graph shares its part with rows without one: a null would turn the ids beside it into floats
+    part = F.coalesce(F.when(F.col("graph_id").isNotNull(), F.pmod(F.xxhash64("graph_id"), F.lit(PARTS))), F.lit(-1))
+    return sequences.withColumn("__part", part).groupBy("__part").transformWithStateInPandas(
         NodeProcessor(), outputStructType=PATH, outputMode="append", timeMode="none"
     )
 
@@ -243,7 +306,7 @@ def run_path_growth_in_steps(arrivals: list[DataFrame], grow: Callable[[DataFram
 
 
 def run_path_growth_by_node(arrivals: list[DataFrame]) -> DataFrame:
-    """``run_path_growth_in_steps`` with state per node; the session's state store is set back afterwards."""
+    """``run_path_growth_in_steps`` with state by node; the session's state store is set back afterwards."""
     conf, name = arrivals[0].sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(name, None)
     conf.set(name, ROCKSDB)
