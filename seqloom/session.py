@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
@@ -89,6 +90,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * max(cores, df.rdd.getNumPartitions()))
 
 
+def dealt(table: DataFrame, rows: int, key: str) -> DataFrame:
+    """A written table over as many tasks as it needs at about ``rows`` rows each, by ``key``.
+
+    For rows that are taken apart or sorted where they are read: splits of a file go by its bytes, which
+    say little about the rows made of them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(max(4 * cores, math.ceil(table.count() / rows)), key)
+
+
 _shipped: set[str] = set()
 
 

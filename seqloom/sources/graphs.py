@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.operators.pairwise import align
 from seqloom.operators.pograph import PoGraph, po_graph, star_graph, star_pairs
-from seqloom.session import materialise_graph
+from seqloom.session import dealt, materialise_graph
 from seqloom.sources.reads import READS_PER_BUNDLE, reads, with_following, written_bundles
 
 _written: dict[tuple[str, str, str], PoGraph] = {}
 
+#: Bundles that one task makes bases of, on average.
+BUNDLES_A_TASK = 4_000
+
 
 def positional_sequences(bundles: DataFrame) -> DataFrame:
     """Reads of a bundle, each aligned position by position to the first one."""
@@ -31,11 +34,12 @@ def star_sequences(bundles: DataFrame) -> DataFrame:
 
 
 def positional_graph(spark: SparkSession, folder: str) -> PoGraph:
-    return star_graph(positional_sequences(written_bundles(spark, folder)))
+    return star_graph(positional_sequences(dealt(written_bundles(spark, folder), BUNDLES_A_TASK, "graph_id")))
 
 
 def star_aligned_graph(spark: SparkSession, folder: str) -> PoGraph:
-    return po_graph(materialise_graph(star_sequences(written_bundles(spark, folder)), "aligned"))
+    aligned = materialise_graph(star_sequences(written_bundles(spark, folder)), "aligned")
+    return po_graph(dealt(aligned, BUNDLES_A_TASK * READS_PER_BUNDLE, "graph_id"))
 
 
 def written_graph(spark: SparkSession, folder: str, kind: str = "positional") -> PoGraph:

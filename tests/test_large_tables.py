@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.aligned_growth import aligned_growth
 from seqloom.operators.pograph import PoGraph
-from seqloom.session import spread
+from seqloom.session import dealt, spread
+from seqloom.sources import graphs
 
 
 def chains(spark, nodes, graphs=10):
@@ -48,6 +49,27 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     assert sum(r["count"] for r in parts) == 20_000
 
 
+def test_written_rows_are_dealt_out_by_their_number(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1_000 * cores).select((F.col("id") / 2).cast("long").alias("graph_id")).coalesce(1).write.parquet(path)
+    parts = dealt(spark.read.parquet(path), 100, "graph_id").select("graph_id", F.spark_partition_id().alias("part"))
+    most = parts.groupBy("part").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    assert most["most"] < 200 and most["all"] == 1_000 * cores
+    assert parts.distinct().count() == 500 * cores  # the rows of a key stay together
+
+
+def test_graphs_are_made_in_many_tasks(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(graphs, "star_graph", lambda sequences: sequences)
+    monkeypatch.setattr(graphs, "po_graph", lambda sequences: sequences)
+    for build in (graphs.positional_graph, graphs.star_aligned_graph):
+        sequences = build(spark, "/root/testdata/sf0.001")
+        assert sequences.rdd.getNumPartitions() >= 4 * cores
+        own = sequences.select("graph_id", F.spark_partition_id().alias("part")).distinct()
+        assert own.count() == own.select("graph_id").distinct().count()
+
+
 def test_graphs_grow_in_many_tasks(spark):
     rows = spark.range(400).select(
         (F.col("id") / 2).cast("long").alias("graph_id"), (F.col("id") % 2).cast("int").alias("seq_rank"), F.lit("ACGT").alias("seq")
