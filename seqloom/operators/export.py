@@ -6,8 +6,12 @@ the file; ``write_lines`` does so with one range-sorted text output per call.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from seqloom.kernels.whole import Whole
+from seqloom.operators import whole
 from seqloom.operators.segments import merge_edges
 from seqloom.session import materialise_graph
 
@@ -71,9 +75,10 @@ def gfa_lines(
 
     segments has graph_id, node_id, sequence; consensus has graph_id, pos, node_id.
     """
-    plus = lambda ids: F.array_join(
-        F.transform(ids, lambda i: F.concat(i.cast("string"), F.lit("+"))), ","
-    )
+    views = {"nodes": segments, "edges": edges, "paths": paths, "ranks": ranks}
+    graphs = whole.shared(**views) if consensus is None else whole.shared(**views, consensus=consensus)
+    if graphs is not None:
+        return _whole_lines(graphs, consensus is not None)
     ranks = materialise_graph(ranks, "ranks")  # a walk over whole graphs, made once for all lines
     reads = materialise_graph(read_paths(paths, ranks), "reads")
     sizes = (
@@ -82,32 +87,74 @@ def gfa_lines(
         .unionByName(reads.select("graph_id", F.lit(0).alias("s"), F.lit(0).alias("l"), F.lit(1).alias("p")))
         .groupBy("graph_id").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum("p").alias("p"))
     )
-    extra = 0 if consensus is None else 1
-    lines = sizes.select(*_line(
-        0, 0, 0, "H\tVN:Z:1.0\tNS:i:", F.col("s"), "\tNL:i:", F.col("l"), "\tNP:i:", F.col("p") + extra))
-    lines = lines.unionByName(
-        segments.join(ranks, ["graph_id", "node_id"]).select(
-            *_line(1, F.col("rank"), -1, "S\t", F.col("node_id"), "\t", F.col("sequence"))
-        )
-    )
-    lines = lines.unionByName(
-        _ranked(edges, ranks, "dst", "rank").select(
-            *_line(1, F.col("rank"), F.col("ord"), "L\t", F.col("src"), "\t+\t", F.col("dst"), "\t+\t0M")
-        )
-    )
-    lines = lines.unionByName(
-        reads.select(*_line(2, F.col("seq_rank"), 0, "P\t", F.col("seq_rank"), "\t", plus(F.col("segments")), "\t*"))
-    )
-    if consensus is not None:
-        ordered = F.array_sort(F.collect_list(F.struct("pos", "node_id")))["node_id"]
-        lines = lines.unionByName(
-            consensus.groupBy("graph_id").agg(ordered.alias("segments")).select(
-                *_line(3, 0, 0, "P\tConsensus_sequence\t", plus(F.col("segments")), "\t*")
-            )
-        )
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "node_id")))["node_id"].alias("segments")
+    heaviest = None if consensus is None else consensus.groupBy("graph_id").agg(ordered)
+    placed = segments.join(ranks, ["graph_id", "node_id"])
+    return _gfa(sizes, placed, _ranked(edges, ranks, "dst", "rank"), reads, heaviest)
+
+
+def _plus(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.concat(i.cast("string"), F.lit("+"))), ",")
+
+
+def _head(extra: int) -> list[Column]:
+    return _line(0, 0, 0, "H\tVN:Z:1.0\tNS:i:", F.col("s"), "\tNL:i:", F.col("l"), "\tNP:i:", F.col("p") + extra)
+
+
+_SEGMENT = lambda: _line(1, F.col("rank"), -1, "S\t", F.col("node_id"), "\t", F.col("sequence"))
+_LINK = lambda: _line(1, F.col("rank"), F.col("ord"), "L\t", F.col("src"), "\t+\t", F.col("dst"), "\t+\t0M")
+_READ = lambda: _line(2, F.col("seq_rank"), 0, "P\t", F.col("seq_rank"), "\t", _plus(F.col("segments")), "\t*")
+_HEAVIEST = lambda: _line(3, 0, 0, "P\tConsensus_sequence\t", _plus(F.col("segments")), "\t*")
+
+
+def _gfa(sizes: DataFrame, segments: DataFrame, edges: DataFrame, reads: DataFrame, consensus: DataFrame | None) -> DataFrame:
+    """Lines of counts, segments with their rank, edges with that of their end, and the nodes of paths."""
+    lines = sizes.select(*_head(0 if consensus is None else 1))
+    for rows, drawn in ((segments, _SEGMENT), (edges, _LINK), (reads, _READ), (consensus, _HEAVIEST)):
+        if rows is not None:
+            lines = lines.unionByName(rows.select(*drawn()))
     return lines
 
 
+def _whole_lines(graphs: whole.Graphs, with_consensus: bool) -> DataFrame:
+    """``gfa_lines`` of graphs that are a row each; what the lines are made of comes from one walk over each."""
+    longs = ("s", "l", "p", "rank", "node_id", "src", "dst", "ord", "seq_rank")
+
+    def pieces(g: Whole) -> list:
+        src, dst, _, first = g.edges
+        rank, (own, _, node, _) = g.rank_of(g.made["order"]), g.places
+        ranks, sizes = g.runs_of_ranks()
+        nodes = node[np.lexsort((rank[node], own))]
+        paths = [ranks, sizes, nodes]
+        if with_consensus:
+            on = np.asarray(g.made["consensus"], np.int64)
+            paths = [np.append(ranks, whole.NO_RANK), np.append(sizes, len(on)), np.concatenate([nodes, on])]
+        links, reads, more = len(src), len(ranks), len(paths[0]) - len(ranks)
+        kind = np.repeat(np.arange(5), [1, g.size, links, reads, more])
+        total = len(kind)
+        starts = np.cumsum([0, 1, g.size, links, reads, more])
+        made = {c: np.full(total, whole.NO_RANK) for c in longs}
+        for part, columns in (
+            (0, {"s": g.size, "l": links, "p": reads}), (1, {"rank": rank, "node_id": np.arange(g.size)}),
+            (2, {"rank": rank[dst], "src": src, "dst": dst, "ord": first}), (3, {"seq_rank": ranks}),
+        ):
+            for c, values in columns.items():
+                made[c][starts[part] : starts[part + 1]] = values
+        blank = total - 1 - g.size
+        letters = whole.letters(g)
+        none = pa.nulls(1, letters.type), pa.nulls(blank, letters.type)
+        widths = np.concatenate([np.zeros(starts[3], np.int64), paths[1]])
+        offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+        segments = pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths[2].astype(np.int64)))
+        return [kind, *(whole.ranked(made[c]) for c in longs), pa.concat_arrays([none[0], letters, none[1]]), segments]
+
+    fields = [T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in longs)]
+    found = graphs.rows([*fields, T.StructField("sequence", T.StringType()), T.StructField("segments", whole.LONGS)], pieces)
+    drawn = [_head(int(with_consensus)), _SEGMENT(), _LINK(), _READ(), _HEAVIEST()]
+    column = lambda at, name: F.when(F.col("kind") == at, drawn[at][[*KEYS, "line"].index(name)])
+    return found.select("graph_id", *[F.coalesce(*[column(at, name) for at in range(5)]).alias(name) for name in [*KEYS[1:], "line"]])
+
+
 def dot_lines(nodes: DataFrame, edge_rows: DataFrame, ranks: DataFrame, ids: bool = True) -> DataFrame:
     """DOT: coloured nodes in rank order, edges labelled with their number of sequences.
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from seqloom.kernels import scripts
+from seqloom.operators import whole
 from seqloom.operators.numbering import number_within
 from seqloom.operators.segments import merge_edges
 from seqloom.session import kernel, materialise_graph
@@ -30,8 +31,16 @@ class PoGraph:
     paths: DataFrame  # graph_id, seq_rank, pos, node_id, weight
     steps: DataFrame | None = None  # edge_rows() as a written table
 
+    @classmethod
+    def of(cls, graphs: whole.Graphs) -> PoGraph:
+        """Views of graphs that are a row each."""
+        return cls(whole.nodes(graphs), whole.paths(graphs))
+
     def written(self) -> PoGraph:
         """The same graphs as written tables, for callers that use them more than once."""
+        graphs = whole.shared(nodes=self.nodes, paths=self.paths)
+        if graphs is not None:
+            return PoGraph.of(graphs.written())
         paths = materialise_graph(self.paths, "paths")
         steps = materialise_graph(PoGraph(self.nodes, paths).edge_rows(), "steps")
         return PoGraph(materialise_graph(self.nodes, "nodes"), paths, steps)
@@ -64,7 +73,8 @@ class PoGraph:
         )
 
     def edges(self) -> DataFrame:
-        return merge_edges(self.edge_rows())
+        graphs = whole.shared(paths=self.paths)
+        return merge_edges(self.edge_rows()) if graphs is None else whole.edges(graphs)
 
 
 def bases(sequences: DataFrame) -> DataFrame:
@@ -138,7 +148,12 @@ def star_graph(sequences: DataFrame) -> PoGraph:
     The aligned set of a base is then known without looking at other sequences: the node
     it points to. Bases that point nowhere stand alone. All that is left is one
     pre-aggregated group-by for the nodes and one join to give bases their node.
+
+    Sequences with ``runs`` in place of ``pairs`` make a row per graph (see ``whole``), each in
+    one task: for graphs that fit there.
     """
+    if "runs" in sequences.columns:
+        return PoGraph.of(whole.star_graphs(sequences))
     alone = F.when(F.col("seq_rank") == 0, F.col("pos").cast("long")).otherwise(
         -1 - F.shiftleft(F.col("seq_rank").cast("long"), 32) - F.col("pos")
     )

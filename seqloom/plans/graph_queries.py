@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.functions import cigar
 from seqloom.functions.text import distance
-from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg
+from seqloom.operators import checks, export, graph_align, msa, ranking, segments as seg, whole
 from seqloom.operators.aligned_growth import aligned_growth
 from seqloom.operators.cycles import cycles
 from seqloom.operators.numbering import number_within
@@ -137,11 +137,20 @@ steps AS (SELECT p.graph_id, p.seq_rank, p.place AS a, p.symbol AS x, q.place AS
   FROM placed p JOIN placed q ON p.graph_id = q.graph_id AND p.seq_rank = q.seq_rank AND q.pos = p.pos + 1)"""
 
 
+#: Characters of the largest conversation up to which every one is made in a task; beyond, all are made with joins.
+WHOLE_SYMBOLS = 4_000_000
+
+
 def talk_graph(spark: SparkSession, folder: str) -> PoGraph:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "text").filter("text <> ''")
+    dealt = turns.repartition(4 * spark.sparkContext.defaultParallelism, "conv_id")
+    sequences = text_sequences(dealt, "conv_id", "turn")
+    largest = turns.groupBy("conv_id").agg(F.sum(F.length("text")).alias("symbols")).agg(F.max("symbols")).first()[0] or 0
+    if largest <= WHOLE_SYMBOLS:
+        return star_graph(sequences.drop("pairs"))
     # few bytes of text make very many rows, so they are dealt out before texts are taken apart
-    dealt = text_sequences(turns, "conv_id", "turn").repartition(4 * spark.sparkContext.defaultParallelism)
-    return star_graph(materialise_graph(dealt, "talks"))
+    few = sequences.drop("runs").repartition(4 * spark.sparkContext.defaultParallelism)
+    return star_graph(materialise_graph(few, "talks"))
 
 
 @query(f"""WITH {TALKS}, nodes AS (SELECT DISTINCT graph_id, place, symbol FROM placed),
@@ -183,9 +192,9 @@ UNION ALL SELECT graph_id, 2, count(*) FROM turns GROUP BY 1 UNION ALL SELECT DI
 def conversation_gfa_lines(spark, folder):
     """GFA of whole conversations with their consensus: lines of each section."""
     graph = written_talks(spark, folder)
-    edges = materialise_graph(graph.edges(), "edges")
+    edges = whole.kept(graph.edges(), "edges")
     ranks, path = ranking.ranks_and_consensus(graph.nodes, edges)
-    nodes = graph.nodes.withColumnRenamed("symbol", "sequence")
+    nodes = whole.renamed(graph.nodes, "symbol", "sequence")
     lines = export.gfa_lines(nodes, edges, graph.paths, ranks, path)
     return lines.groupBy("graph_id", "section").agg(F.count("*").alias("lines"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from seqloom.operators.pairwise import align
 from seqloom.operators.pograph import PoGraph, po_graph, star_graph, star_pairs
@@ -77,19 +77,26 @@ def text_sequences(rows: DataFrame, graph: str, order: str) -> DataFrame:
     """Whole texts (column text) of each ``graph``, aligned position by position to the first.
 
     Nothing is cut: a graph has as many nodes as its texts need. A text behind the end of
-    the first one is aligned as far as that goes, the rest stands alone.
+    the first one is aligned as far as that goes, the rest stands alone. ``pairs`` has a pair
+    per place, ``runs`` the same as one stretch; whoever needs one of them drops the other.
     """
-    first = rows.groupBy(graph).agg(F.min_by(F.length("text"), order).alias("size"), F.min(order).alias("first"))
+    own = Window.partitionBy(graph)
+    first = rows.filter(F.col(graph).isNotNull()).withColumns(
+        {"size": F.min_by(F.length("text"), F.col(order)).over(own), "first": F.min(order).over(own)}
+    )
     shared = F.least("size", F.length("text"))
     same = F.when(
         shared > 0,
         F.transform(F.sequence(F.lit(0), shared - 1), lambda i: F.struct(i.cast("int").alias("node"), i.cast("int").alias("pos"))),
     )
-    return rows.join(first, graph).select(
+    run = F.struct(F.lit(0).alias("node"), F.lit(0).alias("pos"), shared.alias("length"))
+    stretch = F.when(shared > 0, F.array(run))
+    return first.select(
         F.col(graph).alias("graph_id"),
         (F.col(order) - F.col("first")).cast("int").alias("seq_rank"),
         F.col("text").alias("seq"),
         F.when(F.col(order) > F.col("first"), same).alias("pairs"),
+        F.when(F.col(order) > F.col("first"), stretch).alias("runs"),
     )
 
 
