@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from seqloom.kernels.whole import Whole
+from seqloom.operators import whole
 from seqloom.operators.pograph import ordinal
 from seqloom.session import materialise_graph
 
@@ -13,6 +15,9 @@ def columns(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
 
     ``ranks`` must keep aligned nodes next to each other (order 'depth').
     """
+    graphs = whole.shared(nodes=nodes, ranks=ranks)
+    if graphs is not None:
+        return whole.placed(graphs.walked(["column"], lambda g: [g.columns(g.made["order"])]))
     leader = F.least("node_id", F.coalesce(F.array_min("aligned"), F.col("node_id")))
     ranked = materialise_graph(
         nodes.select("graph_id", "node_id", leader.alias("leader")).join(ranks, ["graph_id", "node_id"]),
@@ -33,6 +38,14 @@ def rows(paths: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
     ``paths`` needs graph_id, seq_rank, node_id; a consensus path with seq_rank null gives
     the consensus row.
     """
+    graphs = whole.shared(paths=paths, nodes=nodes, placed=placed)
+    if graphs is not None:
+
+        def spelled_out(g: Whole) -> list:
+            ranks, texts = g.rows(g.made["column"])
+            return [whole.ranked(ranks), texts]
+
+        return graphs.rows([T.StructField("seq_rank", T.IntegerType()), T.StructField("row", T.StringType())], spelled_out)
     width = placed.groupBy("graph_id").agg((F.max("column") + 1).cast("int").alias("width"))
     cells = F.array_sort(F.collect_list(F.struct("column", "symbol")))
     gathered = (
