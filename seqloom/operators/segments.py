@@ -6,9 +6,12 @@ nodes : graph_id, node_id, ...          edges : graph_id, src, dst, weight, ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from seqloom.kernels.orders import CyclicGraph
+from seqloom.kernels.whole import Whole
+from seqloom.operators import whole
 from seqloom.session import materialise_graph
 
 
@@ -36,7 +39,20 @@ def successors(rows: DataFrame, label: int) -> DataFrame:
     )
 
 
+#: Views of the nodes that no edge has at this end.
+ENDS = {"src": "sinks", "dst": "sources"}
+_SIDE = {"sinks": 0, "sources": 1}
+
+
 def _without(nodes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
+    graphs = whole.shared(nodes=nodes, edges=edges)
+    if graphs is not None:
+
+        def listed(g: Whole) -> list:
+            at = np.flatnonzero(g.is_end(_SIDE[ENDS[end]]))
+            return [at, *(column.take(at) for column in (whole.letters(g), whole.aligned(g)))]
+
+        return graphs.view(ENDS[end], graphs.rows(whole.NODE, listed))
     ends = edges.select("graph_id", F.col(end).alias("node_id"))
     return nodes.join(ends, ["graph_id", "node_id"], "left_anti")
 
@@ -86,6 +102,18 @@ def rank_violations(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
     Empty = sorted, and every edge was looked at.
     """
+    graphs = whole.shared(edges=edges, ranks=ranks)
+    if graphs is not None:
+
+        def broken(g: Whole) -> list:
+            src, dst, weight, first = g.edges
+            rank = g.rank_of(g.made["order"])
+            a, b = rank[src], rank[dst]
+            at = np.flatnonzero((a < 0) | (b < 0) | (a >= b))
+            return [dst[at], src[at], weight[at], whole.ranked(first[at]), *(whole.known(x[at]) for x in (a, b))]
+
+        fields = [T.StructField(c, T.LongType()) for c in ("dst", "src", "weight")]
+        return graphs.rows([*fields, *(T.StructField(c, T.IntegerType()) for c in ("ord", "rank_src", "rank_dst"))], broken)
     at = lambda end, name: ranks.select(
         "graph_id", F.col("node_id").alias(end), F.col("rank").alias(name)
     )
@@ -96,6 +124,37 @@ def rank_violations(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
+def jumps(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """Steps of paths (graph_id, pos, node_id) that are no edges: graph_id, src, dst, pos."""
+    graphs = whole.shared(consensus=path, edges=edges)
+    if graphs is not None:
+
+        def missing(g: Whole) -> list:
+            on = np.asarray(g.made["consensus"], np.int64)
+            src, dst, *_ = g.edges
+            at = np.flatnonzero(~np.isin(on[:-1] * g.size + on[1:], src * g.size + dst))
+            return [on[at], on[at + 1], at]
+
+        return graphs.rows([T.StructField(c, T.LongType()) for c in ("src", "dst")] + [T.StructField("pos", T.IntegerType())], missing)
+    following = path.select("graph_id", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst"))
+    steps = path.withColumnRenamed("node_id", "src").join(following, ["graph_id", "pos"])
+    return steps.join(edges, ["graph_id", "src", "dst"], "left_anti").select("graph_id", "src", "dst", "pos")
+
+
+def among(path: DataFrame, ends: DataFrame) -> DataFrame:
+    """Places of paths (graph_id, pos, node_id) at nodes that are sources or sinks."""
+    for kind, side in _SIDE.items():
+        graphs = whole.shared(**{"consensus": path, kind: ends})
+        if graphs is not None:
+
+            def met(g: Whole, side=side) -> list:
+                at = np.flatnonzero(g.is_end(side)[g.made["consensus"]])
+                return [at, np.asarray(g.made["consensus"], np.int64)[at]]
+
+            return graphs.rows([T.StructField("pos", T.IntegerType()), T.StructField("node_id", T.LongType())], met)
+    return path.join(ends.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").select("graph_id", "pos", "node_id")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, node_id, level: the longest path from a source, peeled level by level.
 
