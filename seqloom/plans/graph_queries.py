@@ -214,13 +214,10 @@ def conversation_msa_rows(spark, folder):
 def conversation_consensus_is_a_path(spark, folder):
     """Consensus of whole conversations: it starts at a node without a way in, ends at one without a way out, and follows edges."""
     graph = written_talks(spark, folder)
-    edges = materialise_graph(graph.edges(), "edges")
-    path = materialise_graph(ranking.consensus(graph.nodes, edges), "consensus")
-    following = path.select("graph_id", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst"))
-    steps = path.withColumnRenamed("node_id", "src").join(following, ["graph_id", "pos"])
-    jumps = steps.join(edges, ["graph_id", "src", "dst"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("jumps"))
-    end = lambda of, name: path.join(of(graph.nodes, edges).select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").groupBy(
-        "graph_id").agg(F.count("*").alias(name))
+    edges = whole.kept(graph.edges(), "edges")
+    path = whole.kept(ranking.consensus(graph.nodes, edges), "consensus")
+    jumps = seg.jumps(path, edges).groupBy("graph_id").agg(F.count("*").alias("jumps"))
+    end = lambda of, name: seg.among(path, of(graph.nodes, edges)).groupBy("graph_id").agg(F.count("*").alias(name))
     return end(seg.sources, "starts").join(end(seg.sinks, "ends"), "graph_id").join(jumps, "graph_id", "left").select(
         "graph_id", "starts", "ends", F.coalesce("jumps", F.lit(0)).alias("jumps")
     )
