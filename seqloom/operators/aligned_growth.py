@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from seqloom.kernels.growing import GrowingGraph, fold
+from seqloom.kernels.growing import fold
 from seqloom.kernels.pairs import symbols
+from seqloom.kernels.whole import NO_RANK, Whole
+from seqloom.operators import whole
 from seqloom.operators.pograph import PoGraph
-from seqloom.session import materialise_graph
+from seqloom.session import materialise
 
 #: Tasks a core that graphs are dealt to, whatever the size of their texts: aligning is far dearer than reading.
 TASKS_PER_CORE = 8
-#: Characters of the graphs that are grown together; a larger graph is grown alone.
-GROUP_SYMBOLS = 400_000
-FLUSH_ROWS = 50_000
-
-ROWS = "node_id long, symbol string, aligned array<bigint>, seq_rank int, pos int, score long"
+#: Characters of grown graphs that leave a task together.
+FLUSH_SYMBOLS = 200_000
 
 
 def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
@@ -32,62 +32,43 @@ def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
     their own. ``scores`` (graph_id, seq_rank, score) has the edits of each alignment; the
     first sequence, and one that meets an empty graph, has its length. Null and empty sequences
     add nothing and have 0. Sequences of one rank come by their text. Rows of a graph are sorted into one
-    task and held there, linear in its size; graphs of a task are grown side by side.
+    task and held there, linear in its size; a grown graph is a row of arrays, and the tables are views of it.
     """
     text = F.coalesce(F.col("seq"), F.lit("")).alias("seq")
     rows = sequences.select("graph_id", F.col("seq_rank").cast("int").alias("seq_rank"), text)
     tasks = TASKS_PER_CORE * sequences.sparkSession.sparkContext.defaultParallelism
     ordered = rows.repartition(tasks, "graph_id").sortWithinPartitions("graph_id", "seq_rank", "seq")
-    kind = sequences.schema["graph_id"]
-    empty = sequences.sparkSession.createDataFrame([], ROWS).schema
-    schema = T.StructType([T.StructField("graph_id", kind.dataType), *empty.fields])
+    kind = T.StructField("graph_id", sequences.schema["graph_id"].dataType)
+    schema = T.StructType([kind, *whole.GRAPH.fields, T.StructField("scores", whole.INTS)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = to_arrow_schema(schema)
-        whole = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "seq_rank", "seq")), strict=True))
-        keys, ranks, texts, held = [], [], [], 0
-
-        def grown() -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            for key, named, graph, added in zip(keys, ranks, *fold(texts), strict=True):
-                for row in listed(graph, named, added):
-                    out.append((key, *row))
-                    if len(out) >= FLUSH_ROWS:
-                        yield batch_of(out)
-                        out.clear()
-            if out:
-                yield batch_of(out)
-            for column in (keys, ranks, texts):
-                column.clear()
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-        for key, same in groupby(whole, key=lambda r: r[0]):
+        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "seq_rank", "seq")), strict=True))
+        done, held = [], 0
+        for key, same in groupby(each, key=lambda r: r[0]):
             found = list(same)
-            keys.append(key)
-            ranks.append([rank for _, rank, _ in found])
-            texts.append([symbols(seq, "char") for *_, seq in found])
-            held += sum(map(len, texts[-1]))
-            if held >= GROUP_SYMBOLS:
-                yield from grown()
-                held = 0
-        yield from grown()
-
-    made = materialise_graph(ordered.mapInArrow(apply, schema), "grown")
-    nodes = made.filter("symbol is not null").select("graph_id", "node_id", "symbol", "aligned")
-    paths = made.filter("pos is not null").select(
-        "graph_id", "seq_rank", "pos", "node_id", F.lit(1).cast("long").alias("weight")
+            done.append((key, grown([rank for _, rank, _ in found], [symbols(seq, "char") for *_, seq in found])))
+            held += len(done[-1][1].path)
+            if held >= FLUSH_SYMBOLS:
+                yield whole.packed(schema, done)
+                done, held = [], 0
+        if done:
+            yield whole.packed(schema, done)
+
+    made = materialise(ordered.mapInArrow(apply, schema), "grown")
+    graphs = whole.Graphs(made, uuid.uuid4().hex, whole.read_graphs, made=("scores",), stored=True)
+    fields = [T.StructField("seq_rank", T.IntegerType()), T.StructField("score", T.LongType())]
+    return PoGraph.of(graphs), graphs.rows(fields, lambda g: [whole.ranked(g.ranks), g.made["scores"]], empty=True)
+
+
+def grown(ranks: list[int | None], sequences: list[np.ndarray]) -> Whole:
+    """The graph of sequences of one key, in order, with the score of each."""
+    graph, added = fold(sequences)
+    return Whole(
+        np.array(graph.symbols, np.int32),
+        np.array([len(peers) for peers in graph.aligned], np.int64),
+        np.array([v for peers in graph.aligned for v in peers], np.int64),
+        np.array([NO_RANK if rank is None else rank for rank in ranks], np.int64),
+        np.array([len(path) for _, path in added], np.int64),
+        np.array([v for _, path in added for v in path], np.int64),
+        made={"scores": np.array([score for score, _ in added], np.int64)},
     )
-    return PoGraph(nodes, paths), made.filter("score is not null").select("graph_id", "seq_rank", "score")
-
-
-def listed(graph: GrowingGraph, ranks: list[int], added: list[tuple[int, list[int]]]) -> Iterator[tuple]:
-    """Rows of ``ROWS``: nodes, then places of paths, then scores."""
-    for node, (symbol, peers) in enumerate(zip(graph.symbols, graph.aligned, strict=True)):
-        yield node, chr(symbol), peers, None, None, None
-    for rank, (score, path) in zip(ranks, added, strict=True):
-        for pos, node in enumerate(path):
-            yield node, None, None, rank, pos, None
-        yield None, None, None, rank, None, score

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from seqloom.kernels.orders import CyclicGraph
-from seqloom.kernels.whole import Whole
+from seqloom.kernels.whole import Whole, text_of
 from seqloom.operators import whole
 from seqloom.session import materialise_graph
 
@@ -141,6 +141,34 @@ def jumps(path: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.join(edges, ["graph_id", "src", "dst"], "left_anti").select("graph_id", "src", "dst", "pos")
 
 
+def spelled_paths(paths: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """graph_id, seq_rank, text, late: what each sequence's path spells, and its steps that do not lead forward in the order."""
+    graphs = whole.shared(paths=paths, nodes=nodes, ranks=ranks)
+    if graphs is not None:
+
+        def spelled_out(g: Whole) -> list:
+            own, pos, node, _ = g.places
+            at, symbol = g.rank_of(g.made["order"])[node], g.symbols[node]
+            named, sizes = g.runs_of_ranks()
+            if len(named) < len(g.ranks):  # of one rank, they come by place, symbol and rank
+                order = np.lexsort((at, symbol, pos, own))
+                at, symbol = at[order], symbol[order]
+            ends = np.cumsum(sizes)
+            texts = [text_of(symbol[low:high]) for low, high in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            back = np.append(at[1:] <= at[:-1], False)
+            back[ends - 1] = False
+            return [whole.ranked(named), texts, np.add.reduceat(back, ends - sizes, dtype=np.int64)]
+
+        return graphs.rows(
+            [T.StructField("seq_rank", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("late", T.LongType())], spelled_out
+        )
+    placed = paths.join(nodes, ["graph_id", "node_id"]).join(ranks, ["graph_id", "node_id"])
+    listed = F.array_sort(F.collect_list(F.struct("pos", "symbol", "rank")))
+    spelled = placed.groupBy("graph_id", "seq_rank").agg(listed.alias("s"))
+    late = F.size(F.filter(F.arrays_zip(F.slice("s.rank", 2, F.size("s")), F.slice("s.rank", 1, F.size("s") - 1)), lambda p: p["0"] <= p["1"]))
+    return spelled.select("graph_id", "seq_rank", F.array_join("s.symbol", "").alias("text"), late.cast("long").alias("late"))
+
+
 def among(path: DataFrame, ends: DataFrame) -> DataFrame:
     """Places of paths (graph_id, pos, node_id) at nodes that are sources or sinks."""
     for kind, side in _SIDE.items():

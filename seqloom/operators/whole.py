@@ -60,7 +60,8 @@ class Graphs:
         def graphs(batch: pa.RecordBatch) -> Iterator[tuple[object, Whole]]:
             for key, graph in read(batch):
                 for names, walk in walks:
-                    graph.made.update(zip(names, walk(graph), strict=True))
+                    found = walk(graph) if graph.size else [np.zeros(0, np.int64) for _ in names]
+                    graph.made.update(zip(names, found, strict=True))
                 yield key, graph
 
         return graphs
@@ -84,15 +85,19 @@ class Graphs:
             table = table.mapInArrow(apply, schema)
         return replace(self, table=materialise(table, label), walks=(), stored=True)
 
-    def rows(self, fields: list[T.StructField], kernel: Callable[[Whole], list]) -> DataFrame:
-        """graph_id and the columns that ``kernel`` gives for each graph: arrays of numbers, Arrow arrays or lists."""
+    def rows(self, fields: list[T.StructField], kernel: Callable[[Whole], list], empty: bool = False) -> DataFrame:
+        """graph_id and the columns that ``kernel`` gives for each graph: arrays of numbers, Arrow arrays or lists.
+
+        Graphs without nodes have no rows, unless ``empty``.
+        """
         schema, graphs = T.StructType([self.table.schema["graph_id"], *fields]), self._reader()
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = Rows(schema)
             for batch in batches:
                 for key, graph in graphs(batch):
-                    yield from out.add(key, kernel(graph))
+                    if graph.size or empty:
+                        yield from out.add(key, kernel(graph))
             yield from out.rest()
 
         return self.table.mapInArrow(apply, schema)
@@ -207,9 +212,8 @@ def read_stars(batch: pa.RecordBatch) -> Iterator[tuple[object, Whole]]:
         rows = sorted(rows.as_py(), key=lambda r: (r["seq_rank"] is not None, r["seq_rank"] or 0))
         weights = [r["weights"] for r in rows] if rows and "weights" in rows[0] else None
         graph = star([(r["seq_rank"], r["seq"], r["runs"]) for r in rows], weights)
-        if graph.size:
-            graph.made = found
-            yield key, graph
+        graph.made = found
+        yield key, graph
 
 
 def packed(schema: T.StructType, named: list[tuple[object, Whole]]) -> pa.RecordBatch:

@@ -761,11 +761,7 @@ def grown_conversation_texts(spark, folder):
     """What the paths spell, and their steps that are no edge forward in a topological order."""
     graph, _ = grown_talks(spark, folder)
     ranks = ranking.ranks(graph.nodes, graph.edges())
-    placed = graph.paths.join(graph.nodes, ["graph_id", "node_id"]).join(ranks, ["graph_id", "node_id"])
-    listed = F.array_sort(F.collect_list(F.struct("pos", "symbol", "rank")))
-    spelled = placed.groupBy("graph_id", "seq_rank").agg(listed.alias("s"))
-    late = F.size(F.filter(F.arrays_zip(F.slice("s.rank", 2, F.size("s")), F.slice("s.rank", 1, F.size("s") - 1)), lambda p: p["0"] <= p["1"]))
-    return spelled.select("graph_id", "seq_rank", F.array_join("s.symbol", "").alias("text"), late.cast("long").alias("jumps"))
+    return seg.spelled_paths(graph.paths, graph.nodes, ranks).select("graph_id", "seq_rank", "text", F.col("late").alias("jumps"))
 
 
 @query(f"""{GROWN} SELECT graph_id, count(*) AS sequences, sum(2 * (len(text) - 1))::BIGINT AS weight,

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import export, msa, ranking, segments as seg, whole
+from seqloom.operators.aligned_growth import aligned_growth
 from seqloom.operators.pograph import star_graph
 from seqloom.sources.graphs import text_sequences
 
@@ -93,3 +94,21 @@ def test_written_graphs_are_not_moved(graphs, capsys):
         capsys.readouterr()
         table.explain()
         assert "Exchange" not in capsys.readouterr().out
+
+
+def test_graphs_without_nodes_have_no_rows_but_scores(spark):
+    rows_ = [(1, 0, ""), (1, 1, None), (2, 0, "AC"), (2, 1, "AG")]
+    graph, scores = aligned_growth(spark.createDataFrame(rows_, "graph_id long, seq_rank long, seq string"))
+    assert rows(scores) == [(1, 0, 0), (1, 0, 1), (2, 1, 1), (2, 2, 0)]
+    ranks, path = ranking.ranks_and_consensus(graph.nodes, graph.edges())
+    assert {r.graph_id for r in ranks.collect()} == {r.graph_id for r in path.collect()} == {2}
+    spelled = [tuple(r) for r in seg.spelled_paths(graph.paths, graph.nodes, ranks).orderBy("seq_rank").collect()]
+    assert spelled == [(2, 0, "AC", 0), (2, 1, "AG", 0)]
+
+
+def test_spelled_paths(graphs):
+    found = []
+    for graph in graphs:
+        ranks = ranking.ranks(graph.nodes, graph.edges())
+        found.append(seg.spelled_paths(graph.paths, graph.nodes, ranks))
+    assert rows(found[0]) == rows(found[1]) and found[0].dtypes == found[1].dtypes
