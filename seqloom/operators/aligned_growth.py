@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seqloom.kernels.growing import fold
+from seqloom.kernels.growing import grow
 from seqloom.kernels.pairs import symbols
 from seqloom.kernels.whole import NO_RANK, Whole
 from seqloom.operators import whole
@@ -62,7 +62,7 @@ def aligned_growth(sequences: DataFrame) -> tuple[PoGraph, DataFrame]:
 
 def grown(ranks: list[int | None], sequences: list[np.ndarray]) -> Whole:
     """The graph of sequences of one key, in order, with the score of each."""
-    graph, added = fold(sequences)
+    graph, added = grow(sequences)
     return Whole(
         np.array(graph.symbols, np.int32),
         np.array([len(peers) for peers in graph.aligned], np.int64),

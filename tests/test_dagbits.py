@@ -47,7 +47,7 @@ def test_alignments_are_those_of_the_table():
 def test_large_alignments_keep_columns_at_borders(monkeypatch):
     rng = random.Random(93)
     texts = [np.array(rng.choices(b"ACGT", k=rng.randint(20, 60)), np.int32) for _ in range(6)]
-    graph, added = growing.fold(texts)
+    graph, added = growing.grow(texts)
     monkeypatch.setattr(growing, "GROWN_BYTES", 0)
-    other, same = growing.fold(texts)
+    other, same = growing.grow(texts)
     assert added == same and graph.aligned == other.aligned and [[graph.symbols[v] for v in path] for _, path in added] == [t.tolist() for t in texts]
